@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from . import extendible_sharding
+from . import chat_parts, extendible_sharding
 
 QUERIES = {
+    "op6_chat_parts": chat_parts.op6_chat_parts,
     "op10_extendible_sharding": extendible_sharding.op10_extendible_sharding,
 }
 
 ORACLES = {
+    "op6_chat_parts": chat_parts.SQL,
     "op10_extendible_sharding": extendible_sharding.SQL,
 }
