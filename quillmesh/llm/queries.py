@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import chat_parts, extendible_sharding
+from . import chat_parts, extendible_sharding, simhash_dedup
 
 QUERIES = {
+    "op8_simhash_dedup": simhash_dedup.op8_simhash_dedup,
     "op6_chat_parts": chat_parts.op6_chat_parts,
     "op10_extendible_sharding": extendible_sharding.op10_extendible_sharding,
 }
