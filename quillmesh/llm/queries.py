@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from . import chat_parts, extendible_sharding, simhash_dedup
+from . import chat_parts, extendible_sharding, impact_topk, simhash_dedup
 
 QUERIES = {
+    "op4_impact_topk": impact_topk.op4_impact_topk,
     "op8_simhash_dedup": simhash_dedup.op8_simhash_dedup,
     "op6_chat_parts": chat_parts.op6_chat_parts,
     "op10_extendible_sharding": extendible_sharding.op10_extendible_sharding,
 }
 
 ORACLES = {
+    "op4_impact_topk": impact_topk.SQL,
     "op6_chat_parts": chat_parts.SQL,
     "op10_extendible_sharding": extendible_sharding.SQL,
 }
