@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import chat_parts, extendible_sharding, impact_topk, pii_bootstrap, piece_fst, simhash_dedup, toxicity_grammar
+from . import chat_parts, extendible_sharding, impact_topk, pfair_mixing, pii_bootstrap, piece_fst, simhash_dedup, toxicity_grammar
 
 QUERIES = {
+    "op5_pfair_mixing": pfair_mixing.op5_pfair_mixing,
     "op2_pii_bootstrap": pii_bootstrap.op2_pii_bootstrap,
     "op1_toxicity_grammar": toxicity_grammar.op1_toxicity_grammar,
     "op9_piece_fst": piece_fst.op9_piece_fst,
