@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import chat_parts, extendible_sharding, impact_topk, media_chunks, pfair_mixing, pii_bootstrap, piece_fst, simhash_dedup, toxicity_grammar
+from . import chat_parts, extendible_sharding, impact_topk, media_chunks, paragraph_dedup, pfair_mixing, pii_bootstrap, piece_fst, simhash_dedup, toxicity_grammar
 
 QUERIES = {
+    "op3_paragraph_dedup": paragraph_dedup.op3_paragraph_dedup,
     "op7_media_chunks": media_chunks.op7_media_chunks,
     "op5_pfair_mixing": pfair_mixing.op5_pfair_mixing,
     "op2_pii_bootstrap": pii_bootstrap.op2_pii_bootstrap,

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, table, text_bytes
+from .common import cut, fresh, table, text_bytes
 from .components import components
 
 SHINGLE, SEED, DISTANCE = 3, 42, 2
@@ -110,6 +110,29 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return rows.join(classes, "fp").select("doc_id", "fp", "component_id")
 
 
+def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with one row of each component: the one of its smallest id.
+
+    Of several rows of that id the first stays; components without any id keep all their rows.
+    """
+    found = near_duplicates(docs, id_col, text_col)
+    keepers = cut(found.where("component_id = doc_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")))
+    ours = fresh(docs, "kept_id")
+    named = keepers.select(F.col("doc_id").alias(ours), F.col("n").alias(f"{ours}_n"))
+    kept = docs.join(named, F.col(f"`{id_col}`").cast("long") == F.col(ours))
+    if not keepers.where("n > 1").isEmpty():
+        kept = kept.where(F.col(f"{ours}_n") == 1).unionAll(kept.where(F.col(f"{ours}_n") > 1).dropDuplicates([ours]))
+    kept = kept.select(*docs.columns)
+    if found.where("component_id is null").isEmpty():
+        return kept
+    lost = cut(found.where("component_id is null").select("fp").distinct())
+    nameless = docs.where(F.col(f"`{id_col}`").isNull())
+    seen = nameless.withColumn(ours, F.monotonically_increasing_id())
+    prints = seen.select(F.col(ours).alias("doc_id"), F.col(f"`{text_col}`").alias("t"))
+    own = fingerprints(prints, "doc_id", "t").join(lost, "fp").select(F.col("doc_id").alias(ours))
+    return kept.unionAll(seen.join(own, ours, "left_semi").select(*docs.columns))
+
+
 def op8_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and component of each document."""
     found = near_duplicates(table(spark, sf_dir, "documents"))
