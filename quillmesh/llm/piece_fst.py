@@ -32,6 +32,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import fresh, table
 
@@ -225,7 +226,7 @@ def encode_column(df: DataFrame, text_col: str = "text", path: str = MODEL, dige
 
     rows = df.select(*(F.col(f"`{c}`") for c in keep), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias(t))
     schema = rows.drop(t).schema
-    for name, kind in zip(names, ("string" if digest else "array<int>", "long", "boolean")):
+    for name, kind in zip(names, (T.StringType() if digest else T.ArrayType(T.IntegerType()), T.LongType(), T.BooleanType())):
         schema = schema.add(name, kind)
     return rows.mapInArrow(run, schema)
 
