@@ -40,8 +40,8 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 META = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 INFINITY = float("inf")
-#: Segments and pairs remembered in a worker, and the longest remembered segment.
-REMEMBERED, PAIRS, LONGEST = 400_000, 500_000, 48
+#: Segments in each of two generations and pairs remembered in a worker, and the longest remembered segment.
+REMEMBERED, PAIRS, LONGEST = 700_000, 1_000_000, 48
 
 
 def _varint(b: bytes, i: int) -> tuple[int, int]:
@@ -134,27 +134,53 @@ class PieceTransducer:
 
     def shortest(self, s: str) -> list[int]:
         """Ids on the shortest path of a normalised text."""
+        last, back = self._merged_path(s) if self.bpe else self._likeliest_path(s)
+        out, j = [], len(s)
+        while j:
+            i = back[j]
+            out += [last[j]] if last[j] >= 0 else [self.octets[b] for b in reversed(s[i:j].encode())]
+            j = i
+        return out[::-1]
+
+    def _likeliest_path(self, s: str) -> tuple[list[int], list[int]]:
+        """Last piece and its start at each position, for weights that are costs."""
         n, ids, prefixes, weight = len(s), self.ids, self.prefixes, self.weight
         cost, last, back = [INFINITY] * (n + 1), [-1] * (n + 1), [0] * (n + 1)
         cost[0] = 0.0
         for i in range(n):
-            here, before = cost[i], last[i]
-            if here == INFINITY:
-                continue
-            j = i + 1
+            here, j = cost[i], i + 1
             while j <= n and (part := s[i:j]) in prefixes:
                 piece = ids.get(part)
-                if piece is not None and (w := here + weight(before, piece)) < cost[j]:
+                if piece is not None and (w := here + weight(-1, piece)) < cost[j]:
                     cost[j], last[j], back[j] = w, piece, i
                 j += 1
             if s[i] not in ids and (w := here + self._worst) < cost[i + 1]:
                 cost[i + 1], last[i + 1], back[i + 1] = w, -1, i
-        out, j = [], n
-        while j:
-            i = back[j]
-            out += [last[j]] if last[j] >= 0 else [self.octets[b] for b in reversed(s[i:j].encode())]
-            j = i
-        return out[::-1]
+        return last, back
+
+    def _merged_path(self, s: str) -> tuple[list[int], list[int]]:
+        """The same where a weight is 0 or infinite: a position reached at weight 0 has its shortest path, so no further arc into it is weighed."""
+        n, get, prefixes, weight, known, size = len(s), self.ids.get, self.prefixes, self.weight, self._pairs.get, len(self.pieces)
+        last, back = [-1] * (n + 1), [-1] * (n + 1)
+        back[0] = 0
+        for i in range(n):
+            if back[i] < 0:
+                continue
+            before = last[i]
+            row = before * size
+            for j in range(i + 1, n + 1):
+                part = s[i:j]
+                if back[j] < 0 and (piece := get(part)) is not None:
+                    w = known(row + piece)
+                    if w is None:
+                        w = weight(before, piece)
+                    if w == 0.0:
+                        last[j], back[j] = piece, i
+                elif part not in prefixes:
+                    break
+            if back[i + 1] < 0 and get(s[i]) is None:
+                back[i + 1] = i
+        return last, back
 
     def encode(self, text: str | None) -> np.ndarray:
         """The ids of a whole text."""
@@ -169,13 +195,18 @@ class PieceTransducer:
 
 
 class _Memo(dict):
+    """Ids of segments. Two generations: when the younger is full it becomes the elder, so what is in use survives."""
+
     def __init__(self, fst: PieceTransducer):
-        self.fst = fst
+        self.fst, self.elder = fst, {}
 
     def __missing__(self, s: str) -> bytes:
-        found = np.array(self.fst.shortest(s), dtype="<i4").tobytes()
+        found = self.elder.get(s)
+        if found is None:
+            found = np.array(self.fst.shortest(s), dtype="<i4").tobytes()
         if len(s) <= LONGEST:
             if len(self) >= REMEMBERED:
+                self.elder = dict(self)
                 self.clear()
             self[s] = found
         return found
