@@ -31,13 +31,15 @@ _OTHER = "\x00other"
 
 
 def shares(weights: dict[str, float], slots: int = SLOTS) -> dict[str, int]:
-    """Whole slots of a period for each source, at least one, by largest remainder."""
+    """Whole slots of a period for each source, by largest remainder; at least one, taken from the largest."""
     slots = max(slots, len(weights))
     total = sum(weights.values())
-    ideal = {s: w / total * (slots - len(weights)) for s, w in weights.items()}
-    out = {s: 1 + int(x) for s, x in ideal.items()}
-    for s in sorted(ideal, key=lambda s: (int(ideal[s]) - ideal[s], s))[: slots - sum(out.values())]:
+    ideal = {s: w / total * slots for s, w in weights.items()}
+    out = {s: max(1, int(x)) for s, x in ideal.items()}
+    for s in sorted(ideal, key=lambda s: (out[s] - ideal[s], s))[: max(0, slots - sum(out.values()))]:
         out[s] += 1
+    for _ in range(sum(out.values()) - slots):
+        out[max(out, key=lambda s: (out[s], s))] -= 1
     return out
 
 

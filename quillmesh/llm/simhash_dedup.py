@@ -126,11 +126,11 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     if found.where("component_id is null").isEmpty():
         return kept
     lost = cut(found.where("component_id is null").select("fp").distinct())
-    nameless = docs.where(F.col(f"`{id_col}`").isNull())
-    seen = nameless.withColumn(ours, F.monotonically_increasing_id())
-    prints = seen.select(F.col(ours).alias("doc_id"), F.col(f"`{text_col}`").alias("t"))
-    own = fingerprints(prints, "doc_id", "t").join(lost, "fp").select(F.col("doc_id").alias(ours))
-    return kept.unionAll(seen.join(own, ours, "left_semi").select(*docs.columns))
+    key = F.xxhash64(F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")))
+    nameless = docs.where(F.col(f"`{id_col}`").isNull()).withColumn(ours, key)
+    texts = nameless.select(F.col(ours).alias("doc_id"), F.col(f"`{text_col}`").alias("t"))
+    own = fingerprints(texts, "doc_id", "t").join(lost, "fp").select(F.col("doc_id").alias(ours))
+    return kept.unionAll(nameless.join(own, ours, "left_semi").select(*docs.columns))
 
 
 def op8_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,0 +1,50 @@
+import math
+import random
+
+import pytest
+from pyspark.sql import functions as F
+
+from quillmesh.llm import impact_topk as I
+
+
+def brute(rows, k):
+    vectors = [(i, [math.floor(256 * x) for x in v]) for i, v in rows if i is not None and v and all(x is not None and math.isfinite(x) for x in v)]
+    out = set()
+    for q, a in vectors:
+        if q % 3 == 0:
+            scored = sorted((-sum(x * y for x, y in zip(a, b)), i) for i, b in vectors if i != q and len(a) == len(b))[:k]
+            out |= {(q, n + 1, i, -s) for n, (s, i) in enumerate(scored)}
+    return out
+
+
+@pytest.mark.parametrize("block", [7, 4096])
+def test_matches_brute_force(spark, monkeypatch, block):
+    monkeypatch.setattr(I, "ROW_BLOCK", block)
+    monkeypatch.setattr(I, "QUERY_BLOCK", block)
+    r = random.Random(3)
+    rows = [(i, [r.gauss(0, 0.2) for _ in range(6)]) for i in range(60)]
+    rows += [(60 + i, list(rows[0][1])) for i in range(20)]  # ties
+    rows += [(90, None), (91, []), (93, [1.0, None, 0.0, 0.0, 0.0, 0.0]), (94, [float("nan")] * 6), (96, [float("inf")] + [0.0] * 5), (99, [0.0] * 6), (102, [1.0, 2.0]), (103, [3.0, -1.0]), (None, [0.5] * 6), (105, [3e6] * 6)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("v0", F.lit(1)).repartition(4)
+    ready = df.select(F.col("vec_id").alias("id"), I.quantised(F.col("embedding")).alias("v"))
+    got = I.top_k(ready, ready.where("id % 3 = 0"), 5).collect()
+    assert {tuple(x) for x in got} == brute(rows, 5) and len(got) == len(brute(rows, 5))
+
+
+def test_proof_stops_early_and_stays_exact():
+    import numpy as np
+
+    r = np.random.default_rng(5)
+    vectors = (r.standard_normal((3000, 16)) * r.exponential(1, (3000, 1)) * 100).astype(np.int64)
+    queries = vectors[:40] * (r.random((40, 16)) < 0.3)
+    ids = np.arange(3000)
+    got = I.ImpactIndex(ids, vectors).top(ids[:40], queries, 5)
+    for q in range(40):
+        s = vectors @ queries[q]
+        order = [i for i in np.lexsort((ids, -s)) if i != q][:5]
+        assert [(i, x) for a, i, x in got if a == q] == [(int(i), int(s[i])) for i in order]
+
+
+def test_empty(spark):
+    df = spark.createDataFrame([], "id long, v array<long>")
+    assert I.top_k(df, df).count() == 0
