@@ -33,8 +33,8 @@ from .common import fresh, table
 
 #: Labelled documents that the fit reads at most.
 FIT_ROWS = 20_000
-#: Documents a stem must be seen in, stem lengths, and the least precision of a learned stem.
-LEAST, STEMS, PRECISE = 3, (3, 4, 5, 6), 0.7
+#: Documents a stem must be seen in, stem lengths, the least precision of a learned stem, and rounds of learning.
+LEAST, STEMS, PRECISE, ROUNDS = 3, (3, 4, 5, 6), 0.7, 12
 THRESHOLD, BASE, SEED_LOGIT, CAP = 0.3, -4.0, 1.0, 6.0
 #: Words over which a negation and a target reach, and labelled documents that a context's prior is worth.
 NEGATED_FOR, TARGET_FOR, PRIOR_DOCS = 3, 5, 50
@@ -167,21 +167,32 @@ def _ratio(a: int, b: int, n1: int, n0: int) -> float:
     return 2 * (term(a, n1 * p) + term(b, n0 * p) + term(n1 - a, n1 * (1 - p)) + term(n0 - b, n0 * (1 - p)))
 
 
-def chosen(toxic: dict[str, int], clean: dict[str, int], n1: int, n0: int) -> dict[str, float]:
-    """Weights of the stems that pass the test; of a chain of stems the one of largest ratio stays, the longest on ties."""
+def chosen(toxic: dict[str, int], clean: dict[str, int], n1: int, n0: int) -> list[str]:
+    """The strongest stems that pass the test, down to half of the largest ratio.
+
+    Of a chain of stems the one of largest ratio stays, the longest on ties.
+    """
     least = 2 * math.log(max(1000, len(toxic))) + 2
     ratio = {}
     for f, a in toxic.items():
         b = clean.get(f, 0)
         if a >= LEAST and (a + 0.5) / (a + b + 1) >= PRECISE and a * n0 > b * n1 and (g := _ratio(a, b, n1, n0)) >= least:
             ratio[f] = g
-    longer: dict[str, float] = {}
-    for f, g in ratio.items():
-        word = f.rstrip("$")
-        for p in [word[:n] for n in STEMS if n < len(f) and n <= len(word)]:
-            if p != f:
-                longer[p] = max(longer.get(p, 0), g)
-    return {f: min(CAP, math.log((toxic[f] + 0.5) / (clean.get(f, 0) + 0.5))) for f, g in ratio.items() if longer.get(f, 0) < g}
+    top = max(ratio.values(), default=0) / 2
+    ratio = {f: g for f, g in ratio.items() if g >= top}
+    shorter = lambda f: [p for n in STEMS if n < len(f.rstrip("$")) + f.endswith("$") and (p := f.rstrip("$")[:n]) != f and len(p) == n]
+    beaten = {p for f, g in ratio.items() for p in shorter(f) if p in ratio and ratio[p] <= g}
+    return [f for f in ratio if f not in beaten and not any(p in ratio and p not in beaten for p in shorter(f))]
+
+
+def _unexplained(wanted, known):
+    """Features among ``wanted`` of a text without any of ``known``, and "" for the text itself."""
+
+    def of(text: str) -> set[str]:
+        found = _features(text)
+        return set() if found & known.value else {"", *(found & wanted.value)}
+
+    return of
 
 
 def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Grammar:
@@ -195,7 +206,19 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Grammar:
     toxic = {r["key"]: r["n"] for r in _counted(sample.where("toxic = 1"), _features).where(F.col("n") >= LEAST).collect()}
     wanted = sc.broadcast(frozenset(toxic))
     clean = {r["key"]: r["n"] for r in _counted(sample.where("toxic = 0"), lambda t: _features(t) & wanted.value).collect()}
-    terminals = chosen(toxic, clean, n1, n0)
+    # stems that explain documents; what the chosen ones explain already can't vouch for others, as a group of copies would
+    terminals: dict[str, float] = {}
+    left, n = toxic, n1
+    for _ in range(ROUNDS):
+        new = chosen(left, clean, n, n0)
+        terminals |= {f: min(CAP, math.log((toxic[f] + 0.5) / (clean.get(f, 0) + 0.5))) for f in new}
+        if not new:
+            break
+        known = sc.broadcast(frozenset(terminals))
+        left = {r["key"]: r["n"] for r in _counted(sample.where("toxic = 1"), _unexplained(wanted, known)).collect()}
+        n = left.pop("", 0)
+        if n < LEAST:
+            break
     first = sc.broadcast(terminals)
     cache: list[Grammar] = []
 
