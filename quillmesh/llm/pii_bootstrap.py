@@ -142,13 +142,18 @@ def detect(docs: DataFrame, text_col: str = "text") -> tuple[DataFrame, DataFram
     wide = cut(wide)
     if slots.where("kind is not null").join(wide, "pattern", "left_semi").isEmpty():
         return rows, None, names
-    # how often a pattern occurs at all, before whatever word, in the texts that hold an identifier
-    words = docs.select(F.col(f"`{text_col}`").cast("string").alias("t")).where(F.col("t").rlike("[0-9@]")).select(F.filter(F.split(F.lower("t"), r"\s+"), lambda w: w != "").alias("w"))
+    slots = cut(slots.join(wide, "pattern", "left_semi"))
+    held = slots.groupBy("pattern").agg(F.sum("n").alias("held"))
+    # totals only lower a confidence, so a pattern that doesn't pass with its own slots as total never passes
+    hopeful = cut(_confident(slots, held.select("pattern", F.col("held").alias("total"))).select("pattern").distinct())
+    if hopeful.isEmpty():
+        return rows, None, names
+    # how often a hopeful pattern occurs at all, before whatever word, in all texts
+    words = docs.select(F.col(f"`{text_col}`").cast("string").alias("t")).select(F.filter(F.split(F.lower("t"), r"\s+"), lambda w: w != "").alias("w"))
     pairs = F.transform(F.sequence(F.lit(1), F.size("w") - 1), lambda i: F.concat_ws(" ", F.get(F.col("w"), i - 1), F.get(F.col("w"), i)))
-    occurring = words.where(F.size("w") > 1).select(F.explode(pairs).alias("pattern")).groupBy("pattern").agg(F.count(F.lit(1)).alias("total"))
-    held = slots.join(wide, "pattern", "left_semi").groupBy("pattern").agg(F.sum("n").alias("held"))
+    occurring = words.where(F.size("w") > 1).select(F.explode(pairs).alias("pattern")).join(F.broadcast(hopeful), "pattern", "left_semi").groupBy("pattern").agg(F.count(F.lit(1)).alias("total"))
     totals = held.join(occurring, "pattern", "left").select("pattern", F.greatest("held", F.coalesce("total", "held")).alias("total"))
-    passed = cut(_confident(slots.join(wide, "pattern", "left_semi"), totals))
+    passed = cut(_confident(slots, totals))
     if passed.isEmpty():
         return rows, None, names
     best = passed.groupBy("pattern").agg(F.max(F.struct("confidence", F.col("kind"))).alias("b")).select("pattern", F.col("b.kind").alias("kind"))

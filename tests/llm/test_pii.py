@@ -74,3 +74,13 @@ def test_redaction_joins_overlaps(spark):
 
 def test_empty(none):
     assert P.redact(none).count() == 0
+
+
+def test_confidence_counts_occurrences_in_texts_without_identifiers(spark):
+    rows = [f"order code is {u}@x{i}.io thanks" for i, u in enumerate("abcdefgh")] + ["order code is zz1234567 now", "order code is zz7654321 now"]
+    few = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string").repartition(3)
+    many = spark.createDataFrame(list(enumerate(rows + ["order code is unknown today"] * 90)), "doc_id long, text string").repartition(3)
+    spans = lambda df: {r.doc_id: len(r["s"]) for r in (lambda f: f[0].select("doc_id", F.col(f[2]).alias("s")))(P.with_spans(df)).collect()}
+    assert spans(few)[8] == spans(few)[9] == 1  # 8 of 10
+    got = spans(many)  # 8 of 100
+    assert got[8] == got[9] == 0 and all(got[i] == 1 for i in range(8))
