@@ -40,7 +40,8 @@ def unescaped(c: Column) -> Column:
 
 def text_parts(c: Column) -> Column:
     """A plain text as an array of one part."""
-    return F.array(F.struct(F.lit("text").alias("type"), F.coalesce(c.cast("string"), F.lit("")).alias("text"))).cast(f"array<struct<type:string,text:string>>")
+    none = [F.lit(None).cast(t).alias(n) for n, t in (("ref", "string"), ("width", "int"), ("height", "int"), ("seconds", "double"), ("pages", "int"))]
+    return F.array(F.struct(F.lit("text").alias("type"), F.coalesce(c.cast("string"), F.lit("")).alias("text"), *none)).cast(f"array<{PART}>")
 
 
 def _kind(p: Column) -> Column:
@@ -60,8 +61,8 @@ def _label(p: Column, i: Column, j: Column) -> Column:
 def format_conversations(rows: DataFrame, parts: Column, plain: bool = False) -> DataFrame:
     """One row for each conversation: conv_id, n_turns, formatted, mask, attachments, attachment_tokens.
 
-    ``rows`` has conv_id, turn and role; ``parts`` is its array of parts (of struct ``PART``; with
-    ``plain`` of type and text alone). mask: (start, end) of each assistant content in
+    ``rows`` has conv_id, turn and role; ``parts`` is its array of parts, of struct ``PART``. All parts go through the visitor;
+    ``plain`` only leaves out the two columns of attachments. mask: (start, end) of each assistant content in
     ``formatted``, in code points, end exclusive. attachments: placeholder, kind, ref and tokens in order.
     """
     role = F.coalesce(F.col("role").cast("string"), F.lit(""))
@@ -70,7 +71,7 @@ def format_conversations(rows: DataFrame, parts: Column, plain: bool = False) ->
 
     def visited(t: Column, i: Column) -> Column:
         one = lambda p, j: F.when(_kind(p) == "text", escaped(F.coalesce(p["text"], F.lit("")))).otherwise(_label(p, i, j))
-        content = F.array_join(F.transform(t["parts"], one), "") if not plain else escaped(F.coalesce(F.try_element_at(t["parts"], F.lit(1))["text"], F.lit("")))
+        content = F.array_join(F.transform(t["parts"], one), "")
         return F.struct(F.concat(F.lit("<turn "), escaped(t["role"]), F.lit(">\n")).alias("head"), content.alias("content"), (t["role"] == "assistant").alias("learn"))
 
     turns = turns.select("conv_id", "turns", F.transform("turns", visited).alias("seen"))
@@ -108,7 +109,7 @@ def op6_chat_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests of every conversation and of conversation -7, read back from the formatted text."""
     rows = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", "text")
     extra = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(HARD).alias("text"))
-    read = read_back(format_conversations(rows.unionAll(extra), text_parts(F.col("text")), plain=True))
+    read = read_back(format_conversations(rows.unionAll(extra), text_parts(F.col("text"))))
     said = F.array_join(F.zip_with("roles", "texts", lambda r, t: F.concat(r, F.lit("\n"), t, F.lit("\n"))), "")
     return read.select("conv_id", F.size("texts").cast("long").alias("n_turns"), F.sha2(said.cast("binary"), 256).alias("turns_sha256"), F.length("learned").cast("long").alias("loss_chars"), F.sha2(F.col("learned").cast("binary"), 256).alias("loss_sha256"), F.length("formatted").cast("long").alias("formatted_chars"))
 

@@ -40,3 +40,20 @@ def test_hard_texts_and_ties(spark):
 def test_empty(spark):
     df = spark.createDataFrame([], "conv_id long, turn long, role string, text string")
     assert C.read_back(C.format_conversations(df, C.text_parts(F.col("text")), plain=True)).count() == 0
+
+
+def test_plain_drops_no_part(spark):
+    data = [(1, 0, "user", [text("a"), ("image", None, "s3/a.png", 28, 28, None, None), text("b<")])]
+    r = C.read_back(C.format_conversations(rows(spark, data), F.col("parts"), plain=True)).first()
+    assert r.texts == ["a<image 0.1>b<"]
+
+
+def test_the_query_runs_the_visitor(spark, tmp_path, monkeypatch):
+    spark.createDataFrame([(1, 0, "user", "hi")], "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    seen = []
+    kind = C._kind
+    monkeypatch.setattr(C, "_kind", lambda p: seen.append(p) or kind(p))
+    parts = C.text_parts
+    monkeypatch.setattr(C, "text_parts", lambda c: F.concat(parts(c), parts(F.lit("!"))))
+    got = {r.conv_id: r for r in C.op6_chat_parts(spark, str(tmp_path)).collect()}
+    assert seen and got[1].formatted_chars == len("<turn user>\nhi!\n</turn>\n")
