@@ -3,31 +3,33 @@
 A source's rows, in an order drawn by hash, fill blocks of ``BLOCK_BYTES``. With target weight w the k-th
 block (from 0) of a source is released at slot floor(k / w) and due by slot ceil((k + 1) / w); each slot takes the
 released block of earliest deadline. At every slot a source's share then differs from its weight by
-less than one block. Weights are fractions of ``SLOTS``, so the schedule repeats after that many slots: the driver schedules one
-period, of bounded size, and every block finds its slot by arithmetic.
+less than one block. Weights are fractions of ``SLOTS``, which is far beyond any number of blocks, so that rounding them moves no share by a
+millionth of a block. The driver schedules every block: one row of numbers for each ``BLOCK_BYTES`` of text.
 
 When a source runs out, a new phase starts with the weights of the others in proportion; so no row
 is dropped or repeated, and the bound holds within each phase.
 
 Defined cases: a null source is the source ""; null and empty texts count as one byte; rows without an id are rows like any
 other; repeated rows follow one another; a row longer than a block leaves the slots it covers to itself; sources beyond the
-``MAX_SOURCES`` largest are scheduled as one source; an empty table gives no rows.
+``MAX_SOURCES`` largest share the slots of up to that many groups, within which they are scheduled by their own weights in the same way; their windows
+are those of the group's blocks, and the bound of one block holds for the group and, in its slots, for its members; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import heapq
 import math
+from collections.abc import Iterator
+from itertools import count
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import cut, fresh, table
 
-BLOCK_BYTES, SLOTS, MAX_SOURCES, TEMPERATURE = 256 << 10, 1000, 500, 0.5
+BLOCK_BYTES, SLOTS, MAX_SOURCES, TEMPERATURE = 256 << 10, 1 << 40, 500, 0.5
 #: Rows of a hash bucket, within which a window numbers them.
 BUCKET_ROWS = 2048
-_OTHER = "\x00other"
 
 
 def shares(weights: dict[str, float], slots: int = SLOTS) -> dict[str, int]:
@@ -48,33 +50,37 @@ def window(k: int, n: int, slots: int) -> tuple[int, int]:
     return k * slots // n, -(-(k + 1) * slots // n)
 
 
-def period(share: dict[str, int]) -> dict[str, list[int]]:
-    """Slots of each source's blocks in one period: earliest deadline first among the released ones."""
+def period(share: dict[str, int], left: dict[str, int] | None = None) -> dict[str, list[int]]:
+    """Slots of each source's blocks in one period: earliest deadline first among the released ones.
+
+    With ``left``, the blocks that each source has, it goes on through periods and ends when the first source runs out.
+    """
     slots = sum(share.values())
     waiting = [(0, s, 0) for s in sorted(share)]  # by release
     ready: list[tuple[int, str, int]] = []  # by deadline
     out: dict[str, list[int]] = {s: [] for s in share}
-    for t in range(slots):
+    for t in range(slots) if left is None else count():
         while waiting and waiting[0][0] <= t:
             _, s, k = heapq.heappop(waiting)
             heapq.heappush(ready, (window(k, share[s], slots)[1], s, k))
         _, s, k = heapq.heappop(ready)
         out[s].append(t)
-        if k + 1 < share[s]:
+        if left is not None and k + 1 == left[s]:
+            break
+        if left is not None or k + 1 < share[s]:
             heapq.heappush(waiting, (window(k + 1, share[s], slots)[0], s, k + 1))
     return out
 
 
 def phases(blocks: dict[str, int], weights: dict[str, float], slots: int = SLOTS) -> list[dict]:
-    """The phases, each with its first slot, its period and each source's first block and number of blocks."""
+    """The phases, each with its first slot and each source's share, first block, number of blocks and their slots."""
     left, start, out = {s: n for s, n in blocks.items() if n}, 0, []
     done = {s: 0 for s in left}
     while left:
         share = shares({s: weights[s] for s in left}, slots)
-        size, at = sum(share.values()), period(share)
-        last = min(size * ((n - 1) // share[s]) + at[s][(n - 1) % share[s]] for s, n in left.items()) + 1
-        rounds, rest = divmod(last, size)
-        took = {s: rounds * share[s] + sum(t < rest for t in at[s]) for s in left}
+        size, at = sum(share.values()), period(share, left)
+        took = {s: len(at[s]) for s in left}
+        last = sum(took.values())
         out.append({"start": start, "slots": size, "share": share, "at": at, "first": {s: done[s] for s in left}, "took": took})
         for s, n in took.items():
             done[s] += n
@@ -82,6 +88,31 @@ def phases(blocks: dict[str, int], weights: dict[str, float], slots: int = SLOTS
     return out
 
 
+def plan(blocks: dict[str, int], weights: dict[str, float], slots: int = SLOTS) -> Iterator[tuple[str, int, int, int, int, int]]:
+    """(source, block, slot, release, deadline, phase) of every block, with as many sources as there are."""
+    by_size = sorted(blocks, key=lambda s: (-blocks[s], s))
+    rest = by_size[MAX_SOURCES:]
+    step = max(1, -(-len(rest) // MAX_SOURCES))
+    groups = [rest[i : i + step] for i in range(0, len(rest), step)]
+    units = [[s] for s in by_size[:MAX_SOURCES]] + groups
+    name = {f"{i:09d}": u for i, u in enumerate(units)}
+    found = phases({k: sum(blocks[s] for s in u) for k, u in name.items()}, {k: sum(weights[s] for s in u) for k, u in name.items()}, slots)
+    mine: dict[str, list[tuple[int, int, int, int]]] = {k: [] for k in name}
+    for p, ph in enumerate(found):
+        for k, at in ph["at"].items():
+            for j, t in enumerate(at):
+                release, due = window(j, ph["share"][k], ph["slots"])
+                mine[k].append((ph["start"] + t, ph["start"] + release, ph["start"] + due, p))
+    for k, u in name.items():
+        if len(u) == 1:
+            yield from ((u[0], b, *x) for b, x in enumerate(mine[k]))
+            continue
+        own = mine[k]
+        for s, b, slot, release, due, _ in plan({s: blocks[s] for s in u}, {s: weights[s] for s in u}, slots):
+            last = own[min(due, len(own)) - 1][2]
+            yield s, b, own[slot][0], own[release][1], last, own[slot][3]
+
+
 def _distinct(docs: DataFrame) -> DataFrame:
     """(id, source, h, bytes, n) of each distinct row, n the number of its copies."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
@@ -102,22 +133,16 @@ def schedule(docs: DataFrame, weights: dict[str, float] | None = None, block_byt
     spark = docs.sparkSession
     rows = _distinct(docs)
     sizes = rows.groupBy("source").agg(F.sum(F.col("bytes") * F.col("n")).alias("b"), F.count(F.lit(1)).alias("rows"))
-    largest = {r["source"]: r for r in sizes.orderBy(F.desc("b"), "source").limit(MAX_SOURCES).collect()}
-    if not largest:
+    sizes = sizes.collect()
+    if not sizes:
         return rows.select("id", "source", "h", "n", "bytes", *(F.lit(0).cast("long").alias(c) for c in ("copy", "block", "slot", "release", "deadline", "phase", "before")))
-    total = sizes.agg(F.sum("b").alias("b"), F.sum("rows").alias("rows")).first()
-    bytes_of = {s: r["b"] for s, r in largest.items()}
-    if total["b"] > sum(bytes_of.values()):
-        bytes_of[_OTHER] = total["b"] - sum(bytes_of.values())
-        known = F.broadcast(spark.createDataFrame([(s,) for s in largest], "source string"))
-        rows = rows.join(known.withColumn("key", F.col("source")), "source", "left").withColumn("key", F.coalesce("key", F.lit(_OTHER)))
-    else:
-        rows = rows.withColumn("key", F.col("source"))
+    bytes_of = {r["source"]: r["b"] for r in sizes}
+    rows = rows.withColumn("key", F.col("source"))
     weights = {s: (weights or {}).get(s, b**temperature) for s, b in bytes_of.items()}
-    plan = phases({s: -(-b // block_bytes) for s, b in bytes_of.items()}, weights, slots)
+    planned = list(plan({s: -(-b // block_bytes) for s, b in bytes_of.items()}, weights, slots))
 
     # bytes of the source before each row: a running sum over buckets of hashes, then within the bucket
-    bits = max(1, math.ceil(math.log2(max(2, total["rows"] / BUCKET_ROWS))))
+    bits = max(1, math.ceil(math.log2(max(2, sum(r["rows"] for r in sizes) / BUCKET_ROWS))))
     rows = rows.withColumn("bucket", F.shiftrightunsigned("h", 64 - bits))
     buckets = rows.groupBy("key", "bucket").agg(F.sum(F.col("bytes") * F.col("n")).alias("b"))
     earlier = Window.partitionBy("key").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
@@ -127,12 +152,7 @@ def schedule(docs: DataFrame, weights: dict[str, float] | None = None, block_byt
     rows = rows.withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)))
     rows = rows.withColumn("before", F.col("offset") + F.col("inside") + F.col("copy") * F.col("bytes")).withColumn("block", F.expr(f"before div {block_bytes}"))
 
-    spans = [(p, s, ph["start"], ph["slots"], ph["share"][s], ph["first"][s], ph["took"][s]) for p, ph in enumerate(plan) for s in ph["took"] if ph["took"][s]]
-    spans = spark.createDataFrame(spans, "phase long, key string, start long, size long, share long, first long, took long")
-    within = [(p, s, j, t) for p, ph in enumerate(plan) for s in ph["took"] for j, t in enumerate(ph["at"][s][: ph["took"][s]])]
-    within = spark.createDataFrame(within, "phase long, key string, j long, t long")
-    blocks = spans.withColumn("k", F.explode(F.expr("sequence(0L, took - 1)"))).withColumn("j", F.expr("k % share"))
-    blocks = blocks.join(within, ["phase", "key", "j"]).select("key", "phase", (F.col("first") + F.col("k")).alias("block"), F.expr("start + size * (k div share) + t").alias("slot"), F.expr("start + (k * size) div share").alias("release"), F.expr("start + ((k + 1) * size + share - 1) div share").alias("deadline"))
+    blocks = spark.createDataFrame(planned, "key string, block long, slot long, release long, deadline long, phase long")
     return rows.join(blocks, ["key", "block"]).select("id", "source", "h", "n", "bytes", "copy", "block", "slot", "release", "deadline", "phase", "before")
 
 

@@ -64,3 +64,33 @@ def test_mixed_keeps_every_row(odd, odd_rows, none):
     key = lambda r: (r[0] is None, r[0], str(r[1]), str(r[3]))
     assert sorted((tuple(r[:5]) for r in got.collect()), key=key) == sorted(odd_rows, key=key)
     assert M.mixed(none).count() == 0 and M.schedule(none).count() == 0
+
+
+def test_long_phases_stay_within_a_block_of_the_exact_weights():
+    r = random.Random(7)
+    size = {f"s{i:02d}": r.paretovariate(1.1) for i in range(19)}
+    size["big"] = sum(size.values()) / 2
+    n = {s: max(1, round(x / sum(size.values()) * 20_000)) for s, x in size.items()}
+    weights = {s: x**0.5 for s, x in size.items()} | {"s00": 1e-4}
+    total, first = sum(weights.values()), M.phases(n, weights)[0]
+    at = {s: set(t) for s, t in first["at"].items()}
+    length, done = sum(first["took"].values()), dict.fromkeys(n, 0)
+    assert length > 2000
+    for t in range(length):
+        for s in n:
+            done[s] += t in at[s]
+            assert abs(done[s] - (t + 1) * weights[s] / total) < 1 + 1e-6
+
+
+def test_sources_past_the_most_keep_their_weights(monkeypatch):
+    monkeypatch.setattr(M, "MAX_SOURCES", 3)
+    n = {f"s{i:02d}": 400 for i in range(20)}
+    weights = {s: 1 + i % 4 for i, s in enumerate(n)}
+    got = list(M.plan(n, weights))
+    assert sorted((s, b) for s, b, *_ in got) == sorted((s, b) for s in n for b in range(400))
+    assert sorted(x[2] for x in got) == list(range(8000)) and all(x[3] <= x[2] < x[4] for x in got)
+    for s in n:
+        slots = [x[2] for x in got if x[0] == s]
+        assert slots == sorted(slots)
+        took, total = sum(t < 2000 for t in slots), sum(weights.values())
+        assert abs(took - 2000 * weights[s] / total) < 3
