@@ -5,8 +5,8 @@ least of ``EVERY`` neighbours, so two texts that share a passage share its parag
 passage of 51 words holds one at least. A paragraph is the multiset of its 20 shingles
 (a shingle's second occurrence is another element), so all have one size and a Jaccard similarity of 0.8 means 18 common elements.
 
-Equal paragraphs meet by their digest. Near duplicates are looked for among those whose start has the least hash of all within 20 words: no two of
-a text have a shingle in common, so that overlapping paragraphs don't collide with each other. They collide when all ``ROWS`` MinHash values of one of ``BANDS`` bands agree: 4 bands
+Equal paragraphs meet by their digest. Near duplicates are looked for among all paragraphs; a bucket that only overlapping paragraphs of
+one text fill is left out, as they can't repeat each other. They collide when all ``ROWS`` MinHash values of one of ``BANDS`` bands agree: 4 bands
 of 2 find a pair of similarity 0.8 with probability 0.983 and one of 0.9 with 0.999. Colliding paragraphs are joined within small buckets and
 verified by their exact common elements. In a larger bucket every paragraph is indexed by its 211 subsets of at least 18 elements instead:
 two share a subset of 18 exactly if they have 18 in common, so stars over those keys keep every link without
@@ -42,6 +42,8 @@ APART = 3
 #: Common elements of two paragraphs of similarity 0.8: common / (40 - common) >= 0.8.
 COMMON = -(-8 * 2 * ELEMENTS // 18)
 BITMAP_BITS = 1 << 23
+#: Rows whose band keys are held at once.
+BAND_ROWS = 1024
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -119,13 +121,12 @@ def elements(parts: np.ndarray) -> np.ndarray:
 
 
 def paragraphs(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(row, first word, whether it leads, elements) of the paragraphs of several texts."""
-    hashes, starts, rows, words, first, base = [], [], [], [], [], 0
+    """(row, first word, whether it is banded, elements) of the paragraphs of several texts; all are."""
+    hashes, starts, rows, words, base = [], [], [], [], 0
     for i, text in enumerate(texts):
         h = shingles(text)
         if len(h):
             at = anchors(h[: len(h) - ELEMENTS + 1])
-            first.append(leads(h[: len(h) - ELEMENTS + 1], at))
             hashes.append(h)
             starts.append(at + base)
             rows.append(np.full(len(at), i))
@@ -134,7 +135,7 @@ def paragraphs(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray,
     if not hashes:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool), np.zeros((0, ELEMENTS), np.uint64)
     h, at = np.concatenate(hashes), np.concatenate(starts)
-    return np.concatenate(rows), np.concatenate(words), np.concatenate(first), elements(h[at[:, None] + np.arange(ELEMENTS)])
+    return np.concatenate(rows), np.concatenate(words), np.ones(len(at), bool), elements(h[at[:, None] + np.arange(ELEMENTS)])
 
 
 def digests(e: np.ndarray) -> np.ndarray:
@@ -165,7 +166,7 @@ def _signed(x: np.ndarray) -> pa.Array:
 
 
 def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """(ids, row, first word, whether it leads, elements) of some rows at a time, each paragraph of a row once."""
+    """(ids, row, first word, whether it is banded, elements) of some rows at a time, each paragraph of a row once."""
     for b in batches:
         for at in range(0, b.num_rows, 64):
             part = b.slice(at, 64)
@@ -193,30 +194,53 @@ def _occurrences(bitmap):
     return run
 
 
+def _buckets(part: pa.RecordBatch) -> pa.RecordBatch:
+    """(key, a, b, t0, t1, far) of some rows: least and greatest paragraph and text of each key, and whether a text has it twice without overlap."""
+    seen: list[tuple[np.ndarray, ...]] = []
+    base = 0
+    for ids, row, word, _, e in _groups(iter([part])):
+        d = digests(e)
+        text = np.zeros(len(ids), np.uint64)
+        np.add.at(text, row, _mix(d))
+        seen.append((band_keys(e).reshape(-1), *(np.repeat(x, BANDS) for x in (d.view(np.int64), text[row].view(np.int64), row + base, word))))
+        base += len(ids)
+    keys, d, text, row, word = (np.concatenate(x) for x in zip(*seen))
+    order = np.lexsort((word, row, keys))
+    keys, d, text, row, word = (x[order] for x in (keys, d, text, row, word))
+    names = ["key", "a", "b", "t0", "t1", "far"]
+    if not len(keys):
+        return pa.RecordBatch.from_arrays([pa.array([], pa.int64())] * 5 + [pa.array([], pa.bool_())], names=names)
+    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+    each = np.flatnonzero(np.concatenate([[True], (keys[1:] != keys[:-1]) | (row[1:] != row[:-1])]))
+    last = np.concatenate([each[1:], [len(keys)]]) - 1
+    far = np.zeros(len(keys), bool)
+    far[each] = word[last] - word[each] >= WORDS
+    columns = [keys[first].view(np.int64), np.minimum.reduceat(d, first), np.maximum.reduceat(d, first), np.minimum.reduceat(text, first), np.maximum.reduceat(text, first)]
+    return pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.array(np.logical_or.reduceat(far, first))], names=names)
+
+
+def _members(part: pa.RecordBatch, bits: np.ndarray) -> pa.RecordBatch:
+    """(key, cid, elements) of the paragraphs of some rows under the keys of the bitmap; one that many rows share goes out once."""
+    seen: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    for _, _, _, _, e in _groups(iter([part])):
+        keys = band_keys(e).reshape(-1)
+        keep = np.flatnonzero(_hit(bits, keys))
+        seen.append((keys[keep], digests(e)[keep // BANDS], e[keep // BANDS]))
+    keys, d, e = (np.concatenate(x) for x in zip(*seen))
+    order = np.lexsort((d, keys))
+    first = np.ones(len(order), bool)
+    first[1:] = (keys[order][1:] != keys[order][:-1]) | (d[order][1:] != d[order][:-1])
+    keep = order[first]
+    return pa.RecordBatch.from_arrays([_signed(keys[keep]), _signed(d[keep]), _pieces(e[keep])], names=["key", "cid", "elements"])
+
+
 def _bands(bitmap):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = np.frombuffer(bitmap.value, np.uint8) if bitmap is not None else None
         for b in batches:
-            seen: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-            for _, _, _, lead, e in _groups(iter([b])):
-                e = e[lead]
-                d, keys = np.repeat(digests(e), BANDS), band_keys(e).reshape(-1)
-                at = np.repeat(np.arange(len(e)), BANDS)
-                if bits is not None:
-                    keep = _hit(bits, keys)
-                    d, keys, at = d[keep], keys[keep], at[keep]
-                seen.append((keys, d, e[at] if bits is not None else np.zeros((0, ELEMENTS), np.uint64)))
-            if not seen:
-                continue
-            keys, d = np.concatenate([s[0] for s in seen]), np.concatenate([s[1] for s in seen])
-            order = np.lexsort((d, keys))  # a paragraph that many rows of the batch share goes out once
-            first = np.ones(len(order), bool)
-            first[1:] = (keys[order][1:] != keys[order][:-1]) | (d[order][1:] != d[order][:-1])
-            keep = order[first]
-            columns, names = [_signed(keys[keep]), _signed(d[keep])], ["key", "cid"]
-            if bits is not None:
-                columns, names = [*columns, _pieces(np.concatenate([s[2] for s in seen])[keep])], [*names, "elements"]
-            yield pa.RecordBatch.from_arrays(columns, names=names)
+            for at in range(0, b.num_rows, BAND_ROWS):
+                part = b.slice(at, BAND_ROWS)
+                yield _buckets(part) if bits is None else _members(part, bits)
 
     return run
 
@@ -245,7 +269,8 @@ def bitmap_of(keys: DataFrame, c: str) -> bytes:
 def near_links(texts: DataFrame) -> DataFrame | None:
     """(u, v): verified links between digests of different paragraphs, or None if no bucket has two."""
     sc = texts.sparkSession.sparkContext
-    buckets = texts.mapInArrow(_bands(None), "key long, cid long").groupBy("key").agg(F.min("cid").alias("a"), F.max("cid").alias("b")).where("a != b").select("key")
+    buckets = texts.mapInArrow(_bands(None), "key long, a long, b long, t0 long, t1 long, far boolean")
+    buckets = buckets.groupBy("key").agg(*(F.min(c).alias(c) for c in ("a", "t0")), *(F.max(c).alias(c) for c in ("b", "t1", "far"))).where("a != b and (t0 != t1 or far)").select("key")
     buckets = cut(buckets)
     if buckets.isEmpty():
         return None

@@ -98,3 +98,21 @@ def test_rows_match_brute_force(spark, monkeypatch, small):
 
 def test_empty(none):
     assert P.repeats(none).count() == 0
+
+
+def test_edited_passages_link_wherever_their_stretches_start(spark):
+    r = random.Random(8)
+    docs = []
+    for i in range(1500):
+        a = words(r, 60)
+        b = list(a)
+        b[r.randrange(60)] = "edited"
+        docs += [(2 * i, " ".join(a)), (2 * i + 1, " ".join(b))]
+    want = set()
+    for x, y in zip(docs[::2], docs[1::2]):
+        e = P.paragraphs([x[1].encode(), y[1].encode()])[3]
+        d = dict(zip(P.digests(e).view(np.int64).tolist(), (set(s.tolist()) for s in e)))
+        want |= {(a, b) for a in d for b in d if a < b and len(d[a] & d[b]) >= P.COMMON}
+    links = P.near_links(spark.createDataFrame(docs, "doc_id long, text string").selectExpr("doc_id", "cast(text as binary) as t"))
+    got = {(min(x), max(x)) for x in links.collect()}
+    assert got <= want and len(want) > 50 and len(got) > 0.93 * len(want), (len(got), len(want))
