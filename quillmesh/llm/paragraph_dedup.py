@@ -16,8 +16,8 @@ stays, the others are removals. Overlapping paragraphs of a document merge into
 What only few paragraphs need (band members, occurrences) is made in a second pass over the texts behind a bitmap of fixed size; a false
 positive costs a row and no result.
 
-Defined cases: null, empty and shorter texts have no paragraph; a paragraph repeated within one row counts once, at its
-first place; rows without an id take part as document null and never come first; equal rows are
+Defined cases: null, empty and shorter texts have no paragraph; a paragraph repeated within one row counts at each
+place that doesn't overlap the one before; rows without an id take part as document null and never come first; equal rows are
 one document; further columns are ignored; an empty table gives no rows.
 """
 
@@ -165,8 +165,8 @@ def _signed(x: np.ndarray) -> pa.Array:
     return pa.array(x.view(np.int64))
 
 
-def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """(ids, row, first word, whether it is banded, elements) of some rows at a time, each paragraph of a row once."""
+def _groups(batches: Iterator[pa.RecordBatch], places: bool = False) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(ids, row, first word, whether it is banded, elements) of some rows at a time, each paragraph of a row once; with ``places`` at every place that overlaps none before."""
     for b in batches:
         for at in range(0, b.num_rows, 64):
             part = b.slice(at, 64)
@@ -175,6 +175,13 @@ def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, np.nd
             order = np.lexsort((word, d, row))
             first = np.ones(len(order), bool)
             first[1:] = (row[order][1:] != row[order][:-1]) | (d[order][1:] != d[order][:-1])
+            if places:
+                at_word, before, last = word[order], -2, 0
+                for i in np.flatnonzero(~first).tolist():
+                    last = at_word[i - 1] if before != i - 1 else last
+                    if at_word[i] - last >= WORDS:
+                        first[i], last = True, at_word[i]
+                    before = i
             keep = np.sort(order[first])
             yield part.column(0), row[keep], word[keep], lead[keep], e[keep]
 
@@ -186,7 +193,7 @@ def _pieces(e: np.ndarray) -> pa.Array:
 def _occurrences(bitmap):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = np.frombuffer(bitmap.value, np.uint8) if bitmap is not None else None
-        for ids, row, word, _, e in _groups(batches):
+        for ids, row, word, _, e in _groups(batches, places=True):
             d = digests(e)
             keep = _hit(bits, d) if bits is not None else np.ones(len(d), bool)
             yield pa.RecordBatch.from_arrays([_signed(d[keep]), ids.take(pa.array(row[keep])), pa.array(word[keep], pa.int64())], names=["cid", "doc_id", "word"])

@@ -116,3 +116,17 @@ def test_edited_passages_link_wherever_their_stretches_start(spark):
     links = P.near_links(spark.createDataFrame(docs, "doc_id long, text string").selectExpr("doc_id", "cast(text as binary) as t"))
     got = {(min(x), max(x)) for x in links.collect()}
     assert got <= want and len(want) > 50 and len(got) > 0.93 * len(want), (len(got), len(want))
+
+
+def test_every_exact_copy_within_a_text_counts(spark):
+    r = random.Random(9)
+    p, gaps = words(r, 60), [words(r, 30) for _ in range(7)]
+    own = gaps[0] + p + gaps[1] + p + gaps[2] + p + gaps[3]
+    docs = [(1, " ".join(own)), (2, " ".join(gaps[4] + p + gaps[5] + p + gaps[6]))]
+    for rows, want in ((docs[:1], {(1, 120), (1, 210)}), (docs, {(1, 120), (1, 210), (2, 30), (2, 120)})):
+        spans = P.repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+        removed = [(x.doc_id, x.first_word, x.end_word) for x in spans if not x.kept]
+        assert len(removed) == len(want)
+        assert all(any(d == doc and at - 2 <= a and b <= at + 62 for doc, at in want) for d, a, b in removed)
+        assert {(d, at) for d, a, b in removed for doc, at in want if d == doc and at - 2 <= a < at + 60} == want
+        assert any(x.kept and x.doc_id == 1 and 28 <= x.first_word < 90 for x in spans)
