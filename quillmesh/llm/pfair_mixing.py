@@ -156,14 +156,22 @@ def schedule(docs: DataFrame, weights: dict[str, float] | None = None, block_byt
     return rows.join(blocks, ["key", "block"]).select("id", "source", "h", "n", "bytes", "copy", "block", "slot", "release", "deadline", "phase", "before")
 
 
-def mixed(docs: DataFrame, **options) -> DataFrame:
-    """``docs`` in the order of the mix; equal rows stand together at their first one's place."""
+def positioned(docs: DataFrame, slot: str = "mix_slot", before: str = "mix_before", **options) -> DataFrame:
+    """``docs`` in the order of the mix, with the columns ``slot`` and ``before`` that say it; equal rows stand together at their first one's place.
+
+    The place depends on the rows alone, so it is the same in whatever order and files they are read.
+    """
     order = schedule(docs, **options).where("copy = 0")
-    h, slot, before = (fresh(docs, n) for n in ("mix_h", "mix_slot", "mix_before"))
+    h = fresh(docs, "mix_h")
     order = order.select(F.col("id").alias(h + "_id"), F.col("h").alias(h), F.col("slot").alias(slot), F.col("before").alias(before))
     rows = docs.withColumn(h, row_hash(F.coalesce(F.col("text").cast("string"), F.lit(""))))
     joined = rows.join(order, (rows[h] == order[h]) & rows["doc_id"].eqNullSafe(order[h + "_id"]))
-    return joined.orderBy(slot, before).select(*(rows[f"`{c}`"] for c in docs.columns))
+    return joined.orderBy(slot, before).select(*(rows[f"`{c}`"] for c in docs.columns), slot, before)
+
+
+def mixed(docs: DataFrame, **options) -> DataFrame:
+    """``docs`` in the order of the mix; equal rows stand together at their first one's place."""
+    return positioned(docs, fresh(docs, "mix_slot"), fresh(docs, "mix_before"), **options).select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def op5_pfair_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -94,3 +94,8 @@ def test_sources_past_the_most_keep_their_weights(monkeypatch):
         assert slots == sorted(slots)
         took, total = sum(t < 2000 for t in slots), sum(weights.values())
         assert abs(took - 2000 * weights[s] / total) < 3
+
+
+def test_position_survives_any_order_of_rows(odd):
+    key = lambda df: sorted((str(r[0]), str(r[1]), r.mix_slot, r.mix_before) for r in df.collect())
+    assert key(M.positioned(odd, block_bytes=300)) == key(M.positioned(odd.orderBy("n_chars").repartition(7), block_bytes=300))

@@ -49,3 +49,18 @@ def test_empty_table(spark, none, tmp_path):
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     assert pipeline.run(spark, str(tmp_path)).count() == 0
     assert simhash_dedup.deduplicated(none).columns == none.columns
+
+
+def test_the_mix_shows_in_the_result(spark, corpus, monkeypatch):
+    monkeypatch.setattr(pipeline.pfair_mixing.schedule, "__defaults__", (None, 300, *pipeline.pfair_mixing.schedule.__defaults__[2:]))
+    got = pipeline.run(spark, corpus)
+    rows = got.collect()
+    places = [(r.mix_slot, r.mix_before) for r in rows]
+    assert places == sorted(places) and len({p[0] for p in places}) > 20
+    docs = spark.read.parquet(f"{corpus}/documents.parquet")
+    for name, stage in pipeline.STAGES[:3]:
+        docs = stage(spark, docs, corpus)
+    due = {(r.id, r.source, r.before): (r.slot, r.release, r.deadline) for r in pipeline.pfair_mixing.schedule(docs).collect()}
+    for r in rows:
+        slot, release, deadline = due[r.doc_id, r.source or "", r.mix_before]
+        assert release <= r.mix_slot == slot < deadline
