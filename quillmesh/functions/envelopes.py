@@ -1,7 +1,7 @@
 """Reading JSON envelopes as variants: typed fields, and a fingerprint of the payload.
 
 A variant keeps a field's JSON type, so a number where a string belongs is told from a string, and a
-wrong type from an absent field.
+wrong type from an absent field. A line is parsed once; its fields are then variants of their own.
 """
 
 from __future__ import annotations
@@ -13,43 +13,44 @@ INT_MAX = 2**31 - 1
 
 
 def parsed(raw: Column) -> Column:
-    """The envelope as a variant; null unless it is one JSON object without repeated keys."""
-    v = F.try_parse_json(raw)
-    return F.when(F.schema_of_variant(v).startswith("OBJECT"), v)
+    """The envelope as a variant; null unless it is JSON without repeated keys."""
+    return F.try_parse_json(raw)
 
 
-def kind(envelope: Column, field: str) -> Column:
+def is_object(envelope: Column) -> Column:
+    return F.coalesce(F.schema_of_variant(envelope).startswith("OBJECT"), F.lit(False))
+
+
+def fields(envelope: Column, names: list[str]) -> Column:
+    """The named fields of an object as a struct of variants."""
+    return F.try_variant_get(envelope, "$", f"struct<{','.join(f'{n}:variant' for n in names)}>")
+
+
+def kind(field: Column) -> Column:
     """JSON type of a field; null if it is absent or null."""
-    k = F.schema_of_variant(F.try_variant_get(envelope, f"$.{field}", "variant"))
-    return F.when(k != "VOID", k)
+    return F.nullif(F.schema_of_variant(field), F.lit("VOID"))
 
 
-def string_field(envelope: Column, field: str) -> Column:
+def string_value(field: Column, kind: Column) -> Column:
     """A field's value if it is a string."""
-    return F.when(kind(envelope, field) == "STRING", F.try_variant_get(envelope, f"$.{field}", "string"))
+    return F.when(kind == "STRING", F.try_variant_get(field, "$", "string"))
 
 
-def int_field(envelope: Column, field: str) -> Column:
+def int_value(field: Column, kind: Column) -> Column:
     """A field's value if it is a whole number of 32 bits, written as one."""
-    n = F.try_variant_get(envelope, f"$.{field}", "long")
-    return F.when((kind(envelope, field) == "BIGINT") & n.between(-INT_MAX - 1, INT_MAX), n.cast("int"))
+    return F.when(kind == "BIGINT", F.try_variant_get(field, "$", "int"))
 
 
-def strings_field(envelope: Column, field: str) -> Column:
+def strings_value(field: Column, kind: Column) -> Column:
     """A field's distinct values if it is an array of strings; null if it is absent or something else."""
-    return F.when(kind(envelope, field).isin("ARRAY<STRING>", "ARRAY<VOID>"), F.array_distinct(F.try_variant_get(envelope, f"$.{field}", "array<string>")))
-
-
-def wrong_kind(envelope: Column, field: str, value: Column) -> Column:
-    """Whether a field is there but could not be read."""
-    return kind(envelope, field).isNotNull() & value.isNull()
+    return F.when(kind.isin("ARRAY<STRING>", "ARRAY<VOID>"), F.array_distinct(F.try_variant_get(field, "$", "array<string>")))
 
 
-def json_field(envelope: Column, field: str) -> Column:
+def json_value(field: Column, kind: Column) -> Column:
     """A field of any type as JSON text; null if absent or null."""
-    return F.when(kind(envelope, field).isNotNull(), F.to_json(F.try_variant_get(envelope, f"$.{field}", "variant")))
+    return F.when(kind.isNotNull(), F.to_json(field))
 
 
-def fingerprint(raw: Column, envelope: Column) -> Column:
+def fingerprint(raw: Column, envelope: Column, well_formed: Column) -> Column:
     """Digest of the whole envelope: key order and white space don't count; array order and explicit nulls do."""
-    return F.sha2(F.coalesce(F.to_json(envelope), F.trim(raw), F.lit("")), 256)
+    return F.sha2(F.coalesce(F.when(well_formed, F.to_json(envelope)), F.trim(raw), F.lit("")), 256)

@@ -12,59 +12,60 @@ from quillmesh.contract import CANONICAL_VERSION, CHANNELS
 from quillmesh.functions import envelopes as E
 
 
+_LISTS = ("accommodations", "consent", "scopes")
+_STRINGS = ("eventId", "channel", "revokes", *(fields[0] for fields in CHANNELS.values()))
+_PERSONS = tuple(fields[1] for fields in CHANNELS.values())
+_FIELDS = [*_STRINGS, *_PERSONS, *_LISTS, "callbackWindowMinutes"]
+
+
 def parse(inbox: DataFrame) -> DataFrame:
-    """``inbox`` (raw, arrival) with the variant ``envelope``; bad input stays, with a null envelope.
+    """``inbox`` (raw, arrival) with the variant ``envelope``, whether it is ``well_formed``, and its contract fields as the variants of ``f``.
 
-    A generator makes the column, for projections over it can't be merged into one that parses the line for every field.
+    Bad input stays, with null fields. A line is parsed once: what follows reads the fields' own variants.
     """
-    return inbox.select("*", F.explode(F.array(E.parsed(F.col("raw")))).alias("envelope"))
+    rows = inbox.withColumn("envelope", E.parsed(F.col("raw"))).withColumn("well_formed", E.is_object(F.col("envelope")))
+    return rows.withColumn("f", E.fields(F.when(F.col("well_formed"), F.col("envelope")), _FIELDS))
 
 
-def _by_channel(channel: Column, read, place: int) -> Column:
+def _by_channel(values: dict[str, Column], place: int) -> Column:
     out = F.lit(None)
     for name, fields in CHANNELS.items():
-        if fields[place]:
-            out = F.when(channel == name, read(F.col("envelope"), fields[place])).otherwise(out)
-    return out
+        out = F.when(F.col("v.channel") == name, values[fields[place]]).otherwise(out)
+    return out.cast("string")
 
 
-def adapt(parsed: DataFrame, *kept: str) -> DataFrame:
-    """Parsed envelopes as canonical rows; ``malformed_field`` marks a field of a wrong type, ``kept`` names further columns to keep.
+def adapt(parsed: DataFrame) -> DataFrame:
+    """Parsed envelopes as canonical rows; ``malformed_field`` marks a field of a wrong type.
 
     A row with ``revokes`` is a revocation and needs no channel. Fields that a channel's contract doesn't name stay
     in ``raw`` and in the fingerprint alone, but a callback window is read on any channel, for its range check.
     """
-    e = F.col("envelope")
-    channel = E.string_field(e, "channel")
-    window = E.int_field(e, "callbackWindowMinutes")
-    lists = {f: E.strings_field(e, f) for f in ("accommodations", "consent", "scopes")}
-    source = _by_channel(channel, E.string_field, 0).cast("string")
-    wrong = E.wrong_kind(e, "eventId", E.string_field(e, "eventId")) | E.wrong_kind(e, "channel", channel) | E.wrong_kind(e, "revokes", E.string_field(e, "revokes")) | E.wrong_kind(e, "callbackWindowMinutes", window)
-    for f, value in lists.items():
-        wrong = wrong | E.wrong_kind(e, f, value)
-    for fields in CHANNELS.values():
-        wrong = wrong | E.wrong_kind(e, fields[0], E.string_field(e, fields[0]))
-    fields = [
+    field, kind = (lambda n: F.col(f"f.{n}")), (lambda n: F.col(f"k.{n}"))
+    rows = parsed.withColumn("k", F.struct(*(E.kind(field(n)).alias(n) for n in _FIELDS)))
+    read = {n: E.string_value for n in _STRINGS} | {n: E.strings_value for n in _LISTS} | {n: E.json_value for n in _PERSONS} | {"callbackWindowMinutes": E.int_value}
+    rows = rows.withColumn("v", F.struct(*(read[n](field(n), kind(n)).alias(n) for n in _FIELDS)))
+    value = {n: F.col(f"v.{n}") for n in _FIELDS}
+    wrong = F.lit(False)
+    for n in (*_STRINGS, *_LISTS, "callbackWindowMinutes"):
+        wrong = wrong | (kind(n).isNotNull() & value[n].isNull())
+    return rows.select(
         F.lit(CANONICAL_VERSION).alias("canonicalVersion"),
-        E.string_field(e, "eventId").alias("eventId"),
-        channel.alias("channel"),
-        source.alias("sourceId"),
-        _by_channel(channel, E.json_field, 1).cast("string").alias("person"),
-        F.when(channel == "HOTLINE", window).alias("callbackWindowMinutes"),
-        lists["accommodations"].alias("accommodations"),
-        lists["consent"].alias("consent"),
-        E.string_field(e, "revokes").alias("revokes"),
-        lists["scopes"].alias("scopes"),
+        value["eventId"].alias("eventId"),
+        value["channel"].alias("channel"),
+        _by_channel(value, 0).alias("sourceId"),
+        _by_channel(value, 1).alias("person"),
+        F.when(value["channel"] == "HOTLINE", value["callbackWindowMinutes"]).alias("callbackWindowMinutes"),
+        value["accommodations"].alias("accommodations"),
+        value["consent"].alias("consent"),
+        value["revokes"].alias("revokes"),
+        value["scopes"].alias("scopes"),
         "arrival",
-        E.fingerprint(F.col("raw"), e).alias("payload_fp"),
-        e.isNotNull().alias("well_formed"),
+        E.fingerprint(F.col("raw"), F.col("envelope"), F.col("well_formed")).alias("payload_fp"),
+        "well_formed",
         wrong.alias("malformed_field"),
-        window.alias("window_read"),
+        value["callbackWindowMinutes"].alias("window_read"),
         "raw",
-        *kept,
-    ]
-    # a generator again: the checks read these fields many times
-    return parsed.select(F.inline(F.array(F.struct(*fields))))
+    )
 
 
 def by_channel(canonical: DataFrame, channel: str) -> DataFrame:

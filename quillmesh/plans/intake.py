@@ -1,12 +1,15 @@
-"""The intake plan: inbox to outcomes."""
+"""The intake plan: inbox to outcomes, and outcomes to the ledger."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from quillmesh.operators.canonical import adapt, parse
 from quillmesh.operators.idempotency import resolve
 from quillmesh.operators.validate import validate
+from quillmesh.sources import ledger
+from quillmesh.sources.scratch import written
 
 
 def canonical(inbox: DataFrame) -> DataFrame:
@@ -14,6 +17,21 @@ def canonical(inbox: DataFrame) -> DataFrame:
     return validate(adapt(parse(inbox)))
 
 
-def outcomes(inbox: DataFrame, ledger: DataFrame | None = None) -> DataFrame:
-    """Canonical rows with errors and outcome; ``ledger`` holds what came before."""
-    return resolve(canonical(inbox), ledger)
+def outcomes(inbox: DataFrame, before: DataFrame | None = None) -> DataFrame:
+    """Canonical rows with errors and outcome; ``before`` holds what came before.
+
+    The canonical rows are written once, in the shared folder, so that each line is parsed once although first arrivals and rows both need it.
+    """
+    return resolve(written(canonical(inbox), "canonical"), before)
+
+
+def ingest(spark: SparkSession, lines: DataFrame, path: str, ingest_date: str, batch: str) -> DataFrame:
+    """Judges ``lines`` (raw, arrival from 0) against the ledger at ``path``, appends them as a batch and returns the batch's rows.
+
+    A batch that runs again after a failure is judged without its own earlier rows and overwrites them. One writer at a time: the arrival numbers
+    follow the largest in the ledger.
+    """
+    before = ledger.known(spark, path, ingest_date, batch)
+    first = 0 if before is None else ledger.next_arrival(before)
+    ledger.append(outcomes(lines.withColumn("arrival", lines["arrival"] + first), before), path, ingest_date, batch)
+    return ledger.read(spark, path).where((F.col("ingest_date") == ingest_date) & (F.col("batch") == batch))

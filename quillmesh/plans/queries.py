@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+import json
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,9 +11,12 @@ from quillmesh.operators import canonical as C
 from quillmesh.operators import consent as K
 from quillmesh.operators.idempotency import firsts
 from quillmesh.operators.validate import split
-from quillmesh.plans.intake import canonical, outcomes
+from quillmesh.plans.intake import canonical, ingest, outcomes
 from quillmesh.sources import ledger
+from quillmesh.sources.inbox import Endpoint, read_inbox, stream_inbox
+from quillmesh.sources.scratch import folder, written
 from quillmesh.sources.synthetic import SQL, inbox
+from quillmesh.streaming.intake import start
 
 
 def _list(c: str):
@@ -22,7 +24,7 @@ def _list(c: str):
 
 
 def _canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return canonical(inbox(spark, sf_dir))
+    return written(canonical(inbox(spark, sf_dir)), "canonical")
 
 
 def _outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -30,14 +32,22 @@ def _outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _accepted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return split(_outcomes(spark, sf_dir))[0]
+    """Accepted rows, read from outcomes that are written once, as from a ledger."""
+    return split(written(_outcomes(spark, sf_dir), "outcomes"))[0]
 
 
 _FIELDS = ["arrival", "eventId", "channel", "sourceId", "person"]
 
 
+def _landed(lines: DataFrame, path: str) -> str:
+    lines.select("raw").write.mode("append").text(path)
+    return path
+
+
 def envelope_scan(spark, sf_dir):
-    return inbox(spark, sf_dir).agg(F.count(F.lit(1)).alias("n_lines"), F.sum("arrival").alias("arrivals"))
+    """The lines land as text files and are read with arrival numbers from 0, without a gap."""
+    path = _landed(inbox(spark, sf_dir), folder(spark, "landing"))
+    return read_inbox(spark, path).agg(F.count(F.lit(1)).alias("n_lines"), F.sum("arrival").alias("arrivals"))
 
 
 def envelope_parse(spark, sf_dir):
@@ -59,6 +69,16 @@ def source_correlation(spark, sf_dir):
     return C.correlate(_canonical(spark, sf_dir))
 
 
+#: A source ID that stands for three events.
+SOURCE = "S-7"
+
+
+def source_lookup(spark, sf_dir):
+    rows = _canonical(spark, sf_dir)
+    found = C.of_source(rows, "PHYSICAL", SOURCE).unionAll(C.of_source(rows, "HOTLINE", SOURCE)).unionAll(C.of_source(rows, "WEB", SOURCE))
+    return found.select("arrival", "eventId", "channel")
+
+
 def _failing(error):
     def query(spark, sf_dir):
         return _canonical(spark, sf_dir).where(F.array_contains("errors", error)).select("arrival", "eventId")
@@ -70,9 +90,14 @@ def error_accumulation(spark, sf_dir):
     return _outcomes(spark, sf_dir).where(F.size("errors") > 0).select("arrival", F.array_join("errors", ",").alias("errors"))
 
 
+def intake_outcomes(spark, sf_dir):
+    return _outcomes(spark, sf_dir).groupBy("channel", "outcome").agg(F.count(F.lit(1)).alias("n"))
+
+
 def accept_reject_split(spark, sf_dir):
-    accepted, replays, rejected = split(_outcomes(spark, sf_dir))
-    return accepted.unionByName(replays).unionByName(rejected).groupBy("channel", "outcome").agg(F.count(F.lit(1)).alias("n"))
+    """Ledger and quarantine: the parts of the split, each described by itself."""
+    described = [p.agg(F.lit(n).alias("part"), F.count(F.lit(1)).alias("n"), F.min("arrival").alias("first"), F.max("arrival").alias("last"), F.sum(F.size("errors")).alias("errors")) for n, p in zip(("accepted", "replays", "rejected"), split(written(_outcomes(spark, sf_dir), "outcomes")))]
+    return described[0].unionAll(described[1]).unionAll(described[2])
 
 
 def idempotent_replay(spark, sf_dir):
@@ -85,7 +110,7 @@ def conflict_detection(spark, sf_dir):
 
 def payload_fingerprint(spark, sf_dir):
     rows = _canonical(spark, sf_dir).where("eventId is not null")
-    same = rows.join(firsts(rows), "eventId").withColumn("same", (F.col("payload_fp") == F.col("first.payload_fp")).cast("int"))
+    same = rows.join(firsts(rows), F.col("eventId") == F.col("event")).withColumn("same", (F.col("payload_fp") == F.col("first.payload_fp")).cast("int"))
     return same.groupBy("eventId").agg(F.count(F.lit(1)).alias("n"), F.sum("same").alias("n_same"))
 
 
@@ -106,28 +131,53 @@ def consent_gated_projection(spark, sf_dir):
     return rows.select("eventId", F.col("callbackWindowMinutes").cast("string").alias("minutes"), "sourceId", "person", _list("accommodations"))
 
 
-def _place(spark: SparkSession) -> str:
-    return f"{(spark.conf.get('spark.checkpoint.dir', None) or tempfile.mkdtemp(prefix='quillmesh-')).rstrip('/')}/ledger-{uuid.uuid4().hex}"
-
-
 def ledger_sink(spark, sf_dir):
-    path, found = _place(spark), _outcomes(spark, sf_dir)
+    path, lines = folder(spark, "ledger"), inbox(spark, sf_dir)
     for _ in range(2):  # a batch that is run again leaves one copy
-        ledger.append(found, path, "2024-01-31", "b1")
+        ingest(spark, lines, path, "2024-01-31", "b1")
     return ledger.read(spark, path).groupBy("ingest_date", "outcome").agg(F.count(F.lit(1)).alias("n"))
 
 
 def resubmission(spark, sf_dir):
     """A second day sends every line of the first again: all event IDs are known by then."""
-    path, lines = _place(spark), inbox(spark, sf_dir)
-    ledger.append(outcomes(lines), path, "2024-01-31", "b1")
-    before = ledger.read(spark, path)
-    again = outcomes(lines.withColumn("arrival", F.col("arrival") + ledger.next_arrival(before)), before)
-    return again.groupBy("outcome").agg(F.count(F.lit(1)).alias("n"))
+    path, lines = folder(spark, "ledger"), inbox(spark, sf_dir)
+    ingest(spark, lines, path, "2024-01-31", "b1")
+    return ingest(spark, lines, path, "2024-02-01", "b1").groupBy("outcome").agg(F.count(F.lit(1)).alias("n"))
+
+
+def stream_intake(spark, sf_dir):
+    """First submissions come by a batch, what follows them by a stream over landed files; the ledger holds the outcomes of all."""
+    path, landing, lines = folder(spark, "ledger"), folder(spark, "landing"), inbox(spark, sf_dir)
+    ingest(spark, lines.where("arrival % 10 = 0"), path, "2024-01-30", "b1")
+    _landed(lines.where("arrival % 10 != 0"), landing)
+    query = start(spark, stream_inbox(spark, landing), path, folder(spark, "checkpoint"), "2024-01-31").trigger(availableNow=True).start()
+    query.awaitTermination()
+    return ledger.read(spark, path).groupBy("ingest_date", "channel", "outcome").agg(F.count(F.lit(1)).alias("n"))
+
+
+#: Envelopes that are posted: two in one body, one sent twice, one that no channel knows.
+POSTED = [
+    [{"eventId": "P-1", "channel": "PHYSICAL", "deskReceiptNo": "D-1"}, {"eventId": "P-2", "channel": "HOTLINE", "callRef": "C-2", "callbackWindowMinutes": 30}],
+    {"eventId": "P-3", "channel": "WEB", "submissionId": "W-3"},
+    {"eventId": "P-3", "channel": "WEB", "submissionId": "W-3"},
+    {"eventId": "P-4", "channel": "FAX"},
+]
+
+
+def endpoint_submission(spark, sf_dir):
+    """HTTP submissions, landed and judged. The server writes to a mounted folder, so the shared folder must be one."""
+    from urllib.request import Request, urlopen
+
+    landing = folder(spark, "landing").removeprefix("file://")
+    with Endpoint(landing) as server:
+        for body in POSTED:
+            with urlopen(Request(f"http://127.0.0.1:{server.port}/intake", json.dumps(body).encode(), method="POST"), timeout=30) as answer:
+                assert answer.status == 202
+    return outcomes(read_inbox(spark, f"file://{landing}")).select("eventId", "channel", "outcome", F.array_join("errors", ",").alias("errors"))
 
 
 def retention(spark, sf_dir):
-    path, found = _place(spark), _outcomes(spark, sf_dir)
+    path, found = folder(spark, "ledger"), written(_outcomes(spark, sf_dir), "outcomes")
     ledger.append(found.where("arrival % 2 = 0"), path, "2024-01-30", "b1")
     ledger.append(found.where("arrival % 2 = 1"), path, "2024-01-31", "b1")
     ledger.purge(spark, path, "2024-01-31")
@@ -135,7 +185,7 @@ def retention(spark, sf_dir):
 
 
 QUERIES = {
-    "intake_outcomes": accept_reject_split,
+    "intake_outcomes": intake_outcomes,
     "envelope_scan": envelope_scan,
     "envelope_parse": envelope_parse,
     "adapter_physical": _adapter("PHYSICAL"),
@@ -143,6 +193,7 @@ QUERIES = {
     "adapter_web": _adapter("WEB"),
     "canonical_merge": canonical_merge,
     "source_correlation": source_correlation,
+    "source_lookup": source_lookup,
     "channel_domain_check": _failing("UNKNOWN_CHANNEL"),
     "source_id_check": _failing("MISSING_SOURCE_ID"),
     "accommodation_domain_check": _failing("UNKNOWN_ACCOMMODATION"),
@@ -161,6 +212,8 @@ QUERIES = {
     "ledger_sink": ledger_sink,
     "resubmission": resubmission,
     "retention": retention,
+    "stream_intake": stream_intake,
+    "endpoint_submission": endpoint_submission,
 }
 
 
@@ -176,17 +229,18 @@ def _channel(c: str) -> str:
     return SQL + f"select arrival, eventId, channel, sourceId, person, cast(minutes as varchar) as minutes from lines where channel = '{c}'"
 
 
-_SPLIT = SQL + "select channel, outcome, count(*) as n from outcomes group by all"
+_PARTS = "case outcome when 'ACCEPTED' then 'accepted' when 'REPLAY' then 'replays' else 'rejected' end"
 
 ORACLES = {
-    "intake_outcomes": _SPLIT,
-    "envelope_scan": SQL + "select count(*) as n_lines, cast(sum(arrival) as bigint) as arrivals from lines",
+    "intake_outcomes": SQL + "select channel, outcome, count(*) as n from outcomes group by all",
+    "envelope_scan": SQL + "select count(*) as n_lines, cast(count(*) * (count(*) - 1) // 2 as bigint) as arrivals from lines",
     "envelope_parse": SQL + f"select arrival, eventId, revokes, not broken as well_formed, {_csv('accommodations')}, {_csv('consent')}, {_csv('scopes')} from lines",
     "adapter_physical": _channel("PHYSICAL"),
     "adapter_hotline": _channel("HOTLINE"),
     "adapter_web": _channel("WEB"),
     "canonical_merge": SQL + "select 'intake.v1' as canonicalVersion, channel, count(*) as n, count(sourceId) as n_source, count(person) as n_person, cast(sum(minutes) as varchar) as minutes from lines group by all",
     "source_correlation": SQL + "select channel, sourceId, count(*) as n_events, arg_min(eventId, arrival) as first_event, arg_max(eventId, arrival) as last_event from lines where channel is not null and sourceId is not null group by all",
+    "source_lookup": SQL + f"select arrival, eventId, channel from lines where channel in ('PHYSICAL', 'HOTLINE', 'WEB') and sourceId = '{SOURCE}'",
     "channel_domain_check": _error("UNKNOWN_CHANNEL"),
     "source_id_check": _error("MISSING_SOURCE_ID"),
     "accommodation_domain_check": _error("UNKNOWN_ACCOMMODATION"),
@@ -194,7 +248,7 @@ ORACLES = {
     "callback_range_check": _error("NEGATIVE_CALLBACK_WINDOW"),
     "malformed_envelope_check": _error("MALFORMED_ENVELOPE"),
     "error_accumulation": SQL + "select arrival, array_to_string(errors, ',') as errors from outcomes where len(errors) > 0",
-    "accept_reject_split": _SPLIT,
+    "accept_reject_split": SQL + f"select {_PARTS} as part, count(*) as n, min(arrival) as first, max(arrival) as last, cast(sum(len(errors)) as bigint) as errors from outcomes group by all",
     "idempotent_replay": SQL + "select arrival, eventId from outcomes where outcome = 'REPLAY'",
     "conflict_detection": SQL + "select arrival, eventId from outcomes where list_contains(errors, 'EVENT_ID_CONFLICT')",
     "payload_fingerprint": SQL + "select eventId, count(*) as n, count(*) filter (payload = p0) as n_same from placed where eventId is not null group by all",
@@ -206,5 +260,7 @@ ORACLES = {
     + "case when list_contains(eff, 'ACCOMMODATION_TRANSFER') then array_to_string(list_sort(accommodations), ',') end as accommodations from effective",
     "ledger_sink": SQL + "select '2024-01-31' as ingest_date, outcome, count(*) as n from outcomes group by all",
     "resubmission": SQL + "select case when eventId is null then 'REJECTED' when payload = p0 then 'REPLAY' else 'REJECTED' end as outcome, count(*) as n from placed group by all",
+    "stream_intake": SQL + "select case when arrival % 10 = 0 then '2024-01-30' else '2024-01-31' end as ingest_date, channel, outcome, count(*) as n from outcomes group by all",
+    "endpoint_submission": "select * from (values ('P-1', 'PHYSICAL', 'ACCEPTED', ''), ('P-2', 'HOTLINE', 'ACCEPTED', ''), ('P-3', 'WEB', 'ACCEPTED', ''), ('P-3', 'WEB', 'REPLAY', ''), ('P-4', 'FAX', 'REJECTED', 'UNKNOWN_CHANNEL')) as t(eventId, channel, outcome, errors)",
     "retention": SQL + "select '2024-01-31' as ingest_date, count(*) as n from outcomes where arrival % 2 = 1",
 }

@@ -1,65 +1,123 @@
 """The landing directory: files of one JSON envelope a line.
 
-A line's arrival number is assigned once, when it is read into the ledger, since nothing in an envelope orders events.
+Nothing in an envelope orders events, so a line's arrival number says when it landed: by the file's modification time, then its name, then
+the line's place in it. Batch and stream number alike.
 """
 
 from __future__ import annotations
 
 import json
 import os
+import re
 import threading
 import uuid
 from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+_LANDED = ["time", "file", "block"]
 
-def read_inbox(spark: SparkSession, path: str, first_arrival: int = 0) -> DataFrame:
-    """(raw, arrival) of each line under ``path``, blank ones included; arrivals follow the files' partitions."""
-    return spark.read.text(path).select(F.col("value").alias("raw"), (F.monotonically_increasing_id() + first_arrival).alias("arrival"))
+
+def _landed() -> Column:
+    return F.struct(F.col("_metadata.file_modification_time").alias("time"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block")).alias("landed")
+
+
+def numbered(lines: DataFrame) -> DataFrame:
+    """(raw, arrival) of ``lines`` (raw, landed): whole numbers from 0 in the order of landing.
+
+    A split of a file is read by one task in its order; the splits' counts, one row for each, are summed in theirs. Lines aren't sorted.
+    """
+    rows = lines.select("raw", "landed.*", F.monotonically_increasing_id().alias("at"))
+    splits = rows.groupBy(*_LANDED).agg(F.count(F.lit(1)).alias("n"), F.min("at").alias("least"))
+    earlier = Window.orderBy(*_LANDED).rowsBetween(Window.unboundedPreceding, -1)
+    splits = splits.select(*_LANDED, "least", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("first"))
+    return rows.join(splits, _LANDED).select("raw", (F.col("first") + F.col("at") - F.col("least")).alias("arrival"))
+
+
+def read_inbox(spark: SparkSession, path: str) -> DataFrame:
+    """(raw, arrival) of each line under ``path``, blank ones included."""
+    return numbered(spark.read.text(path).select(F.col("value").alias("raw"), _landed()))
 
 
 def stream_inbox(spark: SparkSession, path: str, files_per_trigger: int = 1000) -> DataFrame:
-    """(raw, landed): the same as a stream; landed is the file's modification time and name."""
-    lines = spark.readStream.option("maxFilesPerTrigger", files_per_trigger).text(path)
-    landed = F.struct(F.col("_metadata.file_modification_time").alias("time"), F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_block_start").alias("block"))
-    return lines.select(F.col("value").alias("raw"), landed.alias("landed"))
+    """(raw, landed): the lines as a stream."""
+    return spark.readStream.option("maxFilesPerTrigger", files_per_trigger).text(path).select(F.col("value").alias("raw"), _landed())
 
 
 def land(path: str, envelopes: list[str]) -> str:
-    """Writes envelopes as one file of the landing directory; it shows under its name only when whole."""
+    """Writes envelopes as one file of the landing directory; it shows under its name only when whole.
+
+    An envelope's text stays as it is, but for line breaks: inside a JSON string there are none, outside they are white space.
+    """
     os.makedirs(path, exist_ok=True)
     name = f"{uuid.uuid4().hex}.jsonl"
     hidden = os.path.join(path, f".{name}")
-    with open(hidden, "w", encoding="utf-8") as f:
-        f.writelines(" ".join(e.splitlines()) + "\n" for e in envelopes)
+    with open(hidden, "w", encoding="utf-8", newline="\n") as f:
+        f.writelines(re.sub(r"[\r\n]+", " ", e) + "\n" for e in envelopes)
     os.replace(hidden, os.path.join(path, name))
     return name
 
 
+def _unique(pairs: list[tuple[str, object]]) -> dict:
+    found = dict(pairs)
+    if len(found) < len(pairs):
+        raise ValueError("a key occurs twice")
+    return found
+
+
+def _refused(name: str) -> None:
+    raise ValueError(f"{name} is no JSON number")
+
+
+def envelopes_of(body: str) -> list[str]:
+    """The text of the body's one JSON value, or of each element if that is an array, unaltered. Raises ValueError for anything else."""
+    decoder, skip = json.JSONDecoder(object_pairs_hook=_unique, parse_constant=_refused), re.compile(r"[ \t\r\n]*")
+    pass_by = lambda i: skip.match(body, i).end()
+    start = pass_by(0)
+    value, end = decoder.raw_decode(body, start)
+    if pass_by(end) != len(body):
+        raise ValueError("more than one value")
+    if not isinstance(value, list):
+        return [body[start:end]]
+    out, i = [], pass_by(start + 1)
+    while body[i] != "]":
+        _, end = decoder.raw_decode(body, i)
+        out.append(body[i:end])
+        i = pass_by(end)
+        i = pass_by(i + 1) if body[i] == "," else i
+    return out
+
+
 class Endpoint:
     """HTTP submission: POST /intake with an envelope, or a JSON array of them, lands it and answers 202.
 
-    It judges nothing but whether the body is JSON; a client may send again after any failure, because replays
-    have no effect.
+    It judges nothing but whether the body is JSON in UTF-8 without repeated keys, and lands the text that it got; a client may send again after
+    any failure, because replays have no effect. Errors: 400 for a body or a length that can't be read, 404 for another path, 411 without
+    a length, 413 for a body beyond ``limit``. What became of an envelope is read from the ledger by its event ID.
     """
 
     def __init__(self, landing: str, port: int = 0, limit: int = 1 << 20):
         class Handler(BaseHTTPRequestHandler):
             def do_POST(self) -> None:
-                size = int(self.headers.get("Content-Length") or 0)
-                if self.path != "/intake" or size > limit:
-                    return self._say(404 if self.path != "/intake" else 413, {"error": "no such path" if self.path != "/intake" else "too large"})
+                given = self.headers.get("Content-Length")
+                if self.path != "/intake":
+                    return self._say(404, {"error": "no such path"})
+                if given is None:
+                    return self._say(411, {"error": "a length is needed"})
+                if not re.fullmatch(r"[0-9]{1,18}", given.strip()):
+                    return self._say(400, {"error": "no such length"})
+                if int(given) > limit:
+                    return self._say(413, {"error": "too large"})
                 try:
-                    body = json.loads(self.rfile.read(size))
-                except ValueError:
+                    each = envelopes_of(self.rfile.read(int(given)).decode("utf-8"))
+                except (ValueError, RecursionError):
                     return self._say(400, {"error": "not JSON"})
-                each = body if isinstance(body, list) else [body]
-                self._say(202, {"file": land(landing, [json.dumps(e, ensure_ascii=False) for e in each]), "envelopes": len(each)})
+                self._say(202, {"file": land(landing, each), "envelopes": len(each)})
 
             def _say(self, status: int, answer: dict) -> None:
                 data = json.dumps(answer).encode()
+                self.close_connection = True
                 self.send_response(status)
                 self.send_header("Content-Type", "application/json")
                 self.send_header("Content-Length", str(len(data)))

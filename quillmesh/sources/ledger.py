@@ -1,11 +1,14 @@
 """The ledger: an append-only Parquet table of outcomes, partitioned by ingest date and batch.
 
 A batch writes partitions of its own and overwrites only those, so running it again after a failure
-gives the same table. Rows hold personal data, rejected ones too; retention drops whole dates.
+gives the same table. Rows hold personal data, rejected ones too; retention drops whole dates, and landed files
+by their time. The stream keeps no state beside the ledger, and its checkpoint holds file names alone.
 """
 
 from __future__ import annotations
 
+from datetime import datetime, timezone
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,23 +24,56 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.option("basePath", path).parquet(path).withColumn("ingest_date", F.col("ingest_date").cast("string")).withColumn("batch", F.col("batch").cast("string"))
 
 
+def _files(spark: SparkSession, path: str):
+    """(file system, path) of a folder, by whatever scheme."""
+    root = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), root
+
+
+def known(spark: SparkSession, path: str, ingest_date: str, batch: str) -> DataFrame | None:
+    """What the ledger holds beside one batch; None if it has no rows yet."""
+    fs, root = _files(spark, path)
+    if not fs.exists(root) or not any(s.getPath().getName().startswith("ingest_date=") for s in fs.listStatus(root)):
+        return None
+    return read(spark, path).where((F.col("ingest_date") != ingest_date) | (F.col("batch") != batch))
+
+
 def next_arrival(ledger: DataFrame) -> int:
     """The first free arrival number."""
     last = ledger.agg(F.max("arrival")).first()[0]
     return 0 if last is None else last + 1
 
 
+def outcomes_of(ledger: DataFrame, event_id: str) -> DataFrame:
+    """What became of each submission of an event ID, in the order of arrival: where a client's 202 ends."""
+    return ledger.where(F.col("eventId") == event_id).select("arrival", "outcome", "errors", "ingest_date", "batch").orderBy("arrival")
+
+
 def purge(spark: SparkSession, path: str, before: str) -> list[str]:
     """Deletes the dates before ``before`` (an ISO date) and returns them. There is no default period: it is the owner's decision.
 
     A purged event ID is unknown afterwards: sent again, with whatever payload, it is a first arrival.
     """
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    root = jvm.org.apache.hadoop.fs.Path(path)
-    fs, gone = root.getFileSystem(conf), []
+    fs, root = _files(spark, path)
+    gone = []
     for status in fs.listStatus(root):
         name = status.getPath().getName()
         if name.startswith("ingest_date=") and (date := name.partition("=")[2]) < before:
             fs.delete(status.getPath(), True)
             gone.append(date)
     return sorted(gone)
+
+
+def purge_landing(spark: SparkSession, path: str, before: str) -> list[str]:
+    """Deletes the landed files last changed before the ISO date ``before`` (UTC) and returns their names.
+
+    They hold the raw lines, so retention covers them as it covers the ledger; purge only what has been ingested.
+    """
+    fs, root = _files(spark, path)
+    limit = datetime.fromisoformat(before).replace(tzinfo=timezone.utc).timestamp() * 1000
+    gone = []
+    for status in fs.listStatus(root):
+        if status.isFile() and status.getModificationTime() < limit:
+            fs.delete(status.getPath(), False)
+            gone.append(status.getPath().getName())
+    return sorted(gone)

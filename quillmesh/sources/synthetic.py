@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillmesh.sources.scratch import spread
+
 _CODES = "array('BRAILLE_MATERIAL', 'SIGN_INTERPRETER', 'TEXT_ONLY', 'STEP_FREE_ACCESS', 'NOT_A_CODE')"
 
 
@@ -32,7 +34,7 @@ def _envelope(accommodations: str, turned: bool = False) -> str:
 
 def inbox(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(raw, arrival) of the synthetic lines."""
-    events = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "user_id", F.get_json_object("props", "$.k").cast("int").alias("k"))
+    events = spread(spark.read.parquet(f"{sf_dir}/events.parquet")).select("event_id", "user_id", F.get_json_object("props", "$.k").cast("int").alias("k"))
     base = events.selectExpr(
         "event_id",
         "concat('EV-', event_id) as id",

@@ -1,61 +1,22 @@
-"""Continuous intake: the outcomes of the batch plan, with a keyed state in place of the aggregation.
+"""Continuous intake: each micro-batch goes through the batch plan, with the ledger as its state.
 
-The state of an event ID is the fingerprint of its first row. Nothing in an envelope is a time, so no
-watermark can drop a key: the state grows with the number of event IDs, in RocksDB where the session
-asks for it, until the owner of the data chooses a retention period.
+Stream and batch ingests of one ledger know each other's event IDs, and retention of the ledger is retention of the
+stream's memory: nothing in an envelope is a time by which a keyed state could drop its keys. A micro-batch reads of the ledger the event IDs,
+arrivals and fingerprints that its own event IDs meet.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
-
-from quillmesh.contract import ACCEPTED, REJECTED, REPLAY
-from quillmesh.operators.canonical import adapt, parse
-from quillmesh.operators.validate import validate
-from quillmesh.sources import ledger
-
-OUTPUT = "eventId string, channel string, sourceId string, person string, callbackWindowMinutes int, accommodations array<string>, consent array<string>, revokes string, scopes array<string>, payload_fp string, raw string, errors array<string>, outcome string, canonicalVersion string, arrival long"
-_COLUMNS = [c.split()[0] for c in OUTPUT.split(", ")]
-
-
-def _resolve(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    first = state.get[0] if state.exists else None
-    # rows of a key come in no order within a micro-batch
-    rows = pd.concat(list(parts)).sort_values(["time", "file", "block", "raw"], kind="stable")
-    out, errors = [], []
-    for fp, own in zip(rows["payload_fp"], rows["errors"]):
-        own = list(own)
-        if first is None:
-            first = fp
-            out.append(REJECTED if own else ACCEPTED)
-        elif fp == first:
-            out.append(REPLAY)
-        else:
-            own.append("EVENT_ID_CONFLICT")
-            out.append(REJECTED)
-        errors.append(own)
-    state.update((first,))
-    yield rows.assign(outcome=out, errors=errors)[_COLUMNS]
-
-
-def stream_outcomes(inbox: DataFrame) -> DataFrame:
-    """Outcomes of ``inbox`` (raw, landed) as a stream.
-
-    Rows without an event ID are rejected by the batch expressions alone and never reach the state. The order of a
-    key's rows is that of their files.
-    """
-    rows = parse(inbox.withColumn("arrival", F.lit(None).cast("long")))
-    canonical = validate(adapt(rows, "landed")).select("*", "landed.time", "landed.file", "landed.block").drop("landed", "well_formed", "malformed_field", "window_read")
-    keyed = canonical.where("eventId is not null").groupBy("eventId").applyInPandasWithState(_resolve, OUTPUT, "first string", "append", GroupStateTimeout.NoTimeout)
-    bare = canonical.where("eventId is null").withColumn("outcome", F.lit(REJECTED)).select(*_COLUMNS)
-    return keyed.unionByName(bare)
-
-
-def start(outcomes: DataFrame, path: str, checkpoint: str, ingest_date: str):
-    """Starts writing a stream of outcomes to the ledger; a micro-batch that is run again overwrites itself."""
-    return outcomes.writeStream.foreachBatch(lambda df, n: ledger.append(df, path, ingest_date, f"stream-{n:012d}")).option("checkpointLocation", checkpoint)
+from pyspark.sql import DataFrame, SparkSession
+
+from quillmesh.plans.intake import ingest
+from quillmesh.sources.inbox import numbered
+
+
+def start(spark: SparkSession, inbox: DataFrame, path: str, checkpoint: str, ingest_date: str):
+    """A writer that ingests ``inbox`` (raw, landed) into the ledger at ``path``; a micro-batch that is run again overwrites itself."""
+
+    def batch(df: DataFrame, n: int) -> None:
+        ingest(spark, numbered(df), path, ingest_date, f"stream-{n:012d}")
+
+    return inbox.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
