@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillmesh.sources.scratch import folder
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The Parquet table ``name`` under ``sf_dir``, by any path that Spark can read."""
@@ -21,18 +21,50 @@ def cut(df: DataFrame) -> DataFrame:
     """
     spark = df.sparkSession
     if not spark.conf.get("spark.checkpoint.dir", None) and not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="quillmesh-checkpoint-"))
+        spark.sparkContext.setCheckpointDir(folder(spark, "checkpoint"))
     return df.checkpoint(eager=True)
 
 
+#: Rows of an Arrow batch: with whole texts in them, Spark's 10,000 take tens of megabytes several times over.
+BATCH_ROWS = 1024
+
+
+def arrow(df: DataFrame, run, schema) -> DataFrame:
+    """``df.mapInArrow(run, schema)`` in batches of BATCH_ROWS at most, a setting of the session that only ever gets smaller."""
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(name)) <= BATCH_ROWS:
+        conf.set(name, str(BATCH_ROWS))
+    return df.mapInArrow(run, schema)
+
+
 def text_bytes(c: Column) -> Column:
     """UTF-8 bytes of a text; null counts as empty."""
     return F.coalesce(c.cast("string"), F.lit("")).cast("binary")
 
 
+def text_id(c: Column) -> Column:
+    """128 bits that name a text."""
+    return F.unhex(F.md5(text_bytes(c)))
+
+
 def fresh(df: DataFrame, base: str) -> str:
     """A column name that ``df`` doesn't have yet."""
     taken, name = {c.lower() for c in df.columns}, base
     while name.lower() in taken:
         name += "_"
     return name
+
+
+def bits_for(n: int) -> int:
+    """Bits of a bitmap over ``n`` keys: eight for each, a power of two, from 2**20 up to 2**27, so that a broadcast takes 16 MB at most."""
+    return 1 << min(27, max(20, (8 * n - 1).bit_length()))
+
+
+def bitmap_of(keys: DataFrame, c: str, bits: int) -> bytes:
+    """A bitmap of the keys' low bits; beyond 2**24 keys it lets more of the others pass, which costs rows and no result."""
+    at = keys.select(F.col(c).bitwiseAND(F.lit(bits - 1)).alias("at"))
+    parts = at.groupBy(F.expr("at div 32768").alias("page")).agg(F.expr("bitmap_construct_agg(at % 32768)").alias("bits")).collect()
+    out = bytearray(bits // 8)
+    for p in parts:
+        out[p["page"] * 4096 : p["page"] * 4096 + len(p["bits"])] = p["bits"]
+    return bytes(out)

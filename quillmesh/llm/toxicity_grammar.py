@@ -1,20 +1,21 @@
 """Toxicity by a weighted finite-state pattern grammar.
 
-Three transducers are composed over each clause. The first rewrites words to the symbols INSULT, THREAT,
-TARGET, NEGATION and REPORT; insult and threat symbols carry a weight. The second reads
-the symbols with a state of (words since a negation, words since a target, reported or not) and writes a match with its
-context. The third gives each context its final weight. A clause's score is the logistic of its
-summed weights, and a document's score joins its matched clauses by noisy or: a word
-counts for what its clause makes of it.
+Five transducers are given as data: negation, insult, threat, target and reported speech. A word is read as the symbol of its class, a negated insult
+or threat is rewritten to a symbol of its own, and arcs and final states carry weights by name. Composing the five gives the grammar,
+one machine that reads a clause's symbols. The weight of a clause is the sum along its path: of each insult and threat its word's
+weight and that of its context, and at the end those of the clause: whether it has a target, whether it is reported, before or after
+the words themselves. Its score is the logistic of that sum, so words of one clause add up, and a document's score joins
+its matched clauses by noisy or.
 
 Fixed seeds give the classes; more insults are learned from labelled rows, as whole words or word
-stems whose association with the label passes a likelihood-ratio test, and so are the contexts' weights. The
-fit reads at most ``FIT_ROWS`` labelled documents, those of smallest hash of the id: the statistics
-that reach the driver are bounded by that number, the scoring covers every text whole.
+stems whose association with the label passes a likelihood-ratio test, and so are the named weights. The
+fit reads at most ``FIT_ROWS`` labelled documents, those of smallest hash of the id, and reads the corpus once for them; the
+scoring covers every text whole.
 
 Defined cases: null and empty texts have no clause and get the base score; labels that are null or whose id is null are
 left out, a repeated label counts once and 1 wins over 0; without labels the seeds
-alone decide; repeated rows stay; columns of the input that clash with the result's are replaced; an empty table gives no rows.
+alone decide; repeated rows stay; columns of the input that clash with the result's are replaced by ``score_rows``, and kept by ``accepted``;
+an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -29,100 +30,171 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fresh, table
+from .common import arrow, cut, table
 
 #: Labelled documents that the fit reads at most.
 FIT_ROWS = 20_000
 #: Documents a stem must be seen in, stem lengths, the least precision of a learned stem, and rounds of learning.
 LEAST, STEMS, PRECISE, ROUNDS = 3, (3, 4, 5, 6), 0.7, 12
 THRESHOLD, BASE, SEED_LOGIT, CAP = 0.3, -4.0, 1.0, 6.0
-#: Words over which a negation and a target reach, and labelled documents that a context's prior is worth.
-NEGATED_FOR, TARGET_FOR, PRIOR_DOCS = 3, 5, 50
-NEGATION, TARGET, REPORT = "negation", "target", "report"
+#: Words over which a negation reaches, and labelled documents that a prior is worth.
+NEGATED_FOR, PRIOR_DOCS = 3, 50
+#: Words remembered in a worker.
+REMEMBERED = 100_000
 
+OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT, NOT_INSULT, NOT_THREAT = range(8)
 #: Fixed seed words of each class.
 SEEDS = {
-    "insult": "idiot moron stupid fool loser scum trash worthless pathetic disgusting crétin imbécile connard dummkopf trottel blödmann imbécil estúpido inútil",
-    "threat": "kill hurt destroy murder strangle tuer frapper töten umbringen verletzen matar herir",
+    INSULT: "idiot moron stupid fool loser scum trash worthless pathetic disgusting crétin imbécile connard dummkopf trottel blödmann imbécil estúpido inútil",
+    THREAT: "kill hurt destroy murder strangle tuer frapper töten umbringen verletzen matar herir",
     TARGET: "you your yours u ya thou thee he she they him her them tu toi vous te il elle ils du dich dir ihr sie usted ustedes tú ti ellos",
-    NEGATION: "not never no without isn don doesn wasn won't can't pas jamais sans aucun nicht kein keine nie ohne nunca sin jamás ningún",
+    NEGATION: "not never no without cannot pas jamais sans aucun nicht kein keine nie ohne nunca sin jamás ningún",
     REPORT: "said says say called calls wrote writes quoted claims reported dit disait écrit sagte sagt schrieb nannte dijo dice escribió llamó",
 }
-#: Change of a match's weight before any label is seen.
-PRIORS = {"threat": 0.5, "target": 0.5, "negated": -2.0, "reported": -1.5, "untargeted threat": -2.0}
+#: The named weights before any label is seen.
+PRIORS = {"threat": 0.5, "targeted": 0.5, "negated": -2.0, "reported": -1.5, "untargeted threat": -2.0}
 _WORD = re.compile(r"[^\W_]+")
-_TOKEN = re.compile(r"[^\W_]+|[.!?;\n]")
+#: A word with its contracted negation, or the end of a clause.
+_TOKEN = re.compile(r"[^\W_]+(?:['\u2019]t(?![^\W_]))?|[.!?;\n]")
+
+
+@dataclass(frozen=True)
+class Transducer:
+    """arcs: {state: {symbol read: (symbol written, names of weights, next state)}}, state 0 first; finals: names of weights at the end of a clause."""
+
+    arcs: dict[object, dict[int, tuple[int, tuple[str, ...], object]]]
+    finals: dict[object, tuple[str, ...]]
+    start: object = 0
+
+    def then(self, after: Transducer) -> Transducer:
+        """The composition: ``after`` reads what this one writes; weights add."""
+        start = (self.start, after.start)
+        arcs: dict[object, dict] = {}
+        waiting = [start]
+        while waiting:
+            state = waiting.pop()
+            if state in arcs:
+                continue
+            arcs[state] = {}
+            for symbol, (written, names, to) in self.arcs[state[0]].items():
+                out, more, to_after = after.arcs[state[1]][written]
+                arcs[state][symbol] = (out, names + more, (to, to_after))
+                waiting.append((to, to_after))
+        return Transducer(arcs, {s: self.finals.get(s[0], ()) + after.finals.get(s[1], ()) for s in arcs}, start)
+
+
+def _passing(state: object, symbols: range, **_) -> dict[int, tuple[int, tuple[str, ...], object]]:
+    """Arcs that write what they read and stay."""
+    return {x: (x, (), state) for x in symbols}
+
+
+def negation() -> Transducer:
+    """State: words that a negation still reaches. Negated insults and threats become symbols of their own."""
+    arcs = {}
+    for left in range(NEGATED_FOR + 1):
+        arcs[left] = {x: (x, (), max(0, left - 1)) for x in range(NOT_INSULT)} | {NEGATION: (NEGATION, (), NEGATED_FOR)}
+        if left:
+            arcs[left] |= {INSULT: (NOT_INSULT, (), left - 1), THREAT: (NOT_THREAT, (), left - 1)}
+    return Transducer(arcs, {})
+
+
+def insult() -> Transducer:
+    return Transducer({0: _passing(0, range(8)) | {NOT_INSULT: (NOT_INSULT, ("negated",), 0)}}, {})
+
+
+def threat() -> Transducer:
+    return Transducer({0: _passing(0, range(8)) | {THREAT: (THREAT, ("threat",), 0), NOT_THREAT: (NOT_THREAT, ("threat", "negated"), 0)}}, {})
 
 
-def _prior(context: tuple[bool, bool, bool, bool]) -> float:
-    threat, target, negated, reported = context
-    return PRIORS["threat"] * threat + PRIORS["target"] * target + PRIORS["negated"] * negated + PRIORS["reported"] * reported + PRIORS["untargeted threat"] * (threat and not target)
+def target() -> Transducer:
+    """State: whether the clause has a target, and a threat, in whatever order."""
+    arcs = {}
+    for state in range(4):
+        arcs[state] = _passing(state, range(8)) | {TARGET: (TARGET, (), state | 1), THREAT: (THREAT, (), state | 2), NOT_THREAT: (NOT_THREAT, (), state | 2)}
+    return Transducer(arcs, {1: ("targeted",), 2: ("untargeted threat",), 3: ("targeted",)})
+
+
+def report() -> Transducer:
+    """State: whether the clause reports speech, before or after what is said."""
+    return Transducer({s: _passing(s, range(8)) | {REPORT: (REPORT, (), 1)} for s in (0, 1)}, {1: ("reported",)})
+
+
+def composed() -> Transducer:
+    """The grammar: the five transducers, each reading what the one before writes."""
+    return negation().then(insult()).then(threat()).then(target()).then(report())
+
+
+GRAMMAR = composed()
 
 
 @dataclass
 class Grammar:
-    """terminals: weights of learned stems ("abc") and words ("abc$"); contexts: final weights by (threat, target, negated, reported)."""
+    """terminals: weights of learned stems ("abc") and words ("abc$"); weights: by name, those of arcs and final states."""
 
     terminals: dict[str, float] = field(default_factory=dict)
-    contexts: dict[tuple[bool, bool, bool, bool], float] = field(default_factory=dict)
+    weights: dict[str, float] = field(default_factory=lambda: dict(PRIORS))
 
     def __post_init__(self) -> None:
         self._classes = {w: c for c, words in SEEDS.items() for w in words.split()}
-        self._memo: dict[str, float | str | None] = {}
-
-    def symbol(self, word: str) -> float | str | None:
-        """First transducer: an insult's or threat's weight, another class, or None."""
-        if word in self._memo:
-            return self._memo[word]
-        found = [w for f in stems(word) if (w := self.terminals.get(f)) is not None]
-        kind = self._classes.get(word)
-        out = max(found) if found else SEED_LOGIT if kind in ("insult", "threat") else kind
-        if len(self._memo) >= 300_000:
-            self._memo.clear()
-        self._memo[word] = out
-        return out
-
-    def matches(self, text: str) -> list[tuple[float, tuple[bool, bool, bool, bool]]]:
-        """(weight, context) of each match; the context's automaton starts anew at each clause."""
+        self._memo: dict[str, tuple[int, float]] = {}
+
+    def symbol(self, word: str) -> tuple[int, float]:
+        """(symbol, own weight) of a word."""
+        got = self._memo.get(word)
+        if got is None:
+            if word.endswith(("n't", "n\u2019t")):
+                got = (NEGATION, 0.0)
+            else:
+                word_ = word[:-2] if word.endswith(("'t", "\u2019t")) else word
+                found = [w for f in stems(word_) if (w := self.terminals.get(f)) is not None]
+                kind = self._classes.get(word_, OTHER)
+                if found:
+                    got = (kind if kind == THREAT else INSULT, max(found))
+                else:
+                    got = (kind, SEED_LOGIT if kind in (INSULT, THREAT) else 0.0)
+            if len(self._memo) >= REMEMBERED:
+                self._memo.clear()
+            self._memo[word] = got
+        return got
+
+    def clauses(self, text: str) -> list[tuple[float, tuple[str, ...]]]:
+        """(own weights of its words, names of its other weights) of each clause with an insult or a threat."""
         low = text.lower()
-        if not any(type(self.symbol(w)) is float for w in set(_WORD.findall(low))):
+        if not any(self.symbol(w)[0] in (INSULT, THREAT) for w in set(_WORD.findall(low))):
             return []
-        out: list[tuple[float, tuple[bool, bool, bool, bool]]] = []
-        negated = target = 0
-        reported, open_at, i = False, [], 0
-        for token in _TOKEN.findall(low):
+        out: list[tuple[float, tuple[str, ...]]] = []
+        arcs, finals = GRAMMAR.arcs, GRAMMAR.finals
+        state, own, names, matched = GRAMMAR.start, 0.0, (), False
+        for token in (*_TOKEN.findall(low), "."):
             if token in ".!?;\n":
-                negated, target, reported, open_at = 0, 0, False, []
+                if matched:
+                    out.append((own, names + finals[state]))
+                state, own, names, matched = GRAMMAR.start, 0.0, (), False
                 continue
-            i += 1
-            s = self.symbol(token)
-            negated, target = max(0, negated - 1), max(0, target - 1)
-            if s is None:
-                continue
-            if s == NEGATION:
-                negated = NEGATED_FOR + 1
-            elif s == REPORT:
-                reported = True
-            elif s == TARGET:
-                target = TARGET_FOR + 1
-                for at, k in open_at:
-                    if i - at <= TARGET_FOR:
-                        w, (threat, _, n, r) = out[k]
-                        out[k] = w, (threat, True, n, r)
-            else:
-                open_at.append((i, len(out)))
-                out.append((s, (self._classes.get(token) == "threat", target > 0, negated > 0, reported)))
+            read, weight = self.symbol(token)
+            _, more, state = arcs[state][read]
+            if read in (INSULT, THREAT):
+                own, matched = own + weight, True
+            if more:
+                names += more
         return out
 
+    def clause_weight(self, clause: tuple[float, tuple[str, ...]]) -> float:
+        return clause[0] + sum(self.weights.get(n, 0.0) for n in clause[1])
+
     def score(self, text: str | None) -> tuple[float, int]:
-        """(score, matches) of a whole text."""
-        found = self.matches(text or "")
-        clean = 1 - 1 / (1 + math.exp(-BASE))
-        for w, context in found:
-            clean *= 1 - 1 / (1 + math.exp(-(w + self.contexts.get(context, _prior(context)))))
+        """(score, matched clauses) of a whole text."""
+        found = self.clauses(text or "")
+        clean = 1 - _logistic(BASE)
+        for clause in found:
+            clean *= 1 - _logistic(self.clause_weight(clause))
         return 1 - clean, len(found)
 
 
+def _logistic(x: float) -> float:
+    return 1 / (1 + math.exp(-max(-700.0, min(700.0, x))))
+
+
 def stems(word: str) -> list[str]:
     return [word[:n] for n in STEMS if n <= len(word)] + [word + "$"]
 
@@ -133,11 +205,11 @@ def held_out(c: Column) -> Column:
 
 
 def _labelled(docs: DataFrame, labels: DataFrame, rows: int) -> DataFrame:
-    """(text, toxic) of the rows that the fit reads."""
+    """(text, toxic) of the rows that the fit reads, written once."""
     known = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & ~held_out(F.col("doc_id")))
     known = known.groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     known = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
-    return docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).join(F.broadcast(known), "doc_id").select("text", "toxic")
+    return cut(docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).join(F.broadcast(known), "doc_id").select("text", "toxic"))
 
 
 def _counted(rows: DataFrame, of) -> DataFrame:
@@ -153,7 +225,7 @@ def _counted(rows: DataFrame, of) -> DataFrame:
             part = keys[at : at + 50_000]
             yield pa.RecordBatch.from_arrays([pa.array(part, pa.string()), pa.array([total[k] for k in part], pa.int64())], names=["key", "n"])
 
-    return rows.select("text").mapInArrow(run, "key string, n long").groupBy("key").agg(F.sum("n").alias("n"))
+    return arrow(rows.select("text"), run, "key string, n long").groupBy("key").agg(F.sum("n").alias("n"))
 
 
 def _features(text: str) -> set[str]:
@@ -219,43 +291,60 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Grammar:
         n = left.pop("", 0)
         if n < LEAST:
             break
-    first = sc.broadcast(terminals)
+    wanted.unpersist()
+    return Grammar(terminals, _weights(sample, terminals))
+
+
+def _weights(sample: DataFrame, terminals: dict[str, float]) -> dict[str, float]:
+    """Each named weight: how much likelier a document with it is toxic than any with a match, drawn to its prior."""
+    first = sample.sparkSession.sparkContext.broadcast(terminals)
     cache: list[Grammar] = []
 
-    def contexts(text: str) -> set[str]:
+    def names(text: str) -> set[str]:
         if not cache:
             cache.append(Grammar(first.value))
-        return {"".join("01"[x] for x in c) for _, c in cache[0].matches(text)}
+        found = cache[0].clauses(text)
+        return {"", *(n for _, named in found for n in named)} if found else set()
 
-    seen = {k: {r["key"]: r["n"] for r in _counted(sample.where(F.col("toxic") == k), contexts).collect()} for k in (0, 1)}
+    seen = {k: {r["key"]: r["n"] for r in _counted(sample.where(F.col("toxic") == k), names).collect()} for k in (0, 1)}
+    first.unpersist()
     logit = lambda a, b: math.log((a + 0.5) / (b + 0.5))
-    usual = logit(sum(seen[1].values()), sum(seen[0].values()))
-    weights = {}
-    for threat in (False, True):
-        for rest in range(8):
-            c = (threat, bool(rest & 4), bool(rest & 2), bool(rest & 1))
-            key = "".join("01"[x] for x in c)
-            a, b = seen[1].get(key, 0), seen[0].get(key, 0)
-            own = (a + b) / (a + b + PRIOR_DOCS)
-            weights[c] = own * (logit(a, b) - usual) + (1 - own) * _prior(c)
-    return Grammar(terminals, weights)
+    usual = logit(seen[1].get("", 0), seen[0].get("", 0))
+    out = {}
+    for name, prior in PRIORS.items():
+        a, b = seen[1].get(name, 0), seen[0].get(name, 0)
+        own = (a + b) / (a + b + PRIOR_DOCS)
+        out[name] = own * (logit(a, b) - usual) + (1 - own) * prior
+    return out
 
 
-def score_rows(docs: DataFrame, grammar: Grammar, text_col: str = "text") -> DataFrame:
-    """``docs`` with toxicity (double) and toxic_matches (long)."""
-    shared = docs.sparkSession.sparkContext.broadcast((grammar.terminals, grammar.contexts))
-    names = ["toxicity", "toxic_matches"]
-    keep = [c for c in docs.columns if c.lower() not in names]
-    t = fresh(docs, "scored_text")
+def _scored(docs: DataFrame, grammar: Grammar, text_col: str, columns: list[str], schema, finish) -> DataFrame:
+    """``columns`` of ``docs`` through ``finish(batch, scores)``; a text goes to Python once, with the row that it is part of."""
+    shared = docs.sparkSession.sparkContext.broadcast((grammar.terminals, grammar.weights))
+    at = columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Grammar(*shared.value)
         for b in batches:
-            got = [own.score(x.as_py()) for x in b.column(b.num_columns - 1)]
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array([s for s, _ in got], pa.float64()), pa.array([n for _, n in got], pa.int64())], names=[*b.schema.names[:-1], *names])
+            yield finish(b, [own.score(str(t) if (t := x.as_py()) is not None else None) for x in b.column(at)])
+
+    return arrow(docs.select(*(F.col(f"`{c}`") for c in columns)), run, schema)
+
+
+def score_rows(docs: DataFrame, grammar: Grammar, text_col: str = "text") -> DataFrame:
+    """``docs`` with toxicity (double) and toxic_matches (long), its clauses with a match."""
+    names = ["toxicity", "toxic_matches"]
+    keep = [c for c in docs.columns if c.lower() not in names or c == text_col]
+
+    def finish(b: pa.RecordBatch, got: list[tuple[float, int]]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([*b.columns, pa.array([s for s, _ in got], pa.float64()), pa.array([n for _, n in got], pa.int64())], names=[*b.schema.names, *names])
+
+    return _scored(docs, grammar, text_col, keep, docs.select(*(F.col(f"`{c}`") for c in keep)).schema.add("toxicity", "double").add("toxic_matches", "long"), finish)
+
 
-    rows = docs.select(*(F.col(f"`{c}`") for c in keep), F.col(f"`{text_col}`").cast("string").alias(t))
-    return rows.mapInArrow(run, rows.drop(t).schema.add("toxicity", "double").add("toxic_matches", "long"))
+def accepted(docs: DataFrame, grammar: Grammar, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of ``docs`` that score below ``threshold``, as they are."""
+    return _scored(docs, grammar, text_col, docs.columns, docs.schema, lambda b, got: b.filter(pa.array([s < threshold for s, _ in got], pa.bool_())))
 
 
 def op1_toxicity_grammar(spark: SparkSession, sf_dir: str) -> DataFrame:

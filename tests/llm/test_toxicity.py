@@ -1,3 +1,4 @@
+import math
 import random
 
 import pytest
@@ -41,15 +42,69 @@ def test_the_fit_is_bounded(corpus):
 
 
 def test_clauses_not_words():
-    g = T.Grammar({"zorp$": 2.0})
+    g = T.Grammar({"zorp$": 2.0, "blarg$": 1.5})
     score = lambda t: g.score(t)[0]
     assert score("You zorp") > score("A zorp") > score("not a zorp") > score("nothing here")
     assert score("He said the zorp") < score("The zorp")
     assert score("He said. The zorp") == score("The zorp")  # reported speech ends with its clause
+    assert score("you zorp, he said") == score("he said you zorp") < score("you zorp")  # and may follow what is said
+    assert score("zorp, you are") == score("you are zorp") > score("zorp are")
     assert score("I will kill you") > score("a kill time. you") and g.score("")[0] == g.score(None)[0] == pytest.approx(1 / (1 + 2.718281828**4), rel=1e-6)
+    assert score("he won't kill you") == score("he won\u2019t kill you") == score("he will not kill you") < score("he will kill you")
+    assert g.score("the zorp blarg") == (pytest.approx(1 - (1 - _logistic(-4.0)) * (1 - _logistic(3.5))), 1)
+    assert g.score("the zorp. the blarg") == (pytest.approx(1 - (1 - _logistic(-4.0)) * (1 - _logistic(2.0)) * (1 - _logistic(1.5))), 2)
     assert 0 <= score("zorp " * 5000) <= 1
 
 
+def _logistic(x):
+    return 1 / (1 + math.exp(-x))
+
+
+def _names(symbols):
+    """What the grammar should say of a clause, from its definition."""
+    out, left = [], 0
+    for s in symbols:
+        if s in (T.INSULT, T.THREAT):
+            out += ["threat"] * (s == T.THREAT) + ["negated"] * (left > 0)
+        left = T.NEGATED_FOR if s == T.NEGATION else max(0, left - 1)
+    if T.TARGET in symbols:
+        out.append("targeted")
+    elif T.THREAT in symbols:
+        out.append("untargeted threat")
+    return sorted(out + ["reported"] * (T.REPORT in symbols))
+
+
+def test_the_composed_machine_agrees_with_each_machine_in_turn_and_with_the_definition():
+    machines = [T.negation(), T.insult(), T.threat(), T.target(), T.report()]
+    r = random.Random(3)
+    for _ in range(2000):
+        symbols = [r.choice([T.OTHER, T.OTHER, T.INSULT, T.THREAT, T.TARGET, T.NEGATION, T.REPORT]) for _ in range(r.randrange(12))]
+        tape, by_turns = list(symbols), []
+        for m in machines:
+            state, written = m.start, []
+            for x in tape:
+                out, names, state = m.arcs[state][x]
+                written.append(out)
+                by_turns += names
+            by_turns += m.finals.get(state, ())
+            tape = written
+        state, whole = T.GRAMMAR.start, []
+        for x in symbols:
+            _, names, state = T.GRAMMAR.arcs[state][x]
+            whole += names
+        whole += T.GRAMMAR.finals[state]
+        assert sorted(whole) == sorted(by_turns) == _names(symbols)
+
+
+def test_accepted_rows_stay_as_they_are(odd, odd_rows, none):
+    g = T.Grammar({"zorp$": 2.0})
+    rows = odd.withColumn("scored", F.lit("mine")).withColumn("toxicity", F.lit(0.9)).withColumn("toxic_matches", F.lit("x"))
+    kept = T.accepted(rows.withColumn("text", F.when(F.col("doc_id") == 5, "you zorp").otherwise(F.col("text"))), g)
+    assert kept.columns == rows.columns and kept.count() == len([r for r in odd_rows if r[0] != 5 and g.score(r[1])[0] < T.THRESHOLD])
+    assert kept.where("scored = 'mine' and toxicity = 0.9 and toxic_matches = 'x'").count() == kept.count()
+    assert T.accepted(none, g).count() == 0
+
+
 def test_odd_rows(odd, odd_rows, none, spark):
     labels = spark.createDataFrame([(None, 1), (1, None), (2, 0), (2, 1)], "doc_id long, toxic int")
     grammar = T.fit(odd, labels)
