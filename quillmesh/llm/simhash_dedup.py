@@ -11,9 +11,18 @@ indexed under the 65 values within one bit of it, so that two members share such
 if they differ by up to two bits. A value has at most 65 distinct members, all of them linked, and a star to the smallest
 keeps every link's effect. No bucket is capped and none is expanded into all pairs.
 
+``similar`` takes the method to a Jaccard similarity, by default 0.8 of five-word shingles, at which a tenth and more of
+the bits differ. Its fingerprint is wider: ``SEGMENTS`` segments of ``WIDTH`` = 28 bits, each set by the distinct shingles. Texts meet where any
+segment differs by at most one bit, and are verified by the exact similarity of their shingles. A segment value is indexed once
+for all texts that share it, by the least of them; a value's variants are written only for its zero bits, since a value with that bit
+set is its own other variant. So a bucket holds a value and those of its 28 neighbours that exist, however many texts there are. The search finds a pair of
+similarity 0.8 with probability 0.68 if segments are independent, of 0.9 with 0.98; the texts of a group need only one chain of found
+pairs. Beyond some 10**8 different texts 28 bits no longer tell them apart, and ``width`` should grow.
+
 Defined cases: null and empty texts have no words and fingerprint zero, which links like any other;
 repeated rows stay, each with its component; rows without an id take part, but a component's id is
-its smallest non-null id; further columns are ignored; an empty table gives no rows.
+its smallest non-null id; further columns are ignored; an empty table gives no rows. ``deduplicated`` keeps one row of each component, also of one
+without any id, and tells rows apart by id and text, not by id alone.
 """
 
 from __future__ import annotations
@@ -26,10 +35,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, fresh, table, text_bytes
+from .common import arrow, bitmap_of, bits_for, cut, fresh, table, text_bytes, text_id
 from .components import components
 
 SHINGLE, SEED, DISTANCE = 3, 42, 2
+#: Of ``similar``: words of a shingle, least similarity, segments of its fingerprint and their bits.
+WORDS, SIMILARITY, SEGMENTS, WIDTH = 5, 0.8, 18, 28
+#: Share of differing bits beyond which a candidate isn't verified: pairs of similarity 0.8 differ in 0.15 of them, others in half.
+FAR = 0.25
 #: Shingles hashed at once: bounds the memory that a very long text takes.
 CHUNK = 1 << 16
 
@@ -76,7 +89,7 @@ def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, fp) of each row, fp as a signed long."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_bytes(F.col(text_col)).alias("t"))
-    return rows.mapInArrow(_fingerprints, "doc_id long, fp long")
+    return arrow(rows, _fingerprints, "doc_id long, fp long")
 
 
 def variants(fps: DataFrame) -> DataFrame:
@@ -110,27 +123,153 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return rows.join(classes, "fp").select("doc_id", "fp", "component_id")
 
 
-def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with one row of each component: the one of its smallest id.
+def _mix(x: np.ndarray) -> np.ndarray:
+    """A bijection of 64-bit words that spreads their bits."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def shingle_set(text: bytes, size: int = WORDS) -> np.ndarray:
+    """Sorted hashes of a text's distinct word shingles; a shorter text is one shingle, one without words has none."""
+    from xxhash import xxh64_intdigest
+
+    words = text.lower().split()
+    if not words:
+        return np.zeros(0, np.uint64)
+    w = np.fromiter(map(xxh64_intdigest, words), np.uint64, len(words))
+    n = max(1, len(w) - size + 1)
+    step = _mix(np.arange(1, size + 1, dtype=np.uint64)) | np.uint64(1)
+    parts = [w[j : n + j] * step[j] for j in range(min(size, len(w)))]
+    return np.unique(_mix(np.sum(parts, axis=0, dtype=np.uint64)))
+
+
+def wide_fingerprint(text: bytes, size: int = WORDS, segments: int = SEGMENTS, width: int = WIDTH) -> np.ndarray:
+    """Segments of the SimHash of a text's distinct shingles; each 64-bit word of it has its own hash of a shingle."""
+    h = shingle_set(text, size)
+    octets = []
+    for k in range(-(-segments * width // 64)):
+        counts = np.zeros(64, dtype=np.int64)
+        if len(h):
+            _bit_counts(_mix(h ^ _mix(np.array([k + 1], np.uint64))), counts)
+        octets.append((counts * 2 > len(h)).astype(np.uint8))
+    bits = np.concatenate(octets)[: segments * width].reshape(segments, width)
+    return bits @ (np.int64(1) << np.arange(width, dtype=np.int64))
+
+
+def jaccard(a: bytes, b: bytes, size: int = WORDS) -> float:
+    """Similarity of two texts' shingle sets; two texts without words are equal."""
+    x, y = shingle_set(a, size), shingle_set(b, size)
+    common = len(np.intersect1d(x, y, assume_unique=True))
+    return common / (len(x) + len(y) - common) if len(x) + len(y) else 1.0
+
+
+def _wide(size: int, segments: int, width: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            made = [wide_fingerprint(t.as_py(), size, segments, width) for t in b.column(1)]
+            flat = pa.array(np.concatenate(made) if made else np.zeros(0, np.int64), pa.int64())
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(made) + 1, dtype=np.int32) * segments), flat)
+            yield pa.RecordBatch.from_arrays([b.column(0), lists], names=["text", "segments"])
+
+    return run
 
-    Of several rows of that id the first stays; components without any id keep all their rows.
+
+def _verified(size: int, least: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            near = pa.array([jaccard(x.as_py(), y.as_py(), size) >= least for x, y in zip(b.column(2), b.column(3))], pa.bool_())
+            yield pa.RecordBatch.from_arrays([c.filter(near) for c in b.columns[:2]], names=["u", "v"])
+
+    return run
+
+
+def _slot(key: np.ndarray, width: int) -> np.ndarray:
+    """Where a key stands in the bitmap, before the remainder: its value, moved on by its segment's number."""
+    return (key & (1 << width) - 1) ^ (key >> width) * 0x9E3779B1
+
+
+def _variants(bitmap, bits: int, width: int):
+    """(key, w) of the one-bit-more variants of (key, least) whose own bit of the bitmap is set."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, ones = np.frombuffer(bitmap.value, np.uint8), np.int64(1) << np.arange(width, dtype=np.int64)
+        for b in batches:
+            key, node = (b.column(i).to_numpy() for i in (0, 1))
+            row, bit = np.nonzero(key[:, None] & ones == 0)
+            more = key[row] | ones[bit]
+            at = _slot(more, width) & (bits - 1)
+            hit = np.flatnonzero(held[at >> 3] >> (at & 7).astype(np.uint8) & 1)
+            yield pa.RecordBatch.from_arrays([pa.array(more[hit]), pa.array(node[row[hit]])], names=["key", "w"])
+
+    return run
+
+
+def candidates(values: DataFrame, width: int = WIDTH) -> DataFrame:
+    """(u, v), u < v: nodes one of whose segments differs by at most one bit; values: (node, key), the key a segment's number above its ``width`` bits.
+
+    Of the nodes that share a key the least stands for all: each of them is paired with it, and it alone meets the neighbouring keys. Variants that
+    a bitmap of the keys rules out aren't shuffled.
+    """
+    least = cut(values.groupBy("key").agg(F.min("node").alias("least"), F.max("node").alias("last")))
+    shared = values.join(least.where("least != last").select("key", "least"), "key")
+    same = shared.where("node != least").select(F.col("least").alias("u"), F.col("node").alias("v"))
+    bits = bits_for(least.count())
+    spread = F.col("key").bitwiseAND(F.lit((1 << width) - 1)).bitwiseXOR(F.shiftright("key", width) * F.lit(0x9E3779B1))  # as _slot
+    held = values.sparkSession.sparkContext.broadcast(bitmap_of(least.select(spread.alias("at")), "at", bits))
+    variants = arrow(least.select("key", "least"), _variants(held, bits, width), "key long, w long")
+    beside = variants.join(least.select("key", "least"), "key").select(F.least("w", "least").alias("u"), F.greatest("w", "least").alias("v"))
+    return same.unionAll(beside).distinct()
+
+
+#: Rows of a side that is broadcast: 16 bytes and an id each. A larger one is shuffled.
+BROADCAST_ROWS = 200_000
+
+
+def _sized(df: DataFrame) -> DataFrame:
+    """A side of a join, marked for broadcast if it is small; ``df`` is cut."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
+def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = WORDS, similarity: float = SIMILARITY, segments: int = SEGMENTS, width: int = WIDTH) -> DataFrame:
+    """(text, root): each different text by its ``text_id``, and the component of similar texts that it is in."""
+    rows = docs.select(text_id(F.col(f"`{text_col}`")).alias("text"), text_bytes(F.col(f"`{text_col}`")).alias("t"))
+    made = arrow(rows, _wide(size, segments, width), "text binary, segments array<long>")
+    # nodes are numbered as they are written: a checkpoint holds one numbering, whatever is run again
+    texts = cut(made.groupBy("text").agg(F.first("segments").alias("segments")).withColumn("node", F.monotonically_increasing_id()))
+    values = texts.select("node", F.posexplode("segments").alias("at", "value")).select("node", F.expr(f"shiftleft(cast(at as bigint), {width}) | value").alias("key"))
+    pairs = candidates(values, width)
+    own = texts.select("node", "text", "segments")
+    pairs = pairs.join(own.select(F.col("node").alias("u"), F.col("text").alias("tu"), F.col("segments").alias("su")), "u")
+    pairs = pairs.join(own.select(F.col("node").alias("v"), F.col("text").alias("tv"), F.col("segments").alias("sv")), "v")
+    differing = F.aggregate(F.zip_with("su", "sv", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda a, x: a + x)
+    pairs = cut(pairs.where(differing <= FAR * segments * width).select("u", "v", "tu", "tv"))
+    found = _sized(cut(pairs.select("tu").unionAll(pairs.select("tv")).distinct().withColumnRenamed("tu", "text")))
+    wanted = cut(rows.join(found, "text", "left_semi").groupBy("text").agg(F.first("t").alias("t")))
+    both = pairs.join(wanted.select(F.col("text").alias("tu"), F.col("t").alias("x")), "tu").join(wanted.select(F.col("text").alias("tv"), F.col("t").alias("y")), "tv")
+    roots = components(arrow(both.select("u", "v", "x", "y"), _verified(size, similarity), "u long, v long"))
+    return texts.join(roots, "node", "left").select("text", F.coalesce("root", "node").alias("root"))
+
+
+def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """``docs`` with one row of each component of ``similar`` texts: of its smallest id and, among texts of that id, the smallest ``text_id``.
+
+    Rows without an id come last. Of several rows of that id and text one stays.
     """
-    found = near_duplicates(docs, id_col, text_col)
-    keepers = cut(found.where("component_id = doc_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")))
-    ours = fresh(docs, "kept_id")
-    named = keepers.select(F.col("doc_id").alias(ours), F.col("n").alias(f"{ours}_n"))
-    kept = docs.join(named, F.col(f"`{id_col}`").cast("long") == F.col(ours))
-    if not keepers.where("n > 1").isEmpty():
-        kept = kept.where(F.col(f"{ours}_n") == 1).unionAll(kept.where(F.col(f"{ours}_n") > 1).dropDuplicates([ours]))
-    kept = kept.select(*docs.columns)
-    if found.where("component_id is null").isEmpty():
-        return kept
-    lost = cut(found.where("component_id is null").select("fp").distinct())
-    key = F.xxhash64(F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")))
-    nameless = docs.where(F.col(f"`{id_col}`").isNull()).withColumn(ours, key)
-    texts = nameless.select(F.col(ours).alias("doc_id"), F.col(f"`{text_col}`").alias("t"))
-    own = fingerprints(texts, "doc_id", "t").join(lost, "fp").select(F.col("doc_id").alias(ours))
-    return kept.unionAll(nameless.join(own, ours, "left_semi").select(*docs.columns))
+    text, at = fresh(docs, "kept_text"), fresh(docs, "kept_id")
+    ours = docs.withColumn(text, text_id(F.col(f"`{text_col}`"))).withColumn(at, F.col(f"`{id_col}`").cast("long"))
+    each = ours.groupBy(F.col(text).alias("text"), F.col(at).alias("id")).agg(F.count(F.lit(1)).alias("n"))
+    each = cut(each.join(similar(docs, id_col, text_col, **options), "text"))
+    first = each.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("late"), "id", "text")).alias("k"))
+    judged = cut(each.join(first, "root").withColumn("kept", (F.col("text") == F.col("k.text")) & F.col("id").eqNullSafe(F.col("k.id"))).where("not kept or n > 1").select("text", "id", "kept"))
+    same = (F.col(f"a.{text}") == F.col("b.text")) & F.col(f"a.{at}").eqNullSafe(F.col("b.id"))
+    gone, repeated = _sized(judged.where("not kept")), judged.where("kept")
+    kept = ours.alias("a").join(gone.alias("b"), same, "left_anti")
+    if not repeated.isEmpty():
+        repeated = _sized(repeated)
+        once, again = (kept.alias("a").join(repeated.alias("b"), same, how) for how in ("left_anti", "left_semi"))
+        kept = once.unionAll(again.dropDuplicates([text, at]))
+    return kept.select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def op8_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

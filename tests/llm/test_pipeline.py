@@ -5,7 +5,7 @@ import pytest
 from quillmesh.llm import simhash_dedup, toxicity_grammar
 
 from tests.llm.test_pii import brute as brute_spans
-from tests.llm.test_simhash import brute as brute_groups
+from tests.llm.test_simhash import brute_keepers
 
 
 @pytest.fixture(scope="module")
@@ -30,7 +30,7 @@ def test_stages(spark, corpus, tmp_path):
     grammar = toxicity_grammar.fit(docs, spark.read.parquet(f"{corpus}/labels.parquet"))
     clean = [r for r in rows[0] if grammar.score(r[1])[0] < toxicity_grammar.THRESHOLD]
     assert sorted(rows[1], key=key) == sorted(clean, key=key) and not any((r[0] or 0) >= 400 for r in rows[1]) and len(rows[1]) == len(rows[0]) - 5
-    assert sorted(r[0] for r in rows[2] if r[0] is not None) == sorted({c for _, _, c in brute_groups([r[:2] for r in rows[1]]) if c is not None})
+    assert sorted(((r[0], r[1] or "") for r in rows[2]), key=repr) == brute_keepers([r[:2] for r in rows[1]])
     assert sorted(r[0] or -1 for r in rows[3]) == sorted(r[0] or -1 for r in rows[2])
     assert not any(brute_spans(r[1]) for r in rows[3]) and any(brute_spans(r[1]) for r in rows[2])
     assert all(r[4] == (None if r[1] is None else len(r[1])) for r in rows[3])

@@ -1,3 +1,5 @@
+import hashlib
+import random
 import re
 from collections import Counter
 
@@ -70,11 +72,73 @@ def test_no_link_is_lost_in_dense_groups(spark):
     assert {p: got.get(p, p) for p in signed} == {p: min(c) for c in want.values() for p in c}
 
 
+def shingles(text):
+    w = re.findall(r"[^\x20\x09-\x0D]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or ""))
+    return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+
+def similar(a, b):
+    return len(a & b) >= 0.8 * len(a | b)
+
+
+def brute_keepers(rows):
+    """(id, text) of the row that stays of each component of texts of similarity 0.8."""
+    texts = sorted({t or "" for _, t in rows})
+    sets, parent = [shingles(t) for t in texts], list(range(len(texts)))
+
+    def top(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i in range(len(texts)):
+        for j in range(i):
+            if similar(sets[i], sets[j]):
+                parent[max(top(i), top(j))] = min(top(i), top(j))
+    at, groups = {t: i for i, t in enumerate(texts)}, {}
+    for d, t in rows:
+        groups.setdefault(top(at[t or ""]), set()).add((d is None, d or 0, hashlib.md5((t or "").encode()).digest(), d, t or ""))
+    return sorted((min(g)[3:] for g in groups.values()), key=repr)
+
+
 def test_one_row_of_each_group_stays(odd, odd_rows):
     kept = S.deduplicated(odd)
     assert kept.columns == odd.columns
-    expected = {c for d, _, c in brute([r[:2] for r in odd_rows]) if c is not None}
-    assert sorted(r.doc_id for r in kept.collect() if r.doc_id is not None) == sorted(expected)
+    assert sorted(((r.doc_id, r.text or "") for r in kept.collect()), key=repr) == brute_keepers([r[:2] for r in odd_rows])
+
+
+def test_rows_are_told_apart_by_id_and_text(spark, odd):
+    r = random.Random(8)
+    a, b, c = (" ".join(f"{n}{r.randrange(99)}" for _ in range(50)) for n in "abc")
+    rows = [(5, a, "en", "s", 1), (5, b, "en", "s", 1), (5, b, "fr", "s", 1), (6, a, "en", "s", 1), (None, c, "en", "s", 1), (None, c, "en", "s", 1), (7, b + " end", "en", "s", 1)]
+    kept = S.deduplicated(spark.createDataFrame(rows, odd.schema).withColumn("kept_text", F.lit("clash")))
+    assert sorted(((r.doc_id, r.text, r.kept_text) for r in kept.collect()), key=repr) == sorted([(5, a, "clash"), (5, b, "clash"), (None, c, "clash")], key=repr)
+
+
+def test_recall_of_similar_texts(spark):
+    """Words replaced at random: the share of pairs of each similarity whose two texts meet."""
+    r, rows, sets = random.Random(21), [], []
+    words = ["".join(r.choice(["an", "be", "ti", "on", "sh", "re"]) for _ in range(r.randint(1, 4))) for _ in range(3000)]
+    for i in range(900):
+        w = [r.choice(words) for _ in range(r.randint(80, 300))]
+        v = list(w)
+        for _ in range(r.randint(1, max(1, len(w) // 45))):
+            v[r.randrange(len(v))] = r.choice(words)
+        rows += [(2 * i, " ".join(w)), (2 * i + 1, " ".join(v))]
+        x, y = shingles(rows[-2][1]), shingles(rows[-1][1])
+        sets.append(len(x & y) / len(x | y))
+    found = S.similar(spark.createDataFrame(rows, "doc_id long, text string")).groupBy("root").count().where("count = 2").count()
+    kept = {r.doc_id for r in S.deduplicated(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(2 * i in kept for i in range(900))
+    by = {}
+    for i, s in enumerate(sets):
+        by.setdefault(min(19, int(s * 20)), []).append(2 * i + 1 not in kept)
+    share = {k / 20: (round(sum(v) / len(v), 3), len(v)) for k, v in sorted(by.items())}
+    print(share)
+    same = sum(rows[2 * i][1] == rows[2 * i + 1][1] for i in range(900))  # one text, no pair
+    assert found + same == sum(sum(v) for v in by.values())
+    assert all(not any(v) for k, v in by.items() if k < 16)
+    assert share[0.8][0] > 0.6 and share[0.85][0] > 0.85 and share[0.9][0] > 0.95 and share[0.95][0] > 0.99
 
 
 def test_empty_table(none):
