@@ -1,28 +1,30 @@
 """Substring deduplication: MinHash banding of paragraphs, verified, with removals clustered by components.
 
-A paragraph is a stretch of ``WORDS`` = 24 words. Paragraphs start where the hash of a five-word shingle is the
-least of ``EVERY`` neighbours, so two texts that share a passage share its paragraphs wherever the passage stands, and every
+A paragraph is a stretch of ``WORDS`` = 24 words. One starts at every line that is as long, and wherever the hash of a five-word shingle is the
+least of ``EVERY`` neighbours, so two texts that share a passage share its paragraphs wherever the passage stands; every
 passage of 51 words holds one at least. A paragraph is the multiset of its 20 shingles
 (a shingle's second occurrence is another element), so all have one size and a Jaccard similarity of 0.8 means 18 common elements.
 
-Equal paragraphs meet by their digest. Near duplicates are looked for among all paragraphs; a bucket that only overlapping paragraphs of
-one text fill is left out, as they can't repeat each other. They collide when all ``ROWS`` MinHash values of one of ``BANDS`` bands agree: 4 bands
-of 2 find a pair of similarity 0.8 with probability 0.983 and one of 0.9 with 0.999. Colliding paragraphs are joined within small buckets and
+Equal paragraphs meet by their digest. Near duplicates collide when all ``ROWS`` MinHash values of one of ``BANDS`` bands agree: 4 bands
+of 2 find a pair of similarity 0.8 with probability 0.983 and one of 0.9 with 0.999. All paragraphs are banded; of overlapping paragraphs of a
+text that have a band's key in common the first stands for the others when collisions are looked for, since they can't repeat each other.
+Paragraphs that collide are joined within small buckets and
 verified by their exact common elements. In a larger bucket every paragraph is indexed by its 211 subsets of at least 18 elements instead:
 two share a subset of 18 exactly if they have 18 in common, so stars over those keys keep every link without
-pairing a group's members. Components of the links are the clusters; the occurrence of smallest (doc_id, word)
+pairing a group's members. Components of the links are the clusters; the occurrence of smallest (doc_id, text, word)
 stays, the others are removals. Overlapping paragraphs of a document merge into spans.
 
-What only few paragraphs need (band members, occurrences) is made in a second pass over the texts behind a bitmap of fixed size; a false
-positive costs a row and no result.
+The texts are read three times: for the keys, two numbers each; for the elements of paragraphs whose keys collide; for the places of those that repeat.
+The later passes leave out the rest by a bitmap that grows with the number of keys, up to 16 MB; a false positive costs a row and no result.
 
 Defined cases: null, empty and shorter texts have no paragraph; a paragraph repeated within one row counts at each
-place that doesn't overlap the one before; rows without an id take part as document null and never come first; equal rows are
-one document; further columns are ignored; an empty table gives no rows.
+place that doesn't overlap the one before; rows of one id and text are one document, rows that differ in either are two, and rows without an id never come first;
+further columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -31,19 +33,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import cut, table, text_bytes
+from .common import arrow, bitmap_of, bits_for, cut, table, text_bytes
 from .components import components
 
 WORDS, SHINGLE, EVERY = 24, 5, 20
 BANDS, ROWS, SMALL = 4, 2, 8
 ELEMENTS = WORDS - SHINGLE + 1
-#: Words that part the starts of two paragraphs of a text: at fewer, they would have COMMON elements in common.
+#: Words that part the starts of two paragraphs of a text, but for those of lines: at fewer, they would have COMMON elements in common.
 APART = 3
 #: Common elements of two paragraphs of similarity 0.8: common / (40 - common) >= 0.8.
 COMMON = -(-8 * 2 * ELEMENTS // 18)
-BITMAP_BITS = 1 << 23
-#: Rows whose band keys are held at once.
-BAND_ROWS = 1024
+#: Bytes of texts whose paragraphs are held at once, and of a piece of them that is cut into words at once.
+GROUP_BYTES, PIECE_BYTES = 1 << 20, 1 << 22
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -53,8 +54,16 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-_STEP = _mix(np.arange(1, SHINGLE + 1, dtype=np.uint64)) | np.uint64(1)
-_SCALE = _mix(np.arange(101, 101 + BANDS * ROWS, dtype=np.uint64)) | np.uint64(1)
+def _odd(first: int, n: int) -> np.ndarray:
+    return _mix(np.arange(first, first + n, dtype=np.uint64)) | np.uint64(1)
+
+
+_STEP, _SCALE = _odd(1, SHINGLE), _odd(101, BANDS * ROWS)
+#: Factors of a letter by its place in the word, and by 256 places.
+_PLACE, _FAR = _odd(1001, 256), _odd(2001, 256)
+_SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
+#: Letters as numbers, A-Z as a-z.
+_LETTER = np.array([b + 33 if 65 <= b <= 90 else b + 1 for b in range(256)], np.uint64)
 
 
 def _running(x: np.ndarray, size: int, least: bool) -> np.ndarray:
@@ -66,46 +75,80 @@ def _running(x: np.ndarray, size: int, least: bool) -> np.ndarray:
     return pick(x[: len(x) - (size - span)], x[size - span :]) if size > span else x
 
 
-def anchors(h: np.ndarray, every: int = EVERY) -> np.ndarray:
-    """Positions whose hash is the least of some ``every`` neighbours.
+def anchors(h: np.ndarray, text: np.ndarray, every: int = EVERY) -> np.ndarray:
+    """Positions whose hash is the least of some ``every`` neighbours in their text, or of the whole text if it has fewer.
 
-    Of positions less than APART from each other the one of least hash stays: paragraphs so close would be each other's near duplicates.
+    h, text: hash and text of each position, a text's positions in a row. Of positions less than APART from each other the one of least hash stays:
+    paragraphs so close would be each other's near duplicates. Equal hashes are ordered by a mix of their positions.
     """
-    w = min(every, len(h))
-    least = _running(h, w, True)
-    top = np.uint64(0)
-    padded = np.concatenate([np.full(w - 1, top), least, np.full(w - 1, top)])
-    at = np.flatnonzero(_running(padded, w, False) == h)
-    close = np.flatnonzero(np.diff(at) < APART)
-    if not len(close):
-        return at
-    keep = np.ones(len(at), bool)
-    for group in np.split(close, np.flatnonzero(np.diff(close) > 1) + 1):  # chains of close positions: the least hash first
-        chain = at[group[0] : group[-1] + 2].tolist()
-        taken: set[int] = set()
-        for i in sorted(chain, key=lambda i: (h[i], i)):
-            if not any(i + d in taken for d in range(1 - APART, APART)):
-                taken.add(i)
-        keep[group[0] : group[-1] + 2] = [i in taken for i in chain]
-    return at[keep]
-
-
-def leads(h: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Which of the positions ``at`` have the least hash of all within ELEMENTS: their paragraphs have no element in common."""
-    top = np.full(ELEMENTS, np.uint64(0xFFFFFFFFFFFFFFFF))
-    return _running(np.concatenate([top, h, top]), 2 * ELEMENTS + 1, True)[at] == h[at]
-
-
-def shingles(text: bytes) -> np.ndarray:
-    """Hash of each five-word shingle of a text."""
-    from xxhash import xxh64_intdigest
-
-    words = text.lower().split()
-    if len(words) < WORDS:
-        return np.zeros(0, np.uint64)
-    w = np.fromiter(map(xxh64_intdigest, words), np.uint64, len(words))
-    n = len(w) - SHINGLE + 1
-    return _mix(sum(w[j : n + j] * _STEP[j] for j in range(SHINGLE)))
+    if not len(h):
+        return np.zeros(0, np.int64)
+    first = np.flatnonzero(np.concatenate([[True], text[1:] != text[:-1]]))
+    size = np.diff(np.append(first, len(h)))
+    chosen = (h == np.repeat(np.minimum.reduceat(h, first), size)) & np.repeat(size < every, size)
+    if len(h) >= every:
+        least = np.where(text[: len(h) - every + 1] == text[every - 1 :], _running(h, every, True), np.uint64(0))
+        edge = np.zeros(every - 1, np.uint64)
+        chosen |= (_running(np.concatenate([edge, least, edge]), every, False) == h) & np.repeat(size >= every, size)
+    left, kept = np.flatnonzero(chosen), [np.zeros(0, np.int64)]
+    order = _mix(left.astype(np.uint64))
+    while len(left):
+        wins, near = np.ones(len(left), bool), np.zeros(len(left), bool)
+        pairs = []
+        for lag in range(1, min(APART, len(left))):
+            a, b = left[:-lag], left[lag:]
+            close = (b - a < APART) & (text[a] == text[b])
+            before = (h[a] < h[b]) | ((h[a] == h[b]) & (order[:-lag] <= order[lag:]))
+            wins[lag:] &= ~(close & before)
+            wins[:-lag] &= ~(close & ~before)
+            pairs.append((lag, close))
+        for lag, close in pairs:
+            near[lag:] |= close & wins[:-lag]
+            near[:-lag] |= close & wins[lag:]
+        kept.append(left[wins])
+        stay = ~wins & ~near
+        left, order = left[stay], order[stay]
+    return np.sort(np.concatenate(kept))
+
+
+def _pieces(buffer: bytes) -> Iterator[tuple[int, bytes]]:
+    """(offset, piece) of a buffer, cut before white space."""
+    at, space = 0, re.compile(rb"[\t-\r ]")
+    while at < len(buffer):
+        found = space.search(buffer, at + PIECE_BYTES) if len(buffer) - at > PIECE_BYTES else None
+        end = found.start() if found else len(buffer)
+        yield at, buffer[at:end]
+        at = end
+
+
+def words_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, text, whether a line starts) of each word of several texts, A-Z lower-cased, parted by ASCII white space."""
+    buffer = b"\n".join(texts)
+    bounds = np.cumsum([0] + [len(t) + 1 for t in texts])
+    hashes, starts, lines, line = [], [], [], 0
+    for offset, piece in _pieces(buffer):
+        a = np.frombuffer(piece, np.uint8)
+        letter = ~_SPACE[a]
+        edge = np.diff(letter.astype(np.int8), prepend=0, append=0)
+        start, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+        breaks = np.cumsum(a == 10)
+        lines.append((breaks[start] if len(start) else np.zeros(0, np.int64)) + line)
+        line += int(breaks[-1]) if len(breaks) else 0
+        starts.append(start + offset)
+        if not len(start):
+            hashes.append(np.zeros(0, np.uint64))
+            continue
+        size = end - start
+        first = np.cumsum(size) - size
+        place = np.arange(int(size.sum())) - np.repeat(first, size)
+        value = _LETTER[a[letter]] * _PLACE[place & 255]
+        if size.max() > 256:
+            value = np.where(place < 256, value, value * _FAR[(place >> 8) & 255])
+        hashes.append(_mix(np.add.reduceat(value, first) + size.astype(np.uint64) * _STEP[0]))
+    if not starts:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, bool)
+    start, line_of = np.concatenate(starts), np.concatenate(lines)
+    return np.concatenate(hashes), np.searchsorted(bounds, start, "right") - 1, np.diff(line_of, prepend=-1) > 0
 
 
 def elements(parts: np.ndarray) -> np.ndarray:
@@ -120,134 +163,140 @@ def elements(parts: np.ndarray) -> np.ndarray:
     return s
 
 
-def paragraphs(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(row, first word, whether it is banded, elements) of the paragraphs of several texts; all are."""
-    hashes, starts, rows, words, base = [], [], [], [], 0
-    for i, text in enumerate(texts):
-        h = shingles(text)
-        if len(h):
-            at = anchors(h[: len(h) - ELEMENTS + 1])
-            hashes.append(h)
-            starts.append(at + base)
-            rows.append(np.full(len(at), i))
-            words.append(at)
-            base += len(h)
-    if not hashes:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool), np.zeros((0, ELEMENTS), np.uint64)
-    h, at = np.concatenate(hashes), np.concatenate(starts)
-    return np.concatenate(rows), np.concatenate(words), np.ones(len(at), bool), elements(h[at[:, None] + np.arange(ELEMENTS)])
+def paragraphs(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, first word, elements) of the paragraphs of several texts, in order."""
+    w, text, line = words_of(texts)
+    if len(w) < WORDS:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros((0, ELEMENTS), np.uint64)
+    n = len(w) - SHINGLE + 1
+    h = _mix(sum(w[j : n + j] * _STEP[j] for j in range(SHINGLE)))
+    whole = np.flatnonzero(text[: len(w) - WORDS + 1] == text[WORDS - 1 :])
+    at = whole[anchors(h[whole], text[whole])]
+    begins = np.flatnonzero(line)
+    long = begins[np.diff(np.append(begins, len(w))) >= WORDS]
+    at = np.union1d(at, long)
+    first = np.searchsorted(text, text[at])
+    return text[at], at - first, elements(h[at[:, None] + np.arange(ELEMENTS)])
 
 
 def digests(e: np.ndarray) -> np.ndarray:
-    """Digest of each paragraph's elements."""
-    return _mix(_mix(e).sum(axis=1, dtype=np.uint64))
+    """An odd number for each paragraph's elements; it names the paragraph."""
+    return _mix(_mix(e).sum(axis=1, dtype=np.uint64)) | np.uint64(1)
 
 
 def band_keys(e: np.ndarray) -> np.ndarray:
-    """A key for each paragraph and band."""
+    """An even number for each paragraph and band."""
     least = np.stack([(e * a).min(axis=1) if len(e) else np.zeros(0, np.uint64) for a in _SCALE], axis=1).reshape(len(e), BANDS, ROWS)
     key = np.broadcast_to(np.arange(BANDS, dtype=np.uint64), (len(e), BANDS)).copy()
     for r in range(ROWS):
         key = _mix(key + least[:, :, r])
-    return key
+    return key & ~np.uint64(1)
 
 
-def _slots(keys: np.ndarray) -> np.ndarray:
-    return keys & np.uint64(BITMAP_BITS - 1)
+def first_of_chain(key: np.ndarray, row: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """Whether no paragraph before it in the same text overlaps it and has the same key."""
+    out = np.ones(len(key), bool)
+    for lag in range(1, WORDS):
+        if lag >= len(key):
+            break
+        overlaps = (row[lag:] == row[:-lag]) & (word[lag:] - word[:-lag] < WORDS)
+        if not overlaps.any():
+            break
+        out[lag:] &= ~(overlaps & (key[lag:] == key[:-lag]))
+    return out
 
 
-def _hit(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    at = _slots(keys)
-    return (bits[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1
+def places(d: np.ndarray, row: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """Which paragraphs don't overlap the last one taken of their digest and row."""
+    order = np.lexsort((word, d, row))
+    take = np.ones(len(order), bool)
+    take[1:] = (row[order][1:] != row[order][:-1]) | (d[order][1:] != d[order][:-1])
+    at, before, last = word[order], -2, 0
+    for i in np.flatnonzero(~take).tolist():
+        last = at[i - 1] if before != i - 1 else last
+        if at[i] - last >= WORDS:
+            take[i], last = True, at[i]
+        before = i
+    out = np.zeros(len(order), bool)
+    out[order] = take
+    return out
 
 
-def _signed(x: np.ndarray) -> pa.Array:
-    return pa.array(x.view(np.int64))
+def _slot(keys: np.ndarray, bits: int) -> np.ndarray:
+    """Where a key stands in a bitmap; its lowest bit tells kinds apart."""
+    return (keys >> np.uint64(1)) & np.uint64(bits - 1)
 
 
-def _groups(batches: Iterator[pa.RecordBatch], places: bool = False) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """(ids, row, first word, whether it is banded, elements) of some rows at a time, each paragraph of a row once; with ``places`` at every place that overlaps none before."""
-    for b in batches:
-        for at in range(0, b.num_rows, 64):
-            part = b.slice(at, 64)
-            row, word, lead, e = paragraphs([t.as_py() for t in part.column(1)])
-            d = digests(e)
-            order = np.lexsort((word, d, row))
-            first = np.ones(len(order), bool)
-            first[1:] = (row[order][1:] != row[order][:-1]) | (d[order][1:] != d[order][:-1])
-            if places:
-                at_word, before, last = word[order], -2, 0
-                for i in np.flatnonzero(~first).tolist():
-                    last = at_word[i - 1] if before != i - 1 else last
-                    if at_word[i] - last >= WORDS:
-                        first[i], last = True, at_word[i]
-                    before = i
-            keep = np.sort(order[first])
-            yield part.column(0), row[keep], word[keep], lead[keep], e[keep]
+def _hit(held: np.ndarray, bits: int, keys: np.ndarray) -> np.ndarray:
+    at = _slot(keys, bits)
+    return (held[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1
+
+
+def _bitmap(keys: DataFrame, c: str):
+    """(broadcast bitmap, its bits) of the keys, which are cut."""
+    bits = bits_for(keys.count())
+    return keys.sparkSession.sparkContext.broadcast(bitmap_of(keys.select(F.shiftright(c, 1).alias("at")), "at", bits)), bits
+
+
+def _signed(x: np.ndarray) -> pa.Array:
+    return pa.array(np.ascontiguousarray(x).view(np.int64))
 
 
-def _pieces(e: np.ndarray) -> pa.Array:
-    return pa.ListArray.from_arrays(pa.array(np.arange(len(e) + 1, dtype=np.int32) * ELEMENTS), _signed(np.ascontiguousarray(e).reshape(-1)))
+def _lists(x: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * x.shape[1]), _signed(x.reshape(-1)))
 
 
-def _occurrences(bitmap):
+def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray, np.ndarray]]:
+    """(rows, row, first word, elements) of about GROUP_BYTES of texts at a time; the text is the last column."""
+    for b in batches:
+        first, size, texts = 0, 0, []
+        for i, t in enumerate(b.column(b.num_columns - 1)):
+            texts.append(t.as_py())
+            size += len(texts[-1])
+            if size >= GROUP_BYTES or i == b.num_rows - 1:
+                yield b.slice(first, len(texts)), *paragraphs(texts)
+                first, size, texts = i + 1, 0, []
+
+
+def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(key, value): a paragraph's digest and a hash of its place, and for each band its key and its digest."""
+    for rows, row, word, e in _groups(batches):
+        d, keys = digests(e), band_keys(e)
+        own = rows.column(0).to_numpy().view(np.uint64)
+        at = places(d, row, word)
+        out = [(d[at], _mix(own[row[at]] ^ _mix(word[at].astype(np.uint64))))]
+        for j in range(BANDS):
+            take = first_of_chain(keys[:, j], row, word)
+            out.append((keys[take, j], d[take]))
+        yield pa.RecordBatch.from_arrays([_signed(np.concatenate(x)) for x in zip(*out)], names=["key", "value"])
+
+
+def _members(bitmap, bits: int):
+    """(cid, keys, elements) of the paragraphs with a band key of the bitmap."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.frombuffer(bitmap.value, np.uint8) if bitmap is not None else None
-        for ids, row, word, _, e in _groups(batches, places=True):
+        held = np.frombuffer(bitmap.value, np.uint8)
+        for _, _, _, e in _groups(batches):
             d = digests(e)
-            keep = _hit(bits, d) if bits is not None else np.ones(len(d), bool)
-            yield pa.RecordBatch.from_arrays([_signed(d[keep]), ids.take(pa.array(row[keep])), pa.array(word[keep], pa.int64())], names=["cid", "doc_id", "word"])
+            _, once = np.unique(d, return_index=True)
+            keys = band_keys(e[once])
+            take = _hit(held, bits, keys).any(axis=1)
+            yield pa.RecordBatch.from_arrays([_signed(d[once][take]), _lists(keys[take]), _lists(e[once][take])], names=["cid", "keys", "elements"])
 
     return run
 
 
-def _buckets(part: pa.RecordBatch) -> pa.RecordBatch:
-    """(key, a, b, t0, t1, far) of some rows: least and greatest paragraph and text of each key, and whether a text has it twice without overlap."""
-    seen: list[tuple[np.ndarray, ...]] = []
-    base = 0
-    for ids, row, word, _, e in _groups(iter([part])):
-        d = digests(e)
-        text = np.zeros(len(ids), np.uint64)
-        np.add.at(text, row, _mix(d))
-        seen.append((band_keys(e).reshape(-1), *(np.repeat(x, BANDS) for x in (d.view(np.int64), text[row].view(np.int64), row + base, word))))
-        base += len(ids)
-    keys, d, text, row, word = (np.concatenate(x) for x in zip(*seen))
-    order = np.lexsort((word, row, keys))
-    keys, d, text, row, word = (x[order] for x in (keys, d, text, row, word))
-    names = ["key", "a", "b", "t0", "t1", "far"]
-    if not len(keys):
-        return pa.RecordBatch.from_arrays([pa.array([], pa.int64())] * 5 + [pa.array([], pa.bool_())], names=names)
-    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
-    each = np.flatnonzero(np.concatenate([[True], (keys[1:] != keys[:-1]) | (row[1:] != row[:-1])]))
-    last = np.concatenate([each[1:], [len(keys)]]) - 1
-    far = np.zeros(len(keys), bool)
-    far[each] = word[last] - word[each] >= WORDS
-    columns = [keys[first].view(np.int64), np.minimum.reduceat(d, first), np.maximum.reduceat(d, first), np.minimum.reduceat(text, first), np.maximum.reduceat(text, first)]
-    return pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.array(np.logical_or.reduceat(far, first))], names=names)
-
-
-def _members(part: pa.RecordBatch, bits: np.ndarray) -> pa.RecordBatch:
-    """(key, cid, elements) of the paragraphs of some rows under the keys of the bitmap; one that many rows share goes out once."""
-    seen: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-    for _, _, _, _, e in _groups(iter([part])):
-        keys = band_keys(e).reshape(-1)
-        keep = np.flatnonzero(_hit(bits, keys))
-        seen.append((keys[keep], digests(e)[keep // BANDS], e[keep // BANDS]))
-    keys, d, e = (np.concatenate(x) for x in zip(*seen))
-    order = np.lexsort((d, keys))
-    first = np.ones(len(order), bool)
-    first[1:] = (keys[order][1:] != keys[order][:-1]) | (d[order][1:] != d[order][:-1])
-    keep = order[first]
-    return pa.RecordBatch.from_arrays([_signed(keys[keep]), _signed(d[keep]), _pieces(e[keep])], names=["key", "cid", "elements"])
-
-
-def _bands(bitmap):
+def _occurrences(bitmap, bits: int):
+    """(cid, row, doc_id, word) of the paragraphs whose digest is in the bitmap."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.frombuffer(bitmap.value, np.uint8) if bitmap is not None else None
-        for b in batches:
-            for at in range(0, b.num_rows, BAND_ROWS):
-                part = b.slice(at, BAND_ROWS)
-                yield _buckets(part) if bits is None else _members(part, bits)
+        held = np.frombuffer(bitmap.value, np.uint8)
+        for rows, row, word, e in _groups(batches):
+            d = digests(e)
+            take = np.flatnonzero(_hit(held, bits, d))
+            take = take[places(d[take], row[take], word[take])]
+            of = pa.array(row[take])
+            yield pa.RecordBatch.from_arrays([_signed(d[take]), rows.column(0).take(of), rows.column(1).take(of), pa.array(word[take], pa.int64())], names=["cid", "row", "doc_id", "word"])
 
     return run
 
@@ -263,33 +312,35 @@ def _subsets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([_signed(keys.reshape(-1)), part.column(0).take(pa.array(np.repeat(np.arange(len(e)), len(drop))))], names=["subset", "cid"])
 
 
-def bitmap_of(keys: DataFrame, c: str) -> bytes:
-    """Bits of the keys' low bits: BITMAP_BITS bits, whatever their number."""
-    at = keys.select(F.col(c).bitwiseAND(F.lit(BITMAP_BITS - 1)).alias("at"))
-    parts = at.groupBy(F.expr("at div 32768").alias("page")).agg(F.expr("bitmap_construct_agg(at % 32768)").alias("bits")).collect()
-    out = bytearray(BITMAP_BITS // 8)
-    for p in parts:
-        out[p["page"] * 4096 : p["page"] * 4096 + len(p["bits"])] = p["bits"]
-    return bytes(out)
+def documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(row, doc_id, t): row names an id and a text."""
+    text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
+    own = F.col(f"`{id_col}`").cast("long")
+    return docs.select(F.xxhash64(own.isNull(), own, text).alias("row"), own.alias("doc_id"), text.cast("binary").alias("t"))
+
+
+def colliding(texts: DataFrame) -> DataFrame:
+    """(key): the digests that stand at two places, odd, and the band keys that two paragraphs share, even."""
+    keys = arrow(texts, _keys, "key long, value long").groupBy("key").agg(F.min("value").alias("a"), F.max("value").alias("b"))
+    return cut(keys.where("a != b").select("key"))
 
 
-def near_links(texts: DataFrame) -> DataFrame | None:
-    """(u, v): verified links between digests of different paragraphs, or None if no bucket has two."""
-    sc = texts.sparkSession.sparkContext
-    buckets = texts.mapInArrow(_bands(None), "key long, a long, b long, t0 long, t1 long, far boolean")
-    buckets = buckets.groupBy("key").agg(*(F.min(c).alias(c) for c in ("a", "t0")), *(F.max(c).alias(c) for c in ("b", "t1", "far"))).where("a != b and (t0 != t1 or far)").select("key")
-    buckets = cut(buckets)
+def near_links(texts: DataFrame, keys: DataFrame) -> DataFrame | None:
+    """(u, v): verified links between digests of different paragraphs, or None if no band key is shared."""
+    buckets = cut(keys.where("key & 1 = 0"))
     if buckets.isEmpty():
         return None
-    bits = sc.broadcast(bitmap_of(buckets, "key"))
-    members = texts.mapInArrow(_bands(bits), "key long, cid long, elements array<long>").groupBy("key", "cid").agg(F.first("elements").alias("elements"))
-    members = cut(members.join(buckets, "key", "left_semi"))
-    size = cut(members.groupBy("key").agg(F.count(F.lit(1)).alias("n")))
-    small = cut(members.join(size.where(F.col("n") <= SMALL).select("key"), "key", "left_semi"))
-    other = small.select("key", F.col("cid").alias("v"), F.col("elements").alias("w"))
-    pairs = small.join(other, "key").where("cid < v").where(F.size(F.array_intersect("elements", "w")) >= COMMON).select(F.col("cid").alias("u"), "v")
-    large = members.join(size.where(F.col("n") > SMALL).select("key"), "key", "left_semi").groupBy("cid").agg(F.first("elements").alias("elements"))
-    keyed = cut(large.mapInArrow(_subsets, "subset long, cid long").distinct())
+    members = arrow(texts, _members(*_bitmap(buckets, "key")), "cid long, keys array<long>, elements array<long>")
+    members = cut(members.groupBy("cid").agg(F.first("keys").alias("keys"), F.first("elements").alias("elements")))
+    each = members.select("cid", F.explode("keys").alias("key")).join(buckets, "key", "left_semi")
+    each = cut(each.join(each.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "key"))
+    small = each.where(F.col("n") <= SMALL).select("key", "cid")
+    pairs = small.withColumnRenamed("cid", "u").join(small.withColumnRenamed("cid", "v"), "key").where("u < v").select("u", "v").distinct()
+    own = members.select("cid", "elements")
+    pairs = pairs.join(own.select(F.col("cid").alias("u"), F.col("elements").alias("x")), "u").join(own.select(F.col("cid").alias("v"), F.col("elements").alias("y")), "v")
+    pairs = pairs.where(F.size(F.array_intersect("x", "y")) >= COMMON).select("u", "v")
+    large = own.join(each.where(F.col("n") > SMALL).select("cid").distinct(), "cid", "left_semi")
+    keyed = cut(arrow(large, _subsets, "subset long, cid long").distinct())
     stars = cut(keyed.groupBy("subset").agg(F.min("cid").alias("u"), F.max("cid").alias("v")).where("u != v").select("subset", "u"))
     linked = keyed.join(stars, "subset").where("u != cid").select("u", F.col("cid").alias("v"))
     return pairs.unionAll(linked).distinct()
@@ -301,31 +352,32 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     Words are counted from 0, end exclusive. ``kept`` marks the occurrence that stays; cluster names the component of the
     stretch's first paragraph, keeper_doc the document that keeps it.
     """
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_bytes(F.col(text_col)).alias("t"))
-    sc = docs.sparkSession.sparkContext
-    place = F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", "word")
-    links = near_links(texts)
-    seen = texts.mapInArrow(_occurrences(None), "cid long, doc_id long, word long").groupBy("cid").agg(F.min(place).alias("first"), F.max(place).alias("last"))
-    # in one document, only stretches that don't overlap repeat each other
-    apart = (F.col("first.late") != F.col("last.late")) | (F.col("first.doc_id") != F.col("last.doc_id")) | (F.col("last.word") - F.col("first.word") >= WORDS)
+    texts = documents(docs, id_col, text_col)
+    keys = colliding(texts)
+    links = near_links(texts.select("t"), keys)
+    wanted = keys.where("key & 1 = 1").select(F.col("key").alias("cid"))
     if links is None:
-        classes = cut(seen.where(apart).select("cid", F.col("cid").alias("cluster"), "first"))
+        wanted = wanted.withColumn("cluster", F.col("cid"))
     else:
-        roots = components(links).withColumnRenamed("node", "cid")
-        some = cut(seen.join(roots, "cid", "left").where(F.col("root").isNotNull() | F.coalesce(apart, F.lit(False))).select("cid", "first", "last", F.coalesce("root", "cid").alias("cluster")))
-        keepers = cut(some.groupBy("cluster").agg(F.min("first").alias("first"), F.max("last").alias("last")).where(apart).select("cluster", "first"))
-        classes = cut(some.select("cid", "cluster").join(keepers, "cluster"))
-    bits = sc.broadcast(bitmap_of(classes, "cid"))
-    found = texts.mapInArrow(_occurrences(bits), "cid long, doc_id long, word long").join(classes, "cid")
-    kept = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.abs(F.col("word") - F.col("first.word")) < WORDS)
-    found = found.select("doc_id", "word", "cluster", F.col("first.doc_id").alias("keeper_doc"), kept.alias("kept"))
-    before = Window.partitionBy("doc_id", "kept").orderBy("word").rowsBetween(Window.unboundedPreceding, -1)
-    upto = Window.partitionBy("doc_id", "kept").orderBy("word").rowsBetween(Window.unboundedPreceding, 0)
+        roots = components(links).select(F.col("node").alias("cid"), "root")
+        wanted = wanted.join(roots, "cid", "full").select("cid", F.coalesce("root", "cid").alias("cluster"))
+    wanted = cut(wanted)
+    found = arrow(texts, _occurrences(*_bitmap(wanted, "cid")), "cid long, row long, doc_id long, word long")
+    found = cut(found.join(wanted, "cid").drop("cid"))
+    place = F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", "row", "word")
+    # in one document, only stretches that don't overlap repeat each other
+    apart = (F.col("first.row") != F.col("last.row")) | (F.col("last.word") - F.col("first.word") >= WORDS)
+    keepers = cut(found.groupBy("cluster").agg(F.min(place).alias("first"), F.max(place).alias("last")).where(apart).select("cluster", "first"))
+    found = found.join(keepers, "cluster")
+    kept = (F.col("row") == F.col("first.row")) & (F.abs(F.col("word") - F.col("first.word")) < WORDS)
+    found = found.select("row", "doc_id", "word", "cluster", F.col("first.doc_id").alias("keeper_doc"), kept.alias("kept"))
+    of_text = Window.partitionBy("row", "kept").orderBy("word")
+    before, upto = of_text.rowsBetween(Window.unboundedPreceding, -1), of_text.rowsBetween(Window.unboundedPreceding, 0)
     found = found.withColumn("new", F.coalesce(F.col("word") > F.max("word").over(before) + WORDS, F.lit(True)).cast("int"))
     found = found.withColumn("stretch", F.sum("new").over(upto))
-    lead = F.min(F.struct("word", "cluster", "keeper_doc")).alias("l")
-    spans = found.groupBy("doc_id", "kept", "stretch").agg(lead, (F.max("word") + WORDS).alias("end_word"))
-    return spans.select("doc_id", F.col("l.word").alias("first_word"), "end_word", F.col("l.cluster").alias("cluster"), F.col("l.keeper_doc").alias("keeper_doc"), "kept")
+    lead = F.min(F.struct("word", "cluster", "keeper_doc", "doc_id")).alias("l")
+    spans = found.groupBy("row", "kept", "stretch").agg(lead, (F.max("word") + WORDS).alias("end_word"))
+    return spans.select(F.col("l.doc_id").alias("doc_id"), F.col("l.word").alias("first_word"), "end_word", F.col("l.cluster").alias("cluster"), F.col("l.keeper_doc").alias("keeper_doc"), "kept")
 
 
 def op3_paragraph_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
