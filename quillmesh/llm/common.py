@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -56,15 +57,34 @@ def fresh(df: DataFrame, base: str) -> str:
 
 
 def bits_for(n: int) -> int:
-    """Bits of a bitmap over ``n`` keys: eight for each, a power of two, from 2**20 up to 2**27, so that a broadcast takes 16 MB at most."""
-    return 1 << min(27, max(20, (8 * n - 1).bit_length()))
+    """Bits of a filter over ``n`` keys: 16 for each, a power of two, from 2**20 up to 2**28, so that a broadcast takes 32 MB at most."""
+    return 1 << min(28, max(20, (16 * n - 1).bit_length()))
 
 
-def bitmap_of(keys: DataFrame, c: str, bits: int) -> bytes:
-    """A bitmap of the keys' low bits; beyond 2**24 keys it lets more of the others pass, which costs rows and no result."""
-    at = keys.select(F.col(c).bitwiseAND(F.lit(bits - 1)).alias("at"))
-    parts = at.groupBy(F.expr("at div 32768").alias("page")).agg(F.expr("bitmap_construct_agg(at % 32768)").alias("bits")).collect()
+def bitmap_of(slots: DataFrame, c: str, bits: int) -> bytes:
+    """A bitmap of ``bits`` bits with those at ``slots.c`` set."""
+    parts = slots.groupBy(F.expr(f"{c} div 32768").alias("page")).agg(F.expr(f"bitmap_construct_agg({c} % 32768)").alias("bits")).collect()
     out = bytearray(bits // 8)
     for p in parts:
         out[p["page"] * 4096 : p["page"] * 4096 + len(p["bits"])] = p["bits"]
     return bytes(out)
+
+
+#: Where a key's three bits of a Bloom filter are read off the key itself, which must be a hash.
+_SHIFTS = (1, 19, 36)
+
+
+def bloom_of(keys: DataFrame, c: str) -> tuple[bytes, int]:
+    """A Bloom filter over hashes, and its bits. Past 2**24 keys it lets more of the others pass, which costs rows and no result. ``keys`` should be cut."""
+    bits = bits_for(keys.count())
+    slots = keys.select(F.explode(F.array(*(F.shiftrightunsigned(c, s).bitwiseAND(F.lit(bits - 1)) for s in _SHIFTS))).alias("at"))
+    return bitmap_of(slots, "at", bits), bits
+
+
+def bloom_hits(held: np.ndarray, bits: int, keys: np.ndarray) -> np.ndarray:
+    """Whether each of the keys (unsigned 64 bits) may be in the filter (its bytes)."""
+    out = np.ones(keys.shape, bool)
+    for s in _SHIFTS:
+        at = (keys >> np.uint64(s)) & np.uint64(bits - 1)
+        out &= (held[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1
+    return out

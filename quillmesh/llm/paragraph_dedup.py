@@ -14,8 +14,8 @@ two share a subset of 18 exactly if they have 18 in common, so stars over those
 pairing a group's members. Components of the links are the clusters; the occurrence of smallest (doc_id, text, word)
 stays, the others are removals. Overlapping paragraphs of a document merge into spans.
 
-The texts are read three times: for the keys, two numbers each; for the elements of paragraphs whose keys collide; for the places of those that repeat.
-The later passes leave out the rest by a bitmap that grows with the number of keys, up to 16 MB; a false positive costs a row and no result.
+The texts are read three times: for the keys, which are counted; for the elements of paragraphs whose keys come again; for the places of those that repeat.
+The later passes leave out the rest by a Bloom filter that grows with the number of keys, up to 32 MB; a false positive costs a row and no result.
 
 Defined cases: null, empty and shorter texts have no paragraph; a paragraph repeated within one row counts at each
 place that doesn't overlap the one before; rows of one id and text are one document, rows that differ in either are two, and rows without an id never come first;
@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import arrow, bitmap_of, bits_for, cut, table, text_bytes
+from .common import arrow, bloom_hits, bloom_of, cut, table
 from .components import components
 
 WORDS, SHINGLE, EVERY = 24, 5, 20
@@ -45,6 +45,8 @@ APART = 3
 COMMON = -(-8 * 2 * ELEMENTS // 18)
 #: Bytes of texts whose paragraphs are held at once, and of a piece of them that is cut into words at once.
 GROUP_BYTES, PIECE_BYTES = 1 << 20, 1 << 22
+#: Digests that a task remembers to have sent.
+SEEN = 200_000
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -222,30 +224,16 @@ def places(d: np.ndarray, row: np.ndarray, word: np.ndarray) -> np.ndarray:
     return out
 
 
-def _slot(keys: np.ndarray, bits: int) -> np.ndarray:
-    """Where a key stands in a bitmap; its lowest bit tells kinds apart."""
-    return (keys >> np.uint64(1)) & np.uint64(bits - 1)
-
-
-def _hit(held: np.ndarray, bits: int, keys: np.ndarray) -> np.ndarray:
-    at = _slot(keys, bits)
-    return (held[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1
-
-
-def _bitmap(keys: DataFrame, c: str):
-    """(broadcast bitmap, its bits) of the keys, which are cut."""
-    bits = bits_for(keys.count())
-    return keys.sparkSession.sparkContext.broadcast(bitmap_of(keys.select(F.shiftright(c, 1).alias("at")), "at", bits)), bits
+def _filter(keys: DataFrame, c: str):
+    """(broadcast Bloom filter, its bits) of the keys, which are cut."""
+    held, bits = bloom_of(keys, c)
+    return keys.sparkSession.sparkContext.broadcast(held), bits
 
 
 def _signed(x: np.ndarray) -> pa.Array:
     return pa.array(np.ascontiguousarray(x).view(np.int64))
 
 
-def _lists(x: np.ndarray) -> pa.Array:
-    return pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * x.shape[1]), _signed(x.reshape(-1)))
-
-
 def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray, np.ndarray]]:
     """(rows, row, first word, elements) of about GROUP_BYTES of texts at a time; the text is the last column."""
     for b in batches:
@@ -259,41 +247,45 @@ def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch,
 
 
 def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(key, value): a paragraph's digest and a hash of its place, and for each band its key and its digest."""
-    for rows, row, word, e in _groups(batches):
+    """(key): each paragraph's digest at each place, and its key of each band."""
+    for _, row, word, e in _groups(batches):
         d, keys = digests(e), band_keys(e)
-        own = rows.column(0).to_numpy().view(np.uint64)
-        at = places(d, row, word)
-        out = [(d[at], _mix(own[row[at]] ^ _mix(word[at].astype(np.uint64))))]
-        for j in range(BANDS):
-            take = first_of_chain(keys[:, j], row, word)
-            out.append((keys[take, j], d[take]))
-        yield pa.RecordBatch.from_arrays([_signed(np.concatenate(x)) for x in zip(*out)], names=["key", "value"])
+        banded = [keys[first_of_chain(keys[:, j], row, word), j] for j in range(BANDS)]
+        yield pa.RecordBatch.from_arrays([_signed(np.concatenate([d[places(d, row, word)], *banded]))], names=["key"])
 
 
-def _members(bitmap, bits: int):
-    """(cid, keys, elements) of the paragraphs with a band key of the bitmap."""
+def _members(shared, bits: int):
+    """(cid, keys, elements) of the paragraphs with a band key of the filter; elements by 32 bits of their hashes. Most copies in a task go out once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = np.frombuffer(bitmap.value, np.uint8)
+        held, seen = np.frombuffer(shared.value, np.uint8), set()
         for _, _, _, e in _groups(batches):
-            d = digests(e)
-            _, once = np.unique(d, return_index=True)
-            keys = band_keys(e[once])
-            take = _hit(held, bits, keys).any(axis=1)
-            yield pa.RecordBatch.from_arrays([_signed(d[once][take]), _lists(keys[take]), _lists(e[once][take])], names=["cid", "keys", "elements"])
+            d, once = np.unique(digests(e), return_index=True)
+            e = e[once]
+            keys = band_keys(e)
+            hits = bloom_hits(held, bits, keys)
+            take = np.array([i for i in np.flatnonzero(hits.any(axis=1)).tolist() if d[i] not in seen], np.int64)
+            if len(seen) > SEEN:
+                seen.clear()
+            seen.update(d[take])
+            hits = hits[take]
+            ends = np.concatenate([[0], np.cumsum(hits.sum(axis=1))])
+            of_keys = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), _signed(keys[take][hits]))
+            flat = pa.array(np.ascontiguousarray(e[take].astype(np.uint32)).view(np.int32).reshape(-1))
+            of_elements = pa.ListArray.from_arrays(pa.array(np.arange(len(take) + 1, dtype=np.int32) * ELEMENTS), flat)
+            yield pa.RecordBatch.from_arrays([_signed(d[take]), of_keys, of_elements], names=["cid", "keys", "elements"])
 
     return run
 
 
-def _occurrences(bitmap, bits: int):
-    """(cid, row, doc_id, word) of the paragraphs whose digest is in the bitmap."""
+def _occurrences(shared, bits: int):
+    """(cid, row, doc_id, word) of the paragraphs whose digest is in the filter."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = np.frombuffer(bitmap.value, np.uint8)
+        held = np.frombuffer(shared.value, np.uint8)
         for rows, row, word, e in _groups(batches):
             d = digests(e)
-            take = np.flatnonzero(_hit(held, bits, d))
+            take = np.flatnonzero(bloom_hits(held, bits, d))
             take = take[places(d[take], row[take], word[take])]
             of = pa.array(row[take])
             yield pa.RecordBatch.from_arrays([_signed(d[take]), rows.column(0).take(of), rows.column(1).take(of), pa.array(word[take], pa.int64())], names=["cid", "row", "doc_id", "word"])
@@ -306,7 +298,7 @@ def _subsets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         for at in range(0, b.num_rows, 1024):
             part = b.slice(at, 1024)
-            e = _mix(part.column(1).flatten().to_numpy(zero_copy_only=False).view(np.uint64).reshape(-1, ELEMENTS))
+            e = _mix(part.column(1).flatten().to_numpy(zero_copy_only=False).view(np.uint32).astype(np.uint64).reshape(-1, ELEMENTS))
             total = e.sum(axis=1, dtype=np.uint64)
             keys = np.stack([total - sum((e[:, i] for i in c), np.zeros(len(e), np.uint64)) for c in drop], axis=1)
             yield pa.RecordBatch.from_arrays([_signed(keys.reshape(-1)), part.column(0).take(pa.array(np.repeat(np.arange(len(e)), len(drop))))], names=["subset", "cid"])
@@ -320,9 +312,11 @@ def documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
 
 
 def colliding(texts: DataFrame) -> DataFrame:
-    """(key): the digests that stand at two places, odd, and the band keys that two paragraphs share, even."""
-    keys = arrow(texts, _keys, "key long, value long").groupBy("key").agg(F.min("value").alias("a"), F.max("value").alias("b"))
-    return cut(keys.where("a != b").select("key"))
+    """(key): the digests, odd, and band keys, even, that come more than once.
+
+    A count is all that is shuffled for a key. Copies of a row count as well; what only they repeat falls out when places are compared.
+    """
+    return cut(arrow(texts, _keys, "key long").groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key"))
 
 
 def near_links(texts: DataFrame, keys: DataFrame) -> DataFrame | None:
@@ -330,7 +324,7 @@ def near_links(texts: DataFrame, keys: DataFrame) -> DataFrame | None:
     buckets = cut(keys.where("key & 1 = 0"))
     if buckets.isEmpty():
         return None
-    members = arrow(texts, _members(*_bitmap(buckets, "key")), "cid long, keys array<long>, elements array<long>")
+    members = arrow(texts, _members(*_filter(buckets, "key")), "cid long, keys array<long>, elements array<int>")
     members = cut(members.groupBy("cid").agg(F.first("keys").alias("keys"), F.first("elements").alias("elements")))
     each = members.select("cid", F.explode("keys").alias("key")).join(buckets, "key", "left_semi")
     each = cut(each.join(each.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "key"))
@@ -362,7 +356,7 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         roots = components(links).select(F.col("node").alias("cid"), "root")
         wanted = wanted.join(roots, "cid", "full").select("cid", F.coalesce("root", "cid").alias("cluster"))
     wanted = cut(wanted)
-    found = arrow(texts, _occurrences(*_bitmap(wanted, "cid")), "cid long, row long, doc_id long, word long")
+    found = arrow(texts, _occurrences(*_filter(wanted, "cid")), "cid long, row long, doc_id long, word long")
     found = cut(found.join(wanted, "cid").drop("cid"))
     place = F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", "row", "word")
     # in one document, only stretches that don't overlap repeat each other
