@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import gc
+
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -38,6 +40,15 @@ def arrow(df: DataFrame, run, schema) -> DataFrame:
     return df.mapInArrow(run, schema)
 
 
+def release(spark: SparkSession) -> None:
+    """Lets Spark's cleaner drop the shuffle files, checkpoints and broadcasts that nothing refers to any more.
+
+    It notices when the driver collects garbage, otherwise every half hour; between the phases of a job their files would add up on the executors' disks.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def text_bytes(c: Column) -> Column:
     """UTF-8 bytes of a text; null counts as empty."""
     return F.coalesce(c.cast("string"), F.lit("")).cast("binary")

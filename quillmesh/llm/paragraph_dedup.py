@@ -33,11 +33,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import arrow, bloom_hits, bloom_of, cut, table
+from .common import arrow, bloom_hits, bloom_of, cut, release, table
 from .components import components
 
 WORDS, SHINGLE, EVERY = 24, 5, 20
-BANDS, ROWS, SMALL = 4, 2, 8
+BANDS, ROWS, SMALL = 4, 2, 32
 ELEMENTS = WORDS - SHINGLE + 1
 #: Words that part the starts of two paragraphs of a text, but for those of lines: at fewer, they would have COMMON elements in common.
 APART = 3
@@ -255,7 +255,10 @@ def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _members(shared, bits: int):
-    """(cid, keys, elements) of the paragraphs with a band key of the filter; elements by 32 bits of their hashes. Most copies in a task go out once."""
+    """(cid, keys, sketch, elements) of the paragraphs with a band key of the filter; elements by 32 bits of their hashes. Most copies in a task go out once.
+
+    sketch has the bit of each element's low six bits: two paragraphs with COMMON common elements differ in as many bits as they have others.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, seen = np.frombuffer(shared.value, np.uint8), set()
@@ -273,7 +276,8 @@ def _members(shared, bits: int):
             of_keys = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), _signed(keys[take][hits]))
             flat = pa.array(np.ascontiguousarray(e[take].astype(np.uint32)).view(np.int32).reshape(-1))
             of_elements = pa.ListArray.from_arrays(pa.array(np.arange(len(take) + 1, dtype=np.int32) * ELEMENTS), flat)
-            yield pa.RecordBatch.from_arrays([_signed(d[take]), of_keys, of_elements], names=["cid", "keys", "elements"])
+            sketch = np.bitwise_or.reduce(np.uint64(1) << (e[take] & np.uint64(63)), axis=1)
+            yield pa.RecordBatch.from_arrays([_signed(d[take]), of_keys, _signed(sketch), of_elements], names=["cid", "keys", "sketch", "elements"])
 
     return run
 
@@ -293,15 +297,20 @@ def _occurrences(shared, bits: int):
     return run
 
 
-def _subsets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _subsets(shared=None, bits: int = 0):
+    """(subset, cid) for each subset of at least COMMON elements; with a filter those of the subsets that it holds."""
     drop = [c for n in range(ELEMENTS - COMMON + 1) for c in combinations(range(ELEMENTS), n)]
-    for b in batches:
-        for at in range(0, b.num_rows, 1024):
-            part = b.slice(at, 1024)
-            e = _mix(part.column(1).flatten().to_numpy(zero_copy_only=False).view(np.uint32).astype(np.uint64).reshape(-1, ELEMENTS))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = np.frombuffer(shared.value, np.uint8) if shared is not None else None
+        for b in batches:
+            e = _mix(b.column(1).flatten().to_numpy(zero_copy_only=False).view(np.uint32).astype(np.uint64).reshape(-1, ELEMENTS))
             total = e.sum(axis=1, dtype=np.uint64)
-            keys = np.stack([total - sum((e[:, i] for i in c), np.zeros(len(e), np.uint64)) for c in drop], axis=1)
-            yield pa.RecordBatch.from_arrays([_signed(keys.reshape(-1)), part.column(0).take(pa.array(np.repeat(np.arange(len(e)), len(drop))))], names=["subset", "cid"])
+            keys = np.stack([_mix(total - sum((e[:, i] for i in c), np.zeros(len(e), np.uint64))) for c in drop], axis=1)
+            take = bloom_hits(held, bits, keys) if held is not None else np.ones(keys.shape, bool)
+            yield pa.RecordBatch.from_arrays([_signed(keys[take]), b.column(0).take(pa.array(np.nonzero(take)[0]))], names=["subset", "cid"])
+
+    return run
 
 
 def documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -316,7 +325,9 @@ def colliding(texts: DataFrame) -> DataFrame:
 
     A count is all that is shuffled for a key. Copies of a row count as well; what only they repeat falls out when places are compared.
     """
-    return cut(arrow(texts, _keys, "key long").groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key"))
+    keys = cut(arrow(texts, _keys, "key long").groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key"))
+    release(texts.sparkSession)
+    return keys
 
 
 def near_links(texts: DataFrame, keys: DataFrame) -> DataFrame | None:
@@ -324,20 +335,24 @@ def near_links(texts: DataFrame, keys: DataFrame) -> DataFrame | None:
     buckets = cut(keys.where("key & 1 = 0"))
     if buckets.isEmpty():
         return None
-    members = arrow(texts, _members(*_filter(buckets, "key")), "cid long, keys array<long>, elements array<int>")
-    members = cut(members.groupBy("cid").agg(F.first("keys").alias("keys"), F.first("elements").alias("elements")))
-    each = members.select("cid", F.explode("keys").alias("key")).join(buckets, "key", "left_semi")
+    members = arrow(texts, _members(*_filter(buckets, "key")), "cid long, keys array<long>, sketch long, elements array<int>")
+    members = cut(members.groupBy("cid").agg(*(F.first(c).alias(c) for c in ("keys", "sketch", "elements"))))
+    release(texts.sparkSession)
+    each = members.select("cid", "sketch", F.explode("keys").alias("key"))
     each = cut(each.join(each.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "key"))
-    small = each.where(F.col("n") <= SMALL).select("key", "cid")
-    pairs = small.withColumnRenamed("cid", "u").join(small.withColumnRenamed("cid", "v"), "key").where("u < v").select("u", "v").distinct()
+    small = each.where(F.col("n") <= SMALL)
+    u, v = (small.select("key", F.col("cid").alias(c), F.col("sketch").alias(f"s{c}")) for c in ("u", "v"))
+    pairs = u.join(v, "key").where((F.col("u") < F.col("v")) & (F.bit_count(F.col("su").bitwiseXOR(F.col("sv"))) <= 2 * (ELEMENTS - COMMON))).select("u", "v").distinct()
     own = members.select("cid", "elements")
     pairs = pairs.join(own.select(F.col("cid").alias("u"), F.col("elements").alias("x")), "u").join(own.select(F.col("cid").alias("v"), F.col("elements").alias("y")), "v")
     pairs = pairs.where(F.size(F.array_intersect("x", "y")) >= COMMON).select("u", "v")
     large = own.join(each.where(F.col("n") > SMALL).select("cid").distinct(), "cid", "left_semi")
-    keyed = cut(arrow(large, _subsets, "subset long, cid long").distinct())
-    stars = cut(keyed.groupBy("subset").agg(F.min("cid").alias("u"), F.max("cid").alias("v")).where("u != v").select("subset", "u"))
-    linked = keyed.join(stars, "subset").where("u != cid").select("u", F.col("cid").alias("v"))
-    return pairs.unionAll(linked).distinct()
+    shared = cut(arrow(large, _subsets(), "subset long, cid long").groupBy("subset").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("subset"))
+    keyed = cut(arrow(large, _subsets(*_filter(shared, "subset")), "subset long, cid long").join(shared, "subset", "left_semi"))
+    linked = keyed.join(keyed.groupBy("subset").agg(F.min("cid").alias("u")), "subset").where("u != cid").select("u", F.col("cid").alias("v"))
+    links = cut(pairs.unionAll(linked).distinct())
+    release(texts.sparkSession)
+    return links
 
 
 def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -358,6 +373,7 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     wanted = cut(wanted)
     found = arrow(texts, _occurrences(*_filter(wanted, "cid")), "cid long, row long, doc_id long, word long")
     found = cut(found.join(wanted, "cid").drop("cid"))
+    release(docs.sparkSession)
     place = F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", "row", "word")
     # in one document, only stretches that don't overlap repeat each other
     apart = (F.col("first.row") != F.col("last.row")) | (F.col("last.word") - F.col("first.word") >= WORDS)
