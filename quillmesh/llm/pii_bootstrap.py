@@ -7,7 +7,7 @@ are instances of that kind; an instance's score joins its patterns' confidences
 count as seeds of the next turn. Unseen identifiers in the slot of a high-confidence pattern become spans of
 its kind. The base spans always stay.
 
-Positions come from the gaps between matches, so they count code points and cover whole texts. The expressions give the same matches as
+Positions come from the gaps between matches, so they count code points and cover whole texts; a span's two words are those since the previous match of its expression. The expressions give the same matches as
 the plain ones but never try a start twice: e-mail and IP matches start where a run starts or
 the previous match ended, and a card is a maximal run.
 
@@ -23,7 +23,7 @@ from functools import partial
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, fresh, table
+from .common import cut, fresh, release, table, text_id
 
 KINDS = ("email", "ip", "card", "phone")
 PATTERNS = {
@@ -34,27 +34,47 @@ PATTERNS = {
 }
 #: A string that may be an identifier: it holds a digit or an at sign.
 _CHARS = r"[\p{L}\p{N}._%+@-]"
-CANDIDATE = rf"(?<!{_CHARS})(?=[\p{{L}}._%+-]{{0,63}}[0-9@]){_CHARS}{{6,64}}+(?!{_CHARS})"
-#: Characters before a span in which its two words are looked for.
-BEFORE = 80
+CANDIDATE = rf"(?<!{_CHARS})(?=[\p{{L}}._%+-]*+[0-9@]){_CHARS}{{6,}}+"
+#: What holds the shape of an address is none: it is a base span, or failed to be one.
+_SHAPED = rf"@[A-Za-z0-9-]+\.|[0-9]\.[0-9]+\.[0-9]+\.[0-9]"
+#: Matches whose places are added up at once, and code points of a block of text: they keep the work on a text with very many matches near linear.
+STEP, BLOCK = 64, 4096
 #: Distinct instances that a pattern needs, confidence that it needs, turns.
 SUPPORT, CONFIDENT, TURNS = 3, 0.8, 3
 
 
+def _let(value: Column, f) -> Column:
+    """f(value), with the value computed once however often f uses it."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
+_MATCHES = "cast(array() as array<struct<start:bigint,end:bigint,value:string,pattern:string>>)"
+
+
 def matches(text: Column, pattern: str) -> Column:
-    """Array of (start, end, value, before) of each match; before: the characters that precede it since the last match, BEFORE at most."""
+    """Array of (start, end, value, pattern) of each match; pattern: the last two words between the previous match and this one."""
     found, gaps = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
-    pairs = F.zip_with(found, F.slice(gaps, F.lit(1), F.size(found)), lambda m, g: F.struct(m.alias("m"), g.alias("g")))
-    empty = F.expr("cast(array() as array<struct<start:bigint,end:bigint,value:string,before:string>>)")
-    start = F.struct(F.lit(0).cast("long").alias("at"), empty.alias("out"))
+    pairs = F.zip_with(found, gaps, lambda m, g: F.struct(m.alias("m"), g.alias("g")))
+    zero = F.lit(0).cast("long")
 
     def step(a: Column, p: Column) -> Column:
         begin = a["at"] + F.length(p["g"])
         end = begin + F.length(p["m"])
-        one = F.struct(begin.alias("start"), end.alias("end"), p["m"].alias("value"), F.substring(p["g"], -BEFORE, BEFORE).alias("before"))
+        one = F.struct(begin.alias("start"), end.alias("end"), p["m"].alias("value"), _pattern_of(p["g"]).alias("pattern"))
         return F.struct(end.alias("at"), F.array_append(a["out"], one).alias("out"))
 
-    return F.when(text.rlike(pattern), F.aggregate(pairs, start, step, lambda a: a["out"])).otherwise(empty)
+    def placed(p: Column) -> Column:
+        """Places within each STEP matches first, then where each STEP begins."""
+        parts = F.transform(F.sequence(F.lit(0), ((F.size(p) - 1) / STEP).cast("int")), lambda k: F.aggregate(F.slice(p, (k * STEP + 1).cast("int"), F.lit(STEP)), F.struct(zero.alias("at"), F.expr(_MATCHES).alias("out")), step))
+        return _let(parts, moved)
+
+    def moved(parts: Column) -> Column:
+        begins = F.aggregate(parts, F.struct(zero.alias("at"), F.expr("cast(array() as array<bigint>)").alias("out")), lambda a, p: F.struct((a["at"] + p["at"]).alias("at"), F.array_append(a["out"], a["at"]).alias("out")), lambda a: a["out"])
+        by = lambda p, o: F.transform(p["out"], lambda s: F.struct((s["start"] + o).alias("start"), (s["end"] + o).alias("end"), s["value"].alias("value"), s["pattern"].alias("pattern")))
+        return F.flatten(F.zip_with(parts, begins, by))
+
+    # the last gap has no match after it
+    return F.when(text.rlike(pattern), _let(F.filter(pairs, lambda p: p["m"].isNotNull()), placed)).otherwise(F.expr(_MATCHES))
 
 
 def luhn(digits: Column) -> Column:
@@ -83,30 +103,41 @@ def _valid(kind: str, span: Column) -> Column:
 
 def _pattern_of(before: Column) -> Column:
     """The last two words of what precedes a span, in lower case."""
-    words = F.filter(F.split(F.lower(before), r"\s+"), lambda w: w != "")
-    return F.array_join(F.slice(words, F.greatest(F.size(words) - 1, F.lit(1)), F.lit(2)), " ")
+    return F.substring_index(F.trim(F.regexp_replace(F.lower(before), r"\s+", " ")), " ", -2)
 
 
 def _typed(order: int, kind: str, s: Column) -> Column:
-    return F.struct(s["start"].alias("start"), F.lit(order).alias("ord"), s["end"].alias("end"), F.lit(kind).alias("kind"), s["value"].alias("value"), s["before"].alias("before"))
+    return F.struct(s["start"].alias("start"), F.lit(order).alias("ord"), s["end"].alias("end"), F.lit(kind).alias("kind"), s["value"].alias("value"), s["pattern"].alias("pattern"))
 
 
 def _base(text: Column) -> Column:
-    """Array of (start, order, end, kind, value, before) of all base spans by start, then kind."""
+    """Array of (start, order, end, kind, value, pattern) of all base spans by start, then kind."""
     guards = {"email": F.contains(text, F.lit("@")), "phone": F.contains(text, F.lit("+"))}
     kinds = []
     for i, kind in enumerate(KINDS):
         kept = F.filter(matches(text, PATTERNS[kind]), partial(_valid, kind))
         spans = F.transform(kept, partial(_typed, i, kind))
-        kinds.append(F.when(guards.get(kind, text.rlike("[0-9]")), spans).otherwise(F.expr("cast(array() as array<struct<start:bigint,ord:int,end:bigint,kind:string,value:string,before:string>>)")))
+        kinds.append(F.when(guards.get(kind, text.rlike("[0-9]")), spans).otherwise(F.expr("cast(array() as array<struct<start:bigint,ord:int,end:bigint,kind:string,value:string,pattern:string>>)")))
     return F.sort_array(F.concat(*kinds))
 
 
+def _in_blocks(text: Column, spans: Column) -> Column:
+    """For each BLOCK of a text the spans that touch it."""
+    blocks = F.sequence(F.lit(0), (F.length(text) / BLOCK).cast("int"))
+    return _let(spans, lambda all_: F.transform(blocks, lambda k: F.filter(all_, lambda s: (s["end"] > k * BLOCK) & (s["start"] < (k + 1) * BLOCK))))
+
+
 def _candidates(text: Column, base: Column) -> Column:
-    """Array of (start, end, value, before) of what may be an identifier and touches no base span."""
-    free = lambda c: ~F.exists(base, lambda b: (c["start"] < b["end"]) & (b["start"] < c["end"]))
-    hit = text.rlike("[0-9@]")
-    return F.when(hit, F.filter(matches(text, CANDIDATE), free)).otherwise(F.expr("cast(array() as array<struct<start:bigint,end:bigint,value:string,before:string>>)"))
+    """Array of (start, end, value, pattern) of what may be an identifier and touches no base span; a span that it touches touches one of its blocks."""
+    touches = lambda c, spans: F.exists(spans, lambda b: (c["start"] < b["end"]) & (b["start"] < c["end"]))
+    block = lambda at: (at / BLOCK).cast("int")
+
+    def free(found: Column, blocks: Column) -> Column:
+        of = lambda c: F.flatten(F.slice(blocks, block(c["start"]) + 1, block(c["end"]) - block(c["start"]) + 1))
+        return F.filter(found, lambda c: ~touches(c, of(c)))
+
+    found = F.filter(matches(text, CANDIDATE), lambda c: ~c["value"].rlike(_SHAPED))
+    return F.when(text.rlike(CANDIDATE), _let(found, lambda f: F.when(F.size(f) > 0, _let(_in_blocks(text, base), lambda blocks: free(f, blocks))).otherwise(f))).otherwise(F.expr(_MATCHES))
 
 
 def _confident(slots: DataFrame, totals: DataFrame) -> DataFrame:
@@ -133,13 +164,15 @@ def detect(docs: DataFrame, text_col: str = "text") -> tuple[DataFrame, DataFram
     names = {n: fresh(docs, n) for n in ("base", "whole")}
     base, whole = names["base"], names["whole"]
     rows = docs.withColumn(whole, F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))).withColumn(base, _base(F.col(whole)))
-    spans = rows.select(F.col(base).alias("base"), F.col(whole).alias("t")).withColumn("other", _candidates(F.col("t"), F.col("base")))
-    spans = cut(spans.where((F.size("base") > 0) | (F.size("other") > 0)).select(text_id(F.col("t")).alias("text_id"), "base", "other"))
-    slot = lambda c, kind: spans.select("text_id", F.explode(c).alias("s")).select("text_id", _pattern_of(F.col("s.before")).alias("pattern"), F.col("s.value").alias("value"), kind.alias("kind"), F.col("s.start").alias("start"), F.col("s.end").alias("end"))
+    # every span holds a digit or an at sign
+    spans = rows.where(F.col(whole).rlike("[0-9@]")).select(F.col(base).alias("base"), F.col(whole).alias("t"))
+    spans = cut(spans.select(text_id(F.col("t")).alias("text_id"), "base", _candidates(F.col("t"), F.col("base")).alias("other")))
+    slot = lambda c, kind: spans.select("text_id", F.explode(c).alias("s")).select("text_id", F.col("s.pattern").alias("pattern"), F.col("s.value").alias("value"), kind.alias("kind"), F.col("s.start").alias("start"), F.col("s.end").alias("end"))
     both = slot("base", F.col("s.kind")).unionAll(slot("other", F.lit(None).cast("string"))).where("pattern != ''")
     slots = cut(both.groupBy("pattern", "value", "kind").agg(F.count(F.lit(1)).alias("n")))
     wide = slots.groupBy("pattern", "value").agg(F.count("kind").alias("seeds")).groupBy("pattern").agg(F.count(F.lit(1)).alias("support")).where(F.col("support") >= SUPPORT).select("pattern")
     wide = cut(wide)
+    release(docs.sparkSession)
     if slots.where("kind is not null").join(wide, "pattern", "left_semi").isEmpty():
         return rows, None, names
     slots = cut(slots.join(wide, "pattern", "left_semi"))
@@ -162,10 +195,6 @@ def detect(docs: DataFrame, text_col: str = "text") -> tuple[DataFrame, DataFram
     return rows, cut(new.groupBy("text_id").agg(F.sort_array(F.collect_set("s")).alias("found"))), names
 
 
-def text_id(text: Column) -> Column:
-    return F.md5(text.cast("binary"))
-
-
 def _plain(spans: Column) -> Column:
     return F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["ord"].alias("ord"), s["end"].alias("end"), s["kind"].alias("kind")))
 
@@ -183,16 +212,24 @@ def with_spans(docs: DataFrame, text_col: str = "text") -> tuple[DataFrame, str,
 
 
 def redacted(text: Column, spans: Column) -> Column:
-    """The text with each span replaced by its kind in brackets; overlapping spans become one."""
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"))
+    """The text with each span replaced by its kind in brackets; overlapping spans become one. Each BLOCK of the text is rewritten by itself."""
+
+    def block(own: Column, k: Column) -> Column:
+        first = k.cast("long") * BLOCK
+        part = F.substr(text, (first + 1).cast("int"), F.lit(BLOCK))
+
+        def rewritten(part: Column) -> Column:
+            def step(a: Column, s: Column) -> Column:
+                fresh_span = s["start"] >= a["at"]
+                between = F.substr(part, (a["at"] - first + 1).cast("int"), (s["start"] - a["at"]).cast("int"))
+                return F.struct(F.greatest(a["at"], s["end"]).alias("at"), F.when(fresh_span, F.concat(a["out"], between, F.lit("["), s["kind"], F.lit("]"))).otherwise(a["out"]).alias("out"))
+
+            rest = lambda a: F.when(a["at"] < first + BLOCK, F.concat(a["out"], F.substr(part, (a["at"] - first + 1).cast("int"), F.lit(BLOCK)))).otherwise(a["out"])
+            return F.aggregate(own, F.struct(first.alias("at"), F.lit("").alias("out")), step, rest)
 
-    def step(a: Column, s: Column) -> Column:
-        between = F.substr(text, (a["at"] + 1).cast("int"), (s["start"] - a["at"]).cast("int"))
-        fresh_span = s["start"] >= a["at"]
-        return F.struct(F.greatest(a["at"], s["end"]).alias("at"), F.when(fresh_span, F.concat(a["out"], between, F.lit("["), s["kind"], F.lit("]"))).otherwise(a["out"]).alias("out"))
+        return _let(part, rewritten)
 
-    done = F.aggregate(spans, start, step, lambda a: F.concat(a["out"], F.substr(text, (a["at"] + 1).cast("int"), F.length(text))))
-    return F.when(F.size(spans) > 0, done).otherwise(text)
+    return F.when(F.size(spans) > 0, F.array_join(F.transform(_in_blocks(text, spans), block), "")).otherwise(text)
 
 
 def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:

@@ -84,3 +84,34 @@ def test_confidence_counts_occurrences_in_texts_without_identifiers(spark):
     assert spans(few)[8] == spans(few)[9] == 1  # 8 of 10
     got = spans(many)  # 8 of 100
     assert got[8] == got[9] == 0 and all(got[i] == 1 for i in range(8))
+
+
+def test_long_texts_are_read_and_rewritten_whole(spark):
+    """Spans in many blocks, over their edges, and more of them than are added up at once; further identifiers beside them."""
+    import random
+
+    r = random.Random(6)
+    parts = [r.choice(["10.0.0.%d" % r.randrange(300), "é" * r.randrange(9), "+1 (%s) 555-0143" % ("2" * 3), "a%d@b.org" % r.randrange(99), "4111 1111 1111 1111", "no %s" % ("x" * r.randrange(300))]) for _ in range(4000)]
+    text = " ".join(parts)
+    assert len(text) > 20 * P.BLOCK
+    df = spark.createDataFrame([(1, text), (2, "🙂" * (P.BLOCK - 3) + " 1.2.3.4"), (3, "y" * 3 * P.BLOCK)], "doc_id long, text string")
+    found, base, every = P.with_spans(df)
+    got = {row.doc_id: row for row in found.select("doc_id", "text", F.col(base).alias("base"), F.col(every).alias("every")).collect()}
+    redacted = {row.doc_id: row.text for row in P.redact(df).collect()}
+    for row in got.values():
+        assert tuple((s.start, s.ord, s.end, s.kind) for s in row.base) == brute(row.text)
+        out, at = "", 0
+        for s in row.every:
+            if s.start >= at:
+                out += row.text[at : s.start] + f"[{s.kind}]"
+            at = max(at, s.end)
+        assert redacted[row.doc_id] == out + row.text[at:]
+
+
+def test_long_identifiers_and_distant_words(spark):
+    """A candidate has any length, and its two words may stand far before it."""
+    code = lambda i: f"KEY-{i}-" + "q" * 100
+    rows = [(i, f"the access key {' ' * 200}user{i}@mail.org") for i in range(8)] + [(100 + i, f"the access key {' ' * 200}{code(i)}") for i in range(2)]
+    found, base, every = P.with_spans(spark.createDataFrame(rows, "doc_id long, text string"))
+    got = {row.doc_id: [(s.start, s.end, s.kind) for s in row.every] for row in found.select("doc_id", F.col(every).alias("every")).collect()}
+    assert all(got[100 + i] == [(215, 215 + len(code(i)), "email")] for i in range(2))
