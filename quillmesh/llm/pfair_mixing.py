@@ -4,7 +4,8 @@ A source's rows, in an order drawn by hash, fill blocks of ``BLOCK_BYTES``. With
 block (from 0) of a source is released at slot floor(k / w) and due by slot ceil((k + 1) / w); each slot takes the
 released block of earliest deadline. At every slot a source's share then differs from its weight by
 less than one block. Weights are fractions of ``SLOTS``, which is far beyond any number of blocks, so that rounding them moves no share by a
-millionth of a block. The driver schedules every block: one row of numbers for each ``BLOCK_BYTES`` of text.
+millionth of a block. The driver schedules every block, one row of numbers for each: a block has ``BLOCK_BYTES`` of text, or beyond ``MAX_BLOCKS`` of them (64 GB)
+as many more as keep to that number, so that the plan is bounded and the tasks' part of the work grows alone.
 
 When a source runs out, a new phase starts with the weights of the others in proportion; so no row
 is dropped or repeated, and the bound holds within each phase.
@@ -28,6 +29,8 @@ from pyspark.sql import functions as F
 from .common import cut, fresh, table
 
 BLOCK_BYTES, SLOTS, MAX_SOURCES, TEMPERATURE = 256 << 10, 1 << 40, 500, 0.5
+#: Blocks that the driver schedules at most; larger corpora have larger blocks.
+MAX_BLOCKS = 1 << 18
 #: Rows of a hash bucket, within which a window numbers them.
 BUCKET_ROWS = 2048
 
@@ -138,6 +141,7 @@ def schedule(docs: DataFrame, weights: dict[str, float] | None = None, block_byt
         return rows.select("id", "source", "h", "n", "bytes", *(F.lit(0).cast("long").alias(c) for c in ("copy", "block", "slot", "release", "deadline", "phase", "before")))
     bytes_of = {r["source"]: r["b"] for r in sizes}
     rows = rows.withColumn("key", F.col("source"))
+    block_bytes = max(block_bytes, -(-sum(bytes_of.values()) // MAX_BLOCKS))
     weights = {s: (weights or {}).get(s, b**temperature) for s, b in bytes_of.items()}
     planned = list(plan({s: -(-b // block_bytes) for s, b in bytes_of.items()}, weights, slots))
 

@@ -99,3 +99,9 @@ def test_sources_past_the_most_keep_their_weights(monkeypatch):
 def test_position_survives_any_order_of_rows(odd):
     key = lambda df: sorted((str(r[0]), str(r[1]), r.mix_slot, r.mix_before) for r in df.collect())
     assert key(M.positioned(odd, block_bytes=300)) == key(M.positioned(odd.orderBy("n_chars").repartition(7), block_bytes=300))
+
+
+def test_the_plan_is_bounded(spark, odd, monkeypatch):
+    monkeypatch.setattr(M, "MAX_BLOCKS", 40)
+    rows = M.schedule(odd.select("doc_id", "source", "text"), block_bytes=16).collect()
+    assert max(r.slot for r in rows) < 40 + len({r.source for r in rows}) and len(rows) == odd.count()
