@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow, bitmap_of, bits_for, cut, fresh, table, text_bytes, text_id
+from .common import arrow, bitmap_of, bits_for, cut, fresh, release, table, text_bytes, text_id
 from .components import components
 
 SHINGLE, SEED, DISTANCE = 3, 42, 2
@@ -216,7 +216,7 @@ def candidates(values: DataFrame, width: int = WIDTH) -> DataFrame:
     same = shared.where("node != least").select(F.col("least").alias("u"), F.col("node").alias("v"))
     bits = bits_for(least.count())
     spread = F.col("key").bitwiseAND(F.lit((1 << width) - 1)).bitwiseXOR(F.shiftright("key", width) * F.lit(0x9E3779B1))  # as _slot
-    held = values.sparkSession.sparkContext.broadcast(bitmap_of(least.select(spread.alias("at")), "at", bits))
+    held = values.sparkSession.sparkContext.broadcast(bitmap_of(least.select(spread.bitwiseAND(F.lit(bits - 1)).alias("at")), "at", bits))
     variants = arrow(least.select("key", "least"), _variants(held, bits, width), "key long, w long")
     beside = variants.join(least.select("key", "least"), "key").select(F.least("w", "least").alias("u"), F.greatest("w", "least").alias("v"))
     return same.unionAll(beside).distinct()
@@ -244,6 +244,7 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", siz
     pairs = pairs.join(own.select(F.col("node").alias("v"), F.col("text").alias("tv"), F.col("segments").alias("sv")), "v")
     differing = F.aggregate(F.zip_with("su", "sv", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda a, x: a + x)
     pairs = cut(pairs.where(differing <= FAR * segments * width).select("u", "v", "tu", "tv"))
+    release(docs.sparkSession)
     found = _sized(cut(pairs.select("tu").unionAll(pairs.select("tv")).distinct().withColumnRenamed("tu", "text")))
     wanted = cut(rows.join(found, "text", "left_semi").groupBy("text").agg(F.first("t").alias("t")))
     both = pairs.join(wanted.select(F.col("text").alias("tu"), F.col("t").alias("x")), "tu").join(wanted.select(F.col("text").alias("tv"), F.col("t").alias("y")), "tv")
