@@ -9,7 +9,8 @@ feature is computed from them.
 
 Which digests are shared reaches the tasks as a bitmap of ``BITMAP_BITS`` bits, whatever the corpus: a
 false positive sends a chunk to the store that nobody shares, and never loses one. Only shared
-chunks and the files that have some are shuffled.
+chunks and the files that have some are shuffled, and of equal files one: a file is named by the digest of its bytes, not by a row number, so a task that
+runs again names the same files. Its features then go to the rows that have it.
 
 Defined cases: null and empty texts are one block of zeros; equal texts give equal files and features; repeated rows and
 rows without an id each have their result; a payload of any length is cut whole; further columns are ignored; an empty table gives no
@@ -29,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, table, text_bytes
+from .common import arrow, cut, table, text_bytes
 
 #: Bytes of a chunk: least, mean (a power of two) and most.
 LEAST, MEAN, MOST = 256, 1024, 8192
@@ -123,7 +124,7 @@ def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def shared_bitmap(texts: DataFrame) -> bytes:
     """Bits of the digests that occur more than once; texts: one binary column."""
-    shared = texts.mapInArrow(_digests, "digest binary, n long").groupBy("digest").agg(F.sum("n").alias("n")).where("n > 1")
+    shared = arrow(texts, _digests, "digest binary, n long").groupBy("digest").agg(F.sum("n").alias("n")).where("n > 1")
     octet = lambda i: F.conv(F.hex(F.substring("digest", i, 1)), 16, 10).cast("long") * (1 << 8 * (i - 1))
     at = shared.select(((octet(1) + octet(2) + octet(3) + octet(4)) % BITMAP_BITS).alias("at"))
     parts = at.groupBy(F.expr("at div 32768").alias("page")).agg(F.expr("bitmap_construct_agg(at % 32768)").alias("bits")).collect()
@@ -133,7 +134,7 @@ def shared_bitmap(texts: DataFrame) -> bytes:
     return bytes(out)
 
 
-_ROW = "row long, doc_id long, n_bytes long, media_sha256 binary, refs int, parts array<struct<ord:int,digest:binary,payload:binary>>"
+_ROW = "doc_id long, n_bytes long, media_sha256 binary, refs int, parts array<struct<ord:int,digest:binary,payload:binary>>"
 _OUT = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
 
 
@@ -156,7 +157,7 @@ def _files(bitmap):
             for at in range(0, b.num_rows, 512):
                 part = b.slice(at, 512)
                 sizes, shas, refs, lists = [], [], [], []
-                for t in part.column(2):
+                for t in part.column(1):
                     text = t.as_py()
                     media = wav(payload(text))
                     row = [{"ord": o, "digest": d, "payload": None if bits[(i := _slot(d)) >> 3] >> (i & 7) & 1 else p} for o, (d, p) in enumerate(chunks(media))]
@@ -164,7 +165,7 @@ def _files(bitmap):
                     shas.append(hashlib.sha256(media).digest())
                     refs.append(sum(c["payload"] is None for c in row))
                     lists.append(row)
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(sizes, pa.int64()), pa.array(shas, pa.binary()), pa.array(refs, pa.int32()), pa.array(lists, kind)], names=["row", "doc_id", "n_bytes", "media_sha256", "refs", "parts"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sizes, pa.int64()), pa.array(shas, pa.binary()), pa.array(refs, pa.int32()), pa.array(lists, kind)], names=["doc_id", "n_bytes", "media_sha256", "refs", "parts"])
 
     return run
 
@@ -187,22 +188,25 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def stored(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
     """(files, store): each row's ordered chunk list, and one payload for each digest that a list refers to."""
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("doc_id"), text_bytes(F.col(text_col)).alias("t"))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_bytes(F.col(text_col)).alias("t"))
     bitmap = docs.sparkSession.sparkContext.broadcast(shared_bitmap(rows.select("t")))
-    store = rows.select("t").mapInArrow(_store(bitmap), "digest binary, payload binary").groupBy("digest").agg(F.first("payload").alias("payload"))
-    return rows.mapInArrow(_files(bitmap), _ROW), store
+    store = arrow(rows.select("t"), _store(bitmap), "digest binary, payload binary").groupBy("digest").agg(F.first("payload").alias("payload"))
+    return arrow(rows, _files(bitmap), _ROW), store
 
 
 def read_back(files: DataFrame, store: DataFrame) -> DataFrame:
     """Verified features of each file, its chunks joined from the store where its list refers to it."""
     columns = ["doc_id", "n_bytes", "media_sha256", "parts"]
-    alone = files.where("refs = 0").select(*columns).mapInArrow(_features, _OUT)
-    each = files.where("refs > 0").select("row", "doc_id", "n_bytes", "media_sha256", F.explode("parts").alias("c"))
-    head = ["row", "doc_id", "n_bytes", "media_sha256"]
-    own = each.where("c.payload is not null").select(*head, F.struct("c.ord", "c.payload").alias("p"))
-    fetched = each.where("c.payload is null").select(*head, F.col("c.ord").alias("ord"), F.col("c.digest").alias("digest")).join(cut(store), "digest", "left").select(*head, F.struct("ord", "payload").alias("p"))
-    whole = own.unionAll(fetched).groupBy(*head).agg(F.collect_list("p").alias("parts")).select(*columns)
-    return alone.unionAll(whole.mapInArrow(_features, _OUT))
+    alone = arrow(files.where("refs = 0").select(*columns), _features, _OUT)
+    some = files.where("refs > 0")
+    each = some.select("media_sha256", F.explode("parts").alias("c")).select("media_sha256", "c.*")
+    own = each.where("payload is not null").groupBy("media_sha256", "ord").agg(F.first("payload").alias("payload"))
+    fetched = each.where("payload is null").select("media_sha256", "ord", "digest").distinct().join(cut(store), "digest", "left").select("media_sha256", "ord", "payload")
+    whole = own.unionAll(fetched).groupBy("media_sha256").agg(F.collect_list(F.struct("ord", "payload")).alias("parts"))
+    none = F.lit(None).cast("long")
+    made = arrow(whole.select(none.alias("doc_id"), none.alias("n_bytes"), "media_sha256", "parts"), _features, _OUT).drop("doc_id", "n_bytes")
+    rows = some.select("doc_id", "n_bytes", F.lower(F.hex("media_sha256")).alias("media_sha256"))
+    return alone.unionByName(rows.join(made, "media_sha256"))
 
 
 def op7_media_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
