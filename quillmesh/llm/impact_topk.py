@@ -1,16 +1,20 @@
 """Exact top-k inner-product search with an impact-ordered, score-at-a-time index.
 
-A vector's integer components are postings: (dimension, row, value). In a block of rows a
-dimension's postings are laid out in segments by magnitude band, the largest first, so that a segment has a quantised
-impact: |query component| times the band's upper end. Segments are processed in rounds of
-descending impact, for all of a block of queries at once, adding to one accumulator for each query and row.
-After a round each accumulator is known to within the sum of the largest impacts still open,
-dimension by dimension. A row is a possible member of the top k while its upper bound reaches the k-th
-largest lower bound; a query stops when that proof leaves few rows, and those are
+A vector's integer components are postings: (dimension, row, value). A block's rows stand by descending norm, so each
+dimension's posting list falls into segments of SEGMENT rows, the large rows first; a segment has a quantised
+impact, |query component| times its largest value, in powers of two below the query's largest. Segments are processed
+in rounds of descending impact, adding to one accumulator for each query and row of the block.
+What is still open of a row adds at most the norm of the query's open components times the norm of the row's (Cauchy-Schwarz), so
+after a round each score lies between two bounds. A row is a possible member of the top k while its upper bound
+reaches the k-th largest lower bound; a query stops when that proof leaves few rows, and those are
 rescored exactly. Without such a proof the last round has processed every segment.
 
+A first pass searches one block of the rows of largest norm. Each query's k-th score there is a floor that all blocks share:
+segments of rows whose norm can't reach it are never read.
+
 Rows and queries meet in blocks of bounded size by an equality cogroup on (dimensions, row block, query
-block), so neither side is broadcast or collected whole; the best k of each block are merged by a window.
+block), so neither side is broadcast or collected whole; the best k of each block are merged by a window. A row is sent once for
+QUERY_BLOCK queries, which are searched QUERY_BATCH at a time.
 
 Defined cases: vectors that are null, empty, or hold null or non-finite components take no part, nor do
 rows without an id; only vectors of equal dimension meet; a query's own id is never its candidate; equal
@@ -27,8 +31,10 @@ from pyspark.sql import functions as F
 
 from .common import cut, table
 
-#: Rows of a block of candidates and of a block of queries, bands of magnitude, rounds of impact.
-ROW_BLOCK, QUERY_BLOCK, BANDS, ROUNDS = 4096, 1024, 4, 4
+#: Rows of a block of candidates and of a block of queries, for WIDTH dimensions; wider vectors come in smaller blocks.
+ROW_BLOCK, QUERY_BLOCK, WIDTH = 4096, 16_384, 64
+#: Queries searched at a time, rows of a segment, rounds of impact.
+QUERY_BATCH, SEGMENT, ROUNDS = 256, 512, 4
 #: A query stops once its possible members are at most so many times k.
 STOP = 16
 
@@ -41,50 +47,68 @@ def quantised(c: Column, scale: int = 256) -> Column:
 
 
 class ImpactIndex:
-    """A block's postings in magnitude bands; ``top`` searches it exactly."""
+    """A block's postings in segments of descending norm; ``top`` searches it exactly. ``read`` counts the postings processed."""
 
     def __init__(self, ids: np.ndarray, vectors: np.ndarray):
-        self.ids, self.exact = ids, vectors
-        size = np.abs(vectors)
-        # band edges are quantiles of the magnitudes; a band's upper end bounds its postings
-        edges = np.unique(np.quantile(size, np.arange(1, BANDS + 1) / BANDS, method="higher")) if size.size else np.zeros(1)
-        band = np.searchsorted(edges, size)
-        #: The largest magnitude of each (band, dimension), and its postings as a sparse plane.
-        self.upper = np.array([np.where(band == k, size, 0).max(axis=0) for k in range(len(edges))], dtype=np.float64)
-        self.planes = [np.where(band == k, vectors, 0).astype(np.float64).T for k in range(len(edges))]
-
-    def top(self, query_ids: np.ndarray, queries: np.ndarray, k: int) -> list[tuple[int, int, int]]:
-        """(query id, row id, score) of each query's k best rows and of those that tie with them."""
+        squares = vectors.astype(np.float64) ** 2
+        order = np.argsort(-squares.sum(axis=1), kind="stable")
+        self.ids, self.exact = ids[order], vectors[order]
+        #: Posting lists by dimension, and the squares of their values.
+        self.postings = np.ascontiguousarray(self.exact.T, dtype=np.float64)
+        self.squares = np.ascontiguousarray(squares[order].T)
+        self.segments = [slice(at, at + SEGMENT) for at in range(0, len(ids), SEGMENT)]
+        #: The largest magnitude of each (segment, dimension), and the largest norm of a segment's rows.
+        self.upper = np.array([np.abs(self.postings[:, s]).max(axis=1) for s in self.segments])
+        self.norms = np.array([np.sqrt(self.squares[:, s].sum(axis=0).max()) for s in self.segments])
+        self.read = 0
+
+    def top(self, query_ids: np.ndarray, queries: np.ndarray, k: int, floor: np.ndarray | None = None) -> list[tuple[int, int, int]]:
+        """(query id, row id, score) of each query's k best rows that reach its floor."""
+        floor = np.full(len(queries), -np.inf) if floor is None else floor
+        found = []
+        for at in range(0, len(queries), QUERY_BATCH):
+            part = slice(at, at + QUERY_BATCH)
+            found += self._search(query_ids[part], queries[part], k, floor[part])
+        return found
+
+    def _search(self, query_ids: np.ndarray, queries: np.ndarray, k: int, floor: np.ndarray) -> list[tuple[int, int, int]]:
         q = queries.astype(np.float64)
-        impact = np.abs(q)[:, None, :] * self.upper[None]  # query, band, dimension
-        steps = impact.max(axis=(1, 2), initial=0)[:, None, None]
-        level = np.where(steps > 0, np.minimum(ROUNDS - 1, np.floor((1 - impact / np.maximum(steps, 1e-300)) * ROUNDS)), 0)
-        acc, alive, found = np.zeros((len(q), len(self.ids))), np.arange(len(q)), []
+        impact = np.abs(q)[:, None, :] * self.upper[None]  # query, segment, dimension
+        share = impact / np.maximum(impact.max(axis=(1, 2), initial=0), 1e-300)[:, None, None]
+        level = np.minimum(ROUNDS - 1, np.floor(-np.log2(np.maximum(share, 1e-300)))).astype(np.int8)
+        within = np.sqrt((q * q).sum(axis=1))[:, None] * self.norms[None] * (1 + 1e-9) + 1 >= floor[:, None]
+        acc, left, alive, found = np.zeros((len(q), len(self.ids))), np.zeros((len(q), len(self.ids))), np.arange(len(q)), []
         for r in range(ROUNDS):
-            for b, plane in enumerate(self.planes):
-                now = np.where(level[alive, b] == r, q[alive], 0)
+            maybe = query_ids[alive][:, None] != self.ids[None]
+            for n, s in enumerate(self.segments):
+                at = np.flatnonzero(within[alive, n])
+                maybe[np.flatnonzero(~within[alive, n]), s] = False
+                if not len(at):
+                    continue
+                now = np.where(level[alive[at], n] == r, q[alive[at]], 0)
                 if now.any():
-                    acc += now @ plane
-            # a row has one posting in each dimension, so its open impact is at most the largest open one
-            left = np.where(level[alive] > r, impact[alive], 0).max(axis=1).sum(axis=1)[:, None]
-            own = self.ids[None] == query_ids[alive][:, None]
-            low = np.where(own, -np.inf, acc - left)
-            kth = np.partition(low, -k, axis=1)[:, -k][:, None] if low.shape[1] > k else np.full((len(alive), 1), -np.inf)
-            maybe = (acc + left >= kth) & ~own
+                    acc[at, s] += now @ self.postings[:, s]
+                    self.read += int(np.count_nonzero(now)) * self.postings[:, s].shape[1]
+                later = np.where(level[alive[at], n] > r, q[alive[at]], 0)
+                wide = (later * later).sum(axis=1)[:, None] * ((later != 0).astype(np.float64) @ self.squares[:, s])
+                left[at, s] = np.where(wide > 0, np.sqrt(wide) * (1 + 1e-9) + 1, 0)
+            kth = floor[alive][:, None]
+            if len(self.ids) > k:
+                low = np.where(maybe, acc - left, -np.inf)
+                kth = np.maximum(kth, np.partition(low, -k, axis=1)[:, -k][:, None])
+            maybe &= acc + left >= kth
             stop = (maybe.sum(axis=1) <= STOP * k) | (r == ROUNDS - 1)
             for i in np.flatnonzero(stop):
                 rows = np.flatnonzero(maybe[i])
                 scores = self.exact[rows] @ queries[alive[i]]
                 order = np.lexsort((self.ids[rows], -scores))[:k]
                 found += zip([int(query_ids[alive[i]])] * len(order), self.ids[rows][order].tolist(), scores[order].tolist())
-            alive, acc = alive[~stop], acc[~stop]
+            alive, acc, left = alive[~stop], acc[~stop], left[~stop]
             if not len(alive):
                 break
         return found
 
 
-
-
 def _vectors(v: pd.Series) -> np.ndarray:
     a = np.stack(v.to_numpy()).astype(np.int64)
     # float64 holds the accumulators exactly; beyond that Python's integers take over
@@ -96,32 +120,54 @@ def _search(k: int):
         names = ["query_id", "vec_id", "score"]
         if rows.empty or queries.empty:
             return pd.DataFrame({n: pd.Series(dtype="int64") for n in names})
-        v, q = _vectors(rows["v"]), _vectors(queries["v"])
-        ids, query_ids = rows["id"].to_numpy(), queries["id"].to_numpy()
+        v, q = _vectors(rows["v"]), _vectors(queries["w"])
+        ids, query_ids = rows["id"].to_numpy(), queries["query_id"].to_numpy()
         if v.dtype == object or q.dtype == object:
             found = []
             for i, x in zip(query_ids, q.astype(object)):
                 scored = sorted((-int(s), int(j)) for s, j in zip(v.astype(object) @ x, ids) if j != i)[:k]
                 found += [(int(i), j, -s) for s, j in scored]
         else:
-            found = ImpactIndex(ids, v).top(query_ids, q, k)
+            found = ImpactIndex(ids, v).top(query_ids, q, k, queries["floor"].fillna(-np.inf).to_numpy())
         return pd.DataFrame(found, columns=names).astype("int64")
 
     return run
 
 
+def _blocks(df: DataFrame, n: int) -> int:
+    """Blocks of ``n`` rows of WIDTH dimensions that the vectors fill."""
+    rows, components = df.agg(F.count("*"), F.coalesce(F.sum("dims"), F.lit(0))).first()
+    return max(1, -(-rows // n), -(-components // (n * WIDTH)))
+
+
+def _every(n: int) -> Column:
+    return F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+
+
+def _ranked(found: DataFrame, k: int) -> DataFrame:
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+
+
 def top_k(rows: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     """(query_id, rank, vec_id, score) of the k largest inner products; both sides are (id, v array<long>), v null where a row takes no part."""
-    ready = lambda df: cut(df.where("id is not null and v is not null").select(F.col("id").cast("long").alias("id"), "v", F.size("v").alias("dims")))
-    rows, queries = ready(rows), ready(queries).dropDuplicates(["id", "v"])
-    row_blocks, query_blocks = (-(-df.count() // n) or 1 for df, n in ((rows, ROW_BLOCK), (queries, QUERY_BLOCK)))
-    dealt = lambda df, n: df.withColumn("part", F.pmod(F.xxhash64("id", F.monotonically_increasing_id()), F.lit(n)).cast("int"))
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    left = dealt(rows, row_blocks).withColumn("other", every(query_blocks)).groupBy("dims", "part", "other")
-    right = dealt(queries, query_blocks).withColumnRenamed("part", "other").withColumn("part", every(row_blocks)).groupBy("dims", "part", "other")
-    best = left.cogroup(right).applyInPandas(_search(k), "query_id long, vec_id long, score long")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    ready = lambda df: df.where("id is not null and v is not null").select(F.col("id").cast("long").alias("id"), "v", F.size("v").alias("dims"))
+    rows, queries = cut(ready(rows)), cut(ready(queries).dropDuplicates(["id", "v"]))
+    row_blocks, query_blocks = _blocks(rows, ROW_BLOCK), _blocks(queries, QUERY_BLOCK)
+    queries = queries.select(F.col("id").alias("query_id"), F.col("v").alias("w"), F.col("dims").alias("width"))
+    # repeated rows are dealt by their places, which the checkpoint fixes; queries are distinct
+    left = rows.withColumn("part", F.pmod(F.xxhash64("id", F.monotonically_increasing_id()), F.lit(row_blocks)).cast("int"))
+    right = queries.withColumn("other", F.pmod(F.xxhash64("query_id", "w"), F.lit(query_blocks)).cast("int")).withColumn("floor", F.lit(None).cast("double"))
+    search = lambda a, b: a.cogroup(b).applyInPandas(_search(k), "query_id long, vec_id long, score long")
+    if row_blocks > 1:
+        norm = F.aggregate("v", F.lit(0.0), lambda t, x: t + x.cast("double") * x)
+        seeds = rows.orderBy(norm.desc(), "id").limit(ROW_BLOCK).withColumn("other", _every(query_blocks))
+        best = _ranked(search(seeds.groupBy("dims", "other"), right.groupBy("width", "other")), k)
+        floors = best.where(F.col("rank") == k).select("query_id", F.col("score").cast("double").alias("floor"))
+        right = right.drop("floor").join(floors, "query_id", "left")
+    left = left.withColumn("other", _every(query_blocks)).groupBy("dims", "part", "other")
+    right = right.withColumn("part", _every(row_blocks)).groupBy("width", "part", "other")
+    return _ranked(search(left, right), k).select("query_id", "rank", "vec_id", "score")
 
 
 def op4_impact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -45,6 +45,19 @@ def test_proof_stops_early_and_stays_exact():
         assert [(i, x) for a, i, x in got if a == q] == [(int(i), int(s[i])) for i in order]
 
 
+def test_floor_spares_segments_and_loses_nothing():
+    import numpy as np
+
+    r = np.random.default_rng(6)
+    vectors = (r.standard_normal((4000, 24)) * r.exponential(1, (4000, 1)) * 100).astype(np.int64)
+    ids, queries = np.arange(4000), vectors[:30]
+    scores = queries @ vectors.T
+    floor = np.array([sorted(np.delete(scores[i], i))[-5] for i in range(30)], dtype=float)
+    free, held = I.ImpactIndex(ids, vectors), I.ImpactIndex(ids, vectors)
+    assert sorted(free.top(ids[:30], queries, 5)) == sorted(held.top(ids[:30], queries, 5, floor))
+    assert held.read < free.read < 30 * 4000 * 24 and held.read < 30 * 4000 * 24 / 2
+
+
 def test_empty(spark):
     df = spark.createDataFrame([], "id long, v array<long>")
     assert I.top_k(df, df).count() == 0
