@@ -9,7 +9,7 @@ after a round each score lies between two bounds. A row is a possible member of
 reaches the k-th largest lower bound; a query stops when that proof leaves few rows, and those are
 rescored exactly. Without such a proof the last round has processed every segment.
 
-A first pass searches one block of the rows of largest norm. Each query's k-th score there is a floor that all blocks share:
+The first block of rows is searched before the others. Each query's k-th score there is a floor that all of them share:
 segments of rows whose norm can't reach it are never read.
 
 Rows and queries meet in blocks of bounded size by an equality cogroup on (dimensions, row block, query
@@ -159,15 +159,15 @@ def top_k(rows: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     left = rows.withColumn("part", F.pmod(F.xxhash64("id", F.monotonically_increasing_id()), F.lit(row_blocks)).cast("int"))
     right = queries.withColumn("other", F.pmod(F.xxhash64("query_id", "w"), F.lit(query_blocks)).cast("int")).withColumn("floor", F.lit(None).cast("double"))
     search = lambda a, b: a.cogroup(b).applyInPandas(_search(k), "query_id long, vec_id long, score long")
+    # the first block gives the floors of the others
+    found = search(left.where("part = 0").withColumn("other", _every(query_blocks)).groupBy("dims", "other"), right.groupBy("width", "other"))
     if row_blocks > 1:
-        norm = F.aggregate("v", F.lit(0.0), lambda t, x: t + x.cast("double") * x)
-        seeds = rows.orderBy(norm.desc(), "id").limit(ROW_BLOCK).withColumn("other", _every(query_blocks))
-        best = _ranked(search(seeds.groupBy("dims", "other"), right.groupBy("width", "other")), k)
-        floors = best.where(F.col("rank") == k).select("query_id", F.col("score").cast("double").alias("floor"))
-        right = right.drop("floor").join(floors, "query_id", "left")
-    left = left.withColumn("other", _every(query_blocks)).groupBy("dims", "part", "other")
-    right = right.withColumn("part", _every(row_blocks)).groupBy("width", "part", "other")
-    return _ranked(search(left, right), k).select("query_id", "rank", "vec_id", "score")
+        found = cut(_ranked(found, k))
+        floors = found.where(F.col("rank") == k).select("query_id", F.col("score").cast("double").alias("floor"))
+        right = right.drop("floor").join(floors, "query_id", "left").withColumn("part", F.explode(F.sequence(F.lit(1), F.lit(row_blocks - 1))))
+        others = left.where("part > 0").withColumn("other", _every(query_blocks)).groupBy("dims", "part", "other")
+        found = found.drop("rank").union(search(others, right.groupBy("width", "part", "other")))
+    return _ranked(found, k).select("query_id", "rank", "vec_id", "score")
 
 
 def op4_impact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
