@@ -1,6 +1,7 @@
 """SentencePiece encoding and decoding as a tropical shortest path through a weighted transducer.
 
-A model file compiles to three transducers. The normaliser rewrites spaces to the meta symbol and adds the
+A model file compiles to three transducers. The normaliser rewrites what the model's character map names, longest rule
+first, drops surplus white space if the model says so, writes spaces as the meta symbol and adds the
 dummy prefix. The piece transducer reads characters and writes piece ids; it is the trie of
 all pieces. Byte fallback reads a character without a piece and writes the ids of its UTF-8 bytes at a high weight.
 Composing them with a text gives a lattice whose shortest path in the tropical semiring
@@ -40,8 +41,10 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 META = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 INFINITY = float("inf")
-#: Segments in each of two generations and pairs remembered in a worker, and the longest remembered segment.
-REMEMBERED, PAIRS, LONGEST = 700_000, 1_000_000, 48
+#: Bytes of segments in each of two generations and number of pairs remembered in a worker, and the longest remembered segment.
+REMEMBERED, PAIRS, LONGEST = 96 << 20, 500_000, 48
+#: What a remembered segment takes beside its characters and ids.
+_ENTRY = 190
 
 
 def _varint(b: bytes, i: int) -> tuple[int, int]:
@@ -66,6 +69,71 @@ def _fields(b: bytes) -> Iterator[tuple[int, bytes | int]]:
         yield key >> 3, value
 
 
+class Normaliser:
+    """The normaliser of a model as a transducer: rewriting rules, white space and the dummy prefix."""
+
+    def __init__(self, spec: dict, suffix: bool = False):
+        self.prefix, self.trim, self.escape, self.suffix = bool(spec.get(3, 1)), bool(spec.get(4, 1)), bool(spec.get(5, 1)), suffix
+        self.space = META if self.escape else " "
+        self.rules = self._rules(spec.get(2, b""))
+        #: The longest rule that starts with a character.
+        self.longest: dict[str, int] = {}
+        for k in self.rules:
+            self.longest[k[0]] = max(len(k), self.longest.get(k[0], 0))
+
+    @staticmethod
+    def _rules(table: bytes) -> dict[str, str]:
+        """The rules of a character map: a double array over UTF-8, then the targets, each ended by a zero byte."""
+        if not table:
+            return {}
+        size = struct.unpack_from("<I", table)[0]
+        units, targets = np.frombuffer(table, "<u4", size // 4, 4), table[4 + size :]
+        labels, octets = units & 0x800000FF, np.arange(1, 256, dtype=np.int64)
+        reach = lambda at: at ^ int(units[at] >> 10) << (int(units[at] & 512) >> 6)
+        rules, open_ = {}, [(b"", 0)]
+        while open_:
+            key, at = open_.pop()
+            base = reach(at)
+            if units[at] >> 8 & 1:
+                target = int(units[base]) & 0x7FFFFFFF
+                rules[key.decode()] = targets[target : targets.index(b"\0", target)].decode()
+            children = base ^ octets
+            children, names = children[children < len(units)], octets[children < len(units)]
+            hit = labels[children] == names
+            open_ += [(key + bytes([n]), int(c)) for n, c in zip(names[hit], children[hit])]
+        return rules
+
+    def __call__(self, text: str) -> str:
+        if not self.rules and not self.trim:
+            s = text.replace(" ", self.space)
+        else:
+            s = "".join(self._written(text)) if self.rules else text
+            if self.trim:
+                s = re.sub(" +", " ", s).strip(" ")
+                if not s:
+                    return ""
+            s = s.replace(" ", self.space)
+        if text and self.prefix and not self.suffix:
+            s = self.space + s
+        # a text's own meta symbols at its end count as white space
+        s = s.rstrip(self.space) if self.trim else s
+        return s + self.space if text and self.prefix and self.suffix else s
+
+    def _written(self, text: str) -> Iterator[str]:
+        """What the rules make of a text, read from the left."""
+        i, n = 0, len(text)
+        while i < n:
+            for size in range(min(self.longest.get(text[i], 0), n - i), 0, -1):
+                new = self.rules.get(text[i : i + size])
+                if new is not None:
+                    yield new
+                    i += size
+                    break
+            else:
+                yield text[i]
+                i += 1
+
+
 class PieceTransducer:
     """A compiled model: ``encode`` and ``decode``."""
 
@@ -85,10 +153,8 @@ class PieceTransducer:
                 trainer = dict(_fields(value))
             elif number == 3:
                 normaliser = dict(_fields(value))
-        if normaliser.get(2) or normaliser.get(4, 1):
-            raise ValueError("only the identity normaliser that keeps white space is compiled")
         self.bpe = trainer.get(3, 1) == 2
-        self.prefix = bool(normaliser.get(3, 1))
+        self.normalised = Normaliser(normaliser, bool(trainer.get(24, 0)))
         self.ids = {p: i for i, p in enumerate(self.pieces) if self.kinds[i] in (NORMAL, USER)}
         self.prefixes = {p[:n] for p in self.ids for n in range(1, len(p) + 1)}
         self.unknown = self.kinds.index(UNKNOWN)
@@ -102,10 +168,6 @@ class PieceTransducer:
         self._memo = _Memo(self)
         self._out = [b"" if k == CONTROL else bytes([int(p[3:5], 16)]) if k == BYTE else " ⁇ ".encode() if k == UNKNOWN else p.replace(META, " ").encode() for p, k in zip(self.pieces, self.kinds)]
 
-    def normalised(self, text: str) -> str:
-        """The normaliser's output for a text."""
-        return (META if self.prefix else "") + text.replace(" ", META) if text else ""
-
     def merged(self, text: str) -> list[str]:
         """What merging by score makes of a short text: the piece weights of a BPE model rest on it."""
         parts = list(text)
@@ -191,24 +253,29 @@ class PieceTransducer:
     def decode(self, ids: np.ndarray) -> str:
         """The text of ids; bytes that aren't UTF-8 become replacement characters."""
         text = b"".join(map(self._out.__getitem__, ids.tolist())).decode("utf-8", "replace")
-        return text[1:] if self.prefix and text.startswith(" ") else text
+        n = self.normalised
+        if n.prefix and n.suffix:
+            return text[:-1] if text.endswith(" ") else text
+        return (text.lstrip(" ") if n.trim else text[1:] if text.startswith(" ") else text) if n.prefix or n.trim else text
 
 
 class _Memo(dict):
     """Ids of segments. Two generations: when the younger is full it becomes the elder, so what is in use survives."""
 
     def __init__(self, fst: PieceTransducer):
-        self.fst, self.elder = fst, {}
+        self.fst, self.elder, self.held = fst, {}, 0
 
     def __missing__(self, s: str) -> bytes:
         found = self.elder.get(s)
         if found is None:
             found = np.array(self.fst.shortest(s), dtype="<i4").tobytes()
         if len(s) <= LONGEST:
-            if len(self) >= REMEMBERED:
+            if self.held >= REMEMBERED:
                 self.elder = dict(self)
                 self.clear()
+                self.held = 0
             self[s] = found
+            self.held += _ENTRY + 2 * len(s) + len(found)
         return found
 
 

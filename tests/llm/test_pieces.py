@@ -30,6 +30,21 @@ def test_ids_and_texts_are_the_librarys(fst, library):
         assert fst.decode(ids) == library.decode(ids.tolist()) == t.replace("▁", " ")
 
 
+@pytest.mark.parametrize("rule", ["identity", "nfkc", "nmt_nfkc", "nmt_nfkc_cf"])
+def test_character_maps_are_the_librarys(rule):
+    made = sentencepiece.SentencePieceNormalizer(rule_name=rule)
+    specs = [dict(P._fields(v)) for n, v in P._fields(made.serialized_model_proto()) if n == 3]
+    mine, r = P.Normaliser(specs[0]), random.Random(2)
+    texts = ["", " ", "  a\t b ", "Ｈｅｌｌｏ　Ｗörld ① ﬁ ½ e\u0301", "İSTANBUL ǅ ẞ", "▁a ▁", "a\u200bb\ufeff\r\n c", "㍿ ｶﾞ 가", "a" * 300]
+    texts += ["".join(r.choice("abEÉßﬀ①ｶﾞ\u0301\u0323 \u3000\t▁ıİ½가ﷺ🙂") for _ in range(r.randint(1, 30))) for _ in range(500)]
+    for trim in (0, 1):
+        for prefix in (0, 1):
+            made = sentencepiece.SentencePieceNormalizer(rule_name=rule, add_dummy_prefix=bool(prefix), escape_whitespaces=True, remove_extra_whitespaces=bool(trim))
+            mine.prefix, mine.trim = bool(prefix), bool(trim)
+            for t in texts:
+                assert mine(t) == made.normalize(t), (t, trim, prefix)
+
+
 def test_forgetting_changes_nothing(library, monkeypatch):
     monkeypatch.setattr(P, "REMEMBERED", 3)
     monkeypatch.setattr(P, "PAIRS", 3)
