@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -37,7 +40,21 @@ def arrow(df: DataFrame, run, schema) -> DataFrame:
     conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(conf.get(name)) <= BATCH_ROWS:
         conf.set(name, str(BATCH_ROWS))
-    return df.mapInArrow(run, schema)
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        trim()
+
+    return df.mapInArrow(task, schema)
+
+
+def trim() -> None:
+    """Gives a Python worker's free memory back: the worker is kept for later tasks, beside which it would stand unused."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library than glibc
+        pass
 
 
 def release(spark: SparkSession) -> None:

@@ -35,14 +35,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import fresh, table
+from .common import arrow, fresh, table
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 META = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 INFINITY = float("inf")
 #: Bytes of segments in each of two generations and number of pairs remembered in a worker, and the longest remembered segment.
-REMEMBERED, PAIRS, LONGEST = 96 << 20, 500_000, 48
+REMEMBERED, PAIRS, LONGEST = 64 << 20, 500_000, 48
 #: What a remembered segment takes beside its characters and ids.
 _ENTRY = 190
 
@@ -326,7 +326,7 @@ def encode_column(df: DataFrame, text_col: str = "text", path: str = MODEL, dige
     schema = rows.drop(t).schema
     for name, kind in zip(names, (T.StringType() if digest else T.ArrayType(T.IntegerType()), T.LongType(), T.BooleanType())):
         schema = schema.add(name, kind)
-    return rows.mapInArrow(run, schema)
+    return arrow(rows, run, schema)
 
 
 def op9_piece_fst(spark: SparkSession, sf_dir: str) -> DataFrame:
