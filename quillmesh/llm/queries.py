@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat_parts, extendible_sharding, impact_topk, media_chunks, paragraph_dedup, pfair_mixing, pii_bootstrap, piece_fst, simhash_dedup, toxicity_grammar
+from . import centroid_clustering, chat_parts, extendible_sharding, impact_topk, media_chunks, paragraph_dedup, pfair_mixing, pii_bootstrap, piece_fst, simhash_dedup, toxicity_grammar
 
 QUERIES = {
     "op3_paragraph_dedup": paragraph_dedup.op3_paragraph_dedup,
@@ -15,10 +15,12 @@ QUERIES = {
     "op8_simhash_dedup": simhash_dedup.op8_simhash_dedup,
     "op6_chat_parts": chat_parts.op6_chat_parts,
     "op10_extendible_sharding": extendible_sharding.op10_extendible_sharding,
+    "op13_centroid_clustering": centroid_clustering.op13_centroid_clustering,
 }
 
 ORACLES = {
     "op4_impact_topk": impact_topk.SQL,
     "op6_chat_parts": chat_parts.SQL,
     "op10_extendible_sharding": extendible_sharding.SQL,
+    "op13_centroid_clustering": centroid_clustering.SQL,
 }
