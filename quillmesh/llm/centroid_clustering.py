@@ -56,7 +56,7 @@ def first_centroids(vectors: DataFrame, k: int, seed: int = SEED) -> np.ndarray:
     """The k vectors of smallest hash of their id."""
     order = F.sha2(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("vec_id").cast("string"), F.lit(""))), 256)
     found = vectors.orderBy(order, "vec_id", "x").limit(k).collect()
-    return np.array([r["x"] for r in found], np.int64).reshape(len(found), -1)
+    return np.array([r["x"] for r in found], np.int64).reshape(len(found), len(found[0]["x"]) if found else 0)
 
 
 def squares(x: np.ndarray, c: np.ndarray) -> np.ndarray:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import centroid_clustering, chat_parts, extendible_sharding, impact_topk, media_chunks, paragraph_dedup, pfair_mixing, pii_bootstrap, piece_fst, simhash_dedup, toxicity_grammar
+from . import centroid_clustering, chat_parts, extendible_sharding, impact_topk, media_chunks, paragraph_dedup, pfair_mixing, pii_bootstrap, piece_fst, simhash_dedup, source_divergence, toxicity_grammar
 
 QUERIES = {
     "op3_paragraph_dedup": paragraph_dedup.op3_paragraph_dedup,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_simhash_dedup": simhash_dedup.op8_simhash_dedup,
     "op6_chat_parts": chat_parts.op6_chat_parts,
     "op10_extendible_sharding": extendible_sharding.op10_extendible_sharding,
+    "op11_source_divergence": source_divergence.op11_source_divergence,
     "op13_centroid_clustering": centroid_clustering.op13_centroid_clustering,
 }
 
@@ -22,5 +23,6 @@ ORACLES = {
     "op4_impact_topk": impact_topk.SQL,
     "op6_chat_parts": chat_parts.SQL,
     "op10_extendible_sharding": extendible_sharding.SQL,
+    "op11_source_divergence": source_divergence.SQL,
     "op13_centroid_clustering": centroid_clustering.SQL,
 }
