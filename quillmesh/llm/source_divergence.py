@@ -48,33 +48,36 @@ TERM = re.compile(r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+")
 _UPPER = re.compile("[A-Z]+")
 
 
-def words(text: str) -> Counter:
+def words(text: str) -> list[str]:
     """The terms of a text, only A-Z lower-cased."""
-    return Counter(TERM.findall(text.lower() if text.isascii() else _UPPER.sub(lambda m: m[0].lower(), text)))
+    return TERM.findall(text.lower() if text.isascii() else _UPPER.sub(lambda m: m[0].lower(), text))
 
 
 def counted(documents: DataFrame) -> DataFrame:
     """(lang, source, term, n, docs) as tasks count them, before they are summed; a row of null term for each group that a task met."""
     text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c)
 
-    def flushed(found: dict) -> pa.RecordBatch:
-        keys, values = zip(*found), zip(*found.values())
-        return pa.RecordBatch.from_arrays([*(pa.array(c, pa.string()) for c in keys), *(pa.array(c, pa.int64()) for c in values)], ["lang", "source", "term", "n", "docs"])
+    def flushed(found: dict) -> Iterator[pa.RecordBatch]:
+        for (lang, source), (n, docs) in found.items():
+            terms = list(n)
+            columns = [pa.array([x] * (len(terms) + 1), pa.string()) for x in (lang, source)]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array([None, *terms], pa.string()), pa.array([0, *n.values()], pa.int64()), pa.array([0, *(docs[t] for t in terms)], pa.int64())], ["lang", "source", "term", "n", "docs"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: dict = {}
+        found: dict[tuple[str, str], tuple[Counter, Counter]] = {}
+        size = 0
         for batch in batches:
             for lang, source, doc in zip(*(batch[c].to_pylist() for c in ("lang", "source", "text"))):
-                found.setdefault((lang, source, None), [0, 0])
-                for term, n in words(doc).items():
-                    at = found.setdefault((lang, source, term), [0, 0])
-                    at[0] += n
-                    at[1] += 1
-                if len(found) >= HELD:
-                    yield flushed(found)
-                    found = {}
-        if found:
-            yield flushed(found)
+                n, docs = found.setdefault((lang, source), (Counter(), Counter()))
+                own = words(doc)
+                size -= len(n)
+                n.update(own)
+                docs.update(set(own))
+                size += len(n)
+                if size >= HELD:
+                    yield from flushed(found)
+                    found, size = {}, 0
+        yield from flushed(found)
 
     return arrow(documents.select(text("lang"), text("source"), text("text")), run, "lang string, source string, term string, n long, docs long")
 
@@ -100,14 +103,16 @@ def f(p: np.ndarray, q: np.ndarray) -> np.ndarray:
 
 def audited(documents: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(langs, groups, postings): languages with V, N and the number of heavy terms; groups with N, their base and block; kept terms by group with p, the language's p and the number of groups that hold the term."""
-    sums = cut(counted(documents).groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs")))
-    terms = sums.where("term is not null").groupBy("lang", "term").agg(F.sum("docs").alias("docs"), F.sum("n").alias("lang_n"), F.collect_list(F.struct("source", "n")).alias("held"))
-    kept = cut(terms.where(F.col("docs") >= DOCUMENTS).select("lang", "term", "lang_n", "held"))
-    langs = sums.where("term is null").select("lang").distinct().join(kept.groupBy("lang").agg(F.count(F.lit(1)).alias("terms"), F.sum("lang_n").alias("total"), F.count_if(F.size("held") > LIGHT).alias("heavy")), "lang", "left").fillna(0, ["terms", "total", "heavy"])
+    dealt = counted(documents).repartition("lang", "term")  # both sums below find their rows together
+    sums = dealt.groupBy("lang", "term", "source").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
+    terms = sums.groupBy("lang", "term").agg(F.sum("docs").alias("docs"), F.sum("n").alias("lang_n"), F.collect_list(F.struct("source", "n")).alias("held"))
+    found = cut(terms.where(F.col("term").isNull() | (F.col("docs") >= DOCUMENTS)).select("lang", "term", "lang_n", "held"))
+    kept, met = found.where("term is not null"), found.where("term is null")
+    counts = kept.groupBy("lang").agg(F.count(F.lit(1)).alias("terms"), F.sum("lang_n").alias("total"), F.count_if(F.size("held") > LIGHT).alias("heavy"))
+    langs = cut(met.select("lang").join(counts, "lang", "left").fillna(0, ["terms", "total", "heavy"]))
     each = kept.select("lang", "term", "lang_n", F.size("held").alias("holders"), F.inline("held"))
     own = each.groupBy("lang", "source").agg(F.sum("n").alias("own"))
-    langs = cut(langs)
-    groups = sums.where("term is null").select("lang", "source").join(own, ["lang", "source"], "left").fillna(0, ["own"]).join(langs, "lang")
+    groups = met.select("lang", F.col("held.source").alias("source")).withColumn("source", F.explode("source")).join(own, ["lang", "source"], "left").fillna(0, ["own"]).join(langs, "lang")
     sizes = groups.groupBy("lang").agg(F.ceil(F.count(F.lit(1)) / SOURCES).alias("blocks"))
     base = F.when(F.col("terms") > 0, share(F.lit(0).cast("long"), F.col("own"), F.col("terms"))).otherwise(F.lit(1).cast("long"))
     groups = cut(groups.join(sizes, "lang").select("lang", "source", "terms", "own", "total", base.alias("base"), F.pmod(F.xxhash64("source"), "blocks").cast("int").alias("block")))
