@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import centroid_clustering, chat_parts, extendible_sharding, impact_topk, media_chunks, paragraph_dedup, pfair_mixing, pii_bootstrap, piece_fst, simhash_dedup, source_divergence, toxicity_grammar
+from . import centroid_clustering, chat_parts, extendible_sharding, impact_topk, media_chunks, paragraph_dedup, pfair_mixing, pii_bootstrap, piece_fst, simhash_dedup, source_divergence, suffix_dedup, toxicity_grammar
 
 QUERIES = {
     "op3_paragraph_dedup": paragraph_dedup.op3_paragraph_dedup,
@@ -16,6 +16,7 @@ QUERIES = {
     "op6_chat_parts": chat_parts.op6_chat_parts,
     "op10_extendible_sharding": extendible_sharding.op10_extendible_sharding,
     "op11_source_divergence": source_divergence.op11_source_divergence,
+    "op12_suffix_dedup": suffix_dedup.op12_suffix_dedup,
     "op13_centroid_clustering": centroid_clustering.op13_centroid_clustering,
 }
 
