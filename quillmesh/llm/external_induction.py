@@ -96,22 +96,30 @@ class SpillingQueue:
 
 
 class _Log:
-    """(symbol, positions, values) in the order of a pass, on disk, and read back from its end."""
+    """(symbol, positions, values) in the order of a pass, on disk past ``room`` of them, and read back from its end."""
 
-    def __init__(self, path: str):
-        self.path, self.parts, self.n = path, [], 0
-        self.file = open(path, "wb")  # noqa: SIM115
+    def __init__(self, path: str, room: int):
+        self.path, self.room, self.parts, self.held, self.size, self.n, self.file = path, room, [], [], 0, 0, None
 
     def add(self, c: int, positions: np.ndarray, values: np.ndarray) -> None:
-        self.file.write(positions.astype("<i8").tobytes() + values.astype("u1").tobytes())
-        self.parts.append((c, self.n, len(positions)))
-        self.n += 9 * len(positions)
+        self.held.append((c, positions, values))
+        self.size += len(positions)
+        if self.size > self.room:
+            self.file = self.file or open(self.path, "wb")  # noqa: SIM115
+            for c, p, v in self.held:
+                self.file.write(p.astype("<i8").tobytes() + v.astype("u1").tobytes())
+                self.parts.append((c, self.n, len(p)))
+                self.n += 9 * len(p)
+            self.held, self.size = [], 0
 
     def backwards(self):
-        self.file.close()
-        for c, at, n in reversed(self.parts):
-            yield c, np.fromfile(self.path, "<i8", n, offset=at), np.fromfile(self.path, "u1", n, offset=at + 8 * n)
-        os.remove(self.path)
+        while self.held:
+            yield self.held.pop()
+        if self.file:
+            self.file.close()
+            for c, at, n in reversed(self.parts):
+                yield c, np.fromfile(self.path, "<i8", n, offset=at), np.fromfile(self.path, "u1", n, offset=at + 8 * n)
+            os.remove(self.path)
 
 
 def _least_between(values: np.ndarray):
@@ -135,16 +143,18 @@ def _least_between(values: np.ndarray):
 class Suffixes:
     """One text (an array of whole numbers, perhaps mapped from a file) and the passes over it.
 
-    ``carry``: whether common prefixes are wanted, for bytes only; ``room``: tuples that a queue holds in memory.
+    ``carry``: whether common prefixes are wanted, for bytes only; ``room``: tuples that a queue holds in memory; ``memory``: bytes within which arrays of the text's length needn't be mapped from files.
     """
 
-    def __init__(self, text: np.ndarray, folder: str, room: int, cap: int, carry: bool):
-        self.t, self.n, self.folder, self.room, self.cap, self.carry = text, len(text), folder, room, cap, carry
-        self.rising = self._types()
+    def __init__(self, text: np.ndarray, folder: str, room: int, cap: int, carry: bool, memory: int = 0):
+        self.t, self.n, self.folder, self.room, self.cap, self.carry, self.memory = text, len(text), folder, room, cap, carry, memory
         self.names = 0
+        self.rising = self._types()
 
     def _file(self, kind: str, n: int, what: str) -> np.ndarray:
-        self.names = getattr(self, "names", 0) + 1
+        if 24 * self.n <= self.memory:
+            return np.zeros(n, kind)
+        self.names = self.names + 1
         path = os.path.join(self.folder, f"{what}{id(self)}-{self.names}")
         out = np.memmap(path, kind, "w+", shape=(n,))
         os.unlink(path)  # the mapping keeps it as long as it is used
@@ -231,7 +241,7 @@ class Suffixes:
 
     def induced(self, seeds: SpillingQueue, seen) -> None:
         """Visits all suffixes in descending order: ``seen(positions, values)``, each with its common prefix with the next greater one. ``seeds``: the leftmost S suffixes, those of one symbol in their order."""
-        up, log = SpillingQueue(self.folder, self.room), _Log(os.path.join(self.folder, f"falling{id(self)}-{self.names}"))
+        up, log = SpillingQueue(self.folder, self.room), _Log(os.path.join(self.folder, f"falling{id(self)}-{self.names}"), self.room)
         self.names += 1
         since = np.full(256 if self.carry else 1, self.cap, np.int64)
         if self.n:
@@ -313,7 +323,7 @@ class Suffixes:
             return ranked
         if m * 64 <= memory:
             return at[_doubled(np.asarray(names), self.cap)]
-        inner = Suffixes(names, self.folder, self.room, self.cap, False)
+        inner = Suffixes(names, self.folder, self.room, self.cap, False, memory)
         return at[inner.sorted(memory)]
 
     def sorted(self, memory: int) -> np.ndarray:
@@ -377,12 +387,10 @@ def _doubled(names: np.ndarray, cap: int) -> np.ndarray:
 def repeated(text: np.ndarray, folder: str, window: int, memory: int) -> np.ndarray:
     """Whether the ``window`` bytes from each position on also start elsewhere in the text; ``text``: the bytes, followed in its base by ``window`` + 8 more."""
     n = len(text)
-    path = os.path.join(folder, "marks")
-    marks = np.memmap(path, "?", "w+", shape=(max(1, n),))
-    os.unlink(path)
     if n < 2:
-        return marks[:n]
-    s, last = Suffixes(text, folder, max(1024, memory // 64), window, True), [-1]
+        return np.zeros(n, bool)
+    s, last = Suffixes(text, folder, max(1024, memory // 64), window, True, memory), [-1]
+    marks = s._file("?", n, "marks")
 
     def seen(p: np.ndarray, v: np.ndarray) -> None:
         far = v >= window
@@ -392,4 +400,4 @@ def repeated(text: np.ndarray, folder: str, window: int, memory: int) -> np.ndar
         last[0] = int(p[-1])
 
     s.induced(s.seeds(memory), seen)
-    return marks[:n]
+    return marks

@@ -40,8 +40,8 @@ WINDOW = 200
 GRAMS = (64, 128, 176, WINDOW)
 #: Different segments of one anchor that go to one shard at most.
 HOT = 4096
-#: Bytes of a shard, and of memory that its sort takes for tuples and names.
-SHARD_BYTES, MEMORY = 24 << 20, 128 << 20
+#: Bytes of a shard that is dealt out, and of memory within which its sort keeps off the disk.
+SHARD_BYTES, MEMORY = 4 << 20, 128 << 20
 #: Windows that are anchored at once; a place in them takes so many bits.
 _PLACE_BITS = 20
 _PIECE = (1 << _PLACE_BITS) - WINDOW
