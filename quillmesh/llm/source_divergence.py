@@ -41,6 +41,8 @@ LIGHT = 6
 TILE, SOURCES = 64, 128
 #: Distinct (language, source, term) that a task counts before it sends them on.
 HELD = 200_000
+#: Groups that are sent to all tasks at most, some 100 bytes each; more are met by a shuffle.
+SENT = 50_000
 #: Pair sums that a task holds before it sends them on.
 PAIRS = 1 << 19
 
@@ -102,7 +104,7 @@ def f(p: np.ndarray, q: np.ndarray) -> np.ndarray:
 
 
 def audited(documents: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(langs, groups, postings): languages with V, N and the number of heavy terms; groups with N, their base and block; kept terms by group with p, the language's p and the number of groups that hold the term."""
+    """(langs, groups, postings): languages with V, N and the number of heavy terms; groups with N, their base, block and number of tiles; kept terms by group with p, the language's p and the number of groups that hold the term."""
     dealt = counted(documents).repartition("lang", "term")  # both sums below find their rows together
     sums = dealt.groupBy("lang", "term", "source").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
     terms = sums.groupBy("lang", "term").agg(F.sum("docs").alias("docs"), F.sum("n").alias("lang_n"), F.collect_list(F.struct("source", "n")).alias("held"))
@@ -115,10 +117,10 @@ def audited(documents: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     groups = met.select("lang", F.col("held.source").alias("source")).withColumn("source", F.explode("source")).join(own, ["lang", "source"], "left").fillna(0, ["own"]).join(langs, "lang")
     sizes = groups.groupBy("lang").agg(F.ceil(F.count(F.lit(1)) / SOURCES).alias("blocks"))
     base = F.when(F.col("terms") > 0, share(F.lit(0).cast("long"), F.col("own"), F.col("terms"))).otherwise(F.lit(1).cast("long"))
-    groups = cut(groups.join(sizes, "lang").select("lang", "source", "terms", "own", "total", base.alias("base"), F.pmod(F.xxhash64("source"), "blocks").cast("int").alias("block")))
-    rows = each.join(groups, ["lang", "source"])
+    groups = cut(groups.join(sizes, "lang").select("lang", "source", "terms", "own", "total", base.alias("base"), F.pmod(F.xxhash64("source"), "blocks").cast("int").alias("block"), F.ceil(F.col("heavy") / TILE).alias("tiles")))
+    rows = each.join(F.broadcast(groups) if groups.count() <= SENT else groups, ["lang", "source"])
     p, q = share(F.col("n"), F.col("own"), F.col("terms")), share(F.col("lang_n"), F.col("total"), F.col("terms"))
-    return langs, groups, cut(rows.select("lang", "term", "source", "block", "holders", "terms", "base", p.alias("p"), q.alias("q")))
+    return langs, groups, cut(rows.select("lang", "term", "source", "block", "holders", "base", "tiles", p.alias("p"), q.alias("q")))
 
 
 def top_terms(postings: DataFrame) -> DataFrame:
@@ -185,7 +187,7 @@ def _bases(roster: list[dict]) -> np.ndarray:
 def tiles(langs: DataFrame, postings: DataFrame, roster: DataFrame) -> DataFrame:
     """(lang, tile, block, roster, words, p): for each tile of heavy terms and each block the terms that the block's groups hold, as a dense matrix with a column for each group."""
     n = langs.where("heavy > 0").select("lang", F.ceil(F.col("heavy") / TILE).alias("tiles"))
-    dealt = postings.where(F.col("holders") > LIGHT).join(n, "lang").withColumn("tile", F.pmod(F.xxhash64("term"), "tiles"))
+    dealt = postings.where(F.col("holders") > LIGHT).withColumn("tile", F.pmod(F.xxhash64("term"), "tiles"))
     listed = dealt.groupBy("lang", "tile", "block").agg(F.collect_list(F.struct("term", "source", "p")).alias("held"))
     frames = n.select("lang", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1)).alias("tile")).join(roster, "lang")
     schema = pa.schema([("lang", pa.string()), ("tile", pa.int64()), ("block", pa.int32()), ("roster", pa.list_(pa.struct([("source", pa.string()), ("base", pa.int64())]))), ("words", pa.list_(pa.string())), ("p", pa.binary())])
