@@ -38,7 +38,7 @@ def adapt(parsed: DataFrame) -> DataFrame:
     """Parsed envelopes as canonical rows; ``malformed_field`` marks a field of a wrong type.
 
     A row with ``revokes`` is a revocation and needs no channel. Fields that a channel's contract doesn't name stay
-    in ``raw`` and in the fingerprint alone, but a callback window is read on any channel, for its range check.
+    in ``raw`` and in the fingerprint alone, but a callback window is read on any channel, for its range check. A column ``file`` goes along.
     """
     field, kind = (lambda n: F.col(f"f.{n}")), (lambda n: F.col(f"k.{n}"))
     rows = parsed.withColumn("k", F.struct(*(E.kind(field(n)).alias(n) for n in _FIELDS)))
@@ -65,6 +65,7 @@ def adapt(parsed: DataFrame) -> DataFrame:
         wrong.alias("malformed_field"),
         value["callbackWindowMinutes"].alias("window_read"),
         "raw",
+        *(["file"] if "file" in parsed.columns else []),
     )
 
 

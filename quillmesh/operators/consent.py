@@ -30,6 +30,11 @@ def effective(accepted: DataFrame) -> DataFrame:
     return requests.join(revocations(accepted), "eventId", "left").withColumn("effective_consent", left).drop("revoked")
 
 
+def effective_view(view: DataFrame) -> DataFrame:
+    """(eventId, effective_consent) from the table of grants and revocations that a ledger keeps by event (key, granted, revoked, requested)."""
+    return view.where("requested is not null").select(F.col("key").alias("eventId"), F.array_except("granted", "revoked").alias("effective_consent"))
+
+
 def pending(accepted: DataFrame) -> DataFrame:
     """Accepted revocations whose request has not been accepted yet; they apply once it is."""
     requests = accepted.where("revokes is null").select(F.col("eventId").alias("target"))

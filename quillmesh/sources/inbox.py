@@ -24,7 +24,7 @@ def _landed() -> Column:
 
 
 def numbered(lines: DataFrame) -> DataFrame:
-    """(raw, arrival) of ``lines`` (raw, landed): whole numbers from 0 in the order of landing.
+    """(raw, arrival, file) of ``lines`` (raw, landed): whole numbers from 0 in the order of landing.
 
     A split of a file is read by one task in its order; the splits' counts, one row for each, are summed in theirs. Lines aren't sorted.
     """
@@ -32,11 +32,11 @@ def numbered(lines: DataFrame) -> DataFrame:
     splits = rows.groupBy(*_LANDED).agg(F.count(F.lit(1)).alias("n"), F.min("at").alias("least"))
     earlier = Window.orderBy(*_LANDED).rowsBetween(Window.unboundedPreceding, -1)
     splits = splits.select(*_LANDED, "least", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("first"))
-    return rows.join(splits, _LANDED).select("raw", (F.col("first") + F.col("at") - F.col("least")).alias("arrival"))
+    return rows.join(splits, _LANDED).select("raw", (F.col("first") + F.col("at") - F.col("least")).alias("arrival"), "file")
 
 
 def read_inbox(spark: SparkSession, path: str) -> DataFrame:
-    """(raw, arrival) of each line under ``path``, blank ones included."""
+    """(raw, arrival, file) of each line under ``path``, blank ones included."""
     return numbered(spark.read.text(path).select(F.col("value").alias("raw"), _landed()))
 
 

@@ -121,8 +121,13 @@ def test_lengths_that_cannot_be(tmp_path, length, status):
         assert c.getresponse().status == status
 
 
-def test_landed_files_are_purged_by_time(spark, tmp_path):
-    old, new = (land(str(tmp_path), ["{}"]) for _ in range(2))
-    os.utime(tmp_path / old, (1_600_000_000, 1_600_000_000))
-    assert ledger.purge_landing(spark, str(tmp_path), "2021-01-01") == [old]
-    assert [n for n in os.listdir(tmp_path) if n.endswith(".jsonl")] == [new]
+def test_landed_files_are_purged_by_time_once_ingested(spark, tmp_path):
+    landing, path = str(tmp_path / "in"), str(tmp_path / "ledger")
+    old, new = (land(landing, ["{}"]) for _ in range(2))
+    os.utime(os.path.join(landing, old), (1_600_000_000, 1_600_000_000))
+    assert ledger.purge_landing(spark, landing, "2021-01-01", path) == []
+    ingest(spark, read_inbox(spark, landing), path, "2024-01-01", "0001")
+    late = land(landing, ["{}"])
+    os.utime(os.path.join(landing, late), (1_600_000_000, 1_600_000_000))
+    assert ledger.purge_landing(spark, landing, "2021-01-01", path) == [old]
+    assert {n for n in os.listdir(landing) if n.endswith(".jsonl")} == {new, late}
