@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import json
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,9 +9,10 @@ from quillmesh.operators import canonical as C
 from quillmesh.operators import consent as K
 from quillmesh.operators.idempotency import firsts
 from quillmesh.operators.validate import split
+from quillmesh.plans import landing_queries, ledger_queries
 from quillmesh.plans.intake import canonical, ingest, outcomes
 from quillmesh.sources import ledger
-from quillmesh.sources.inbox import Endpoint, read_inbox, stream_inbox
+from quillmesh.sources.inbox import read_inbox, stream_inbox
 from quillmesh.sources.scratch import folder, written
 from quillmesh.sources.synthetic import SQL, inbox
 from quillmesh.streaming.intake import start
@@ -155,27 +154,6 @@ def stream_intake(spark, sf_dir):
     return ledger.read(spark, path).groupBy("ingest_date", "channel", "outcome").agg(F.count(F.lit(1)).alias("n"))
 
 
-#: Envelopes that are posted: two in one body, one sent twice, one that no channel knows.
-POSTED = [
-    [{"eventId": "P-1", "channel": "PHYSICAL", "deskReceiptNo": "D-1"}, {"eventId": "P-2", "channel": "HOTLINE", "callRef": "C-2", "callbackWindowMinutes": 30}],
-    {"eventId": "P-3", "channel": "WEB", "submissionId": "W-3"},
-    {"eventId": "P-3", "channel": "WEB", "submissionId": "W-3"},
-    {"eventId": "P-4", "channel": "FAX"},
-]
-
-
-def endpoint_submission(spark, sf_dir):
-    """HTTP submissions, landed and judged. The server writes to a mounted folder, so the shared folder must be one."""
-    from urllib.request import Request, urlopen
-
-    landing = folder(spark, "landing").removeprefix("file://")
-    with Endpoint(landing) as server:
-        for body in POSTED:
-            with urlopen(Request(f"http://127.0.0.1:{server.port}/intake", json.dumps(body).encode(), method="POST"), timeout=30) as answer:
-                assert answer.status == 202
-    return outcomes(read_inbox(spark, f"file://{landing}")).select("eventId", "channel", "outcome", F.array_join("errors", ",").alias("errors"))
-
-
 def retention(spark, sf_dir):
     path, lines = folder(spark, "ledger"), inbox(spark, sf_dir)
     ingest(spark, lines.where("arrival % 2 = 0"), path, "2024-01-30", "0001")
@@ -213,8 +191,7 @@ QUERIES = {
     "resubmission": resubmission,
     "retention": retention,
     "stream_intake": stream_intake,
-    "endpoint_submission": endpoint_submission,
-}
+} | ledger_queries.QUERIES | landing_queries.QUERIES
 
 
 def _csv(c: str, name: str | None = None) -> str:
@@ -261,6 +238,5 @@ ORACLES = {
     "ledger_sink": SQL + "select '2024-01-31' as ingest_date, outcome, count(*) as n from outcomes group by all",
     "resubmission": SQL + "select case when eventId is null then 'REJECTED' when payload = p0 then 'REPLAY' else 'REJECTED' end as outcome, count(*) as n from placed group by all",
     "stream_intake": SQL + "select case when arrival % 10 = 0 then '2024-01-30' else '2024-01-31' end as ingest_date, channel, outcome, count(*) as n from outcomes group by all",
-    "endpoint_submission": "select * from (values ('P-1', 'PHYSICAL', 'ACCEPTED', ''), ('P-2', 'HOTLINE', 'ACCEPTED', ''), ('P-3', 'WEB', 'ACCEPTED', ''), ('P-3', 'WEB', 'REPLAY', ''), ('P-4', 'FAX', 'REJECTED', 'UNKNOWN_CHANNEL')) as t(eventId, channel, outcome, errors)",
     "retention": SQL + "select '2024-01-31' as ingest_date, count(*) as n from outcomes where arrival % 2 = 1",
-}
+} | ledger_queries.ORACLES | landing_queries.ORACLES

@@ -1,6 +1,6 @@
 """The landing directory: files of one JSON envelope a line.
 
-Nothing in an envelope orders events, so a line's arrival number says when it landed: by the file's modification time, then its name, then
+Nothing in an envelope orders events, so a line's arrival number says when it landed: by the file's modification time, then its name, a number in the order of landing, then
 the line's place in it. Batch and stream number alike.
 """
 
@@ -45,17 +45,45 @@ def stream_inbox(spark: SparkSession, path: str, files_per_trigger: int = 1000)
     return spark.readStream.option("maxFilesPerTrigger", files_per_trigger).text(path).select(F.col("value").alias("raw"), _landed())
 
 
+#: Files that each landing directory is known to have had, so that the next one needn't list it.
+_KNOWN: dict[str, int] = {}
+
+
+def _free(path: str) -> int:
+    """A number that follows those of all files that have landed, purged ones included."""
+    numbers = [int(n[:16]) + 1 for n in os.listdir(path) if re.fullmatch(r"\d{16}\.jsonl", n)]
+    try:
+        with open(os.path.join(path, ".next"), encoding="ascii") as f:
+            numbers.append(int(f.read()))
+    except (OSError, ValueError):
+        pass
+    return max([0, _KNOWN.get(path, 0), *numbers])
+
+
 def land(path: str, envelopes: list[str]) -> str:
     """Writes envelopes as one file of the landing directory; it shows under its name only when whole.
 
+    Names are numbers in the order in which files show: a number is taken by linking the finished file to it, which fails where another process has been faster. So no file ever shows before
+    one of a smaller number, and whoever has read up to a number has missed nothing. The directory must be on a file system with hard links.
     An envelope's text stays as it is, but for line breaks: inside a JSON string there are none, outside they are white space.
     """
     os.makedirs(path, exist_ok=True)
-    name = f"{uuid.uuid4().hex}.jsonl"
-    hidden = os.path.join(path, f".{name}")
+    hidden = os.path.join(path, f".{uuid.uuid4().hex}")
     with open(hidden, "w", encoding="utf-8", newline="\n") as f:
         f.writelines(re.sub(r"[\r\n]+", " ", e) + "\n" for e in envelopes)
-    os.replace(hidden, os.path.join(path, name))
+    n = _KNOWN[path] if path in _KNOWN else _free(path)
+    while True:
+        name = f"{n:016d}.jsonl"
+        try:
+            os.link(hidden, os.path.join(path, name))
+            break
+        except FileExistsError:
+            n += 1
+    os.unlink(hidden)
+    _KNOWN[path] = n + 1
+    with open(f"{hidden}-next", "w", encoding="ascii") as f:
+        f.write(str(n + 1))
+    os.replace(f"{hidden}-next", os.path.join(path, ".next"))
     return name
 
 
@@ -97,7 +125,7 @@ class Endpoint:
     a length, 413 for a body beyond ``limit``. What became of an envelope is read from the ledger by its event ID.
     """
 
-    def __init__(self, landing: str, port: int = 0, limit: int = 1 << 20):
+    def __init__(self, landing: str, port: int = 0, limit: int = 1 << 20, host: str = "127.0.0.1"):
         class Handler(BaseHTTPRequestHandler):
             def do_POST(self) -> None:
                 given = self.headers.get("Content-Length")
@@ -127,7 +155,7 @@ class Endpoint:
             def log_message(self, *_) -> None:
                 pass
 
-        self.server = ThreadingHTTPServer(("127.0.0.1", port), Handler)
+        self.server = ThreadingHTTPServer((host, port), Handler)
         self.port = self.server.server_address[1]
 
     def __enter__(self) -> Endpoint:
