@@ -21,9 +21,9 @@ def is_object(envelope: Column) -> Column:
     return F.coalesce(F.schema_of_variant(envelope).startswith("OBJECT"), F.lit(False))
 
 
-def fields(envelope: Column, names: list[str]) -> Column:
-    """The named fields of an object as a struct of variants."""
-    return F.try_variant_get(envelope, "$", f"struct<{','.join(f'{n}:variant' for n in names)}>")
+def members(envelope: Column) -> Column:
+    """The members of an object by their names."""
+    return F.try_variant_get(envelope, "$", "map<string,variant>")
 
 
 def kind(field: Column) -> Column:
@@ -51,6 +51,36 @@ def json_value(field: Column, kind: Column) -> Column:
     return F.when(kind.isNotNull(), F.to_json(field))
 
 
-def fingerprint(raw: Column, envelope: Column, well_formed: Column) -> Column:
-    """Digest of the whole envelope: key order and white space don't count; array order and explicit nulls do."""
-    return F.sha2(F.coalesce(F.when(well_formed, F.to_json(envelope)), F.trim(raw), F.lit("")), 256)
+def is_blank(c: str) -> Column:
+    """Whether a text is null or has nothing but white space, tabs and line breaks included."""
+    return ~F.coalesce(F.col(c).rlike("[^\\s\\p{Z}\\p{Cc}]"), F.lit(False))
+
+
+#: A token of JSON text: a string, a number, or what stands between them but white space.
+_TOKEN = r'"(?:[^"\\]|\\.)*"|-?[0-9]+(?:[.][0-9]+)?(?:[eE][+-]?[0-9]+)?|[a-z]+|[{}:,]|\[|\]'
+_NUMBER = "^(-?)([0-9]+)(?:[.]([0-9]+))?(?:[eE]([+-]?[0-9]+))?$"
+
+
+def exact_number(token: Column) -> Column:
+    """A JSON number as sign, digits without zeros at either end, and a power of ten: equal for equal numbers, whatever their length. An exponent beyond 18 digits stays as it is written."""
+    part = lambda i: F.regexp_extract(token, _NUMBER, i)
+    all_ = F.concat(part(2), part(3))
+    left = F.regexp_replace(all_, "^0+", "")
+    digits = F.regexp_replace(left, "0+$", "")
+    given = F.when(part(4) == "", F.lit(0)).otherwise(F.when(F.length(part(4)) <= 18, F.try_to_number(F.regexp_replace(part(4), "[+]", ""), F.lit("S999999999999999999"))))
+    power = given - F.length(part(3)) + F.length(left) - F.length(digits)
+    return F.when(digits == "", F.lit("0")).otherwise(F.coalesce(F.concat(part(1), digits, F.lit("e"), power.cast("long").cast("string")), F.lower(token)))
+
+
+def canonical_text(raw: Column) -> Column:
+    """JSON text with sorted keys and exact numbers; null for text that is no JSON.
+
+    Every string, keys too, gets an s in front, and every number becomes a string with an n in front, so that no number passes through a double and none equals a string; then the variant sorts the keys.
+    """
+    token = lambda t: F.when(t.startswith('"'), F.concat(F.lit('"s'), F.substr(t, F.lit(2)))).when(t.rlike("^[-0-9]"), F.concat(F.lit('"n'), exact_number(t), F.lit('"'))).otherwise(t)
+    return F.to_json(F.try_parse_json(F.array_join(F.transform(F.regexp_extract_all(raw, F.lit(_TOKEN), 0), token), "")))
+
+
+def fingerprint(raw: Column, well_formed: Column) -> Column:
+    """Digest of the whole envelope: key order, white space and the way in which a number is written don't count; array order and explicit nulls do."""
+    return F.sha2(F.coalesce(F.when(well_formed, canonical_text(raw)), F.trim(raw), F.lit("")), 256)

@@ -1,6 +1,6 @@
 """Envelopes to the canonical request model, by each channel's field contract.
 
-The channels' adapters are branches of one projection, so a scan of the inbox feeds all of them.
+The channels' adapters are rows of a registry, looked up within one projection, so a scan of the inbox feeds all of them.
 """
 
 from __future__ import annotations
@@ -13,59 +13,65 @@ from quillmesh.functions import envelopes as E
 
 
 _LISTS = ("accommodations", "consent", "scopes")
-_STRINGS = ("eventId", "channel", "revokes", *(fields[0] for fields in CHANNELS.values()))
-_PERSONS = tuple(fields[1] for fields in CHANNELS.values())
-_FIELDS = [*_STRINGS, *_PERSONS, *_LISTS, "callbackWindowMinutes"]
+_NAMED = ("eventId", "channel", "revokes", *_LISTS)
+#: What a channel names itself, by its place in the registry.
+_OWN = ("source", "person", "window")
 
 
 def parse(inbox: DataFrame) -> DataFrame:
-    """``inbox`` (raw, arrival) with the variant ``envelope``, whether it is ``well_formed``, and its contract fields as the variants of ``f``.
+    """``inbox`` (raw, arrival) with the variant ``envelope``, whether it is ``well_formed``, and its members ``f`` as a map of variants.
 
-    Bad input stays, with null fields. A line is parsed once: what follows reads the fields' own variants.
+    Bad input stays, without members. A line is parsed once: what follows reads the members' own variants.
     """
     rows = inbox.withColumn("envelope", E.parsed(F.col("raw"))).withColumn("well_formed", E.is_object(F.col("envelope")))
-    return rows.withColumn("f", E.fields(F.when(F.col("well_formed"), F.col("envelope")), _FIELDS))
+    return rows.withColumn("f", E.members(F.when(F.col("well_formed"), F.col("envelope"))))
 
 
-def _by_channel(values: dict[str, Column], place: int) -> Column:
-    out = F.lit(None)
-    for name, fields in CHANNELS.items():
-        out = F.when(F.col("v.channel") == name, values[fields[place]]).otherwise(out)
-    return out.cast("string")
+def _registry(channels: dict[str, tuple], place: int) -> Column:
+    """The map of channels to the field that plays a part in them, for those that name one."""
+    named = [F.lit(x) for c, fields in channels.items() if fields[place] for x in (c, fields[place])]
+    return F.create_map(*named) if named else F.create_map().cast("map<string,string>")
 
 
-def adapt(parsed: DataFrame) -> DataFrame:
+def adapt(parsed: DataFrame, channels: dict[str, tuple] = CHANNELS) -> DataFrame:
     """Parsed envelopes as canonical rows; ``malformed_field`` marks a field of a wrong type.
 
+    ``channels``: the registry, of the fields that each channel names for its source ID, its person and, perhaps, its callback window (``sources.registry`` reads it from a table); an adapter is a row of it.
     A row with ``revokes`` is a revocation and needs no channel. Fields that a channel's contract doesn't name stay
-    in ``raw`` and in the fingerprint alone, but a callback window is read on any channel, for its range check. A column ``file`` goes along.
+    in ``raw`` and in the fingerprint alone, but ``callbackWindowMinutes`` is read on any channel, for its range check. Columns ``file`` and ``corrects`` go along.
     """
-    field, kind = (lambda n: F.col(f"f.{n}")), (lambda n: F.col(f"k.{n}"))
-    rows = parsed.withColumn("k", F.struct(*(E.kind(field(n)).alias(n) for n in _FIELDS)))
-    read = {n: E.string_value for n in _STRINGS} | {n: E.strings_value for n in _LISTS} | {n: E.json_value for n in _PERSONS} | {"callbackWindowMinutes": E.int_value}
-    rows = rows.withColumn("v", F.struct(*(read[n](field(n), kind(n)).alias(n) for n in _FIELDS)))
-    value = {n: F.col(f"v.{n}") for n in _FIELDS}
+    field = lambda name: F.try_element_at("f", name)
+    channel = E.string_value(field(F.lit("channel")), E.kind(field(F.lit("channel"))))
+    own = {n: F.try_element_at(_registry(channels, i), F.col("of")) for i, n in enumerate(_OWN)}
+    rows = parsed.withColumn("of", channel).withColumn("own", F.struct(*(v.alias(n) for n, v in own.items())))
+    members = {n: field(F.lit(n)) for n in _NAMED} | {n: field(F.col(f"own.{n}")) for n in _OWN[:2]} | {"window": field(F.coalesce("own.window", F.lit("callbackWindowMinutes")))}
+    rows = rows.withColumn("g", F.struct(*(v.alias(n) for n, v in members.items())))
+    rows = rows.withColumn("k", F.struct(*(E.kind(F.col(f"g.{n}")).alias(n) for n in members)))
+    read = {n: E.string_value for n in ("eventId", "channel", "revokes", "source")} | {n: E.strings_value for n in _LISTS} | {"person": E.json_value, "window": E.int_value}
+    rows = rows.withColumn("v", F.struct(*(read[n](F.col(f"g.{n}"), F.col(f"k.{n}")).alias(n) for n in members)))
+    value = lambda n: F.col(f"v.{n}")
     wrong = F.lit(False)
-    for n in (*_STRINGS, *_LISTS, "callbackWindowMinutes"):
-        wrong = wrong | (kind(n).isNotNull() & value[n].isNull())
+    for n in members:
+        if n != "person":
+            wrong = wrong | (F.col(f"k.{n}").isNotNull() & value(n).isNull())
     return rows.select(
         F.lit(CANONICAL_VERSION).alias("canonicalVersion"),
-        value["eventId"].alias("eventId"),
-        value["channel"].alias("channel"),
-        _by_channel(value, 0).alias("sourceId"),
-        _by_channel(value, 1).alias("person"),
-        F.when(value["channel"] == "HOTLINE", value["callbackWindowMinutes"]).alias("callbackWindowMinutes"),
-        value["accommodations"].alias("accommodations"),
-        value["consent"].alias("consent"),
-        value["revokes"].alias("revokes"),
-        value["scopes"].alias("scopes"),
+        value("eventId").alias("eventId"),
+        value("channel").alias("channel"),
+        value("source").alias("sourceId"),
+        value("person").alias("person"),
+        F.when(F.col("own.window").isNotNull(), value("window")).alias("callbackWindowMinutes"),
+        value("accommodations").alias("accommodations"),
+        value("consent").alias("consent"),
+        value("revokes").alias("revokes"),
+        value("scopes").alias("scopes"),
         "arrival",
-        E.fingerprint(F.col("raw"), F.col("envelope"), F.col("well_formed")).alias("payload_fp"),
+        E.fingerprint(F.col("raw"), F.col("well_formed")).alias("payload_fp"),
         "well_formed",
         wrong.alias("malformed_field"),
-        value["callbackWindowMinutes"].alias("window_read"),
+        value("window").alias("window_read"),
         "raw",
-        *(["file"] if "file" in parsed.columns else []),
+        *(c for c in ("file", "corrects") if c in parsed.columns),
     )
 
 

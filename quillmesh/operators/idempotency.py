@@ -1,6 +1,6 @@
 """Replays and conflicts of event IDs.
 
-The first arrival of an event ID stands, valid or not. The same payload again is a replay and has no
+The first arrival of an event ID stands, valid or not (or, as the owner may choose, the first valid one). The same payload again is a replay and has no
 effect; a different one is a conflict. The first arrivals come from an aggregation, which combines
 before it shuffles, and meet the rows in a join that Spark can split where one event ID holds many rows.
 Whatever the ledger holds came before. Missing and blank event IDs name no event: their rows are judged alone.
@@ -12,11 +12,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillmesh.contract import ACCEPTED, REJECTED, REPLAY
+from quillmesh.functions.envelopes import is_blank
 
 
 def event_key() -> Column:
     """The event ID, or null if it is blank."""
-    return F.when(F.trim("eventId") != "", F.col("eventId"))
+    return F.when(~is_blank("eventId"), F.col("eventId"))
 
 
 def firsts(rows: DataFrame) -> DataFrame:
@@ -25,14 +26,17 @@ def firsts(rows: DataFrame) -> DataFrame:
     return keyed.groupBy("event").agg(F.min("at").alias("first"))
 
 
-def resolve(validated: DataFrame, ledger: DataFrame | None = None) -> DataFrame:
+def resolve(validated: DataFrame, ledger: DataFrame | None = None, invalid_claims: bool = True) -> DataFrame:
     """``validated`` with ``outcome``, and EVENT_ID_CONFLICT among ``errors``.
 
-    ``ledger``: rows that came before, with eventId, arrival and payload_fp, whatever their arrival numbers.
+    ``ledger``: rows that came before, with eventId, arrival and payload_fp, whatever their arrival numbers. ``invalid_claims``: whether an invalid first record
+    claims its event ID, which is the literal reading. If it doesn't, the first valid record stands: invalid ones before it are rejected for what they are, and free the ID for a corrected one; what the
+    ledger gives must then be valid first records.
     """
-    known = firsts(validated).withColumn("before", F.lit(False))
+    known = firsts(validated if invalid_claims else validated.where(F.size("errors") == 0)).withColumn("before", F.lit(False))
     if ledger is not None:
-        older = ledger.join(known.select(F.col("event").alias("eventId")), "eventId", "left_semi")
+        met = validated.select(event_key().alias("eventId")).where("eventId is not null").distinct()
+        older = ledger.join(met, "eventId", "left_semi")
         known = known.unionByName(firsts(older).withColumn("before", F.lit(True)))
         known = known.groupBy("event").agg(F.max_by("first", "before").alias("first"), F.max("before").alias("before"))
     rows = validated.withColumn("event", event_key()).join(known, "event", "left")

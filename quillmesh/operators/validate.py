@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Collection
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillmesh.contract import ACCOMMODATION_CODES, CHANNELS, CONSENT_SCOPES, ERRORS
+from quillmesh.functions.envelopes import is_blank
 
 
 def _outside(values: str, known: tuple[str, ...]) -> Column:
@@ -14,14 +17,15 @@ def _outside(values: str, known: tuple[str, ...]) -> Column:
     return F.size(F.array_except(held, F.array(*map(F.lit, known)))) > 0
 
 
-def checks() -> dict[str, Column]:
+def checks(channels: Collection[str] = CHANNELS) -> dict[str, Column]:
     """The condition of each error that a row has by itself."""
     ok, request = F.col("well_formed"), F.col("revokes").isNull()
+    known = F.coalesce(F.col("channel").isin(*channels), ~request)
     return {
         "MALFORMED_ENVELOPE": ~ok,
-        "MISSING_EVENT_ID": ok & (F.coalesce(F.trim("eventId"), F.lit("")) == ""),
-        "UNKNOWN_CHANNEL": ok & ~F.coalesce(F.col("channel").isin(*CHANNELS), ~request),
-        "MISSING_SOURCE_ID": ok & F.coalesce(F.col("channel").isin(*CHANNELS), F.lit(False)) & (F.coalesce(F.trim("sourceId"), F.lit("")) == ""),
+        "MISSING_EVENT_ID": ok & (is_blank("eventId")),
+        "UNKNOWN_CHANNEL": ok & ~known,
+        "MISSING_SOURCE_ID": ok & F.coalesce(F.col("channel").isin(*channels), F.lit(False)) & is_blank("sourceId"),
         "MALFORMED_FIELD": ok & F.coalesce("malformed_field", F.lit(False)),
         "UNKNOWN_ACCOMMODATION": _outside("accommodations", ACCOMMODATION_CODES),
         "UNKNOWN_CONSENT_SCOPE": _outside("consent", CONSENT_SCOPES) | _outside("scopes", CONSENT_SCOPES),
@@ -29,9 +33,9 @@ def checks() -> dict[str, Column]:
     }
 
 
-def validate(canonical: DataFrame) -> DataFrame:
+def validate(canonical: DataFrame, channels: Collection[str] = CHANNELS) -> DataFrame:
     """``canonical`` with ``errors``, in the order of the contract."""
-    marks = [F.when(condition, F.lit(name)) for name, condition in checks().items()]
+    marks = [F.when(condition, F.lit(name)) for name, condition in checks(channels).items()]
     assert list(checks()) == list(ERRORS[:-1])
     return canonical.withColumn("errors", F.filter(F.array(*marks), lambda e: e.isNotNull()))
 

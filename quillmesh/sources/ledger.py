@@ -29,7 +29,7 @@ from quillmesh.sources.manifest import Commit, Refused
 
 ROWS = """canonicalVersion string, eventId string, channel string, sourceId string, person string, callbackWindowMinutes int, accommodations array<string>,
     consent array<string>, revokes string, scopes array<string>, arrival long, payload_fp string, well_formed boolean, malformed_field boolean, window_read int,
-    raw string, errors array<string>, outcome string"""
+    raw string, errors array<string>, outcome string, corrects long"""
 _COLUMNS = [c.split()[0] for c in ROWS.replace("\n", " ").split(", ")]
 
 
@@ -62,6 +62,8 @@ def write_rows(outcomes: DataFrame, path: str, ingest_date: str, attempt: str) -
     """Writes an attempt's rows; they aren't part of the ledger before its commit."""
     if not re.fullmatch(r"\d{4}-\d\d-\d\d", ingest_date):
         raise ValueError(f"{ingest_date!r} is no ISO date")
+    if "corrects" not in outcomes.columns:
+        outcomes = outcomes.withColumn("corrects", F.lit(None).cast("long"))
     rows = outcomes.select(*_COLUMNS).withColumn("ingest_date", F.lit(ingest_date)).withColumn("attempt", F.lit(attempt))
     bloom = {f"parquet.bloom.filter.{k}#{c}": v for c in ("sourceId", "eventId") for k, v in (("enabled", "true"), ("expected.ndv", "100000"))}
     rows.write.mode("append").options(**bloom).partitionBy("ingest_date", "attempt").parquet(f"{path}/rows")
@@ -106,6 +108,17 @@ def _kept(rows: DataFrame, which: keyed.Keyed, purged: str) -> DataFrame:
     return rows
 
 
+def quarantine(spark: SparkSession, path: str) -> DataFrame:
+    """Rejected rows by error: (error, eventId, channel, arrival, raw, ingest_date, batch, corrected_by, state), a row for each error of each.
+
+    A line that was sent to correct one names its arrival number in ``corrects``; state is open, or what became of the last correction: accepted, replay or rejected.
+    """
+    rows = read(spark, path)
+    fixes = rows.where("corrects is not null").groupBy("corrects").agg(F.max(F.struct("arrival", "outcome")).alias("fix")).select(F.col("corrects").alias("arrival"), "fix")
+    out = rows.where("outcome = 'REJECTED'").join(fixes, "arrival", "left").withColumn("error", F.explode("errors"))
+    return out.select("error", "eventId", "channel", "arrival", "raw", "ingest_date", "batch", F.col("fix.arrival").alias("corrected_by"), F.coalesce(F.lower("fix.outcome"), F.lit("open")).alias("state"))
+
+
 def next_arrival(ledger: DataFrame) -> int:
     """The first arrival number after some rows."""
     last = ledger.agg(F.max("arrival")).first()[0]
@@ -232,4 +245,4 @@ def erase(spark: SparkSession, path: str, channel: str, source_id: str, on: str)
     return {"rows": sum(h["n"] for h in hit), "events": len(gone_ids)}
 
 
-__all__ = ["Refused", "erase", "find", "landed", "maintain", "next_arrival", "outcomes_of", "purge", "purge_landing", "read", "scratch", "table", "vacuum"]
+__all__ = ["Refused", "erase", "find", "landed", "maintain", "next_arrival", "outcomes_of", "purge", "purge_landing", "quarantine", "read", "scratch", "table", "vacuum"]

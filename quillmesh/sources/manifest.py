@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from quillmesh.sources import files
 
 SCHEMA = """version long, kind string, attempt string, ingest_date string, batch string, stream string, inputs string, first long, next long, n_rows long,
-    counts map<string,long>, replaces array<string>, tombstones array<string>, purged string"""
+    counts map<string,long>, replaces array<string>, purged string"""
 
 
 class Refused(ValueError):
@@ -28,7 +28,7 @@ class Refused(ValueError):
 
 @dataclass
 class Commit:
-    """kind: batch, merge, purge or erasure."""
+    """kind: batch, merge, purge, tombstone or erasure. ``claims``: whether invalid first records claim their event IDs in this ledger."""
 
     kind: str
     attempt: str | None = None
@@ -41,15 +41,15 @@ class Commit:
     n_rows: int = 0
     counts: dict[str, int] = field(default_factory=dict)
     replaces: list[str] = field(default_factory=list)
-    tombstones: list[str] = field(default_factory=list)
     purged: str = ""
+    claims: bool | None = None
     live: dict[str, list[dict]] = field(default_factory=dict)
     streams: dict[str, int] = field(default_factory=dict)
     version: int = -1
 
     def following(self, kind: str, **changes) -> Commit:
         """A commit of another kind after this one, with all that carries over."""
-        kept = {n: getattr(self, n) for n in ("next", "purged", "live", "streams")}
+        kept = {n: getattr(self, n) for n in ("next", "purged", "claims", "live", "streams")}
         return Commit(kind, **{"first": self.next, **kept, **changes}, version=self.version + 1)
 
 

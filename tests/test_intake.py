@@ -1,5 +1,6 @@
 """The contract's examples, revocation and invalid cases, and the shapes that input can take."""
 
+import hashlib
 import json
 import random
 
@@ -9,6 +10,7 @@ from quillmesh import contract
 from quillmesh.operators import consent
 from quillmesh.operators.validate import split
 from quillmesh.plans.intake import outcomes
+from quillmesh.sources import registry
 
 PHYSICAL = {"eventId": "EV-P-001", "channel": "PHYSICAL", "deskReceiptNo": "D-88", "accommodations": ["BRAILLE_MATERIAL"]}
 HOTLINE = {"eventId": "EV-H-001", "channel": "HOTLINE", "callRef": "C-19", "callbackWindowMinutes": 45, "consent": ["CONTACT_CALLBACK"]}
@@ -83,6 +85,52 @@ def test_shapes(spark, line, errors):
     assert judged(spark, line) == [("REJECTED" if errors else "ACCEPTED", errors)]
 
 
+def fingerprints(spark, *texts):
+    rows = outcomes(inbox(spark, *texts)).orderBy("arrival").collect()
+    return [r.payload_fp for r in rows]
+
+
+@pytest.mark.parametrize(
+    "same",
+    [
+        ["1", "1.0", "1e0", "100e-2", "0.1E+1", "10e-1"],
+        ["0", "-0", "0.00", "0e5", "0E-9"],
+        ["-12.50", "-1250e-2", "-0.125e2"],
+        ["1e400", "10e399", "0.1e401"],
+        ["123456789012345678901234567890.1", "1234567890123456789012345678901e-1"],
+        ["[1, 2.0]", "[1.0,2]"],
+        ['{"b": 1.0, "a": "x"}', '{"a":"\\u0078","b":1}'],
+    ],
+)
+def test_equal_numbers_are_one_payload(spark, same):
+    assert len(set(fingerprints(spark, *(f'{{"eventId": "E", "n": {v}}}' for v in same)))) == 1
+
+
+def test_different_payloads_differ(spark):
+    values = ["1", '"1"', '"n1e0"', '"s1"', "10", "1.00000000000000000001", "-1", "[1]", "null", "true", '"true"', '{"1": 1}', '"a\\"b"', '"a"', "12345678901234567890", "12345678901234567891", "[1,2]", "[2,1]", "[12]", '"1,2"', '""', '" "']
+    texts = [f'{{"eventId": "E", "n": {v}}}' for v in values] + ['{"eventId": "E"}', '{"eventId": "E", "sn": 1}']
+    assert len(set(fingerprints(spark, *texts))) == len(texts)
+
+
+def test_digest_of_a_payload(spark):
+    want = '{"scallRef":"sC-19","scallbackWindowMinutes":"n45e0","schannel":"sHOTLINE","sconsent":["sCONTACT_CALLBACK"],"seventId":"sEV-H-001"}'
+    assert fingerprints(spark, HOTLINE, " not json ") == [hashlib.sha256(want.encode()).hexdigest(), hashlib.sha256(b"not json").hexdigest()]
+
+
+def test_a_channel_is_a_row(spark):
+    rows = [(c, *f) for c, f in contract.CHANNELS.items()] + [("POST", "letterNo", "sender", "callbackWindow")]
+    channels = registry.read(spark.createDataFrame(rows, "channel string, sourceIdField string, personField string, callbackWindowField string"))
+    letter = {"eventId": "L1", "channel": "POST", "letterNo": "L-5", "sender": {"name": "X"}, "callbackWindow": 20, "callRef": 7}
+    found = {r.eventId: r for r in outcomes(inbox(spark, letter, letter | {"eventId": "L2", "callbackWindow": -1}, letter | {"eventId": "L3", "letterNo": 5}, HOTLINE), channels=channels).collect()}
+    assert (found["L1"].sourceId, found["L1"].person, found["L1"].callbackWindowMinutes, found["L1"].outcome) == ("L-5", '{"name":"X"}', 20, "ACCEPTED")
+    assert found["L2"].errors == ["NEGATIVE_CALLBACK_WINDOW"] and found["L3"].errors == ["MISSING_SOURCE_ID", "MALFORMED_FIELD"]
+    assert found["EV-H-001"].callbackWindowMinutes == 45
+    assert judged(spark, letter) == [("REJECTED", ["UNKNOWN_CHANNEL"])]
+    for bad in ([("A", None, "p", None)], [("A", "s", "p", None), ("A", "t", "p", None)], [(None, "s", "p", None)]):
+        with pytest.raises(ValueError):
+            registry.read(spark.createDataFrame(bad, "channel string, sourceIdField string, personField string, callbackWindowField string"))
+
+
 def test_rows_without_event_id_are_no_replays(spark):
     assert judged(spark, "x", "x", {}, {}) == [("REJECTED", ["MALFORMED_ENVELOPE"])] * 2 + [("REJECTED", ["MISSING_EVENT_ID", "UNKNOWN_CHANNEL"])] * 2
 

@@ -231,3 +231,41 @@ def test_an_empty_ledger(spark, tmp_path):
     ingest(spark, lines(spark), path, "2024-01-01", "0001")
     assert ledger.read(spark, path).collect() == [] and manifest.latest(spark, path).next == 0 and manifest.latest(spark, path).version == 0
 
+
+
+def judged_plainly(inbox, claims):
+    """Outcomes of (id, payload, own errors) in their order, by definition."""
+    first, out = {}, []
+    for e, payload, own in inbox:
+        if e in first:
+            out.append("REPLAY" if first[e] == payload else "REJECTED")
+            continue
+        if claims or not own:
+            first[e] = payload
+        out.append("REJECTED" if own else "ACCEPTED")
+    return out
+
+
+@pytest.mark.parametrize("claims", [True, False])
+def test_both_readings_of_an_invalid_first_record(spark, tmp_path, claims):
+    r, path = random.Random(7), str(tmp_path / "ledger")
+    given = [(f"E{r.randrange(5)}", r.choice([10, 20, -1, -2])) for _ in range(40)]
+    envelopes = [HOTLINE | {"eventId": e, "callbackWindowMinutes": m} for e, m in given]
+    want = judged_plainly([(e, m, m < 0) for e, m in given], claims)
+    assert [x.outcome for x in outcomes(lines(spark, *envelopes), invalid_claims=claims).orderBy("arrival").collect()] == want
+    for k, (a, b) in enumerate(((0, 7), (7, 19), (19, 40))):
+        ingest(spark, lines(spark, *envelopes[a:b]), path, "2024-01-01", f"{k}", invalid_claims=claims)
+    assert [x.outcome for x in ledger.read(spark, path).orderBy("arrival").collect()] == want
+    with pytest.raises(manifest.Refused):
+        ingest(spark, lines(spark, HOTLINE), path, "2024-01-01", "other", invalid_claims=not claims)
+
+
+def test_a_correction_is_linked_to_its_origin(spark, tmp_path):
+    path, wrong = str(tmp_path / "ledger"), PHYSICAL | {"accommodations": ["NOPE"]}
+    ingest(spark, lines(spark, wrong, "x", HOTLINE), path, "2024-01-01", "0001", invalid_claims=False)
+    assert sorted((q.error, q.arrival, q.state) for q in ledger.quarantine(spark, path).collect()) == [("MALFORMED_ENVELOPE", 1, "open"), ("UNKNOWN_ACCOMMODATION", 0, "open")]
+    fixes = lambda *e: spark.createDataFrame([(json.dumps(x), i, 0) for i, x in enumerate(e)], "raw string, arrival long, corrects long")
+    ingest(spark, fixes(wrong | {"accommodations": ["STILL"]}), path, "2024-01-02", "0001", invalid_claims=False)
+    assert {q.arrival: (q.state, q.corrected_by) for q in ledger.quarantine(spark, path).collect()} == {0: ("rejected", 3), 1: ("open", None), 3: ("open", None)}
+    ingest(spark, fixes(PHYSICAL), path, "2024-01-03", "0001", invalid_claims=False)
+    assert {q.arrival: (q.state, q.corrected_by) for q in ledger.quarantine(spark, path).collect()} == {0: ("accepted", 4), 1: ("open", None), 3: ("open", None)}

@@ -94,8 +94,8 @@ def test_arrival_is_the_order_of_landing(spark, tmp_path):
 
 
 def test_blank_event_ids_are_no_event(spark):
-    lines = [json.dumps(HOTLINE | {"eventId": e, "callbackWindowMinutes": m}) for e in ("", " ") for m in (45, 45, 60)]
-    rows = outcomes(spark.createDataFrame(list(zip(lines, range(6))), "raw string, arrival long")).collect()
+    lines = [json.dumps(HOTLINE | {"eventId": e, "callbackWindowMinutes": m}) for e in ("", " ", "\t", "\u00a0\n") for m in (45, 45, 60)]
+    rows = outcomes(spark.createDataFrame(list(zip(lines, range(12))), "raw string, arrival long")).collect()
     assert {(r.outcome, tuple(r.errors)) for r in rows} == {("REJECTED", ("MISSING_EVENT_ID",))}
 
 
