@@ -19,7 +19,8 @@ QUERY_BLOCK queries, which are searched QUERY_BATCH at a time.
 Defined cases: vectors that are null, empty, or hold null or non-finite components take no part, nor do
 rows without an id; only vectors of equal dimension meet; a query's own id is never its candidate; equal
 scores rank by smaller id; repeated rows of a query count once, repeated candidates each; fewer than
-k candidates give fewer rows; further columns are ignored. Scores must fit a signed long.
+k candidates give fewer rows; further columns are ignored. Vectors of any width go through the index; where components are so large that doubles round, the bounds are
+wider by what that can amount to, and the rescoring is of whole numbers. Scores must fit a signed long.
 """
 
 from __future__ import annotations
@@ -60,11 +61,12 @@ class ImpactIndex:
         #: The largest magnitude of each (segment, dimension), and the largest norm of a segment's rows.
         self.upper = np.array([np.abs(self.postings[:, s]).max(axis=1) for s in self.segments])
         self.norms = np.array([np.sqrt(self.squares[:, s].sum(axis=0).max()) for s in self.segments])
+        self.largest = float(np.abs(self.postings).max(initial=0))
         self.read = 0
 
     def top(self, query_ids: np.ndarray, queries: np.ndarray, k: int, floor: np.ndarray | None = None) -> list[tuple[int, int, int]]:
         """(query id, row id, score) of each query's k best rows that reach its floor."""
-        floor = np.full(len(queries), -np.inf) if floor is None else floor
+        floor = np.full(len(queries), -np.inf) if floor is None else np.nextafter(floor, -np.inf)  # a score may have been rounded up
         found = []
         for at in range(0, len(queries), QUERY_BATCH):
             part = slice(at, at + QUERY_BATCH)
@@ -73,11 +75,14 @@ class ImpactIndex:
 
     def _search(self, query_ids: np.ndarray, queries: np.ndarray, k: int, floor: np.ndarray) -> list[tuple[int, int, int]]:
         q = queries.astype(np.float64)
+        # accumulators of doubles are exact up to 2**53; beyond, they are off by this at most
+        sizes = np.abs(q).max(axis=1, initial=0) * self.largest * q.shape[1]
+        off = np.where(sizes < 2.0**53, 0, sizes * 2.0**-52 * (q.shape[1] + 3))[:, None]
         impact = np.abs(q)[:, None, :] * self.upper[None]  # query, segment, dimension
         share = impact / np.maximum(impact.max(axis=(1, 2), initial=0), 1e-300)[:, None, None]
         level = np.minimum(ROUNDS - 1, np.floor(-np.log2(np.maximum(share, 1e-300)))).astype(np.int8)
-        within = np.sqrt((q * q).sum(axis=1))[:, None] * self.norms[None] * (1 + 1e-9) + 1 >= floor[:, None]
-        acc, left, alive, found = np.zeros((len(q), len(self.ids))), np.zeros((len(q), len(self.ids))), np.arange(len(q)), []
+        within = np.sqrt((q * q).sum(axis=1))[:, None] * self.norms[None] * (1 + 1e-9) + 1 + off >= floor[:, None]
+        acc, left, alive, found = np.zeros((len(q), len(self.ids))), np.repeat(off, len(self.ids), 1), np.arange(len(q)), []
         for r in range(ROUNDS):
             maybe = query_ids[alive][:, None] != self.ids[None]
             for n, s in enumerate(self.segments):
@@ -91,7 +96,7 @@ class ImpactIndex:
                     self.read += int(np.count_nonzero(now)) * self.postings[:, s].shape[1]
                 later = np.where(level[alive[at], n] > r, q[alive[at]], 0)
                 wide = (later * later).sum(axis=1)[:, None] * ((later != 0).astype(np.float64) @ self.squares[:, s])
-                left[at, s] = np.where(wide > 0, np.sqrt(wide) * (1 + 1e-9) + 1, 0)
+                left[at, s] = np.where(wide > 0, np.sqrt(wide) * (1 + 1e-9) + 1, 0) + off[alive[at]]
             kth = floor[alive][:, None]
             if len(self.ids) > k:
                 low = np.where(maybe, acc - left, -np.inf)
@@ -110,9 +115,7 @@ class ImpactIndex:
 
 
 def _vectors(v: pd.Series) -> np.ndarray:
-    a = np.stack(v.to_numpy()).astype(np.int64)
-    # float64 holds the accumulators exactly; beyond that Python's integers take over
-    return a if np.abs(a).max(initial=0) < 1 << 22 and a.shape[1] < 256 else a.astype(object)
+    return np.stack(v.to_numpy()).astype(np.int64)
 
 
 def _search(k: int):
@@ -122,13 +125,7 @@ def _search(k: int):
             return pd.DataFrame({n: pd.Series(dtype="int64") for n in names})
         v, q = _vectors(rows["v"]), _vectors(queries["w"])
         ids, query_ids = rows["id"].to_numpy(), queries["query_id"].to_numpy()
-        if v.dtype == object or q.dtype == object:
-            found = []
-            for i, x in zip(query_ids, q.astype(object)):
-                scored = sorted((-int(s), int(j)) for s, j in zip(v.astype(object) @ x, ids) if j != i)[:k]
-                found += [(int(i), j, -s) for s, j in scored]
-        else:
-            found = ImpactIndex(ids, v).top(query_ids, q, k, queries["floor"].fillna(-np.inf).to_numpy())
+        found = ImpactIndex(ids, v).top(query_ids, q, k, queries["floor"].fillna(-np.inf).to_numpy())
         return pd.DataFrame(found, columns=names).astype("int64")
 
     return run

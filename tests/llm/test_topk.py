@@ -45,6 +45,34 @@ def test_proof_stops_early_and_stays_exact():
         assert [(i, x) for a, i, x in got if a == q] == [(int(i), int(s[i])) for i in order]
 
 
+@pytest.mark.parametrize("dims, size", [(768, 100), (300, 1), (6, 2**29), (40, 2**28 - 1), (1, 2**31)])
+def test_wide_vectors_and_large_components(dims, size):
+    """Widths of real embeddings, and products beyond what doubles hold, go through the same index."""
+    import numpy as np
+
+    r = np.random.default_rng(dims)
+    vectors = r.integers(-size, size + 1, (600, dims))
+    vectors[300:400] = vectors[:100]
+    vectors[400:500] = vectors[:100] + (np.arange(dims) == 0)  # scores that differ by less than doubles of this size tell apart
+    ids = np.arange(600)
+    want = {}
+    for q in range(25):
+        s = [sum(int(a) * int(b) for a, b in zip(v, vectors[q])) for v in vectors]
+        want[q] = sorted(((-x, i) for i, x in enumerate(s) if i != q))[:5]
+    floor = np.array([float(-want[q][-1][0]) for q in range(25)])
+    for f in (None, floor):
+        got = I.ImpactIndex(ids, vectors).top(ids[:25], vectors[:25], 5, f)
+        assert all([(-x, i) for a, i, x in got if a == q] == want[q] for q in range(25))
+
+
+def test_wide_vectors_through_spark(spark):
+    r = random.Random(8)
+    rows = [(i, [r.gauss(0, 0.2) for _ in range(384)]) for i in range(120)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(4)
+    ready = df.select(F.col("vec_id").alias("id"), I.quantised(F.col("embedding")).alias("v"))
+    assert {tuple(x) for x in I.top_k(ready, ready.where("id % 3 = 0"), 5).collect()} == brute(rows, 5)
+
+
 def test_floor_spares_segments_and_loses_nothing():
     import numpy as np
 
