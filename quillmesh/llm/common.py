@@ -84,6 +84,13 @@ def fresh(df: DataFrame, base: str) -> str:
     return name
 
 
+def each_copy(df: DataFrame, n: str, name: str, step: int = 1 << 16) -> DataFrame:
+    """A row for each of a row's ``n`` copies, numbered from 0 in ``name``: by ranges of ``step``, so that no array grows with the copies."""
+    part, last = fresh(df, "part"), F.col(n) - 1
+    rows = df.withColumn(part, F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"({n} - 1) div {step}"))))
+    return rows.withColumn(name, F.explode(F.sequence(F.col(part) * step, F.least(last, F.col(part) * step + (step - 1))))).drop(part)
+
+
 def bits_for(n: int) -> int:
     """Bits of a filter over ``n`` keys: 16 for each, a power of two, from 2**20 up to 2**28, so that a broadcast takes 32 MB at most."""
     return 1 << min(28, max(20, (16 * n - 1).bit_length()))

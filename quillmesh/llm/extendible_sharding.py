@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, table
+from .common import cut, each_copy, table
 
 #: Bytes of text that one shard may hold.
 SHARD_BYTES = 32 << 20
@@ -35,7 +35,7 @@ def hashed_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = docs.select(F.col(id_col).alias("id"), F.octet_length(text).cast("long").alias("bytes"), F.md5(text.cast("binary")).alias("digest"))
     rows = rows.groupBy("id", "bytes", "digest").agg(F.count(F.lit(1)).alias("n"))
-    rows = rows.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))))
+    rows = each_copy(rows, "n", "copy").withColumn("copy", F.col("copy") + 1)
     key = F.concat_ws(":", F.coalesce(F.col("id").cast("string"), F.lit("null")), "digest", F.col("copy").cast("string"))
     bits = F.lpad(F.conv(F.substring(F.md5(key.cast("binary")), 1, 16), 16, 2), BITS, "0")
     return rows.select("id", "bytes", bits.alias("bits"))

@@ -4,8 +4,8 @@ A source's rows, in an order drawn by hash, fill blocks of ``BLOCK_BYTES``. With
 block (from 0) of a source is released at slot floor(k / w) and due by slot ceil((k + 1) / w); each slot takes the
 released block of earliest deadline. At every slot a source's share then differs from its weight by
 less than one block. Weights are fractions of ``SLOTS``, which is far beyond any number of blocks, so that rounding them moves no share by a
-millionth of a block. The driver schedules every block, one row of numbers for each: a block has ``BLOCK_BYTES`` of text, or beyond ``MAX_BLOCKS`` of them (64 GB)
-as many more as keep to that number, so that the plan is bounded and the tasks' part of the work grows alone.
+millionth of a block. The driver schedules every block, one row of numbers for each, and knows the sources, a row of numbers each. The size of a block is the caller's and never changes by itself: "less than one block" means that
+size. A corpus of more than ``MAX_BLOCKS`` blocks (1 TB of the default's) is refused, with the size that it needs.
 
 When a source runs out, a new phase starts with the weights of the others in proportion; so no row
 is dropped or repeated, and the bound holds within each phase.
@@ -26,11 +26,11 @@ from itertools import count
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import cut, fresh, table
+from .common import cut, each_copy, fresh, table
 
 BLOCK_BYTES, SLOTS, MAX_SOURCES, TEMPERATURE = 256 << 10, 1 << 40, 500, 0.5
-#: Blocks that the driver schedules at most; larger corpora have larger blocks.
-MAX_BLOCKS = 1 << 18
+#: Blocks that the driver schedules at most, some 100 bytes each.
+MAX_BLOCKS = 1 << 22
 #: Rows of a hash bucket, within which a window numbers them.
 BUCKET_ROWS = 2048
 
@@ -141,7 +141,8 @@ def schedule(docs: DataFrame, weights: dict[str, float] | None = None, block_byt
         return rows.select("id", "source", "h", "n", "bytes", *(F.lit(0).cast("long").alias(c) for c in ("copy", "block", "slot", "release", "deadline", "phase", "before")))
     bytes_of = {r["source"]: r["b"] for r in sizes}
     rows = rows.withColumn("key", F.col("source"))
-    block_bytes = max(block_bytes, -(-sum(bytes_of.values()) // MAX_BLOCKS))
+    if sum(bytes_of.values()) > block_bytes * MAX_BLOCKS:
+        raise ValueError(f"{sum(bytes_of.values())} bytes need blocks of {-(-sum(bytes_of.values()) // MAX_BLOCKS)} bytes at least, not {block_bytes}")
     weights = {s: (weights or {}).get(s, b**temperature) for s, b in bytes_of.items()}
     planned = list(plan({s: -(-b // block_bytes) for s, b in bytes_of.items()}, weights, slots))
 
@@ -153,7 +154,7 @@ def schedule(docs: DataFrame, weights: dict[str, float] | None = None, block_byt
     buckets = cut(buckets.select("key", "bucket", F.coalesce(F.sum("b").over(earlier), F.lit(0)).alias("offset")))
     inside = Window.partitionBy("key", "bucket").orderBy("h", "id", "bytes").rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn("inside", F.coalesce(F.sum(F.col("bytes") * F.col("n")).over(inside), F.lit(0))).join(buckets, ["key", "bucket"])
-    rows = rows.withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)))
+    rows = each_copy(rows, "n", "copy")
     rows = rows.withColumn("before", F.col("offset") + F.col("inside") + F.col("copy") * F.col("bytes")).withColumn("block", F.expr(f"before div {block_bytes}"))
 
     blocks = spark.createDataFrame(planned, "key string, block long, slot long, release long, deadline long, phase long")
@@ -161,16 +162,17 @@ def schedule(docs: DataFrame, weights: dict[str, float] | None = None, block_byt
 
 
 def positioned(docs: DataFrame, slot: str = "mix_slot", before: str = "mix_before", **options) -> DataFrame:
-    """``docs`` in the order of the mix, with the columns ``slot`` and ``before`` that say it; equal rows stand together at their first one's place.
+    """``docs`` in the order of the mix, with the columns ``slot`` and ``before`` that say it, in place of columns of those names; equal rows stand together at their first one's place.
 
     The place depends on the rows alone, so it is the same in whatever order and files they are read.
     """
     order = schedule(docs, **options).where("copy = 0")
-    h = fresh(docs, "mix_h")
-    order = order.select(F.col("id").alias(h + "_id"), F.col("h").alias(h), F.col("slot").alias(slot), F.col("before").alias(before))
+    h, s, b = fresh(docs, "mix_h"), fresh(docs, f"{slot}_new"), fresh(docs, f"{before}_new")
+    order = order.select(F.col("id").alias(h + "_id"), F.col("h").alias(h), F.col("slot").alias(s), F.col("before").alias(b))
     rows = docs.withColumn(h, row_hash(F.coalesce(F.col("text").cast("string"), F.lit(""))))
     joined = rows.join(order, (rows[h] == order[h]) & rows["doc_id"].eqNullSafe(order[h + "_id"]))
-    return joined.orderBy(slot, before).select(*(rows[f"`{c}`"] for c in docs.columns), slot, before)
+    kept = [c for c in docs.columns if c.lower() not in (slot.lower(), before.lower())]
+    return joined.orderBy(s, b).select(*(rows[f"`{c}`"] for c in kept), F.col(s).alias(slot), F.col(b).alias(before))
 
 
 def mixed(docs: DataFrame, **options) -> DataFrame:

@@ -101,7 +101,23 @@ def test_position_survives_any_order_of_rows(odd):
     assert key(M.positioned(odd, block_bytes=300)) == key(M.positioned(odd.orderBy("n_chars").repartition(7), block_bytes=300))
 
 
-def test_the_plan_is_bounded(spark, odd, monkeypatch):
+def test_blocks_never_grow_by_themselves(spark, odd, monkeypatch):
     monkeypatch.setattr(M, "MAX_BLOCKS", 40)
-    rows = M.schedule(odd.select("doc_id", "source", "text"), block_bytes=16).collect()
-    assert max(r.slot for r in rows) < 40 + len({r.source for r in rows}) and len(rows) == odd.count()
+    with pytest.raises(ValueError):
+        M.schedule(odd.select("doc_id", "source", "text"), block_bytes=16)
+
+
+def test_columns_of_the_mix_are_replaced(odd, odd_rows):
+    clash = odd.withColumn("mix_slot", F.lit("x")).withColumn("MIX_before", F.lit(1)).withColumn("mix_slot_new", F.lit(2)).withColumn("before", F.lit(3))
+    got = M.positioned(clash, block_bytes=300)
+    assert got.columns == [*odd.columns, "mix_slot_new", "before", "mix_slot", "mix_before"] and got.count() == len(odd_rows)
+    assert M.mixed(clash, block_bytes=300).columns == clash.columns
+
+
+def test_many_copies_of_one_row(spark):
+    """Ten million copies are numbered without an array of that length."""
+    from quillmesh.llm.common import each_copy
+
+    got = each_copy(spark.range(1).selectExpr("'x' as part", "10000000L as n"), "n", "copy").agg(F.count("*"), F.min("copy"), F.max("copy"), F.sum("copy"), F.min("part")).first()
+    assert tuple(got) == (10_000_000, 0, 9_999_999, 10_000_000 * 9_999_999 // 2, "x")
+    assert sorted(r.copy for r in each_copy(spark.createDataFrame([(1,), (7,), (8,)], "n long"), "n", "copy", 4).collect()) == sorted([0, *range(7), *range(8)])
