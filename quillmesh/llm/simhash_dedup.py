@@ -12,12 +12,12 @@ if they differ by up to two bits. A value has at most 65 distinct members, all o
 keeps every link's effect. No bucket is capped and none is expanded into all pairs.
 
 ``similar`` takes the method to a Jaccard similarity, by default 0.8 of five-word shingles, at which a tenth and more of
-the bits differ. Its fingerprint is wider: ``SEGMENTS`` segments of ``WIDTH`` = 28 bits, each set by the distinct shingles. Texts meet where any
+the bits differ. Its fingerprint is wider: ``SEGMENTS`` segments of ``WIDTH`` = 24 bits, each set by the distinct shingles. Texts meet where any
 segment differs by at most one bit, and are verified by the exact similarity of their shingles. A segment value is indexed once
 for all texts that share it, by the least of them; a value's variants are written only for its zero bits, since a value with that bit
-set is its own other variant. So a bucket holds a value and those of its 28 neighbours that exist, however many texts there are. The search finds a pair of
-similarity 0.8 with probability 0.68 if segments are independent, of 0.9 with 0.98; the texts of a group need only one chain of found
-pairs. Beyond some 10**8 different texts 28 bits no longer tell them apart, and ``width`` should grow.
+set is its own other variant. So a bucket holds a value and those of its neighbours that exist, however many texts there are. The search finds a pair of
+similarity 0.8 with probability 0.91 if segments are independent, of 0.9 with 0.998; the texts of a group need only one chain of found
+pairs. Pairs that meet by chance grow with the square of the texts over 2**WIDTH: past some 10**7 different texts ``width`` should grow, with ``segments`` to keep what is found (28 bits need 36).
 
 Defined cases: null and empty texts have no words and fingerprint zero, which links like any other;
 repeated rows stay, each with its component; rows without an id take part, but a component's id is
@@ -40,7 +40,7 @@ from .components import components
 
 SHINGLE, SEED, DISTANCE = 3, 42, 2
 #: Of ``similar``: words of a shingle, least similarity, segments of its fingerprint and their bits.
-WORDS, SIMILARITY, SEGMENTS, WIDTH = 5, 0.8, 18, 28
+WORDS, SIMILARITY, SEGMENTS, WIDTH = 5, 0.8, 22, 24
 #: Share of differing bits beyond which a candidate isn't verified: pairs of similarity 0.8 differ in 0.15 of them, others in half.
 FAR = 0.25
 #: Shingles hashed at once: bounds the memory that a very long text takes.
