@@ -53,14 +53,24 @@ def test_empty_table(spark, none, tmp_path):
 
 def test_the_mix_shows_in_the_result(spark, corpus, monkeypatch):
     monkeypatch.setattr(pipeline.pfair_mixing.schedule, "__defaults__", (None, 300, *pipeline.pfair_mixing.schedule.__defaults__[2:]))
-    got = pipeline.run(spark, corpus)
-    rows = got.collect()
-    places = [(r.mix_slot, r.mix_before) for r in rows]
-    assert places == sorted(places) and len({p[0] for p in places}) > 20
+    rows = sorted(pipeline.run(spark, corpus).collect(), key=lambda r: (r.mix_part, r.mix_row))
+    assert len({(r.mix_part, r.mix_row) for r in rows}) == len(rows)
     docs = spark.read.parquet(f"{corpus}/documents.parquet")
     for name, stage in pipeline.STAGES[:3]:
         docs = stage(spark, docs, corpus)
-    due = {(r.id, r.source, r.before): (r.slot, r.release, r.deadline) for r in pipeline.pfair_mixing.schedule(docs).collect()}
-    for r in rows:
-        slot, release, deadline = due[r.doc_id, r.source or "", r.mix_before]
-        assert release <= r.mix_slot == slot < deadline
+    due = {}
+    for r in pipeline.pfair_mixing.schedule(docs).where("copy = 0").collect():
+        due.setdefault((r.id, r.source), []).append((r.slot, r.before))
+    places = [due[r.doc_id, r.source or ""] for r in rows]
+    assert all(len(p) == 1 for p in places if p) and len({p[0][0] for p in places}) > 20
+    assert [p[0] for p in places] == sorted(p[0] for p in places)
+
+
+def test_clashing_columns(spark, corpus, tmp_path):
+    docs = spark.read.parquet(f"{corpus}/documents.parquet")
+    for c in ("mix_slot", "mix_part", "toxicity", "kept_text", "spans", "copy"):
+        docs = docs.selectExpr("*", f"'x' as {c}")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.read.parquet(f"{corpus}/labels.parquet").write.parquet(f"{tmp_path}/labels.parquet")
+    got = pipeline.run(spark, str(tmp_path))
+    assert got.count() == pipeline.run(spark, corpus).count()
