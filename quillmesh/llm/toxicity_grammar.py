@@ -3,8 +3,8 @@
 Five transducers are given as data: negation, insult, threat, target and reported speech. A word is read as the symbol of its class, a negated insult
 or threat is rewritten to a symbol of its own, and arcs and final states carry weights by name. Composing the five gives the grammar,
 one machine that reads a clause's symbols. The weight of a clause is the sum along its path: of each insult and threat its word's
-weight and that of its context, and at the end those of the clause: whether it has a target, whether it is reported, before or after
-the words themselves. Its score is the logistic of that sum, so words of one clause add up, and a document's score joins
+weight, unless it is negated, and that of its context, and at the end those of the clause: whether what isn't negated has a target, or whether it is reported, before or after
+the words themselves; then it weighs that alone. Its score is the logistic of that sum, so words of one clause add up, and a document's score joins
 its matched clauses by noisy or.
 
 Fixed seeds give the classes; more insults are learned from labelled rows, as whole words or word
@@ -52,7 +52,7 @@ SEEDS = {
     REPORT: "said says say called calls wrote writes quoted claims reported dit disait écrit sagte sagt schrieb nannte dijo dice escribió llamó",
 }
 #: The named weights before any label is seen.
-PRIORS = {"threat": 0.5, "targeted": 0.5, "negated": -2.0, "reported": -1.5, "untargeted threat": -2.0}
+PRIORS = {"threat": 0.5, "targeted": 0.5, "negated": -3.0, "reported": -3.0, "untargeted threat": -3.0}
 _WORD = re.compile(r"[^\W_]+")
 #: A word with its contracted negation, or the end of a clause.
 _TOKEN = re.compile(r"[^\W_]+(?:['\u2019]t(?![^\W_]))?|[.!?;\n]")
@@ -99,19 +99,20 @@ def negation() -> Transducer:
 
 
 def insult() -> Transducer:
-    return Transducer({0: _passing(0, range(8)) | {NOT_INSULT: (NOT_INSULT, ("negated",), 0)}}, {})
+    return Transducer({0: _passing(0, range(8)) | {INSULT: (INSULT, ("word",), 0), NOT_INSULT: (NOT_INSULT, ("negated",), 0)}}, {})
 
 
 def threat() -> Transducer:
-    return Transducer({0: _passing(0, range(8)) | {THREAT: (THREAT, ("threat",), 0), NOT_THREAT: (NOT_THREAT, ("threat", "negated"), 0)}}, {})
+    return Transducer({0: _passing(0, range(8)) | {THREAT: (THREAT, ("word", "threat"), 0), NOT_THREAT: (NOT_THREAT, ("negated",), 0)}}, {})
 
 
 def target() -> Transducer:
-    """State: whether the clause has a target, and a threat, in whatever order."""
+    """State: whether the clause has a target, a threat and an insult that aren't negated, in whatever order. Only these can be aimed at a target."""
     arcs = {}
-    for state in range(4):
-        arcs[state] = _passing(state, range(8)) | {TARGET: (TARGET, (), state | 1), THREAT: (THREAT, (), state | 2), NOT_THREAT: (NOT_THREAT, (), state | 2)}
-    return Transducer(arcs, {1: ("targeted",), 2: ("untargeted threat",), 3: ("targeted",)})
+    for state in range(8):
+        arcs[state] = _passing(state, range(8)) | {x: (x, (), state | bit) for x, bit in ((TARGET, 1), (THREAT, 2), (INSULT, 4))}
+    finals = {s: ("targeted",) if s & 1 else ("untargeted threat",) if s & 2 else () for s in range(8) if s & 6}
+    return Transducer(arcs, finals)
 
 
 def report() -> Transducer:
@@ -158,7 +159,10 @@ class Grammar:
         return got
 
     def clauses(self, text: str) -> list[tuple[float, tuple[str, ...]]]:
-        """(own weights of its words, names of its other weights) of each clause with an insult or a threat."""
+        """(own weights of its words, names of its other weights) of each clause with an insult or a threat.
+
+        A word counts where the grammar says so: not where it is negated, and none of a clause that reports speech, which is not the writer's.
+        """
         low = text.lower()
         if not any(self.symbol(w)[0] in (INSULT, THREAT) for w in set(_WORD.findall(low))):
             return []
@@ -168,15 +172,16 @@ class Grammar:
         for token in (*_TOKEN.findall(low), "."):
             if token in ".!?;\n":
                 if matched:
-                    out.append((own, names + finals[state]))
+                    ends = finals[state]
+                    out.append((0.0, ("reported",)) if "reported" in ends else (own, names + ends))
                 state, own, names, matched = GRAMMAR.start, 0.0, (), False
                 continue
             read, weight = self.symbol(token)
             _, more, state = arcs[state][read]
-            if read in (INSULT, THREAT):
-                own, matched = own + weight, True
             if more:
-                names += more
+                matched = matched or read in (INSULT, THREAT)
+                own += weight if "word" in more else 0.0
+                names += tuple(n for n in more if n != "word")
         return out
 
     def clause_weight(self, clause: tuple[float, tuple[str, ...]]) -> float:
@@ -296,7 +301,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Grammar:
 
 
 def _weights(sample: DataFrame, terminals: dict[str, float]) -> dict[str, float]:
-    """Each named weight: how much likelier a document with it is toxic than any with a match, drawn to its prior."""
+    """Each named weight: how much likelier a document with it is toxic than any with a match, drawn to its prior. What excuses a clause excuses no less than its prior says: labels are of documents, whose other clauses may be what is toxic."""
     first = sample.sparkSession.sparkContext.broadcast(terminals)
     cache: list[Grammar] = []
 
@@ -314,7 +319,8 @@ def _weights(sample: DataFrame, terminals: dict[str, float]) -> dict[str, float]
     for name, prior in PRIORS.items():
         a, b = seen[1].get(name, 0), seen[0].get(name, 0)
         own = (a + b) / (a + b + PRIOR_DOCS)
-        out[name] = own * (logit(a, b) - usual) + (1 - own) * prior
+        seen_weight = own * (logit(a, b) - usual) + (1 - own) * prior
+        out[name] = min(prior, seen_weight) if prior < 0 else seen_weight
     return out
 
 

@@ -62,18 +62,52 @@ def _logistic(x):
 
 def _names(symbols):
     """What the grammar should say of a clause, from its definition."""
-    out, left = [], 0
+    out, left, said = [], 0, set()
     for s in symbols:
         if s in (T.INSULT, T.THREAT):
-            out += ["threat"] * (s == T.THREAT) + ["negated"] * (left > 0)
+            if left:
+                out.append("negated")
+            else:
+                out += ["word"] + ["threat"] * (s == T.THREAT)
+                said.add(s)
         left = T.NEGATED_FOR if s == T.NEGATION else max(0, left - 1)
-    if T.TARGET in symbols:
+    if said and T.TARGET in symbols:
         out.append("targeted")
-    elif T.THREAT in symbols:
+    elif T.THREAT in said:
         out.append("untargeted threat")
     return sorted(out + ["reported"] * (T.REPORT in symbols))
 
 
+#: Sentences that negate, report or aim at nobody what they say.
+EXCUSED = """you are not stupid|he is not an idiot|I will not hurt you|we never hurt them|he won't kill you|without a fool among you|she is no loser|they are never pathetic|I cannot destroy you|not worthless at all, you know
+tu n'es pas imbécile|il ne va pas tuer toi|vous n'êtes jamais inutil|du bist kein idiot|ich will dich nicht töten|ihr seid nie disgusting|no eres estúpido|nunca voy a matar a ellos|ella no es idiot|tú jamás imbécil
+he said you are an idiot|she called him a moron|they wrote that we are scum|the paper reported that he is a loser|you are trash, he said|stupid, she says of you|he quoted them as worthless|the letter claims you are pathetic|he calls her a fool|she reported a threat to kill you
+il dit que tu es un imbécile|er sagte du bist ein trottel|sie schrieb ihr seid idiot|dijo que usted es estúpido|escribió te voy a matar|kill the process|this will destroy the cache|cold winds hurt crops|töten der prozess|matar el proceso"""
+
+
+def test_what_is_excused_is_not_predicted(spark):
+    """With weights as they are learned from a corpus in which such words mean toxic, the grammar excuses 40 sentences and none of their plain forms."""
+    r = random.Random(2)
+    plain = ["".join(r.choice(["ba", "du", "ki", "lo", "me"]) for _ in range(r.randint(1, 4))) for _ in range(300)]
+    bad = ["idiot", "moron", "stupid", "fool", "loser", "scum", "trash", "worthless", "pathetic", "imbécile", "trottel", "estúpido", "disgusting", "inutil", "imbécil"]
+    rows = []
+    for i in range(2000):
+        w = [r.choice([*plain, "you", "not"]) for _ in range(r.randint(20, 60))]
+        if i % 4 == 0:
+            for _ in range(r.randint(1, 3)):
+                w.insert(r.randrange(len(w)), r.choice(bad))
+        rows.append((i, " ".join(w) + ".", int(i % 4 == 0)))
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    g = T.fit(df, df)
+    assert sum(g.terminals.values()) / len(g.terminals) > 3
+    excused = EXCUSED.replace("\n", "|").split("|")
+    assert len(excused) == 40 and [s for s in excused if g.score(s)[0] >= T.THRESHOLD] == []
+    said = ["you are stupid", "he is an idiot", "I will hurt you", "du bist ein idiot", "voy a matar a ellos", "you are trash", "they are scum", "I will destroy you", "you pathetic loser", "tu es un imbécile"]
+    assert [s for s in said if g.score(s)[0] < T.THRESHOLD] == []
+    flat = T.Grammar(g.terminals, dict.fromkeys(g.weights, 0.0))
+    assert sum(flat.score(s)[0] >= T.THRESHOLD for s in excused) >= 20  # it is the context that excuses them
+
+
 def test_the_composed_machine_agrees_with_each_machine_in_turn_and_with_the_definition():
     machines = [T.negation(), T.insult(), T.threat(), T.target(), T.report()]
     r = random.Random(3)
