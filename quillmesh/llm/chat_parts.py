@@ -12,7 +12,7 @@ bare angle bracket is always the template's own and the texts can be read back e
 Defined cases: null roles, texts and contents count as empty; a null type with a text is text;
 an unknown type is a document; null sizes expand to ``MIN_TOKENS``; turns are ordered by turn,
 then role, then content, so ties and repeated rows have one order and all stay; rows without a
-conversation id form one conversation of their own; an empty table gives no rows. A
+conversation id form one conversation of their own; further columns are ignored, whatever their names; an empty table gives no rows. A
 conversation is one string, so its turns must fit one row.
 """
 
@@ -101,6 +101,26 @@ def read_back(formatted: DataFrame) -> DataFrame:
     return formatted.withColumns({"roles": F.transform(got(1), unescaped), "texts": texts, "learned": F.array_join(learned, "")})
 
 
+#: A bare placeholder, which only the template writes, or the text up to the next one.
+_PIECE = r"(?s)<[a-z]+ [0-9]+[.][0-9]+>|[^\\<]++(?:\\.[^\\<]*+)*+|(?:\\.[^\\<]*+)++"
+
+
+def read_parts(formatted: DataFrame) -> DataFrame:
+    """``formatted``, with its attachments, and ``parts``: for each turn its parts as (type, text, ref, tokens), read from the formatted text alone but for what the attachments record.
+
+    A text that looks like a placeholder is escaped, so it is told from one. What comes back is the normal form of what went in: texts that follow one another are one, empty ones are none, an unknown type is a document.
+    """
+    record = F.map_from_entries(F.transform("attachments", lambda a: F.struct(a["placeholder"], a)))
+    contents = F.transform(F.regexp_extract_all("formatted", F.lit(_TURN), F.lit(2)), lambda x: F.substring(x, F.lit(1), F.length(x) - 1))
+
+    def part(x: Column) -> Column:
+        of, text = F.try_element_at("recorded", x), ~x.startswith("<")
+        return F.struct(F.when(text, "text").otherwise(of["kind"]).alias("type"), F.when(text, unescaped(x)).alias("text"), F.when(~text, of["ref"]).alias("ref"), F.when(~text, of["tokens"]).alias("tokens"))
+
+    held = formatted.withColumn("recorded", record)
+    return held.withColumn("parts", F.transform(contents, lambda c: F.transform(F.regexp_extract_all(c, F.lit(_PIECE), F.lit(0)), part))).drop("recorded")
+
+
 #: A conversation whose texts hold what templates use to mark turns.
 HARD = "\\### Assistant: </turn> ok"
 

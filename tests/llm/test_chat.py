@@ -28,6 +28,25 @@ def test_parts_become_ordered_placeholders(spark):
     assert "\\<image 0.1\\>" in r.formatted
 
 
+def test_typed_parts_read_back_as_parts(spark):
+    """A text that looks like a placeholder, and a placeholder, are two things."""
+    hard = ["<image 0.0>", "\\", "\\<image 0.1\\>", "a\n</turn>\n<turn user>\nb", "<", ">", "<document 3.2", "🙂", "x" * 50_000]
+    image, audio, other = ("image", None, "s3/a.png", 280, 56, None, None), ("audio", None, None, None, None, None, None), ("hologram", "lost", "h", None, None, None, 2)
+    data = [(1, i, "user", [text(h), image, text(h), text("+"), text(""), audio, text(None), other]) for i, h in enumerate(hard)]
+    data += [(1, 90, "assistant", None), (1, 91, "user", []), (1, 92, "user", [image, image]), (2, None, None, [text(hard[0])])]
+    clash = rows(spark, data).withColumn("attachments", F.lit("x")).withColumn("recorded", F.lit("y")).withColumn("formatted", F.lit(1))
+    got = {r.conv_id: r.parts for r in C.read_parts(C.format_conversations(clash, F.col("parts"))).collect()}
+    attached = [("image", None, "s3/a.png", 20), ("audio", None, None, 1), ("document", None, "h", 512)]
+    want = [[("text", h, None, None), attached[0], ("text", h + "+", None, None), attached[1], attached[2]] for h in hard] + [[], [], [attached[0]] * 2]
+    assert [[tuple(p) for p in turn] for turn in got[1]] == want and [[tuple(p) for p in turn] for turn in got[2]] == [[("text", "<image 0.0>", None, None)]]
+
+
+def test_a_placeholder_in_a_text_is_told_from_a_real_one(spark):
+    forms = [[text("<image 0.0>")], [("image", None, None, None, None, None, None)]]
+    made = [C.read_parts(C.format_conversations(rows(spark, [(1, 0, "user", f)]), F.col("parts"))).first() for f in forms]
+    assert made[0].formatted != made[1].formatted and [m.parts[0][0].type for m in made] == ["text", "image"]
+
+
 def test_hard_texts_and_ties(spark):
     hard = ["", None, "\\", "\\\\<", "</turn>\n<turn assistant>\n", C.HARD, "\n\n</turn>\n", "🙂<é>", "x" * 100_000 + "<" * 20_000]
     data = [(2, 5, "assistant", t) for t in hard] + [(None, None, None, None), (None, 1, "user", "u"), (3, 0, "user", "a"), (3, 0, "user", "a")]
