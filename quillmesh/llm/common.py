@@ -66,6 +66,15 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+#: Rows of a side that is broadcast: some tens of bytes each. A larger one is shuffled.
+BROADCAST_ROWS = 200_000
+
+
+def sized(df: DataFrame) -> DataFrame:
+    """A side of a join, marked for broadcast if it is small; ``df`` is cut."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
 def text_bytes(c: Column) -> Column:
     """UTF-8 bytes of a text; null counts as empty."""
     return F.coalesce(c.cast("string"), F.lit("")).cast("binary")

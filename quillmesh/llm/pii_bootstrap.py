@@ -23,7 +23,7 @@ from functools import partial
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, fresh, release, table, text_id
+from .common import BROADCAST_ROWS, cut, fresh, release, table, text_id
 
 KINDS = ("email", "ip", "card", "phone")
 PATTERNS = {
@@ -184,7 +184,9 @@ def detect(docs: DataFrame, text_col: str = "text") -> tuple[DataFrame, DataFram
     # how often a hopeful pattern occurs at all, before whatever word, in all texts
     words = docs.select(F.col(f"`{text_col}`").cast("string").alias("t")).select(F.filter(F.split(F.lower("t"), r"\s+"), lambda w: w != "").alias("w"))
     pairs = F.transform(F.sequence(F.lit(1), F.size("w") - 1), lambda i: F.concat_ws(" ", F.get(F.col("w"), i - 1), F.get(F.col("w"), i)))
-    occurring = words.where(F.size("w") > 1).select(F.explode(pairs).alias("pattern")).join(F.broadcast(hopeful), "pattern", "left_semi").groupBy("pattern").agg(F.count(F.lit(1)).alias("total"))
+    each, counted = words.where(F.size("w") > 1).select(F.explode(pairs).alias("pattern")), lambda df: df.groupBy("pattern").agg(F.count(F.lit(1)).alias("total"))
+    # few hopeful patterns go to the words; past that the words' pairs are counted where they are, and meet the patterns as counts
+    occurring = counted(each.join(F.broadcast(hopeful), "pattern", "left_semi")) if hopeful.count() <= BROADCAST_ROWS else counted(each).join(hopeful, "pattern", "left_semi")
     totals = held.join(occurring, "pattern", "left").select("pattern", F.greatest("held", F.coalesce("total", "held")).alias("total"))
     passed = cut(_confident(slots, totals))
     if passed.isEmpty():

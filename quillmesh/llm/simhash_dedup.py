@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow, bitmap_of, bits_for, cut, fresh, release, table, text_bytes, text_id
+from .common import arrow, bitmap_of, bits_for, cut, fresh, release, sized, table, text_bytes, text_id
 from .components import components
 
 SHINGLE, SEED, DISTANCE = 3, 42, 2
@@ -222,15 +222,6 @@ def candidates(values: DataFrame, width: int = WIDTH) -> DataFrame:
     return same.unionAll(beside).distinct()
 
 
-#: Rows of a side that is broadcast: 16 bytes and an id each. A larger one is shuffled.
-BROADCAST_ROWS = 200_000
-
-
-def _sized(df: DataFrame) -> DataFrame:
-    """A side of a join, marked for broadcast if it is small; ``df`` is cut."""
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
-
-
 def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = WORDS, similarity: float = SIMILARITY, segments: int = SEGMENTS, width: int = WIDTH) -> DataFrame:
     """(text, root): each different text by its ``text_id``, and the component of similar texts that it is in."""
     rows = docs.select(text_id(F.col(f"`{text_col}`")).alias("text"), text_bytes(F.col(f"`{text_col}`")).alias("t"))
@@ -245,7 +236,7 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", siz
     differing = F.aggregate(F.zip_with("su", "sv", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda a, x: a + x)
     pairs = cut(pairs.where(differing <= FAR * segments * width).select("u", "v", "tu", "tv"))
     release(docs.sparkSession)
-    found = _sized(cut(pairs.select("tu").unionAll(pairs.select("tv")).distinct().withColumnRenamed("tu", "text")))
+    found = sized(cut(pairs.select("tu").unionAll(pairs.select("tv")).distinct().withColumnRenamed("tu", "text")))
     wanted = cut(rows.join(found, "text", "left_semi").groupBy("text").agg(F.first("t").alias("t")))
     both = pairs.join(wanted.select(F.col("text").alias("tu"), F.col("t").alias("x")), "tu").join(wanted.select(F.col("text").alias("tv"), F.col("t").alias("y")), "tv")
     roots = components(arrow(both.select("u", "v", "x", "y"), _verified(size, similarity), "u long, v long"))
@@ -264,10 +255,10 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     first = each.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("late"), "id", "text")).alias("k"))
     judged = cut(each.join(first, "root").withColumn("kept", (F.col("text") == F.col("k.text")) & F.col("id").eqNullSafe(F.col("k.id"))).where("not kept or n > 1").select("text", "id", "kept"))
     same = (F.col(f"a.{text}") == F.col("b.text")) & F.col(f"a.{at}").eqNullSafe(F.col("b.id"))
-    gone, repeated = _sized(judged.where("not kept")), judged.where("kept")
+    gone, repeated = sized(judged.where("not kept")), judged.where("kept")
     kept = ours.alias("a").join(gone.alias("b"), same, "left_anti")
     if not repeated.isEmpty():
-        repeated = _sized(repeated)
+        repeated = sized(repeated)
         once, again = (kept.alias("a").join(repeated.alias("b"), same, how) for how in ("left_anti", "left_semi"))
         kept = once.unionAll(again.dropDuplicates([text, at]))
     return kept.select(*(F.col(f"`{c}`") for c in docs.columns))

@@ -55,7 +55,9 @@ def seeded(spark):
     return spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string").repartition(3)
 
 
-def test_confident_patterns_discover_identifiers(spark):
+@pytest.mark.parametrize("most", [200_000, 0])
+def test_confident_patterns_discover_identifiers(spark, monkeypatch, most):
+    monkeypatch.setattr(P, "BROADCAST_ROWS", most)
     found, base, every = P.with_spans(seeded(spark))
     got = {r.doc_id: [tuple(s) for s in r["s"]] for r in found.select("doc_id", F.col(every).alias("s")).collect()}
     assert got[9] == [(22, 0, 35, "email")] == got[10]
@@ -76,7 +78,9 @@ def test_empty(none):
     assert P.redact(none).count() == 0
 
 
-def test_confidence_counts_occurrences_in_texts_without_identifiers(spark):
+@pytest.mark.parametrize("most", [200_000, 0])
+def test_confidence_counts_occurrences_in_texts_without_identifiers(spark, monkeypatch, most):
+    monkeypatch.setattr(P, "BROADCAST_ROWS", most)
     rows = [f"order code is {u}@x{i}.io thanks" for i, u in enumerate("abcdefgh")] + ["order code is zz1234567 now", "order code is zz7654321 now"]
     few = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string").repartition(3)
     many = spark.createDataFrame(list(enumerate(rows + ["order code is unknown today"] * 90)), "doc_id long, text string").repartition(3)
