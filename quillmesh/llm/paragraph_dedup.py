@@ -2,7 +2,9 @@
 
 A paragraph is a stretch of ``WORDS`` = 24 words. One starts at every line that is as long, and wherever the hash of a five-word shingle is the
 least of ``EVERY`` neighbours, so two texts that share a passage share its paragraphs wherever the passage stands; every
-passage of 51 words holds one at least. A paragraph is the multiset of its 20 shingles
+passage of 51 words holds one at least. With ``line_words`` a
+line of as many words is a unit too, whole, which repeats where another line has the same words; near duplicates of lines are not looked for. The query leaves that out: some short lines stand in a tenth of all
+documents, whose own text they say nothing of. A paragraph is the multiset of its 20 shingles
 (a shingle's second occurrence is another element), so all have one size and a Jaccard similarity of 0.8 means 18 common elements.
 
 Equal paragraphs meet by their digest. Near duplicates collide when all ``ROWS`` MinHash values of one of ``BANDS`` bands agree: 4 bands
@@ -167,7 +169,10 @@ def elements(parts: np.ndarray) -> np.ndarray:
 
 def paragraphs(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(row, first word, elements) of the paragraphs of several texts, in order."""
-    w, text, line = words_of(texts)
+    return _paragraphs(*words_of(texts))
+
+
+def _paragraphs(w: np.ndarray, text: np.ndarray, line: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     if len(w) < WORDS:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros((0, ELEMENTS), np.uint64)
     n = len(w) - SHINGLE + 1
@@ -181,6 +186,21 @@ def paragraphs(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return text[at], at - first, elements(h[at[:, None] + np.arange(ELEMENTS)])
 
 
+def whole_lines(w: np.ndarray, text: np.ndarray, line: np.ndarray, least: int | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(row, first word, words, digest) of the lines that have ``least`` words, none if that is None; a digest is an odd number."""
+    begins = np.flatnonzero(line)
+    if least is None or not len(begins):
+        none = np.zeros(0, np.int64)
+        return none, none, none, np.zeros(0, np.uint64)
+    size = np.diff(np.append(begins, len(w)))
+    place = np.arange(len(w)) - np.repeat(begins, size)
+    total = np.add.reduceat(w * (_mix(place.astype(np.uint64) + np.uint64(3001)) | np.uint64(1)), begins)
+    total = _mix(_mix(total) + size.astype(np.uint64)) | np.uint64(1)
+    mine = size >= least
+    at = begins[mine]
+    return text[at], at - np.searchsorted(text, text[at]), size[mine], total[mine]
+
+
 def digests(e: np.ndarray) -> np.ndarray:
     """An odd number for each paragraph's elements; it names the paragraph."""
     return _mix(_mix(e).sum(axis=1, dtype=np.uint64)) | np.uint64(1)
@@ -234,24 +254,29 @@ def _signed(x: np.ndarray) -> pa.Array:
     return pa.array(np.ascontiguousarray(x).view(np.int64))
 
 
-def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray, np.ndarray]]:
-    """(rows, row, first word, elements) of about GROUP_BYTES of texts at a time; the text is the last column."""
+def _groups(batches: Iterator[pa.RecordBatch], least: int | None = None) -> Iterator[tuple]:
+    """(rows, row, first word, elements, lines) of about GROUP_BYTES of texts at a time; the text is the last column. lines: as :func:`whole_lines` of ``least`` words."""
     for b in batches:
         first, size, texts = 0, 0, []
         for i, t in enumerate(b.column(b.num_columns - 1)):
             texts.append(t.as_py())
             size += len(texts[-1])
             if size >= GROUP_BYTES or i == b.num_rows - 1:
-                yield b.slice(first, len(texts)), *paragraphs(texts)
+                found = words_of(texts)
+                yield b.slice(first, len(texts)), *_paragraphs(*found), whole_lines(*found, least)
                 first, size, texts = i + 1, 0, []
 
 
-def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(key): each paragraph's digest at each place, and its key of each band."""
-    for _, row, word, e in _groups(batches):
-        d, keys = digests(e), band_keys(e)
-        banded = [keys[first_of_chain(keys[:, j], row, word), j] for j in range(BANDS)]
-        yield pa.RecordBatch.from_arrays([_signed(np.concatenate([d[places(d, row, word)], *banded]))], names=["key"])
+def _keys(least: int | None):
+    """(key): each paragraph's digest at each place, and its key of each band; each line's digest if lines are units."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, row, word, e, lines in _groups(batches, least):
+            d, keys = digests(e), band_keys(e)
+            banded = [keys[first_of_chain(keys[:, j], row, word), j] for j in range(BANDS)]
+            yield pa.RecordBatch.from_arrays([_signed(np.concatenate([d[places(d, row, word)], *banded, lines[3]]))], names=["key"])
+
+    return run
 
 
 def _members(shared, bits: int):
@@ -262,7 +287,7 @@ def _members(shared, bits: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, seen = np.frombuffer(shared.value, np.uint8), set()
-        for _, _, _, e in _groups(batches):
+        for _, _, _, e, _ in _groups(batches):
             d, once = np.unique(digests(e), return_index=True)
             e = e[once]
             keys = band_keys(e)
@@ -282,17 +307,20 @@ def _members(shared, bits: int):
     return run
 
 
-def _occurrences(shared, bits: int):
-    """(cid, row, doc_id, word) of the paragraphs whose digest is in the filter."""
+def _occurrences(shared, bits: int, least: int | None):
+    """(cid, row, doc_id, word, size) of the paragraphs and lines whose digest is in the filter."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = np.frombuffer(shared.value, np.uint8)
-        for rows, row, word, e in _groups(batches):
+        for rows, row, word, e, lines in _groups(batches, least):
             d = digests(e)
             take = np.flatnonzero(bloom_hits(held, bits, d))
             take = take[places(d[take], row[take], word[take])]
-            of = pa.array(row[take])
-            yield pa.RecordBatch.from_arrays([_signed(d[take]), rows.column(0).take(of), rows.column(1).take(of), pa.array(word[take], pa.int64())], names=["cid", "row", "doc_id", "word"])
+            some = np.flatnonzero(bloom_hits(held, bits, lines[3]))
+            d, row, word = (np.concatenate([x[take], y[some]]) for x, y in ((d, lines[3]), (row, lines[0]), (word, lines[1])))
+            size = np.concatenate([np.full(len(take), WORDS), lines[2][some]])
+            of = pa.array(row)
+            yield pa.RecordBatch.from_arrays([_signed(d), rows.column(0).take(of), rows.column(1).take(of), pa.array(word, pa.int64()), pa.array(size, pa.int64())], names=["cid", "row", "doc_id", "word", "size"])
 
     return run
 
@@ -320,12 +348,12 @@ def documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     return docs.select(F.xxhash64(own.isNull(), own, text).alias("row"), own.alias("doc_id"), text.cast("binary").alias("t"))
 
 
-def colliding(texts: DataFrame) -> DataFrame:
+def colliding(texts: DataFrame, line_words: int | None = None) -> DataFrame:
     """(key): the digests, odd, and band keys, even, that come more than once.
 
     A count is all that is shuffled for a key. Copies of a row count as well; what only they repeat falls out when places are compared.
     """
-    keys = cut(arrow(texts, _keys, "key long").groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key"))
+    keys = cut(arrow(texts, _keys(line_words), "key long").groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key"))
     release(texts.sparkSession)
     return keys
 
@@ -355,14 +383,14 @@ def near_links(texts: DataFrame, keys: DataFrame) -> DataFrame | None:
     return links
 
 
-def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", line_words: int | None = None) -> DataFrame:
     """(doc_id, first_word, end_word, cluster, keeper_doc, kept) of each stretch that repeats.
 
     Words are counted from 0, end exclusive. ``kept`` marks the occurrence that stays; cluster names the component of the
-    stretch's first paragraph, keeper_doc the document that keeps it.
+    stretch's first paragraph, keeper_doc the document that keeps it. ``line_words``: words of the shortest line that is a unit as a whole; None: no line is.
     """
     texts = documents(docs, id_col, text_col)
-    keys = colliding(texts)
+    keys = colliding(texts, line_words)
     links = near_links(texts.select("t"), keys)
     wanted = keys.where("key & 1 = 1").select(F.col("key").alias("cid"))
     if links is None:
@@ -371,22 +399,22 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         roots = components(links).select(F.col("node").alias("cid"), "root")
         wanted = wanted.join(roots, "cid", "full").select("cid", F.coalesce("root", "cid").alias("cluster"))
     wanted = cut(wanted)
-    found = arrow(texts, _occurrences(*_filter(wanted, "cid")), "cid long, row long, doc_id long, word long")
+    found = arrow(texts, _occurrences(*_filter(wanted, "cid"), line_words), "cid long, row long, doc_id long, word long, size long")
     found = cut(found.join(wanted, "cid").drop("cid"))
     release(docs.sparkSession)
     place = F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", "row", "word")
     # in one document, only stretches that don't overlap repeat each other
-    apart = (F.col("first.row") != F.col("last.row")) | (F.col("last.word") - F.col("first.word") >= WORDS)
-    keepers = cut(found.groupBy("cluster").agg(F.min(place).alias("first"), F.max(place).alias("last")).where(apart).select("cluster", "first"))
+    apart = (F.col("first.row") != F.col("last.row")) | (F.col("last.word") - F.col("first.word") >= F.col("size"))
+    keepers = cut(found.groupBy("cluster").agg(F.min(place).alias("first"), F.max(place).alias("last"), F.max("size").alias("size")).where(apart).select("cluster", "first"))
     found = found.join(keepers, "cluster")
-    kept = (F.col("row") == F.col("first.row")) & (F.abs(F.col("word") - F.col("first.word")) < WORDS)
-    found = found.select("row", "doc_id", "word", "cluster", F.col("first.doc_id").alias("keeper_doc"), kept.alias("kept"))
+    kept = (F.col("row") == F.col("first.row")) & (F.abs(F.col("word") - F.col("first.word")) < F.col("size"))
+    found = found.select("row", "doc_id", "word", (F.col("word") + F.col("size")).alias("end"), "cluster", F.col("first.doc_id").alias("keeper_doc"), kept.alias("kept"))
     of_text = Window.partitionBy("row", "kept").orderBy("word")
     before, upto = of_text.rowsBetween(Window.unboundedPreceding, -1), of_text.rowsBetween(Window.unboundedPreceding, 0)
-    found = found.withColumn("new", F.coalesce(F.col("word") > F.max("word").over(before) + WORDS, F.lit(True)).cast("int"))
+    found = found.withColumn("new", F.coalesce(F.col("word") > F.max("end").over(before), F.lit(True)).cast("int"))
     found = found.withColumn("stretch", F.sum("new").over(upto))
     lead = F.min(F.struct("word", "cluster", "keeper_doc", "doc_id")).alias("l")
-    spans = found.groupBy("row", "kept", "stretch").agg(lead, (F.max("word") + WORDS).alias("end_word"))
+    spans = found.groupBy("row", "kept", "stretch").agg(lead, F.max("end").alias("end_word"))
     return spans.select(F.col("l.doc_id").alias("doc_id"), F.col("l.word").alias("first_word"), "end_word", F.col("l.cluster").alias("cluster"), F.col("l.keeper_doc").alias("keeper_doc"), "kept")
 
 

@@ -164,3 +164,30 @@ def test_rows_of_one_id_or_none_are_told_apart_by_their_texts(spark):
     assert {x.doc_id for x in spans if not x.kept} == {None} and {x.doc_id for x in spans if x.kept} == {5}
     assert len(removed) == 2 and all(k == 5 for _, _, k in removed)
     assert removed[0][0] < 36 and removed[0][1] <= 62 and removed[1][0] >= 28 and removed[1][1] <= 92
+
+
+@pytest.mark.parametrize("least", [1, 8, 24])
+def test_whole_lines_against_plain_lines(spark, least):
+    """Every copy beyond the first of a repeated line of ``least`` words or more, counted without ``paragraphs``, lies in a removed span."""
+    r = random.Random(least)
+    common = [" ".join(words(r, n)) for n in (1, 3, 7, 8, 9, 12, 20, 23, 24, 30)]
+    texts = ["\n".join(r.choice(common) if r.random() < 0.5 else " ".join(words(r, r.randint(1, 30))) for _ in range(r.randint(1, 8))) for _ in range(50)]
+    texts += [common[4].upper(), f"{common[5]}\n{common[5]}", "", None]
+    docs = list(enumerate(texts))
+    spans = P.repeats(spark.createDataFrame(docs, "doc_id long, text string").repartition(3), line_words=least).collect()
+    places, all_ = {}, {}
+    for i, t in docs:
+        at = 0
+        for line in (t or "").split("\n"):
+            w = tuple(line.lower().split())
+            if w:
+                places.setdefault(w, []).append((i, at, at + len(w)))
+            at += len(w)
+        all_[i] = at
+    covered = {(x.doc_id, k) for x in spans if not x.kept for k in range(x.first_word, x.end_word)}
+    repeated = {w: p for w, p in places.items() if len(p) > 1 and len(w) >= least}
+    assert len(repeated) >= 2
+    for w, p in repeated.items():
+        assert all((i, k) in covered for i, a, b in sorted(p)[1:] for k in range(a, b)), w
+    may = {(i, k) for w, p in repeated.items() for i, a, b in p for k in range(a, b)}
+    assert all(x.end_word - x.first_word >= 24 for x in spans if not x.kept and not {(x.doc_id, k) for k in range(x.first_word, x.end_word)} <= may)
