@@ -131,7 +131,7 @@ def outcomes_of(ledger: DataFrame, event_id: str) -> DataFrame:
 
 
 def maintain(spark: SparkSession, path: str) -> int:
-    """Merges runs of the keyed tables that are due, each by a commit of its own; says how many merges that took."""
+    """Merges runs of the keyed tables that are due, each by a commit of its own, and puts old commits together; says how many merges that took."""
     n = 0
     for which in TABLES:
         while runs := keyed.due((state := manifest.latest(spark, path)).live.get(which.name, [])):
@@ -140,6 +140,7 @@ def maintain(spark: SparkSession, path: str) -> int:
             for r in runs:
                 files.remove(spark, f"{path}/{which.name}/{r['run']}")
             n += 1
+    manifest.compact(spark, path)
     return n
 
 

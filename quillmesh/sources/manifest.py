@@ -4,7 +4,7 @@ A batch's rows lie in a folder of its attempt and are part of the ledger once a
 A commit is a file that appears whole, under a number that was free: of two writers one gets it, and the other's batch isn't in the ledger until it is run again.
 
 Each commit says what the next one needs: the next arrival number, the runs of the keyed tables, each stream's last batch and
-up to which date rows are purged. So a writer reads the last commit alone, and the list of names.
+up to which date rows are purged. So a writer reads the last commit alone, and the list of names, which is kept short.
 """
 
 from __future__ import annotations
@@ -22,6 +22,10 @@ SCHEMA = """version long, kind string, attempt string, ingest_date string, batch
     counts map<string,long>, replaces array<string>, purged string"""
 
 
+#: Commits that keep a file of their own, and others that are put together at once.
+KEPT, LEAST = 16, 256
+
+
 class Refused(ValueError):
     """A batch that can't be committed: its name stands for other inputs, or another writer was faster."""
 
@@ -59,7 +63,7 @@ def _folder(path: str) -> str:
 
 def latest(spark: SparkSession, path: str) -> Commit:
     """The last commit; one of version -1 if there is none."""
-    found = [n for n in files.names(spark, _folder(path)) if re.fullmatch(r"\d{12}\.json", n)]
+    found = _numbered(spark, path)
     return Commit(**json.loads(files.read(spark, f"{_folder(path)}/{found[-1]}"))) if found else Commit("none")
 
 
@@ -70,10 +74,30 @@ def commit(spark: SparkSession, path: str, entry: Commit) -> Commit:
 
 
 def entries(spark: SparkSession, path: str) -> DataFrame:
-    """All commits."""
+    """All commits, each once."""
     if not files.names(spark, _folder(path)):
         return spark.createDataFrame([], SCHEMA)
-    return spark.read.schema(SCHEMA).json(_folder(path))
+    return spark.read.schema(SCHEMA).json(_folder(path)).dropDuplicates(["version"])
+
+
+def compact(spark: SparkSession, path: str, least: int = LEAST) -> int:
+    """Puts the commits but the last KEPT together in one file of a line each, once they are ``least``; says how many they were.
+
+    The file shows before the commits go, so one that is there twice counts once, and a compaction that was broken off is done again. A reader that has listed a file which then goes fails and reads again.
+    """
+    old = _numbered(spark, path)[:-KEPT]
+    if len(old) < least:
+        return 0
+    texts = (json.loads(files.read(spark, f"{_folder(path)}/{n}")) for n in old)
+    lines = [json.dumps({k: v for k, v in entry.items() if k not in ("live", "streams")}) for entry in texts]
+    files.put(spark, f"{_folder(path)}/to-{old[-1]}", "\n".join(lines) + "\n")
+    for n in old:
+        files.remove(spark, f"{_folder(path)}/{n}")
+    return len(old)
+
+
+def _numbered(spark: SparkSession, path: str) -> list[str]:
+    return [n for n in files.names(spark, _folder(path)) if re.fullmatch(r"\d{12}\.json", n)]
 
 
 def visible(spark: SparkSession, path: str) -> DataFrame:

@@ -147,6 +147,27 @@ def test_runs_are_merged(spark, tmp_path, monkeypatch):
     assert sorted(r.outcome for r in ledger.read(spark, path).collect()) == ["ACCEPTED"] * 5 + ["REPLAY"] * 5
 
 
+def test_old_commits_are_put_together(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "ledger")
+    for i in range(4):
+        ingest(spark, lines(spark, HOTLINE | {"eventId": f"E{i}"}), path, "2024-01-01", f"{i}")
+    state = manifest.latest(spark, path)
+    for i in range(3):  # as other commits would follow
+        state = manifest.commit(spark, path, state.following("merge"))
+    monkeypatch.setattr(manifest, "KEPT", 2)
+    before, rows = sorted(map(str, manifest.entries(spark, path).collect())), held(spark, path)
+    with monkeypatch.context() as m:
+        m.setattr(files, "remove", lambda *_: None)  # broken off before the commits go
+        assert manifest.compact(spark, path, 3) == 5
+    assert sorted(map(str, manifest.entries(spark, path).collect())) == before
+    assert manifest.compact(spark, path, 3) == 5 and manifest.compact(spark, path, 3) == 0
+    assert len(files.names(spark, f"{path}/manifest")) == 3
+    assert sorted(map(str, manifest.entries(spark, path).collect())) == before and held(spark, path) == rows
+    assert ingest(spark, lines(spark, HOTLINE | {"eventId": "E0"}), path, "2024-01-01", "0").count() == 1
+    with pytest.raises(manifest.Refused):
+        ingest(spark, lines(spark, WEB), path, "2024-01-01", "0")
+
+
 def random_inbox(seed):
     r = random.Random(seed)
     scopes = ["CONTACT_CALLBACK", "CASE_SUMMARY_TRANSFER", "ACCOMMODATION_TRANSFER"]
