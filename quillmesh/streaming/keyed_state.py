@@ -3,7 +3,7 @@
 Each event ID has one state value, the fingerprint of its first payload, in Spark's RocksDB state store. It may be seeded from a ledger's event IDs, so that what the ledger knows is no first arrival here.
 Nothing in an envelope is a time, so state never expires by itself; a stream that needs retention is started anew from a ledger that has been purged.
 
-Rows of an event ID in one micro-batch are taken in the order of their arrival, in chunks as Spark hands them over: they are held as (arrival, row) until the key is complete, since chunks come in no order.
+Rows of an event ID in one micro-batch are taken in the order of their arrival; Spark hands them over in none, so they are sorted, all of one event ID at once. Rows, not frames of pandas, since most event IDs have one.
 """
 
 from __future__ import annotations
@@ -11,8 +11,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from contextlib import contextmanager
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
@@ -43,26 +42,23 @@ class Judge(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.first = handle.getValueState("first", "payload_fp string")
 
-    def handleInitialState(self, key, initialState: pd.DataFrame, timerValues) -> None:
-        self.first.update((initialState["payload_fp"].iloc[0],))
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        own = pd.concat(list(rows)).sort_values("arrival")
-        errors, outcomes = [list(e) for e in own["errors"]], []
-        first = self.first.get()[0] if self.first.exists() else None
-        for fp, found in zip(own["payload_fp"], errors):
-            if key[0].startswith("\u0000"):  # no event
-                outcomes.append(REJECTED if found else ACCEPTED)
-            elif first is None:
-                first = fp
-                self.first.update((fp,))
-                outcomes.append(REJECTED if found else ACCEPTED)
-            elif fp == first:
-                outcomes.append(REPLAY)
-            else:
-                found.append("EVENT_ID_CONFLICT")
-                outcomes.append(REJECTED)
-        yield own[_INPUT].assign(errors=errors, outcome=outcomes)
+    def handleInitialState(self, key, initialState: Row, timerValues) -> None:
+        self.first.update((initialState["payload_fp"],))
+
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        named = not key[0].startswith("\u0000")
+        first = self.first.get() if named else None
+        first = first[0] if first else None
+        for row in sorted(rows, key=lambda r: r["arrival"]):
+            errors, outcome = list(row["errors"]), None
+            if named and first is None:
+                first = row["payload_fp"]
+                self.first.update((first,))
+            elif named and row["payload_fp"] == first:
+                outcome = REPLAY
+            elif named:
+                errors.append("EVENT_ID_CONFLICT")
+            yield Row(**{c: row[c] for c in _INPUT} | {"errors": errors, "outcome": outcome or (REJECTED if errors else ACCEPTED)})
 
     def close(self) -> None:
         pass
@@ -77,4 +73,4 @@ def judged(lines: DataFrame, seed: DataFrame | None = None) -> DataFrame:
         raise RuntimeError(f"set {_STORE} to {PROVIDER}")
     rows = canonical(lines).select(F.coalesce(event_key(), F.concat(F.lit("\u0000"), F.pmod("arrival", F.lit(1024)))).alias("key"), *_INPUT)
     initial = None if seed is None else seed.select("key", "payload_fp").groupBy("key")
-    return rows.groupBy("key").transformWithStateInPandas(Judge(), OUTPUT, "append", "none", initialState=initial)
+    return rows.groupBy("key").transformWithState(Judge(), OUTPUT, "append", "none", initialState=initial)
