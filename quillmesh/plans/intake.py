@@ -115,6 +115,8 @@ def ingest(spark: SparkSession, lines: DataFrame, path: str, ingest_date: str, b
     state = manifest.latest(spark, path)
     if stream and stream[1] <= state.streams.get(stream[0], -1):
         return ledger.read(spark, path).where(F.col("batch") == batch)
+    if ingest_date < state.purged:
+        raise manifest.Refused(f"dates before {state.purged} are purged")
     if state.claims not in (None, invalid_claims):
         raise manifest.Refused(f"{path} was begun with invalid_claims={state.claims}")
     extra = ["corrects"] if "corrects" in lines.columns else []

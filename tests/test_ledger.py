@@ -202,6 +202,8 @@ def test_a_purge_brings_no_right_back(spark, tmp_path):
     view = {x.eventId: x.effective_consent for x in consent.effective_view(ledger.table(spark, path, ledger.CONSENT)).collect()}
     assert view == {"EV-W-001": ["ACCOMMODATION_TRANSFER"]}
     assert [r[0] for r in held(spark, path)] == ["EV-W-001"]
+    with pytest.raises(manifest.Refused):
+        ingest(spark, lines(spark, HOTLINE), path, "2024-01-01", "0003")
     ingest(spark, lines(spark, HOTLINE | {"callbackWindowMinutes": 60}), path, "2024-01-03", "0003")
     assert held(spark, path)[0][:2] == ("EV-H-001", "ACCEPTED")
 
