@@ -308,7 +308,7 @@ def _members(shared, bits: int):
 
 
 def _occurrences(shared, bits: int, least: int | None):
-    """(cid, row, doc_id, word, size) of the paragraphs and lines whose digest is in the filter."""
+    """(cid, row, doc_id, word) of the paragraphs whose digest is in the filter, and of the lines, with their size, if lines are units."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = np.frombuffer(shared.value, np.uint8)
@@ -318,9 +318,11 @@ def _occurrences(shared, bits: int, least: int | None):
             take = take[places(d[take], row[take], word[take])]
             some = np.flatnonzero(bloom_hits(held, bits, lines[3]))
             d, row, word = (np.concatenate([x[take], y[some]]) for x, y in ((d, lines[3]), (row, lines[0]), (word, lines[1])))
-            size = np.concatenate([np.full(len(take), WORDS), lines[2][some]])
             of = pa.array(row)
-            yield pa.RecordBatch.from_arrays([_signed(d), rows.column(0).take(of), rows.column(1).take(of), pa.array(word, pa.int64()), pa.array(size, pa.int64())], names=["cid", "row", "doc_id", "word", "size"])
+            columns = [_signed(d), rows.column(0).take(of), rows.column(1).take(of), pa.array(word, pa.int64())]
+            if least is not None:
+                columns.append(pa.array(np.concatenate([np.full(len(take), WORDS), lines[2][some]]), pa.int64()))
+            yield pa.RecordBatch.from_arrays(columns, names=["cid", "row", "doc_id", "word", "size"][: len(columns)])
 
     return run
 
@@ -399,22 +401,25 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lin
         roots = components(links).select(F.col("node").alias("cid"), "root")
         wanted = wanted.join(roots, "cid", "full").select("cid", F.coalesce("root", "cid").alias("cluster"))
     wanted = cut(wanted)
-    found = arrow(texts, _occurrences(*_filter(wanted, "cid"), line_words), "cid long, row long, doc_id long, word long, size long")
+    lines = line_words is not None
+    size = F.col("size") if lines else F.lit(WORDS)
+    found = arrow(texts, _occurrences(*_filter(wanted, "cid"), line_words), "cid long, row long, doc_id long, word long" + ", size long" * lines)
     found = cut(found.join(wanted, "cid").drop("cid"))
     release(docs.sparkSession)
     place = F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", "row", "word")
     # in one document, only stretches that don't overlap repeat each other
-    apart = (F.col("first.row") != F.col("last.row")) | (F.col("last.word") - F.col("first.word") >= F.col("size"))
-    keepers = cut(found.groupBy("cluster").agg(F.min(place).alias("first"), F.max(place).alias("last"), F.max("size").alias("size")).where(apart).select("cluster", "first"))
+    apart = (F.col("first.row") != F.col("last.row")) | (F.col("last.word") - F.col("first.word") >= size)
+    keepers = cut(found.groupBy("cluster").agg(F.min(place).alias("first"), F.max(place).alias("last"), *[F.max("size").alias("size")] * lines).where(apart).select("cluster", "first"))
     found = found.join(keepers, "cluster")
-    kept = (F.col("row") == F.col("first.row")) & (F.abs(F.col("word") - F.col("first.word")) < F.col("size"))
-    found = found.select("row", "doc_id", "word", (F.col("word") + F.col("size")).alias("end"), "cluster", F.col("first.doc_id").alias("keeper_doc"), kept.alias("kept"))
+    kept = (F.col("row") == F.col("first.row")) & (F.abs(F.col("word") - F.col("first.word")) < size)
+    end = F.col("word") + size
+    found = found.select("row", "doc_id", "word", *["size"] * lines, "cluster", F.col("first.doc_id").alias("keeper_doc"), kept.alias("kept"))
     of_text = Window.partitionBy("row", "kept").orderBy("word")
     before, upto = of_text.rowsBetween(Window.unboundedPreceding, -1), of_text.rowsBetween(Window.unboundedPreceding, 0)
-    found = found.withColumn("new", F.coalesce(F.col("word") > F.max("end").over(before), F.lit(True)).cast("int"))
+    found = found.withColumn("new", F.coalesce(F.col("word") > F.max(end).over(before), F.lit(True)).cast("int"))
     found = found.withColumn("stretch", F.sum("new").over(upto))
     lead = F.min(F.struct("word", "cluster", "keeper_doc", "doc_id")).alias("l")
-    spans = found.groupBy("row", "kept", "stretch").agg(lead, F.max("end").alias("end_word"))
+    spans = found.groupBy("row", "kept", "stretch").agg(lead, F.max(end).alias("end_word"))
     return spans.select(F.col("l.doc_id").alias("doc_id"), F.col("l.word").alias("first_word"), "end_word", F.col("l.cluster").alias("cluster"), F.col("l.keeper_doc").alias("keeper_doc"), "kept")
 
 
