@@ -16,8 +16,12 @@ the bits differ. Its fingerprint is wider: ``SEGMENTS`` segments of ``WIDTH`` =
 segment differs by at most one bit, and are verified by the exact similarity of their shingles. A segment value is indexed once
 for all texts that share it, by the least of them; a value's variants are written only for its zero bits, since a value with that bit
 set is its own other variant. So a bucket holds a value and those of its neighbours that exist, however many texts there are. The search finds a pair of
-similarity 0.8 with probability 0.91 if segments are independent, of 0.9 with 0.998; the texts of a group need only one chain of found
-pairs. Pairs that meet by chance grow with the square of the texts over 2**WIDTH: past some 10**7 different texts ``width`` should grow, with ``segments`` to keep what is found (28 bits need 36).
+similarity 0.8 with probability 0.91 if segments are independent, of 0.9 with 0.998. Pairs that meet by chance grow with the square of the texts over 2**WIDTH: past some 10**7 different texts ``width`` should grow (28 bits need 36 segments).
+
+What the segments miss is then searched exactly, between different components alone. A pair of similarity s has its first common shingle, in any one order of all shingles, among the first
+n - ceil(s * n) + 1 of both texts (of n shingles). The order puts shingles first that are rare in a sample of texts, so that buckets are small; the sample bears on speed alone.
+Shingles that stand in one text only are dropped by a Bloom filter. Buckets are paired by component before they are paired by text, so a group that the segments have joined costs nothing more, and lengths and
+places in the order rule pairs out before texts are compared. What is left of a bucket is the pairs of texts of different components, which nothing bounds but these filters.
 
 Defined cases: null and empty texts have no words and fingerprint zero, which links like any other;
 repeated rows stay, each with its component; rows without an id take part, but a component's id is
@@ -27,6 +31,7 @@ without any id, and tells rows apart by id and text, not by id alone.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import repeat
 
@@ -35,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow, bitmap_of, bits_for, cut, fresh, release, sized, table, text_bytes, text_id
+from .common import arrow, bitmap_of, bits_for, bloom_hits, bloom_of, cut, fresh, release, sized, table, text_bytes, text_id
 from .components import components
 
 SHINGLE, SEED, DISTANCE = 3, 42, 2
@@ -43,6 +48,8 @@ SHINGLE, SEED, DISTANCE = 3, 42, 2
 WORDS, SIMILARITY, SEGMENTS, WIDTH = 5, 0.8, 22, 24
 #: Share of differing bits beyond which a candidate isn't verified: pairs of similarity 0.8 differ in 0.15 of them, others in half.
 FAR = 0.25
+#: Texts, about, of which shingles are counted to order them, and in how many of these a shingle is listed, at most how many.
+SAMPLE, LISTED, MOST_LISTED = 1 << 13, 3, 1 << 18
 #: Shingles hashed at once: bounds the memory that a very long text takes.
 CHUNK = 1 << 16
 
@@ -222,8 +229,101 @@ def candidates(values: DataFrame, width: int = WIDTH) -> DataFrame:
     return same.unionAll(beside).distinct()
 
 
+def _shingles(size: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            made = [shingle_set(t.as_py(), size) for t in b.column(1)]
+            flat = np.concatenate(made).view(np.int64) if made else np.zeros(0, np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(flat)], names=["token"])
+
+    return run
+
+
+def _listed(texts: DataFrame, size: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that are frequent in a sample of about SAMPLE of the ``n`` different texts, sorted, and in how many of these each stands."""
+    below = min(1.0, SAMPLE / max(1, n)) * 2.0**32
+    some = texts.where(F.conv(F.substring(F.hex("text"), 1, 8), 16, 10).cast("long") < below).dropDuplicates(["text"])
+    counts = arrow(some, _shingles(size), "token long").groupBy("token").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= LISTED)
+    found = counts.orderBy(F.desc("n"), "token").limit(MOST_LISTED).toArrow()  # bounded by MOST_LISTED
+    token, n_in = found.column("token").to_numpy().view(np.uint64), found.column("n").to_numpy()
+    order = np.argsort(token)
+    return token[order], n_in[order]
+
+
+def prefix(text: bytes, size: int, least: float, listed: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, int]:
+    """The shingles of a text, listed ones last, of which a text of similarity ``least`` must share one; and how many the text has."""
+    h = shingle_set(text, size)
+    if not len(h):
+        return h, 0
+    rank = np.zeros(len(h), np.int64)
+    if len(listed):
+        at = np.minimum(np.searchsorted(listed, h), len(listed) - 1)
+        rank = np.where(listed[at] == h, counts[at], 0)
+    keep = len(h) - max(1, math.ceil(least * len(h) - 1e-9)) + 1
+    return h[np.lexsort((h, rank))[:keep]], len(h)
+
+
+def _prefixes(size: int, least: float, order, held=None):
+    """(token, id) of prefixes, id the start of a text's id; or, with a filter of tokens, (token, id, n, at) of those that it lets pass."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts, made = b.column(0), [prefix(t.as_py(), size, least, *order.value) for t in b.column(1)]
+            if not made:
+                continue
+            sizes = np.fromiter((len(tokens) for tokens, _ in made), np.int64, len(made))
+            token, row = np.concatenate([tokens for tokens, _ in made]), np.repeat(np.arange(len(made)), sizes)
+            ids = np.fromiter((int.from_bytes(t.as_py()[:8], "big", signed=True) for t in texts), np.int64, len(made))
+            if held is None:
+                yield pa.RecordBatch.from_arrays([pa.array(token.view(np.int64)), pa.array(ids[row])], names=["token", "id"])
+                continue
+            hit = np.flatnonzero(bloom_hits(np.frombuffer(held[0].value, np.uint8), held[1], token))
+            at = (np.arange(len(token)) - np.repeat(np.cumsum(sizes) - sizes, sizes))[hit].astype(np.int32)
+            n = np.fromiter((n for _, n in made), np.int32, len(made))[row[hit]]
+            yield pa.RecordBatch.from_arrays([pa.array(token[hit].view(np.int64)), pa.array(ids[row[hit]]), pa.array(n), pa.array(at)], names=["token", "id", "n", "at"])
+
+    return run
+
+
+def missed(rows: DataFrame, rooted: DataFrame, size: int, similarity: float) -> DataFrame:
+    """(ru, rv, tu, tv): all pairs of texts of different roots that may be of ``similarity``, by their roots and their ids; rows: (text, t), rooted: (text, node, root).
+
+    Exact: a pair that isn't given isn't similar.
+    """
+    context = rows.sparkSession.sparkContext
+    order = context.broadcast(_listed(rows, size, rooted.count()))
+    each = arrow(rows, _prefixes(size, similarity, order), "token long, id long")
+    shared = cut(each.groupBy("token").agg(F.min("id").alias("a"), F.max("id").alias("z")).where("a != z").select("token"))
+    filter_, bits = bloom_of(shared, "token")
+    hits = arrow(rows, _prefixes(size, similarity, order, (context.broadcast(filter_), bits)), "token long, id long, n int, at int")
+    named = rooted.select(F.expr("cast(conv(substring(hex(text), 1, 16), 16, -10) as long)").alias("id"), "node", "root")
+    hits = cut(hits.join(named, "id").dropDuplicates(["id", "token"]).select("token", "node", "root", "n", "at"))
+    mixed = hits.groupBy("token").agg(F.min("root").alias("a"), F.max("root").alias("z")).where("a != z").select("token")
+    members = cut(hits.join(sized(cut(mixed)), "token", "left_semi"))
+    release(rows.sparkSession)
+    groups = cut(members.groupBy("token", "root").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.max(F.col("n") - F.col("at")).alias("room")))
+    side = lambda df, x: df.select("token", *(F.col(c).alias(f"{c}_{x}") for c in df.columns if c != "token"))
+    share = similarity / (1 + similarity)
+    reach = F.expr(f"root_u < root_v and high_u >= low_v * {similarity} - 1e-6 and high_v >= low_u * {similarity} - 1e-6 and least(room_u, room_v) >= (low_u + low_v) * {share!r} - 1e-6")
+    both = side(groups, "u").join(side(groups, "v"), "token").where(reach).select("token", "root_u", "root_v")
+    pairs = both.join(side(members, "u"), ["token", "root_u"]).join(side(members, "v"), ["token", "root_v"])
+    common = F.expr(f"least(n_u - at_u, n_v - at_v) >= (n_u + n_v) * {share!r} - 1e-6")  # with this as the first in common
+    near = F.expr(f"least(n_u, n_v) >= greatest(n_u, n_v) * {similarity} - 1e-6")
+    pairs = pairs.where(near & common).select(*(F.col(f"{c}_{x}").alias(f"{c[0]}{x}") for x in "uv" for c in ("node", "root"))).distinct()
+    text = lambda x: rooted.select(F.col("node").alias(f"n{x}"), F.col("text").alias(f"t{x}"))
+    return cut(sized(cut(pairs)).join(text("u"), "nu").join(text("v"), "nv").select("ru", "rv", "tu", "tv"))
+
+
+def _links(rows: DataFrame, pairs: DataFrame, size: int, similarity: float, u: str = "u", v: str = "v") -> DataFrame:
+    """(u, v), by the names given, of the pairs (.., tu, tv) whose texts are of ``similarity``."""
+    found = sized(cut(pairs.select("tu").unionAll(pairs.select("tv")).distinct().withColumnRenamed("tu", "text")))
+    wanted = cut(rows.join(found, "text", "left_semi").groupBy("text").agg(F.first("t").alias("t")))
+    both = pairs.join(wanted.select(F.col("text").alias("tu"), F.col("t").alias("x")), "tu").join(wanted.select(F.col("text").alias("tv"), F.col("t").alias("y")), "tv")
+    return arrow(both.select(F.col(u).alias("u"), F.col(v).alias("v"), "x", "y"), _verified(size, similarity), "u long, v long")
+
+
 def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = WORDS, similarity: float = SIMILARITY, segments: int = SEGMENTS, width: int = WIDTH) -> DataFrame:
-    """(text, root): each different text by its ``text_id``, and the component of similar texts that it is in."""
+    """(text, root): each different text by its ``text_id``, and the component of similar texts that it is in. No pair of ``similarity`` (above 0) is left out."""
     rows = docs.select(text_id(F.col(f"`{text_col}`")).alias("text"), text_bytes(F.col(f"`{text_col}`")).alias("t"))
     made = arrow(rows, _wide(size, segments, width), "text binary, segments array<long>")
     # nodes are numbered as they are written: a checkpoint holds one numbering, whatever is run again
@@ -236,11 +336,11 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", siz
     differing = F.aggregate(F.zip_with("su", "sv", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda a, x: a + x)
     pairs = cut(pairs.where(differing <= FAR * segments * width).select("u", "v", "tu", "tv"))
     release(docs.sparkSession)
-    found = sized(cut(pairs.select("tu").unionAll(pairs.select("tv")).distinct().withColumnRenamed("tu", "text")))
-    wanted = cut(rows.join(found, "text", "left_semi").groupBy("text").agg(F.first("t").alias("t")))
-    both = pairs.join(wanted.select(F.col("text").alias("tu"), F.col("t").alias("x")), "tu").join(wanted.select(F.col("text").alias("tv"), F.col("t").alias("y")), "tv")
-    roots = components(arrow(both.select("u", "v", "x", "y"), _verified(size, similarity), "u long, v long"))
-    return texts.join(roots, "node", "left").select("text", F.coalesce("root", "node").alias("root"))
+    roots = components(_links(rows, pairs, size, similarity))
+    rooted = cut(texts.join(roots, "node", "left").select("text", "node", F.coalesce("root", "node").alias("root")))
+    release(docs.sparkSession)
+    more = components(_links(rows, missed(rows, rooted, size, similarity), size, similarity, "ru", "rv"))
+    return rooted.join(sized(cut(more.select(F.col("node").alias("root"), F.col("root").alias("joined")))), "root", "left").select("text", F.coalesce("joined", "root").alias("root"))
 
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:

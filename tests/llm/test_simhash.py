@@ -149,3 +149,27 @@ def test_empty_table(none):
 def test_long_texts_are_counted_whole(n):
     text = " ".join(f"w{i * i % 977}" for i in range(n))
     assert S.fingerprint(text.encode()) == brute_print(text)
+
+
+@pytest.mark.parametrize("listed", [S.LISTED, 1])
+def test_no_pair_of_similar_texts_is_left_out(spark, monkeypatch, listed):
+    """Pairs just above the threshold, many of them beyond the reach of the segments, beside texts that share most of their words with all others."""
+    monkeypatch.setattr(S, "LISTED", listed)
+    r, texts = random.Random(5), []
+    line = " ".join(f"c{i}" for i in range(60))
+    for i in range(150):
+        w = [f"w{r.randrange(4000)}" for _ in range(r.randint(20, 120))]
+        n, v = len(w) - 4, list(w)
+        for k in range(max(1, n // 45)):  # each change takes five of n shingles: 40 of 360 leave 0.8
+            v[2 + k * (len(w) // max(1, n // 45))] = f"x{r.randrange(4000)}"
+        texts += [" ".join(w), " ".join(v), f"{line} {' '.join(w[:8])}"]
+    sets = [shingles(t) for t in texts]
+    got = {bytes(x.text): x.root for x in S.similar(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    at = [got[hashlib.md5(t.encode()).digest()] for t in texts]
+    linked = [(i, j) for i in range(len(texts)) for j in range(i) if similar(sets[i], sets[j])]
+    assert len(linked) > 120 and all(at[i] == at[j] for i, j in linked)
+    parent = list(range(len(texts)))
+    for i, j in linked:  # no more is joined than what links join
+        a, b = parent[i], parent[j]
+        parent = [min(a, b) if p in (a, b) else p for p in parent]
+    assert len(set(parent)) == len(set(at))
