@@ -72,13 +72,23 @@ def exact_number(token: Column) -> Column:
     return F.when(digits == "", F.lit("0")).otherwise(F.coalesce(F.concat(part(1), digits, F.lit("e"), power.cast("long").cast("string")), F.lower(token)))
 
 
+#: Length up to which a text without escapes is read by plain patterns.
+_SHORT = 1 << 12
+
+
 def canonical_text(raw: Column) -> Column:
     """JSON text with sorted keys and exact numbers; null for text that is no JSON.
 
     Every string, keys too, gets an s in front, and every number becomes a string with an n in front, so that no number passes through a double and none equals a string; then the variant sorts the keys.
+    Short texts without escapes are marked by two patterns, if their numbers are whole and don't end in 0; others token by token, which takes several times as long.
     """
     token = lambda t: F.when(t.startswith('"'), F.concat(F.lit('"s'), F.substr(t, F.lit(2)))).when(t.rlike("^[-0-9]"), F.concat(F.lit('"n'), exact_number(t), F.lit('"'))).otherwise(t)
-    return F.to_json(F.try_parse_json(F.array_join(F.transform(F.regexp_extract_all(raw, F.lit(_TOKEN), 0), token), "")))
+    by_token = F.array_join(F.transform(F.regexp_extract_all(raw, F.lit(_TOKEN), 0), token), "")
+    plain, outside = ~raw.contains("\\") & (F.length(raw) <= _SHORT), F.regexp_replace(raw, '"[^"]*+"', "")
+    strings = F.regexp_replace(raw, '"([^"]*+)"', '"s$1"')
+    numbers = F.regexp_replace(strings, r'\G((?:[^"0-9-]++|"[^"]*+")*+)(-?[0-9]++)', '$1"n$2e0"')
+    marked = F.when(plain & ~outside.rlike("[0-9]"), strings).when(plain & ~outside.rlike("0(?![0-9])|[0-9][.eE]"), numbers).otherwise(by_token)
+    return F.to_json(F.try_parse_json(marked))
 
 
 def fingerprint(raw: Column, well_formed: Column) -> Column:

@@ -25,7 +25,11 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """``df`` over as many partitions as there are cores, if its files are fewer."""
-    n = df.sparkSession.sparkContext.defaultParallelism
+#: Rows of a partition of ``spread``.
+SPREAD_ROWS = 1 << 15
+
+
+def spread(df: DataFrame, rows: int = SPREAD_ROWS) -> DataFrame:
+    """``df`` over as many partitions as there are cores, and as ``rows`` a partition ask for, if its files are fewer: so tasks become more, not longer, as a table grows."""
+    n = max(df.sparkSession.sparkContext.defaultParallelism, -(-df.count() // rows))
     return df.repartition(n) if df.rdd.getNumPartitions() < n else df
