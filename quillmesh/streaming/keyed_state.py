@@ -1,9 +1,10 @@
 """Replay and conflict of event IDs by keyed stream state, for streams that answer at once instead of keeping a ledger.
 
-Each event ID has one state value, the fingerprint of its first payload, in Spark's RocksDB state store. It may be seeded from a ledger's event IDs, so that what the ledger knows is no first arrival here.
+The fingerprint of each event ID's first payload is kept in Spark's RocksDB state store, those of a bucket of event IDs by hash in one state value: a call to the store costs more than a row does, so
+a micro-batch makes two for each bucket that it touches, however many event IDs that holds. It may be seeded from a ledger's event IDs, so that what the ledger knows is no first arrival here.
 Nothing in an envelope is a time, so state never expires by itself; a stream that needs retention is started anew from a ledger that has been purged.
 
-Rows of an event ID in one micro-batch are taken in the order of their arrival; Spark hands them over in none, so they are sorted, all of one event ID at once. Rows, not frames of pandas, since most event IDs have one.
+Rows of an event ID in one micro-batch are taken in the order of their arrival; Spark hands them over in none, so they are sorted, all of one bucket at once. Rows, not frames of pandas, since most buckets have few.
 """
 
 from __future__ import annotations
@@ -22,6 +23,8 @@ from quillmesh.plans.intake import canonical
 _STORE = "spark.sql.streaming.stateStore.providerClass"
 PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 OUTPUT = "arrival long, eventId string, channel string, sourceId string, payload_fp string, errors array<string>, outcome string"
+#: Buckets of event IDs; those of rows without one have negative numbers.
+BUCKETS, UNNAMED = 1 << 18, 1024
 _INPUT = ["arrival", "eventId", "channel", "sourceId", "payload_fp", "errors"]
 
 
@@ -37,28 +40,31 @@ def rocksdb(spark: SparkSession):
 
 
 class Judge(StatefulProcessor):
-    """The outcome of each row of an event ID."""
+    """The outcome of each row of a bucket of event IDs."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.first = handle.getValueState("first", "payload_fp string")
+        self.firsts = handle.getValueState("firsts", "events array<string>, prints array<string>")
 
     def handleInitialState(self, key, initialState: Row, timerValues) -> None:
-        self.first.update((initialState["payload_fp"],))
+        self.firsts.update((initialState["events"], initialState["prints"]))
 
     def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
-        named = not key[0].startswith("\u0000")
-        first = self.first.get() if named else None
-        first = first[0] if first else None
+        held = self.firsts.get() if key[0] >= 0 else None
+        firsts = dict(zip(held[0], held[1])) if held else {}
+        known = len(firsts)
         for row in sorted(rows, key=lambda r: r["arrival"]):
-            errors, outcome = list(row["errors"]), None
-            if named and first is None:
-                first = row["payload_fp"]
-                self.first.update((first,))
-            elif named and row["payload_fp"] == first:
-                outcome = REPLAY
-            elif named:
-                errors.append("EVENT_ID_CONFLICT")
+            errors, outcome, event = list(row["errors"]), None, row["event"]
+            if event is not None:
+                first = firsts.setdefault(event, None)
+                if first is None:
+                    firsts[event] = row["payload_fp"]
+                elif row["payload_fp"] == first:
+                    outcome = REPLAY
+                else:
+                    errors.append("EVENT_ID_CONFLICT")
             yield Row(**{c: row[c] for c in _INPUT} | {"errors": errors, "outcome": outcome or (REJECTED if errors else ACCEPTED)})
+        if len(firsts) > known:
+            self.firsts.update((list(firsts), list(firsts.values())))
 
     def close(self) -> None:
         pass
@@ -71,6 +77,11 @@ def judged(lines: DataFrame, seed: DataFrame | None = None) -> DataFrame:
     """
     if lines.sparkSession.conf.get(_STORE) != PROVIDER:
         raise RuntimeError(f"set {_STORE} to {PROVIDER}")
-    rows = canonical(lines).select(F.coalesce(event_key(), F.concat(F.lit("\u0000"), F.pmod("arrival", F.lit(1024)))).alias("key"), *_INPUT)
-    initial = None if seed is None else seed.select("key", "payload_fp").groupBy("key")
+    bucket = lambda c: F.pmod(F.xxhash64(c), F.lit(BUCKETS))
+    rows = canonical(lines).withColumn("event", event_key())
+    rows = rows.select(F.when(F.col("event").isNotNull(), bucket("event")).otherwise(-1 - F.pmod("arrival", F.lit(UNNAMED))).cast("long").alias("key"), "event", *_INPUT)
+    initial = None
+    if seed is not None:
+        each = seed.groupBy(bucket("key").cast("long").alias("bucket")).agg(F.collect_list(F.struct("key", "payload_fp")).alias("all"))
+        initial = each.select(F.col("bucket").alias("key"), F.col("all.key").alias("events"), F.col("all.payload_fp").alias("prints")).groupBy("key")
     return rows.groupBy("key").transformWithState(Judge(), OUTPUT, "append", "none", initialState=initial)
