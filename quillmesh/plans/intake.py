@@ -106,7 +106,7 @@ def _deltas(spark: SparkSession, path: str, state: manifest.Commit, rows: DataFr
 def ingest(spark: SparkSession, lines: DataFrame, path: str, ingest_date: str, batch: str, stream: tuple[str, int] | None = None, channels: dict[str, tuple] = CHANNELS, invalid_claims: bool = True) -> DataFrame:
     """Judges ``lines`` (raw, arrival from 0, perhaps landed or file, and corrects, the arrival number of a rejected row) against the ledger at ``path``, commits them as a batch and returns the batch's rows.
 
-    A batch that is committed already stays as it is if its lines are the same, and is refused if they aren't. One that failed before its commit has left
+    A batch that is committed already stays as it is if its lines are the same, and is refused if they aren't; to know that, its lines are digested and not judged. One that failed before its commit has left
     nothing that counts and is judged anew. Of the ledger it reads the last commit and what its own event IDs, targets and sources meet in the keyed tables. Everything that is counted is counted while
     rows are written. ``stream``: the identity of a stream and the number of its micro-batch, which names the batch for good.
     ``channels``: the registry. ``invalid_claims``: as in :func:`resolve`; a ledger keeps to the reading with which it began.
@@ -126,15 +126,15 @@ def ingest(spark: SparkSession, lines: DataFrame, path: str, ingest_date: str, b
         hashed = lambda text: F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("decimal(20,0)")
         line = F.concat_ws("\u0000", F.col("place").cast("string"), F.coalesce("raw", F.lit("\u0001")))
         given = lines.select("raw", F.col("arrival").alias("place"), file.alias("file"), *extra).withColumn("arrival", F.col("place") + state.next)
-        given = given.observe(seen, F.count(F.lit(1)).alias("n"), F.max("arrival").alias("last"), F.sum(F.xxhash64("place", "raw").cast("decimal(20,0)")).alias("a"), F.sum(hashed(line)).alias("b"))
-        validated = canonical(given.select("raw", "arrival", F.element_at(F.split("file", "/"), -1).alias("file"), *extra), channels)
-        validated.write.parquet(f"{scratch}/canonical")
-        found = _observed(seen)
-        n, inputs = found["n"], _inputs(found)
+        sums = [F.count(F.lit(1)).alias("n"), F.max("arrival").alias("last"), F.sum(F.xxhash64("place", "raw").cast("decimal(20,0)")).alias("a"), F.sum(hashed(line)).alias("b")]
         if not stream and (known := manifest.batch_of(spark, path, ingest_date, batch)):
-            if known.inputs != inputs:
+            if known.inputs != _inputs(given.agg(*sums).first().asDict()):
                 raise manifest.Refused(f"batch {batch!r} of {ingest_date} was committed with other lines")
             return ledger.read(spark, path).where((F.col("ingest_date") == ingest_date) & (F.col("batch") == batch))
+        validated = canonical(given.observe(seen, *sums).select("raw", "arrival", F.element_at(F.split("file", "/"), -1).alias("file"), *extra), channels)
+        validated.write.parquet(f"{scratch}/canonical")
+        found = _observed(seen)
+        n, inputs = found["n"], _inputs(found)
         validated = _without_erased(spark, path, state, spark.read.schema(validated.schema).parquet(f"{scratch}/canonical"), n)
         before = ledger.find(spark, path, state, ledger.IDS, validated.select(event_key().alias("key")), n).select(F.col("key").alias("eventId"), "arrival", "payload_fp")
         attempt, counted = ledger.new_attempt(), Observation()

@@ -10,14 +10,14 @@ from quillmesh.operators import consent as K
 from quillmesh.plans.intake import canonical, ingest, outcomes
 from quillmesh.sources import ledger, manifest, registry
 from quillmesh.sources.scratch import folder
-from quillmesh.sources.synthetic import SQL, inbox
+from quillmesh.sources.synthetic import SQL, inbox, sent
 
 #: Which synthetic lines make up each batch, and its date. The second batch is run twice.
 BATCHES = {"0001": ("arrival % 10 = 3 and arrival div 10 % 2 = 1", "2024-01-30"), "1e3": ("arrival % 10 != 3", "2024-01-30"), "null": ("arrival % 10 = 3 and arrival div 10 % 2 = 0", "2024-01-31")}
 
 
 def _ledger(spark: SparkSession, sf_dir: str) -> str:
-    path, lines = folder(spark, "ledger"), inbox(spark, sf_dir)
+    path, lines = folder(spark, "ledger"), sent(spark, sf_dir)
     for name in ("0001", "1e3", "1e3", "null"):
         which, date = BATCHES[name]
         ingest(spark, lines.where(which), path, date, name)

@@ -14,7 +14,7 @@ from quillmesh.plans.intake import canonical, ingest, outcomes
 from quillmesh.sources import ledger
 from quillmesh.sources.inbox import read_inbox, stream_inbox
 from quillmesh.sources.scratch import folder, written
-from quillmesh.sources.synthetic import SQL, inbox
+from quillmesh.sources.synthetic import SQL, inbox, sent
 from quillmesh.streaming.intake import start
 
 
@@ -131,7 +131,7 @@ def consent_gated_projection(spark, sf_dir):
 
 
 def ledger_sink(spark, sf_dir):
-    path, lines = folder(spark, "ledger"), inbox(spark, sf_dir)
+    path, lines = folder(spark, "ledger"), sent(spark, sf_dir)
     for _ in range(2):  # a batch that is run again leaves one copy
         ingest(spark, lines, path, "2024-01-31", "0001")
     return ledger.read(spark, path).groupBy("ingest_date", "outcome").agg(F.count(F.lit(1)).alias("n"))
@@ -139,14 +139,14 @@ def ledger_sink(spark, sf_dir):
 
 def resubmission(spark, sf_dir):
     """A second day sends every line of the first again: all event IDs are known by then."""
-    path, lines = folder(spark, "ledger"), inbox(spark, sf_dir)
+    path, lines = folder(spark, "ledger"), sent(spark, sf_dir)
     ingest(spark, lines, path, "2024-01-31", "0001")
     return ingest(spark, lines, path, "2024-02-01", "0001").groupBy("outcome").agg(F.count(F.lit(1)).alias("n"))
 
 
 def stream_intake(spark, sf_dir):
     """First submissions come by a batch, what follows them by a stream over landed files; the ledger holds the outcomes of all."""
-    path, landing, lines = folder(spark, "ledger"), folder(spark, "landing"), inbox(spark, sf_dir)
+    path, landing, lines = folder(spark, "ledger"), folder(spark, "landing"), sent(spark, sf_dir)
     ingest(spark, lines.where("arrival % 10 = 0"), path, "2024-01-30", "0001")
     _landed(lines.where("arrival % 10 != 0"), landing)
     query = start(spark, stream_inbox(spark, landing), path, folder(spark, "checkpoint"), "2024-01-31").trigger(availableNow=True).start()
@@ -155,7 +155,7 @@ def stream_intake(spark, sf_dir):
 
 
 def retention(spark, sf_dir):
-    path, lines = folder(spark, "ledger"), inbox(spark, sf_dir)
+    path, lines = folder(spark, "ledger"), sent(spark, sf_dir)
     ingest(spark, lines.where("arrival % 2 = 0"), path, "2024-01-30", "0001")
     ingest(spark, lines.where("arrival % 2 = 1"), path, "2024-01-31", "0001")
     ledger.purge(spark, path, "2024-01-31")

@@ -53,7 +53,7 @@ def _level(n: int) -> int:
 def write(rows: DataFrame, table: Keyed, path: str, run: str, n: int) -> dict | None:
     """Writes a run of ``n`` rows at most and describes it; None if there were no rows."""
     bits = min(MOST_BITS, max(0, (max(n, 1) - 1) // BUCKET_ROWS).bit_length())
-    dealt = rows.withColumn("bucket", _bucket(bits)).repartition(1 << bits, "bucket").sortWithinPartitions("bucket", "key")
+    dealt = rows.withColumn("bucket", _bucket(bits)).repartitionById(1 << bits, "bucket").sortWithinPartitions("bucket", "key")
     bloom = {"parquet.bloom.filter.enabled#key": "true", "parquet.bloom.filter.expected.ndv#key": str(max(1, min(n, BUCKET_ROWS)))}
     dealt.write.options(**bloom).option("parquet.page.size", 1 << 16).partitionBy("bucket").parquet(f"{path}/{table.name}/{run}")
     n = rows.sparkSession.read.schema("key string").parquet(f"{path}/{table.name}/{run}").count()  # of the files' footers

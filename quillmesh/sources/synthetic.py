@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmesh.sources.scratch import spread
+from quillmesh.sources.scratch import spread, written
 
 _CODES = "array('BRAILLE_MATERIAL', 'SIGN_INTERPRETER', 'TEXT_ONLY', 'STEP_FREE_ACCESS', 'NOT_A_CODE')"
 
@@ -58,6 +58,11 @@ def inbox(spark: SparkSession, sf_dir: str) -> DataFrame:
     return base.select(F.explode(lines).alias("l")).where("l is not null").select("l.raw", "l.arrival")
 
 
+def sent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``inbox`` written once, for what reads its lines several times, as batches read what has landed."""
+    return written(inbox(spark, sf_dir), "lines")
+
+
 #: The same lines, read as they should be, as common table expressions: lines, with all of their own errors, and outcomes.
 SQL = """
 with base as (select event_id, concat('EV-', event_id) as id, user_id,

@@ -2,11 +2,13 @@
 
 from types import SimpleNamespace
 
+import pytest
 from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from quillmesh.functions import envelopes as E
-from quillmesh.sources import scratch
+from quillmesh.plans import intake
+from quillmesh.sources import keyed, ledger, manifest, scratch, synthetic
 from quillmesh.streaming.keyed_state import Judge
 
 
@@ -43,3 +45,25 @@ def test_a_bucket_of_event_ids_takes_two_calls_of_the_store():
     assert calls == ["get", "update"] and [r.outcome for r in first] == ["ACCEPTED"] * 50 + ["REPLAY"] * 10
     again = list(judge.handleInputRows((5,), iter([row(99, "e1", "q"), row(98, "e2", "p")]), None))
     assert calls == ["get", "update", "get"] and [(r.eventId, r.outcome, r.errors) for r in again] == [("e2", "REPLAY", []), ("e1", "REJECTED", ["EVENT_ID_CONFLICT"])]
+
+
+def test_a_batch_that_is_run_again_is_not_judged_again(spark, tmp_path, monkeypatch):
+    lines = spark.createDataFrame([(f'{{"eventId":"E{k}","channel":"WEB","submissionId":"W{k}"}}', k) for k in range(20)], "raw string, arrival long")
+    first = intake.ingest(spark, lines, f"{tmp_path}/ledger", "2024-01-31", "1").collect()
+    monkeypatch.setattr(intake, "canonical", None)
+    again = intake.ingest(spark, lines, f"{tmp_path}/ledger", "2024-01-31", "1")
+    assert sorted((r["arrival"], r["outcome"]) for r in again.collect()) == sorted((r["arrival"], r["outcome"]) for r in first)
+    with pytest.raises(manifest.Refused, match="other lines"):
+        intake.ingest(spark, lines.where("arrival < 19"), f"{tmp_path}/ledger", "2024-01-31", "1")
+
+
+def test_each_folder_of_hash_bits_is_a_task_of_its_own(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(keyed, "BUCKET_ROWS", 1 << 8)
+    rows = spark.range(1 << 12).selectExpr("concat('k', id) as key", "'2024-01-31' as erased")
+    run = keyed.write(rows, ledger.TOMBSTONES, str(tmp_path), "run", 1 << 12)
+    written = [f.name.split("-")[1] for f in (tmp_path / "tombstones/run").glob("bucket=*/part-*")]
+    assert run["bits"] == 4 and run["rows"] == 1 << 12 and len(written) == len(set(written)) == 16
+
+
+def test_ledger_lines_are_made_once(spark):
+    assert all("/lines-" in f for f in synthetic.sent(spark, "/root/testdata/sf0.001").inputFiles())
