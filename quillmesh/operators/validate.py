@@ -37,7 +37,7 @@ def validate(canonical: DataFrame, channels: Collection[str] = CHANNELS) -> Data
     """``canonical`` with ``errors``, in the order of the contract."""
     marks = [F.when(condition, F.lit(name)) for name, condition in checks(channels).items()]
     assert list(checks()) == list(ERRORS[:-1])
-    return canonical.withColumn("errors", F.filter(F.array(*marks), lambda e: e.isNotNull()))
+    return canonical.withColumn("errors", F.array_except(F.array(*marks), F.array(F.lit(None).cast("string"))))
 
 
 def split(outcomes: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:

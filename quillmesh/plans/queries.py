@@ -22,8 +22,9 @@ def _list(c: str):
     return F.array_join(F.sort_array(F.col(c)), ",").alias(c)
 
 
-def _canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return written(canonical(inbox(spark, sf_dir)), "canonical")
+def _canonical(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
+    """The ``columns`` of the canonical rows, written once: nothing is computed for others."""
+    return written(canonical(inbox(spark, sf_dir)).select(*columns), "canonical")
 
 
 def _outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -50,22 +51,22 @@ def envelope_scan(spark, sf_dir):
 
 
 def envelope_parse(spark, sf_dir):
-    return _canonical(spark, sf_dir).select("arrival", "eventId", "revokes", F.col("well_formed"), _list("accommodations"), _list("consent"), _list("scopes"))
+    return _canonical(spark, sf_dir, "arrival", "eventId", "revokes", "well_formed", "accommodations", "consent", "scopes").select("arrival", "eventId", "revokes", F.col("well_formed"), _list("accommodations"), _list("consent"), _list("scopes"))
 
 
 def _adapter(channel):
     def query(spark, sf_dir):
-        return C.by_channel(_canonical(spark, sf_dir), channel).select(*_FIELDS, F.col("callbackWindowMinutes").cast("string").alias("minutes"))
+        return C.by_channel(_canonical(spark, sf_dir, *_FIELDS, "callbackWindowMinutes"), channel).select(*_FIELDS, F.col("callbackWindowMinutes").cast("string").alias("minutes"))
 
     return query
 
 
 def canonical_merge(spark, sf_dir):
-    return _canonical(spark, sf_dir).groupBy("canonicalVersion", "channel").agg(F.count(F.lit(1)).alias("n"), F.count("sourceId").alias("n_source"), F.count("person").alias("n_person"), F.sum("callbackWindowMinutes").cast("string").alias("minutes"))
+    return _canonical(spark, sf_dir, "canonicalVersion", "channel", "sourceId", "person", "callbackWindowMinutes").groupBy("canonicalVersion", "channel").agg(F.count(F.lit(1)).alias("n"), F.count("sourceId").alias("n_source"), F.count("person").alias("n_person"), F.sum("callbackWindowMinutes").cast("string").alias("minutes"))
 
 
 def source_correlation(spark, sf_dir):
-    return C.correlate(_canonical(spark, sf_dir))
+    return C.correlate(_canonical(spark, sf_dir, "arrival", "eventId", "channel", "sourceId"))
 
 
 #: A source ID that stands for three events.
@@ -73,14 +74,14 @@ SOURCE = "S-7"
 
 
 def source_lookup(spark, sf_dir):
-    rows = _canonical(spark, sf_dir)
+    rows = _canonical(spark, sf_dir, "arrival", "eventId", "channel", "sourceId")
     found = C.of_source(rows, "PHYSICAL", SOURCE).unionAll(C.of_source(rows, "HOTLINE", SOURCE)).unionAll(C.of_source(rows, "WEB", SOURCE))
     return found.select("arrival", "eventId", "channel")
 
 
 def _failing(error):
     def query(spark, sf_dir):
-        return _canonical(spark, sf_dir).where(F.array_contains("errors", error)).select("arrival", "eventId")
+        return _canonical(spark, sf_dir, "arrival", "eventId", "errors").where(F.array_contains("errors", error)).select("arrival", "eventId")
 
     return query
 
@@ -108,7 +109,7 @@ def conflict_detection(spark, sf_dir):
 
 
 def payload_fingerprint(spark, sf_dir):
-    rows = _canonical(spark, sf_dir).where("eventId is not null")
+    rows = _canonical(spark, sf_dir, "arrival", "eventId", "payload_fp").where("eventId is not null")
     same = rows.join(firsts(rows), F.col("eventId") == F.col("event")).withColumn("same", (F.col("payload_fp") == F.col("first.payload_fp")).cast("int"))
     return same.groupBy("eventId").agg(F.count(F.lit(1)).alias("n"), F.sum("same").alias("n_same"))
 

@@ -7,7 +7,7 @@ from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from quillmesh.functions import envelopes as E
-from quillmesh.plans import intake
+from quillmesh.plans import intake, queries
 from quillmesh.sources import keyed, ledger, manifest, scratch, synthetic
 from quillmesh.streaming.keyed_state import Judge
 
@@ -65,5 +65,7 @@ def test_each_folder_of_hash_bits_is_a_task_of_its_own(spark, tmp_path, monkeypa
     assert run["bits"] == 4 and run["rows"] == 1 << 12 and len(written) == len(set(written)) == 16
 
 
-def test_ledger_lines_are_made_once(spark):
-    assert all("/lines-" in f for f in synthetic.sent(spark, "/root/testdata/sf0.001").inputFiles())
+def test_ledger_lines_are_made_once_and_queries_write_what_they_read(spark):
+    data = "/root/testdata/sf0.001"
+    assert all("/lines-" in f for f in synthetic.sent(spark, data).inputFiles())
+    assert queries._canonical(spark, data, "arrival", "errors").columns == ["arrival", "errors"]
