@@ -17,15 +17,17 @@ def parsed(raw: Column) -> Column:
     return F.try_parse_json(raw)
 
 
-def is_object(envelope: Column) -> Column:
-    return F.coalesce(F.schema_of_variant(envelope).startswith("OBJECT"), F.lit(False))
-
-
 def members(envelope: Column) -> Column:
-    """The members of an object by their names."""
+    """The members of an object by their names; null for what is no object."""
     return F.try_variant_get(envelope, "$", "map<string,variant>")
 
 
+def named_members(envelope: Column, names: list[str]) -> Column:
+    """The members of an object that have one of ``names``, as a struct: they are found in one pass and none is searched for. Null for what is no object."""
+    fields = ",".join(f"`{n.replace('`', '``')}`:variant" for n in names)
+    return F.try_variant_get(envelope, "$", f"struct<{fields}>")
+
+
 def kind(field: Column) -> Column:
     """JSON type of a field; null if it is absent or null."""
     return F.nullif(F.schema_of_variant(field), F.lit("VOID"))
@@ -76,21 +78,25 @@ def exact_number(token: Column) -> Column:
 _SHORT = 1 << 12
 
 
-def canonical_text(raw: Column) -> Column:
-    """JSON text with sorted keys and exact numbers; null for text that is no JSON.
+#: Text without digits outside strings, and text whose numbers are whole, have 18 digits at most and don't end in 0; both without escapes.
+_WORDS = '^(?:[^"0-9-]++|"[^"]*+")*+$'
+_WHOLE = '^(?:[^"0-9-]++|"[^"]*+"|-?[0-9]{0,17}[1-9](?![0-9.eE]))*+$'
+
+
+def canonical_text(raw: Column, envelope: Column | None = None) -> Column:
+    """JSON text with sorted keys and exact numbers; null for text that is no JSON. ``envelope``: its variant, where it is parsed already.
 
-    Every string, keys too, gets an s in front, and every number becomes a string with an n in front, so that no number passes through a double and none equals a string; then the variant sorts the keys.
-    Short texts without escapes are marked by two patterns, if their numbers are whole and don't end in 0; others token by token, which takes several times as long.
+    Every string, keys too, gets an s in front, and every number becomes a string with an n in front, so that no number passes through a double and none equals a string; the variant sorts the keys.
+    The variant's own text is marked by a pattern or two where the raw text is short, without escapes, and its numbers are whole and don't end in 0; others are marked token by token and parsed again, which takes several times as long.
     """
     token = lambda t: F.when(t.startswith('"'), F.concat(F.lit('"s'), F.substr(t, F.lit(2)))).when(t.rlike("^[-0-9]"), F.concat(F.lit('"n'), exact_number(t), F.lit('"'))).otherwise(t)
-    by_token = F.array_join(F.transform(F.regexp_extract_all(raw, F.lit(_TOKEN), 0), token), "")
-    plain, outside = ~raw.contains("\\") & (F.length(raw) <= _SHORT), F.regexp_replace(raw, '"[^"]*+"', "")
-    strings = F.regexp_replace(raw, '"([^"]*+)"', '"s$1"')
+    by_token = F.to_json(F.try_parse_json(F.array_join(F.transform(F.regexp_extract_all(raw, F.lit(_TOKEN), 0), token), "")))
+    plain = ~raw.contains("\\") & (F.length(raw) <= _SHORT)
+    strings = F.regexp_replace(F.to_json(parsed(raw) if envelope is None else envelope), '"([^"]*+)"', '"s$1"')
     numbers = F.regexp_replace(strings, r'\G((?:[^"0-9-]++|"[^"]*+")*+)(-?[0-9]++)', '$1"n$2e0"')
-    marked = F.when(plain & ~outside.rlike("[0-9]"), strings).when(plain & ~outside.rlike("0(?![0-9])|[0-9][.eE]"), numbers).otherwise(by_token)
-    return F.to_json(F.try_parse_json(marked))
+    return F.when(plain & raw.rlike(_WORDS), strings).when(plain & raw.rlike(_WHOLE), numbers).otherwise(by_token)
 
 
-def fingerprint(raw: Column, well_formed: Column) -> Column:
+def fingerprint(raw: Column, well_formed: Column, envelope: Column | None = None) -> Column:
     """Digest of the whole envelope: key order, white space and the way in which a number is written don't count; array order and explicit nulls do."""
-    return F.sha2(F.coalesce(F.when(well_formed, canonical_text(raw)), F.trim(raw), F.lit("")), 256)
+    return F.sha2(F.coalesce(F.when(well_formed, canonical_text(raw, envelope)), F.trim(raw), F.lit("")), 256)

@@ -16,21 +16,38 @@ _LISTS = ("accommodations", "consent", "scopes")
 _NAMED = ("eventId", "channel", "revokes", *_LISTS)
 #: What a channel names itself, by its place in the registry.
 _OWN = ("source", "person", "window")
+#: The window's member on channels that name none.
+_WINDOW = "callbackWindowMinutes"
 
 
-def parse(inbox: DataFrame) -> DataFrame:
-    """``inbox`` (raw, arrival) with the variant ``envelope``, whether it is ``well_formed``, and its members ``f`` as a map of variants.
+def parse(inbox: DataFrame, channels: dict[str, tuple] = CHANNELS) -> DataFrame:
+    """``inbox`` (raw, arrival) with the variant ``envelope``, whether it is ``well_formed``, and as ``f`` the members that ``channels`` and the contract name, each a variant.
 
-    Bad input stays, without members. A line is parsed once: what follows reads the members' own variants.
+    Bad input stays, without members. A line is parsed once, and its object is read once: what follows reads the members' own variants.
     """
-    rows = inbox.withColumn("envelope", E.parsed(F.col("raw"))).withColumn("well_formed", E.is_object(F.col("envelope")))
-    return rows.withColumn("f", E.members(F.when(F.col("well_formed"), F.col("envelope"))))
+    names = _names(channels)
+    rows = inbox.withColumn("envelope", E.parsed(F.col("raw")))
+    rows = rows.withColumn("f", E.named_members(F.col("envelope"), names) if _apart(names) else E.members(F.col("envelope")))
+    return rows.withColumn("well_formed", F.col("f").isNotNull())
 
 
-def _registry(channels: dict[str, tuple], place: int) -> Column:
-    """The map of channels to the field that plays a part in them, for those that name one."""
-    named = [F.lit(x) for c, fields in channels.items() if fields[place] for x in (c, fields[place])]
-    return F.create_map(*named) if named else F.create_map().cast("map<string,string>")
+def _names(channels: dict[str, tuple]) -> list[str]:
+    """The members that are read of an envelope."""
+    return list(dict.fromkeys([*_NAMED, _WINDOW, *(x for fields in channels.values() for x in fields if x)]))
+
+
+def _apart(names: list[str]) -> bool:
+    """Whether no two names differ in case alone; the fields of a struct could not be told apart then."""
+    return len({n.lower() for n in names}) == len(names)
+
+
+def _own(channels: dict[str, tuple], place: int, field) -> Column:
+    """The member that a row's channel (``of``) names for a part; null where it names none."""
+    out = F.lit(None).cast("variant")
+    for c, fields in channels.items():
+        if fields[place]:
+            out = F.when(F.col("of") == c, field(fields[place])).otherwise(out)
+    return out
 
 
 def adapt(parsed: DataFrame, channels: dict[str, tuple] = CHANNELS) -> DataFrame:
@@ -40,11 +57,14 @@ def adapt(parsed: DataFrame, channels: dict[str, tuple] = CHANNELS) -> DataFrame
     A row with ``revokes`` is a revocation and needs no channel. Fields that a channel's contract doesn't name stay
     in ``raw`` and in the fingerprint alone, but ``callbackWindowMinutes`` is read on any channel, for its range check. Columns ``file`` and ``corrects`` go along.
     """
-    field = lambda name: F.try_element_at("f", name)
-    channel = E.string_value(field(F.lit("channel")), E.kind(field(F.lit("channel"))))
-    own = {n: F.try_element_at(_registry(channels, i), F.col("of")) for i, n in enumerate(_OWN)}
-    rows = parsed.withColumn("of", channel).withColumn("own", F.struct(*(v.alias(n) for n, v in own.items())))
-    members = {n: field(F.lit(n)) for n in _NAMED} | {n: field(F.col(f"own.{n}")) for n in _OWN[:2]} | {"window": field(F.coalesce("own.window", F.lit("callbackWindowMinutes")))}
+    if _apart(_names(channels)):
+        field = lambda name: F.col("f").getField(name)
+    else:
+        field = lambda name: F.try_element_at("f", F.lit(name))
+    rows = parsed.withColumn("of", E.string_value(field("channel"), E.kind(field("channel"))))
+    members = {n: field(n) for n in _NAMED} | {n: _own(channels, i, field) for i, n in enumerate(_OWN[:2])}
+    windowed = F.col("of").isin(*(c for c, fields in channels.items() if fields[2]))
+    members["window"] = F.when(windowed, _own(channels, 2, field)).otherwise(field(_WINDOW))
     rows = rows.withColumn("g", F.struct(*(v.alias(n) for n, v in members.items())))
     rows = rows.withColumn("k", F.struct(*(E.kind(F.col(f"g.{n}")).alias(n) for n in members)))
     read = {n: E.string_value for n in ("eventId", "channel", "revokes", "source")} | {n: E.strings_value for n in _LISTS} | {"person": E.json_value, "window": E.int_value}
@@ -60,13 +80,13 @@ def adapt(parsed: DataFrame, channels: dict[str, tuple] = CHANNELS) -> DataFrame
         value("channel").alias("channel"),
         value("source").alias("sourceId"),
         value("person").alias("person"),
-        F.when(F.col("own.window").isNotNull(), value("window")).alias("callbackWindowMinutes"),
+        F.when(windowed, value("window")).alias("callbackWindowMinutes"),
         value("accommodations").alias("accommodations"),
         value("consent").alias("consent"),
         value("revokes").alias("revokes"),
         value("scopes").alias("scopes"),
         "arrival",
-        E.fingerprint(F.col("raw"), F.col("well_formed")).alias("payload_fp"),
+        E.fingerprint(F.col("raw"), F.col("well_formed"), F.col("envelope")).alias("payload_fp"),
         "well_formed",
         wrong.alias("malformed_field"),
         value("window").alias("window_read"),

@@ -21,7 +21,7 @@ ERASED = "ERASED_SOURCE"
 
 def canonical(inbox: DataFrame, channels: dict[str, tuple] = CHANNELS) -> DataFrame:
     """Canonical rows of ``inbox`` (raw, arrival) with their own errors; ``channels``: the registry."""
-    return validate(adapt(parse(inbox), channels), channels)
+    return validate(adapt(parse(inbox, channels), channels), channels)
 
 
 def outcomes(inbox: DataFrame, before: DataFrame | None = None, channels: dict[str, tuple] = CHANNELS, invalid_claims: bool = True) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from quillmesh.functions import envelopes as E
+from quillmesh.operators import canonical
 from quillmesh.plans import intake, queries
 from quillmesh.sources import keyed, ledger, manifest, scratch, synthetic
 from quillmesh.streaming.keyed_state import Judge
@@ -69,3 +70,17 @@ def test_ledger_lines_are_made_once_and_queries_write_what_they_read(spark):
     data = "/root/testdata/sf0.001"
     assert all("/lines-" in f for f in synthetic.sent(spark, data).inputFiles())
     assert queries._canonical(spark, data, "arrival", "errors").columns == ["arrival", "errors"]
+
+
+def test_members_are_read_by_name_in_one_pass(spark):
+    raw = '{"eventId":"E1","channel":"POST","Sender":"a","sender":"b","accommodations":[],"letterNo":"L1"}'
+    lines = spark.createDataFrame([(raw, 0), ("[1]", 1), ("{}", 2), ("no", 3)], "raw string, arrival long")
+    apart, alike = {"POST": ("letterNo", "sender", None)}, {"POST": ("letterNo", "sender", None), "MAIL": ("letterNo", "Sender", None)}
+    assert canonical.parse(lines, apart).schema["f"].dataType.typeName() == "struct"
+    rows = [[(r.sourceId, r.person, r.well_formed, r.errors) for r in intake.canonical(lines, c).orderBy("arrival").collect()] for c in (apart, alike)]
+    assert rows[0] == rows[1] and rows[0][0] == ("L1", '"b"', True, []) and [r[2] for r in rows[0]] == [True, False, True, False]
+
+
+def test_a_plain_line_is_parsed_once(spark):
+    lines = spark.createDataFrame([('{"b":12,"a":["x"]}',)], "raw string").withColumn("envelope", E.parsed(F.lit('{"z":3}')))
+    assert lines.select(E.canonical_text(F.col("raw"), F.col("envelope")).alias("c")).first().c == '{"sz":"n3e0"}'
