@@ -42,7 +42,7 @@ META = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 INFINITY = float("inf")
 #: Bytes of segments in each of two generations and number of pairs remembered in a worker, and the longest remembered segment.
-REMEMBERED, PAIRS, LONGEST = 64 << 20, 500_000, 48
+REMEMBERED, PAIRS, LONGEST = 32 << 20, 500_000, 48
 #: What a remembered segment takes beside its characters and ids.
 _ENTRY = 190
 

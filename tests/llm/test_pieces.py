@@ -69,3 +69,11 @@ def test_rows(odd, odd_rows, none):
     assert all(r.n_tokens == 0 for r in got if r.doc_id in (120, 121))
     assert P.encode_column(none).count() == 0
     assert set(P.encode_column(none).columns) == {"doc_id", "lang", "source", "n_chars", "ids", "n_tokens", "exact"}
+
+
+def test_a_worker_remembers_64_mb_at_most(fst):
+    assert 2 * P.REMEMBERED <= 64 << 20
+    memo = P._Memo(fst)
+    memo.held = P.REMEMBERED
+    memo["the"], memo["of"]
+    assert len(memo.elder) == 0 and len(memo) == 2 and memo.held < 1 << 10
