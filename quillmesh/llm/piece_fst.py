@@ -156,7 +156,8 @@ class PieceTransducer:
         self.bpe = trainer.get(3, 1) == 2
         self.normalised = Normaliser(normaliser, bool(trainer.get(24, 0)))
         self.ids = {p: i for i, p in enumerate(self.pieces) if self.kinds[i] in (NORMAL, USER)}
-        self.prefixes = {p[:n] for p in self.ids for n in range(1, len(p) + 1)}
+        #: The nodes of the trie by what they spell: a piece's id, or -1.
+        self.prefixes = {p[:n]: self.ids.get(p[:n], -1) for p in self.ids for n in range(1, len(p) + 1)}
         self.unknown = self.kinds.index(UNKNOWN)
         octets = {int(p[3:5], 16): i for i, p in enumerate(self.pieces) if self.kinds[i] == BYTE}
         self.octets = [octets.get(b, self.unknown) for b in range(256)]
@@ -221,27 +222,35 @@ class PieceTransducer:
         return last, back
 
     def _merged_path(self, s: str) -> tuple[list[int], list[int]]:
-        """The same where a weight is 0 or infinite: a position reached at weight 0 has its shortest path, so no further arc into it is weighed."""
-        n, get, prefixes, weight, known, size = len(s), self.ids.get, self.prefixes, self.weight, self._pairs.get, len(self.pieces)
+        """The same where a weight is 0 or infinite: the first path of weight 0 that is found is the shortest.
+
+        Long arcs are tried first and arcs are weighed when they are tried. A position reached at weight 0 has its shortest path, so it is left once at most, and most are never reached.
+        """
+        n, node, weight, known, size = len(s), self.prefixes.get, self.weight, self._pairs.get, len(self.pieces)
         last, back = [-1] * (n + 1), [-1] * (n + 1)
-        back[0] = 0
-        for i in range(n):
-            if back[i] < 0:
-                continue
-            before = last[i]
-            row = before * size
+        i, back[0], arcs = 0, 0, []
+        while back[n] < 0:
+            if node(s[i], -1) < 0:
+                arcs.append((i, i + 1, -1))
             for j in range(i + 1, n + 1):
-                part = s[i:j]
-                if back[j] < 0 and (piece := get(part)) is not None:
-                    w = known(row + piece)
-                    if w is None:
-                        w = weight(before, piece)
-                    if w == 0.0:
-                        last[j], back[j] = piece, i
-                elif part not in prefixes:
+                piece = node(s[i:j])
+                if piece is None:
                     break
-            if back[i + 1] < 0 and get(s[i]) is None:
-                back[i + 1] = i
+                if piece >= 0:
+                    arcs.append((i, j, piece))
+            while True:
+                i, j, piece = arcs.pop()
+                if back[j] >= 0:
+                    continue
+                if piece >= 0:
+                    w = known(last[i] * size + piece)
+                    if w is None:
+                        w = weight(last[i], piece)
+                    if w != 0.0:
+                        continue
+                last[j], back[j] = piece, i
+                break
+            i = j
         return last, back
 
     def encode(self, text: str | None) -> np.ndarray:
@@ -268,7 +277,8 @@ class _Memo(dict):
     def __missing__(self, s: str) -> bytes:
         found = self.elder.get(s)
         if found is None:
-            found = np.array(self.fst.shortest(s), dtype="<i4").tobytes()
+            ids = self.fst.shortest(s)
+            found = struct.pack(f"<{len(ids)}i", *ids)
         if len(s) <= LONGEST:
             if self.held >= REMEMBERED:
                 self.elder = dict(self)

@@ -77,3 +77,23 @@ def test_a_worker_remembers_64_mb_at_most(fst):
     memo.held = P.REMEMBERED
     memo["the"], memo["of"]
     assert len(memo.elder) == 0 and len(memo) == 2 and memo.held < 1 << 10
+
+
+class Sliced(str):
+    """A text that counts the parts that are read of it."""
+
+    n = 0
+
+    def __getitem__(self, at):
+        Sliced.n += 1
+        return str.__getitem__(self, at)
+
+
+def test_few_parts_of_a_segment_are_read(fst, library):
+    """Most positions are on no path that is tried, so their arcs aren't looked up."""
+    words = ["▁enberlichä", "▁tionelleeux", "▁auxtreeau", "▁edheinthntering", "▁Undverberer", "▁eresble,", "▁athaly$$$", "▁équeauxeux", "▁4311575929938279", "▁internationalization"]
+    Sliced.n = 0
+    for w in words:
+        assert fst.shortest(Sliced(w)) == library.encode(w[1:])
+    assert Sliced.n < 3 * sum(map(len, words))
+    print(Sliced.n, sum(map(len, words)))
