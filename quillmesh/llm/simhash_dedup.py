@@ -20,8 +20,9 @@ similarity 0.8 with probability 0.91 if segments are independent, of 0.9 with 0.
 
 What the segments miss is then searched exactly, between different components alone. A pair of similarity s has its first common shingle, in any one order of all shingles, among the first
 n - ceil(s * n) + 1 of both texts (of n shingles). The order puts shingles first that are rare in a sample of texts, so that buckets are small; the sample bears on speed alone.
-Shingles that stand in one text only are dropped by a Bloom filter. Buckets are paired by component before they are paired by text, so a group that the segments have joined costs nothing more, and lengths and
-places in the order rule pairs out before texts are compared. What is left of a bucket is the pairs of texts of different components, which nothing bounds but these filters.
+Shingles that stand in one text only are dropped by a Bloom filter. Buckets are paired by component before they are paired by text, so a group that the segments have joined costs nothing more, and lengths,
+places in the order and parities rule pairs out before texts are compared: two texts' parities of the counts of their shingles by slot differ in no more slots than there are shingles in one text alone. ``SKETCH`` words of
+parities go with the shingles, and wider ones, as many slots as a text has shingles, with the pairs that are left; only pairs that pass both are given their texts. What is left of a bucket is the pairs of texts of different components, which nothing bounds but these filters.
 
 Defined cases: null and empty texts have no words and fingerprint zero, which links like any other;
 repeated rows stay, each with its component; rows without an id take part, but a component's id is
@@ -50,6 +51,8 @@ WORDS, SIMILARITY, SEGMENTS, WIDTH = 5, 0.8, 22, 24
 FAR = 0.25
 #: Texts, about, of which shingles are counted to order them, and in how many of these a shingle is listed, at most how many.
 SAMPLE, LISTED, MOST_LISTED = 1 << 13, 3, 1 << 18
+#: Words of 64 parities that go with each shingle of the exact search, and the most parities of a text.
+SKETCH, MOST_PARITIES = 4, 1 << 20
 #: Shingles hashed at once: bounds the memory that a very long text takes.
 CHUNK = 1 << 16
 
@@ -229,6 +232,39 @@ def candidates(values: DataFrame, width: int = WIDTH) -> DataFrame:
     return same.unionAll(beside).distinct()
 
 
+def parities(h: np.ndarray, bits: int) -> np.ndarray:
+    """For each of ``bits`` slots, a power of two from 8, whether the hashes in it are odd in number; packed to bytes."""
+    return np.packbits((np.bincount((h & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1).astype(np.uint8), bitorder="little")
+
+
+def _marks(size: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sets = [shingle_set(t.as_py(), size) for t in b.column(1)]
+            made = [parities(h, 1 << (min(MOST_PARITIES, max(64 * SKETCH, len(h))) - 1).bit_length()).tobytes() for h in sets]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(list(map(len, sets)), pa.int64()), pa.array(made, pa.binary())], names=["text", "n", "odd"])
+
+    return run
+
+
+def alike(n: int, odd: bytes, m: int, also: bytes, similarity: float) -> bool:
+    """Whether texts of n and m shingles with these parities may be of ``similarity``. The wider parities are folded to as many as the others."""
+    x, y = np.frombuffer(odd, np.uint8), np.frombuffer(also, np.uint8)
+    width = min(len(x), len(y))
+    x, y = (np.bitwise_xor.reduce(z.reshape(-1, width), axis=0) for z in (x, y))
+    return int(np.bitwise_count(x ^ y).sum()) <= (n + m) * (1 - similarity) / (1 + similarity) + 1e-6
+
+
+def _alike(similarity: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            n, odd, m, also = (b.column(c).to_pylist() for c in ("nx", "oddx", "ny", "oddy"))
+            may = pa.array([alike(*x, similarity) for x in zip(n, odd, m, also)], pa.bool_())
+            yield pa.RecordBatch.from_arrays([b.column(c).filter(may) for c in ("ru", "rv", "tu", "tv")], names=["ru", "rv", "tu", "tv"])
+
+    return run
+
+
 def _shingles(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -250,37 +286,42 @@ def _listed(texts: DataFrame, size: int, n: int) -> tuple[np.ndarray, np.ndarray
     return token[order], n_in[order]
 
 
-def prefix(text: bytes, size: int, least: float, listed: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, int]:
-    """The shingles of a text, listed ones last, of which a text of similarity ``least`` must share one; and how many the text has."""
-    h = shingle_set(text, size)
+def prefix(h: np.ndarray, least: float, listed: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Those of a text's shingles, listed ones last, of which a text of similarity ``least`` must share one."""
     if not len(h):
-        return h, 0
+        return h
     rank = np.zeros(len(h), np.int64)
     if len(listed):
         at = np.minimum(np.searchsorted(listed, h), len(listed) - 1)
         rank = np.where(listed[at] == h, counts[at], 0)
     keep = len(h) - max(1, math.ceil(least * len(h) - 1e-9)) + 1
-    return h[np.lexsort((h, rank))[:keep]], len(h)
+    return h[np.lexsort((h, rank))[:keep]]
+
+
+_SKETCH = [f"s{i}" for i in range(SKETCH)]
 
 
 def _prefixes(size: int, least: float, order, held=None):
-    """(token, id) of prefixes, id the start of a text's id; or, with a filter of tokens, (token, id, n, at) of those that it lets pass."""
+    """(token, id) of prefixes, id the start of a text's id; or, with a filter of tokens, (token, id, n, at, s0, s1 ..) of those that it lets pass, n the text's shingles and s its parities."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts, made = b.column(0), [prefix(t.as_py(), size, least, *order.value) for t in b.column(1)]
-            if not made:
+            if not b.num_rows:
                 continue
-            sizes = np.fromiter((len(tokens) for tokens, _ in made), np.int64, len(made))
-            token, row = np.concatenate([tokens for tokens, _ in made]), np.repeat(np.arange(len(made)), sizes)
-            ids = np.fromiter((int.from_bytes(t.as_py()[:8], "big", signed=True) for t in texts), np.int64, len(made))
+            sets = [shingle_set(t.as_py(), size) for t in b.column(1)]
+            made = [prefix(h, least, *order.value) for h in sets]
+            sizes = np.fromiter(map(len, made), np.int64, len(made))
+            token, row = np.concatenate(made), np.repeat(np.arange(len(made)), sizes)
+            ids = np.fromiter((int.from_bytes(t.as_py()[:8], "big", signed=True) for t in b.column(0)), np.int64, len(made))
             if held is None:
                 yield pa.RecordBatch.from_arrays([pa.array(token.view(np.int64)), pa.array(ids[row])], names=["token", "id"])
                 continue
             hit = np.flatnonzero(bloom_hits(np.frombuffer(held[0].value, np.uint8), held[1], token))
             at = (np.arange(len(token)) - np.repeat(np.cumsum(sizes) - sizes, sizes))[hit].astype(np.int32)
-            n = np.fromiter((n for _, n in made), np.int32, len(made))[row[hit]]
-            yield pa.RecordBatch.from_arrays([pa.array(token[hit].view(np.int64)), pa.array(ids[row[hit]]), pa.array(n), pa.array(at)], names=["token", "id", "n", "at"])
+            n = np.fromiter(map(len, sets), np.int32, len(sets))[row[hit]]
+            odd = np.stack([parities(h, 64 * SKETCH).view("<i8") for h in sets])[row[hit]]
+            columns = [token[hit].view(np.int64), ids[row[hit]], n, at, *(np.ascontiguousarray(c) for c in odd.T)]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["token", "id", "n", "at", *_SKETCH])
 
     return run
 
@@ -295,29 +336,42 @@ def missed(rows: DataFrame, rooted: DataFrame, size: int, similarity: float) ->
     each = arrow(rows, _prefixes(size, similarity, order), "token long, id long")
     shared = cut(each.groupBy("token").agg(F.min("id").alias("a"), F.max("id").alias("z")).where("a != z").select("token"))
     filter_, bits = bloom_of(shared, "token")
-    hits = arrow(rows, _prefixes(size, similarity, order, (context.broadcast(filter_), bits)), "token long, id long, n int, at int")
+    schema = "token long, id long, n int, at int, " + ", ".join(f"{c} long" for c in _SKETCH)
+    hits = arrow(rows, _prefixes(size, similarity, order, (context.broadcast(filter_), bits)), schema)
     named = rooted.select(F.expr("cast(conv(substring(hex(text), 1, 16), 16, -10) as long)").alias("id"), "node", "root")
-    hits = cut(hits.join(named, "id").dropDuplicates(["id", "token"]).select("token", "node", "root", "n", "at"))
+    hits = cut(hits.join(named, "id").dropDuplicates(["id", "token"]).select("token", "node", "root", "n", "at", *_SKETCH))
     mixed = hits.groupBy("token").agg(F.min("root").alias("a"), F.max("root").alias("z")).where("a != z").select("token")
     members = cut(hits.join(sized(cut(mixed)), "token", "left_semi"))
     release(rows.sparkSession)
-    groups = cut(members.groupBy("token", "root").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.max(F.col("n") - F.col("at")).alias("room")))
+    ends = [F.min("n").alias("low"), F.max("n").alias("high"), F.max(F.col("n") - F.col("at")).alias("room")]
+    groups = cut(members.groupBy("token", "root").agg(*ends, *(f(c).alias(f"{n}{c}") for c in _SKETCH for n, f in (("every", F.bit_and), ("any", F.bit_or)))))
     side = lambda df, x: df.select("token", *(F.col(c).alias(f"{c}_{x}") for c in df.columns if c != "token"))
     share = similarity / (1 + similarity)
+    most = f" * {1 - 2 * share!r} + 1e-6"  # times the shingles of both: what two texts may differ in
+    apart = " + ".join(f"bit_count((every{c}_u & ~any{c}_v) | (every{c}_v & ~any{c}_u))" for c in _SKETCH)  # all members of one group from all of the other
+    odd = " + ".join(f"bit_count({c}_u ^ {c}_v)" for c in _SKETCH)
     reach = F.expr(f"root_u < root_v and high_u >= low_v * {similarity} - 1e-6 and high_v >= low_u * {similarity} - 1e-6 and least(room_u, room_v) >= (low_u + low_v) * {share!r} - 1e-6")
-    both = side(groups, "u").join(side(groups, "v"), "token").where(reach).select("token", "root_u", "root_v")
+    both = side(groups, "u").join(side(groups, "v"), "token").where(reach & F.expr(f"{apart} <= (high_u + high_v){most}")).select("token", "root_u", "root_v")
     pairs = both.join(side(members, "u"), ["token", "root_u"]).join(side(members, "v"), ["token", "root_v"])
-    common = F.expr(f"least(n_u - at_u, n_v - at_v) >= (n_u + n_v) * {share!r} - 1e-6")  # with this as the first in common
+    common = F.expr(f"least(n_u - at_u, n_v - at_v) >= (n_u + n_v) * {share!r} - 1e-6 and {odd} <= (n_u + n_v){most}")  # with this as the first in common
     near = F.expr(f"least(n_u, n_v) >= greatest(n_u, n_v) * {similarity} - 1e-6")
     pairs = pairs.where(near & common).select(*(F.col(f"{c}_{x}").alias(f"{c[0]}{x}") for x in "uv" for c in ("node", "root"))).distinct()
     text = lambda x: rooted.select(F.col("node").alias(f"n{x}"), F.col("text").alias(f"t{x}"))
-    return cut(sized(cut(pairs)).join(text("u"), "nu").join(text("v"), "nv").select("ru", "rv", "tu", "tv"))
+    pairs = cut(sized(cut(pairs)).join(text("u"), "nu").join(text("v"), "nv").select("ru", "rv", "tu", "tv"))
+    marks = arrow(rows.join(_texts(pairs), "text", "left_semi"), _marks(size), "text binary, n long, odd binary")
+    marks = cut(marks.groupBy("text").agg(F.first("n").alias("n"), F.first("odd").alias("odd")))
+    mark = lambda t, x: marks.select(F.col("text").alias(t), F.col("n").alias(f"n{x}"), F.col("odd").alias(f"odd{x}"))
+    return cut(arrow(pairs.join(mark("tu", "x"), "tu").join(mark("tv", "y"), "tv"), _alike(similarity), "ru long, rv long, tu binary, tv binary"))
+
+
+def _texts(pairs: DataFrame) -> DataFrame:
+    """(text): the different texts of pairs (.., tu, tv)."""
+    return sized(cut(pairs.select("tu").unionAll(pairs.select("tv")).distinct().withColumnRenamed("tu", "text")))
 
 
 def _links(rows: DataFrame, pairs: DataFrame, size: int, similarity: float, u: str = "u", v: str = "v") -> DataFrame:
     """(u, v), by the names given, of the pairs (.., tu, tv) whose texts are of ``similarity``."""
-    found = sized(cut(pairs.select("tu").unionAll(pairs.select("tv")).distinct().withColumnRenamed("tu", "text")))
-    wanted = cut(rows.join(found, "text", "left_semi").groupBy("text").agg(F.first("t").alias("t")))
+    wanted = cut(rows.join(_texts(pairs), "text", "left_semi").groupBy("text").agg(F.first("t").alias("t")))
     both = pairs.join(wanted.select(F.col("text").alias("tu"), F.col("t").alias("x")), "tu").join(wanted.select(F.col("text").alias("tv"), F.col("t").alias("y")), "tv")
     return arrow(both.select(F.col(u).alias("u"), F.col(v).alias("v"), "x", "y"), _verified(size, similarity), "u long, v long")
 

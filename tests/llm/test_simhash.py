@@ -3,6 +3,7 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -173,3 +174,27 @@ def test_no_pair_of_similar_texts_is_left_out(spark, monkeypatch, listed):
         a, b = parent[i], parent[j]
         parent = [min(a, b) if p in (a, b) else p for p in parent]
     assert len(set(parent)) == len(set(at))
+
+
+def test_parities_rule_out_what_is_far_and_nothing_else(spark, monkeypatch):
+    """Texts that share a rare line are paired by it; of them only the similar ones are read again, and a fold never rules out a similar pair."""
+    r, texts = random.Random(9), []
+    for i in range(40):
+        w = [f"w{r.randrange(10**6)}" for _ in range(r.choice([60, 300, 1500]))]
+        texts += [" ".join(w), " ".join(w[:-1] + ["end"])]
+    hashes = [S.shingle_set(t.encode()) for t in texts]
+    marks = [(len(h), S.parities(h, 1 << max(255, len(h) - 1).bit_length()).tobytes()) for h in hashes]
+    sets = [shingles(t) for t in texts]
+    may = [[S.alike(*x, *y, 0.8) for y in marks] for x in marks]
+    like = lambda n, m: min(n, m) >= 0.8 * max(n, m)
+    assert all(may[i][j] == similar(sets[i], sets[j]) for i in range(80) for j in range(80) if like(marks[i][0], marks[j][0]))
+    for k in range(1, 200):  # two widths: 256 and 512 shingles and more, of which k differ
+        x, y = (np.random.default_rng(k).integers(0, 2**63, n, dtype=np.uint64) for n in (250, 290))
+        y[:250] = x
+        assert S.alike(250, S.parities(x, 256).tobytes(), 290, S.parities(y, 512).tobytes(), 0.8)
+    line = " ".join(f"rare{i}" for i in range(6))
+    rows = [(i, f"{line} " + " ".join(f"a{i}x{k}" for k in range(50))) for i in range(60)]
+    given, links = [], S._links
+    monkeypatch.setattr(S, "_links", lambda rows, pairs, *a: given.append(pairs.count()) or links(rows, pairs, *a))
+    assert S.deduplicated(spark.createDataFrame(rows, "doc_id long, text string")).count() == 60
+    assert given[-1] == 0
